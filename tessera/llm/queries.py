@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessera.llm import audio, packing, secrets, tokens
+from tessera.llm import audio, line_dedup, mixing, packing, secrets, simhash, tokens
 
 
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -18,6 +18,20 @@ def vocabulary(name: str = "byte_bpe_50k.json") -> str:
     return str(public_tokenizers.path(name))
 
 
+def op2_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mixing.mix_documents(documents(spark, sf_dir)).select("doc_id", "size", "source_size", "target", "taken", "source", "shards", "place")
+
+
+def op5_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = line_dedup.dedup_lines(documents(spark, sf_dir))
+    return out.select("doc_id", "n_lines", "n_removed", F.sha2(F.coalesce("text", F.lit("")), 256).alias("kept_sha256"))
+
+
+def op10_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = simhash.near_duplicates(documents(spark, sf_dir))
+    return out.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
+
+
 def op4_telephony_audio(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = audio.telephony(documents(spark, sf_dir), keep_pcm=False)
     return out.select(
@@ -59,5 +73,16 @@ def op8_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.best_fit_packing(documents(spark, sf_dir), vocabulary()).drop("slot")
 
 
-QUERIES = {f.__name__: f for f in (op4_telephony_audio, op6_token_counts, op7_secret_scans, op8_best_fit_packing)}
-SQL: dict[str, str] = {}
+QUERIES = {
+    f.__name__: f
+    for f in (
+        op2_source_mixing,
+        op4_telephony_audio,
+        op5_line_dedup,
+        op6_token_counts,
+        op7_secret_scans,
+        op8_best_fit_packing,
+        op10_simhash_near_dedup,
+    )
+}
+SQL: dict[str, str] = {"op5_line_dedup": line_dedup.SQL}
