@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessera.llm import audio, line_dedup, mixing, packing, secrets, simhash, tokens
+from tessera.llm import audio, language, line_dedup, mixing, neighbours, packing, secrets, simhash, tokens
 
 
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -22,6 +22,14 @@ def op2_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix_documents(documents(spark, sf_dir)).select("doc_id", "size", "source_size", "target", "taken", "source", "shards", "place")
 
 
+def op3_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return language.held_out_predictions(documents(spark, sf_dir))
+
+
+def op9_adaptive_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return neighbours.nearest(spark.read.parquet(f"{sf_dir}/embeddings.parquet"))
+
+
 def op5_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = line_dedup.dedup_lines(documents(spark, sf_dir))
     return out.select("doc_id", "n_lines", "n_removed", F.sha2(F.coalesce("text", F.lit("")), 256).alias("kept_sha256"))
@@ -77,11 +85,13 @@ QUERIES = {
     f.__name__: f
     for f in (
         op2_source_mixing,
+        op3_language_id,
         op4_telephony_audio,
         op5_line_dedup,
         op6_token_counts,
         op7_secret_scans,
         op8_best_fit_packing,
+        op9_adaptive_neighbours,
         op10_simhash_near_dedup,
     )
 }
