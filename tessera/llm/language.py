@@ -23,8 +23,9 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from tessera.llm._shared import chunks, doc_id_type, id_text
+from tessera.llm._shared import chunks, id_text
 
 UND = "und"
 #: Trigrams overlap, so a count is worth a third of an independent one.
@@ -69,8 +70,8 @@ def trigram_codes(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
     return code, np.cumsum([len(r) + 2 for r in raw])
 
 
-def _texts(batch: pa.RecordBatch) -> list[str]:
-    return [b.decode("utf-8", "replace") if b else "" for b in batch.column("text").to_pylist()]
+def _texts(batch: pa.RecordBatch, column: str = "text") -> list[str]:
+    return [b.decode("utf-8", "replace") if isinstance(b, bytes) else b or "" for b in batch.column(column).to_pylist()]
 
 
 def train(docs: DataFrame, lang_col: str = "lang", text_col: str = "text", id_col: str = "doc_id", per_language: int = 2000, features: int = 8000) -> Model | None:
@@ -190,23 +191,24 @@ def identify_texts(model: Model, table: np.ndarray, texts: list[str], penalty: f
     return lang, score
 
 
-def identify(docs: DataFrame, model: Model | None, penalty: float = 6.0, rounds: int = 10, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """doc_id, lang_pred, score of every row."""
+def identify(docs: DataFrame, model: Model | None, penalty: float = 6.0, rounds: int = 10, text_col: str = "text") -> DataFrame:
+    """All columns of docs, with lang_pred and score (in place of columns of that name)."""
+    kept = docs.drop("lang_pred", "score")
 
     def predict(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         table = model.table() if model else None
         for batch in batches:
-            for part in chunks(batch):
-                texts = _texts(part)
+            for part in chunks(batch, text_col):
+                texts = _texts(part, text_col)
                 lang, score = identify_texts(model, table, texts, penalty, rounds) if model else ([UND] * len(texts), [0.0] * len(texts))
-                yield pa.RecordBatch.from_arrays([part.column(0), pa.array(lang, pa.string()), pa.array(score, pa.float64())], [part.schema.names[0], "lang_pred", "score"])
+                yield pa.RecordBatch.from_arrays([*part.columns, pa.array(lang, pa.string()), pa.array(score, pa.float64())], [*part.schema.names, "lang_pred", "score"])
 
-    rows = id_text(docs, id_col, text_col)
-    return rows.mapInArrow(predict, f"doc_id {doc_id_type(docs, id_col)}, lang_pred string, score double")
+    schema = T.StructType([*kept.schema.fields, T.StructField("lang_pred", T.StringType()), T.StructField("score", T.DoubleType())])
+    return kept.mapInArrow(predict, schema)
 
 
 def held_out_predictions(docs: DataFrame, id_col: str = "doc_id", lang_col: str = "lang", text_col: str = "text", **how) -> DataFrame:
     """doc_id, held_out, lang_pred, score: learned from the documents that are not held out."""
     model = train(docs.filter(fold_of(F.col(id_col)) != 2), lang_col, text_col, id_col)
-    out = identify(docs, model, id_col=id_col, text_col=text_col, **how)
+    out = identify(id_text(docs, id_col, text_col), model, **how)
     return out.select("doc_id", F.coalesce(fold_of(F.col("doc_id")) == 2, F.lit(False)).alias("held_out"), "lang_pred", "score")
