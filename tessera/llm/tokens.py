@@ -111,19 +111,17 @@ class Encoder:
         return out
 
     def _joined(self, texts: list[list[str]]) -> list:
-        rest = set().union(*texts).difference(self.known)
+        found = set().union(*texts)
+        rest = found.difference(self.known)
         if rest:
             if len(self.known) + len(rest) > REMEMBERED + len(self.base):
-                self.known = self.base
+                self.known, rest = self.base, found.difference(self.base)
             if self.known is self.base:
                 self.known = dict(self.base)
             rest = list(rest)
             self.known.update(zip(rest, map(self.value, self.encode(rest))))
         get = self.known.__getitem__
-        out = [self.join(map(get, t)) for t in texts]
-        if len(self.known) > REMEMBERED + len(self.base):
-            self.known = self.base
-        return out
+        return [self.join(map(get, t)) for t in texts]
 
 
 def _bytes(ids: list[int]) -> bytes:
