@@ -93,3 +93,26 @@ def density(df: DataFrame, by: list[str], value: str, low: float, high: float, b
 
 def two_level(df: DataFrame, group: list[str], value: str) -> DataFrame:
     return df.groupBy(*group).agg(F.avg(value).alias(value))
+
+
+def inventory(df: DataFrame, source: str, cells: list[str], name: str, invalid: Column) -> DataFrame:
+    nulls = sum((F.count("*") - F.count(c) for c in cells), F.lit(0).cast("long"))
+    return df.agg(F.count("*").alias("n_rows"), nulls.alias("null_cells"), F.countDistinct(name).alias("n_names"), F.count_if(invalid).alias("invalid")).select(F.lit(source).alias("source"), "*")
+
+
+def size_summary(sizes: DataFrame, name: str, *more: Column) -> DataFrame:
+    """From a table with a size n for each group: how many, singletons, largest, median."""
+    return sizes.agg(F.count("*").alias(name), F.count_if(F.col("n") == 1).alias("singletons"), ratio(F.count_if(F.col("n") == 1), F.count("*")).alias("singleton_fraction"), F.max("n").alias("largest"), F.median("n").alias("median"), *more)
+
+
+def modal(df: DataFrame, by: list[str], name: str) -> DataFrame:
+    """The most frequent name of each group (ties: the smallest), its share, and how many names there are."""
+    counts = df.groupBy(*by, name).agg(F.count("*").alias("n"))
+    g = counts.groupBy(*by).agg(F.min(F.struct((-F.col("n")).alias("m"), name)).alias("top"), F.sum("n").alias("total"), F.count("*").alias("kinds"))
+    return g.select(*by, F.col("top")[name].alias("modal"), ratio(-F.col("top.m"), "total").alias("fraction"), "kinds")
+
+
+def missing_units(seen: DataFrame, by: list[str], unit: str, n: int) -> DataFrame:
+    """Units 0..n-1 that a group lacks."""
+    expected = seen.select(*by).distinct().withColumn(unit, F.explode(F.sequence(F.lit(0).cast("long"), F.lit(n - 1).cast("long"))))
+    return expected.join(seen, [*by, unit], "left_anti")

@@ -1,6 +1,10 @@
 """All queries: importing this module registers them."""
 
-from tessera.plans import scans  # noqa: F401
+from importlib import import_module
+
 from tessera.plans.base import QUERIES, SQL
 
+for _name in ("scans", "relations", "profiles"):
+    import_module(f"tessera.plans.{_name}")
+
 __all__ = ["QUERIES", "SQL"]
