@@ -30,12 +30,14 @@ def remove_common_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Da
 
 
 def keep_one_of_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The document with the smallest id of each component stays, once if its row repeats."""
+    """The document with the smallest id of each component stays, once if its row repeats; rows without an id stay."""
     found = stored(simhash.near_duplicates(docs))
-    kept = found.filter(F.col("doc_id") == F.col("component_id")).groupBy("doc_id").agg(F.count("*").alias("n"))
-    kept = stored(kept)
-    out = docs.join(kept.select(F.col("doc_id").alias("_kept")), F.col("doc_id") == F.col("_kept"), "left_semi")
-    return out.dropDuplicates(["doc_id"]) if kept.filter("n > 1").take(1) else out
+    copies = stored(found.filter(F.col("doc_id") != F.col("component_id")).select(F.col("doc_id").alias("_copy")).distinct())
+    out = docs.join(copies, F.col("doc_id") == F.col("_copy"), "left_anti")
+    repeats = found.filter(F.col("doc_id") == F.col("component_id")).groupBy("doc_id").agg(F.count("*").alias("n")).filter("n > 1")
+    if not repeats.take(1):
+        return out
+    return out.filter(F.col("doc_id").isNotNull()).dropDuplicates(["doc_id"]).unionByName(out.filter(F.col("doc_id").isNull()))
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
