@@ -1,7 +1,7 @@
 """The registry of named queries, and the fixtures that bind the driver's tables to what operators expect.
 
 Fixtures exist twice, as DataFrames and as SQL, with the same definitions. Prices are divided by a prime, so that the six
-decimals to which results are rounded never end in an exact half.
+decimals to which results are rounded never end in an exact half; means that tie are rounded far below that.
 """
 
 from __future__ import annotations
@@ -32,7 +32,7 @@ def sql_bucket(text: str, n: int) -> str:
 CTES = {
     "long_": """SELECT l_orderkey AS entity, l_linenumber AS endpoint, avg(l_extendedprice) / 9973 AS y,
         min(l_extendedprice * (1 - l_discount)) / 9973 AS lower, max(l_extendedprice * (1 + l_tax)) / 9973 AS upper,
-        stddev_samp(l_extendedprice) / 9973 AS sd, avg(l_quantity) AS qty, avg(l_tax) + 0.0 AS tax
+        stddev_samp(l_extendedprice) / 9973 AS sd, round(avg(l_quantity), 9) AS qty, round(avg(l_tax), 9) + 0.0 AS tax
         FROM lineitem WHERE l_linenumber <= 4 GROUP BY 1, 2""",
     "wide_": "SELECT entity, " + ", ".join(f"max(CASE WHEN endpoint = {e} THEN y END) AS y{e}" for e in ENDPOINTS) + " FROM long_ GROUP BY 1",
     "props_": """SELECT o_orderkey AS entity, o_custkey AS grp, o_orderstatus AS status, o_orderpriority AS priority, o_totalprice AS total, c_acctbal AS balance,
@@ -80,8 +80,8 @@ class Fixtures(Tables):
             (F.min(F.col("l_extendedprice") * (1 - F.col("l_discount"))) / 9973).alias("lower"),
             (F.max(F.col("l_extendedprice") * (1 + F.col("l_tax"))) / 9973).alias("upper"),
             (F.stddev_samp("l_extendedprice") / 9973).alias("sd"),
-            F.avg("l_quantity").alias("qty"),
-            (F.avg("l_tax") + F.lit(0.0)).alias("tax"),
+            F.round(F.avg("l_quantity"), 9).alias("qty"),
+            (F.round(F.avg("l_tax"), 9) + F.lit(0.0)).alias("tax"),
         )
 
     @property
