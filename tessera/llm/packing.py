@@ -99,7 +99,7 @@ def pack(items: DataFrame, capacity: int = 2048, slack: int = 8, leaf_rows: int
             rows = rows.sort_values(["fill", "sequence_id", "doc_id", "offset", "piece"], ascending=[False, True, True, True, True], kind="stable").reset_index(drop=True)
             if level == 0:
                 rows["sequence_id"] = np.arange(len(rows))
-            new = (rows["sequence_id"] != rows["sequence_id"].shift()).to_numpy()
+            new = np.diff(rows["sequence_id"].to_numpy(), prepend=-1) != 0  # in integers; floats would confuse large ids
             item = np.cumsum(new) - 1
             bins, offsets = best_fit(rows["fill"].to_numpy()[new], capacity)
             rows["offset"] += offsets[item]
