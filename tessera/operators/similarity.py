@@ -62,62 +62,62 @@ SCORES = {
 }
 
 
-def _blocks(df: DataFrame, rows: int, side: str) -> DataFrame:
-    """Blocks of about `rows` rows, by hash of the id; the count is that of a stored or scanned table."""
-    n = max(1, math.ceil(df.count() / rows))
-    return df.withColumn(f"block_{side}", F.pmod(F.xxhash64("id"), F.lit(n)).cast("int")), n
+def _met(left: DataFrame, right: DataFrame, block_rows: int):
+    """Both tables in blocks of about block_rows rows, by hash of the id, each row once for every block of the other; grouped for
+    a cogroup by block pair. The right columns are renamed, so that a table can meet itself."""
+    right = right.withColumnsRenamed({c: f"{c}_r" for c in right.columns})
+    nl, nr = (max(1, math.ceil(df.count() / block_rows)) for df in (left, right))
+    left = left.withColumn("bl", F.pmod(F.xxhash64("id"), F.lit(nl)).cast("int")).withColumn("br", F.explode(F.sequence(F.lit(0), F.lit(nr - 1))))
+    right = right.withColumn("br", F.pmod(F.xxhash64("id_r"), F.lit(nr)).cast("int")).withColumn("bl", F.explode(F.sequence(F.lit(0), F.lit(nl - 1))))
+    return left.groupBy("bl", "br").cogroup(right.groupBy("bl", "br"))
 
 
 def dense_pairs(left: DataFrame, right: DataFrame, score: str = "cosine", least: float | None = None, upper: bool = False, block_rows: int = 1024) -> DataFrame:
     """a, b, sim of all pairs of two tables (id, v) of vectors, as products of blocks: block pairs are the units of work and
     no side is broadcast. least: only pairs from it on; upper: only a < b."""
-    (l, nl), (r, nr) = _blocks(left, block_rows, "l"), _blocks(right, block_rows, "r")
-    l = l.withColumn("block_r", F.explode(F.sequence(F.lit(0), F.lit(nr - 1))))
-    r = r.withColumn("block_l", F.explode(F.sequence(F.lit(0), F.lit(nl - 1))))
     kind = dict(left.dtypes)["id"]
 
     def meet(x: pa.Table, y: pa.Table) -> pa.Table:
         if not x.num_rows or not y.num_rows:
             i = j = np.empty(0, np.int64)
-            sim = np.empty((0, 0))
+            found = np.empty(0)
         else:
-            sim = SCORES[score](_matrix(x.column("v")), _matrix(y.column("v")))
+            sim = SCORES[score](_matrix(x.column("v")), _matrix(y.column("v_r")))
             keep = np.ones(sim.shape, bool) if least is None else sim >= least - 1e-12
             if upper:
-                keep &= x.column("id").to_numpy()[:, None] < y.column("id").to_numpy()[None]
+                keep &= x.column("id").to_numpy()[:, None] < y.column("id_r").to_numpy()[None]
             i, j = np.nonzero(keep)
-        return pa.table({"a": x.column("id").take(pa.array(i)), "b": y.column("id").take(pa.array(j)), "sim": pa.array(sim[i, j] if len(i) else np.empty(0))})
+            found = sim[i, j]
+        ids = (pa.array([], pa.int64()),) * 2 if not len(i) else (x.column("id").take(pa.array(i)), y.column("id_r").take(pa.array(j)))
+        return pa.table({"a": ids[0], "b": ids[1], "sim": pa.array(found, pa.float64())})
 
-    keys = ["block_l", "block_r"]
-    return l.groupBy(*keys).cogroup(r.groupBy(*keys)).applyInArrow(meet, f"a {kind}, b {kind}, sim double")
+    return _met(left, right, block_rows).applyInArrow(meet, f"a {kind}, b {kind}, sim double")
 
 
 def dense_nearest(queries: DataFrame, references: DataFrame, score: str = "cosine", other: bool = False, where: tuple[str, str] | None = None, block_rows: int = 1024) -> DataFrame:
     """id, neighbour, sim: each query's nearest reference, ties to the smallest id. other: not the query itself. where
     = (query column, reference column): only references with another value. A block pair reports one row for each query."""
-    (q, nq), (r, nr) = _blocks(queries, block_rows, "l"), _blocks(references, block_rows, "r")
-    q = q.withColumn("block_r", F.explode(F.sequence(F.lit(0), F.lit(nr - 1))))
-    r = r.withColumn("block_l", F.explode(F.sequence(F.lit(0), F.lit(nq - 1))))
     kind = dict(queries.dtypes)["id"]
 
     def meet(x: pa.Table, y: pa.Table) -> pa.Table:
-        empty = pa.table({"id": x.column("id").slice(0, 0), "neighbour": x.column("id").slice(0, 0), "sim": pa.array(np.empty(0))})
-        if not x.num_rows or not y.num_rows:
-            return empty
-        ids, refs = x.column("id").to_numpy(), y.column("id").to_numpy()
-        order = np.argsort(refs)
-        sim = np.round(SCORES[score](_matrix(x.column("v")), _matrix(y.column("v")))[:, order], 9)
-        if other:
-            sim[ids[:, None] == refs[order][None]] = -np.inf
-        if where:
-            sim[x.column(where[0]).to_numpy(zero_copy_only=False)[:, None] == y.column(where[1]).to_numpy(zero_copy_only=False)[order][None]] = -np.inf
-        best = sim.argmax(1)
-        found = sim[np.arange(len(ids)), best]
-        ok = np.isfinite(found)
-        return pa.table({"id": pa.array(ids[ok]), "neighbour": pa.array(refs[order][best][ok]), "sim": pa.array(found[ok])})
-
-    keys = ["block_l", "block_r"]
-    found = q.groupBy(*keys).cogroup(r.groupBy(*keys)).applyInArrow(meet, f"id {kind}, neighbour {kind}, sim double")
+        ids = refs = np.empty(0, np.int64)
+        found = np.empty(0)
+        if x.num_rows and y.num_rows:
+            ids, refs = x.column("id").to_numpy(), y.column("id_r").to_numpy()
+            order = np.argsort(refs)
+            sim = np.round(SCORES[score](_matrix(x.column("v")), _matrix(y.column("v_r")))[:, order], 9)
+            if other:
+                sim[ids[:, None] == refs[order][None]] = -np.inf
+            if where:
+                a, b = x.column(where[0]).to_numpy(), y.column(f"{where[1]}_r").to_numpy()[order]
+                sim[a[:, None] == b[None]] = -np.inf
+            best = sim.argmax(1)
+            found = sim[np.arange(len(ids)), best]
+            ok = np.isfinite(found)
+            ids, refs, found = ids[ok], refs[order][best][ok], found[ok]
+        return pa.table({"id": pa.array(ids), "neighbour": pa.array(refs), "sim": pa.array(found, pa.float64())})
+
+    found = _met(queries, references, block_rows).applyInArrow(meet, f"id {kind}, neighbour {kind}, sim double")
     best = found.groupBy("id").agg(F.min(F.struct((-F.col("sim")).alias("s"), "neighbour")).alias("n"))
     return best.select("id", F.col("n.neighbour").alias("neighbour"), (-F.col("n.s")).alias("sim"))
 

@@ -4,7 +4,7 @@ from importlib import import_module
 
 from tessera.plans.base import QUERIES, SQL
 
-for _name in ("scans", "relations", "profiles", "statistics"):
+for _name in ("scans", "relations", "profiles", "statistics", "similar", "runs"):
     import_module(f"tessera.plans.{_name}")
 
 __all__ = ["QUERIES", "SQL"]
