@@ -30,6 +30,8 @@ from tessera.llm._shared import chunks, id_text
 UND = "und"
 #: Trigrams overlap, so a count is worth a third of an independent one.
 WORTH = 1 / 3
+#: Bytes of text that are counted at once: what a text's counts take is many times its size.
+COUNTED_BYTES = 1 << 20
 
 
 @dataclass
@@ -90,7 +92,7 @@ def train(docs: DataFrame, lang_col: str = "lang", text_col: str = "text", id_co
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for part in chunks(batch):
+            for part in chunks(batch, limit=COUNTED_BYTES):
                 lang = np.array([number[x] for x in part.column("lang").to_pylist()])
                 code, ends = trigram_codes(_texts(part))
                 of = lang[np.minimum(np.searchsorted(ends, np.arange(len(code)), "right"), len(lang) - 1)]
@@ -198,7 +200,7 @@ def identify(docs: DataFrame, model: Model | None, penalty: float = 6.0, rounds:
     def predict(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         table = model.table() if model else None
         for batch in batches:
-            for part in chunks(batch, text_col):
+            for part in chunks(batch, text_col, COUNTED_BYTES):
                 texts = _texts(part, text_col)
                 lang, score = identify_texts(model, table, texts, penalty, rounds) if model else ([UND] * len(texts), [0.0] * len(texts))
                 yield pa.RecordBatch.from_arrays([*part.columns, pa.array(lang, pa.string()), pa.array(score, pa.float64())], [*part.schema.names, "lang_pred", "score"])
