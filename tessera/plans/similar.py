@@ -204,7 +204,7 @@ def kfold_hash(t: Fixtures) -> DataFrame:
 
 
 @query(_KFOLD.format(k="o_custkey", b=sql_bucket("o_custkey", 1 << 32), t="(SELECT DISTINCT o_custkey FROM orders)") + " SELECT o_orderkey AS entity, o_custkey AS grp, fold FROM orders JOIN f ON k = o_custkey")
-def group_folds(t: Fixtures) -> DataFrame:
+def group_fold_hash(t: Fixtures) -> DataFrame:
     return folds.group_k_fold(t.orders.select(F.col("o_orderkey").alias("entity"), F.col("o_custkey").alias("grp")), "grp").select("entity", "grp", "fold")
 
 
