@@ -40,7 +40,7 @@ CTES = {
     "folds_": f"SELECT o_orderkey AS entity, {sql_bucket('o_orderkey', 5)} AS random_fold, {sql_bucket('o_custkey', 5)} AS group_fold FROM orders",
     "means_": "SELECT endpoint, avg(y) AS mean_y FROM long_ GROUP BY 1",
     "pred_": "SELECT l.entity, l.endpoint, f.random_fold AS fold, m.model, s.seed, l.y, l.lower, l.upper, l.sd, CASE m.model WHEN 'm1' THEN mean_y "
-    f"WHEN 'm2' THEN l.y + ({sql_bucket("concat(l.entity, '|', l.endpoint, '|', s.seed)", 2001)} - 1000) / CAST(2000 AS DOUBLE) "
+    f"WHEN 'm2' THEN l.y + ({sql_bucket("concat(l.entity, '|', l.endpoint, '|', s.seed)", 2001)} - 1000) / CAST(1999 AS DOUBLE) "
     "ELSE l.qty / 5 + s.seed / CAST(100 AS DOUBLE) END AS p FROM long_ l JOIN folds_ f ON l.entity = f.entity JOIN means_ ON l.endpoint = means_.endpoint "
     "CROSS JOIN (VALUES ('m1'), ('m2'), ('m3')) m(model) CROSS JOIN (VALUES (1), (2), (3)) s(seed)",
     "vec_": "SELECT vec_id, label, CAST(embedding AS DOUBLE[]) AS v FROM embeddings",
@@ -106,7 +106,7 @@ class Fixtures(Tables):
         means = long.groupBy("endpoint").agg(F.avg("y").alias("mean_y"))
         rows = long.join(self.folds, "entity").join(means, "endpoint")
         rows = rows.withColumn("model", F.explode(F.array(*map(F.lit, MODELS)))).withColumn("seed", F.explode(F.array(*map(F.lit, SEEDS))))
-        noise = (bucket(F.concat_ws("|", "entity", "endpoint", "seed"), 2001) - 1000) / F.lit(2000.0)
+        noise = (bucket(F.concat_ws("|", "entity", "endpoint", "seed"), 2001) - 1000) / F.lit(1999.0)
         p = F.when(F.col("model") == "m1", F.col("mean_y")).when(F.col("model") == "m2", F.col("y") + noise).otherwise(F.col("qty") / 5 + F.col("seed") / F.lit(100.0))
         return rows.select("entity", "endpoint", F.col("random_fold").alias("fold"), "model", "seed", "y", "lower", "upper", "sd", p.alias("p"))
 
