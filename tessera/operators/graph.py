@@ -2,23 +2,10 @@
 
 from __future__ import annotations
 
-import uuid
-
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-
-def work_dir(spark) -> str:
-    """The cluster's shared folder, or one of the warehouse where none is set."""
-    at = spark.conf.get("spark.checkpoint.dir", None)
-    return at.rstrip("/") if at else spark.conf.get("spark.sql.warehouse.dir").rstrip("/") + "/_work"
-
-
-def stored(df: DataFrame) -> DataFrame:
-    """df written to the shared folder and read back: no lineage, known size, safe from lost executors."""
-    path = f"{work_dir(df.sparkSession)}/tessera-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+from tessera.sources.work import stored
 
 
 def components(nodes: DataFrame, edges: DataFrame, node: str = "id", a: str = "a", b: str = "b") -> DataFrame:

@@ -1,6 +1,6 @@
 """Ranks, empirical distributions and running minima.
 
-Rank operators count equal values first, with map-side combine, and order the distinct values only.
+Tables of ranks and distributions count equal values first, with map-side combine, and order the distinct values only.
 """
 
 from __future__ import annotations
@@ -9,6 +9,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tessera.functions.expr import ratio
+from tessera.sources.work import stored
 
 
 def value_counts(df: DataFrame, by: list[str], value: str, *counts: Column) -> DataFrame:
@@ -22,9 +23,31 @@ def rank_table(df: DataFrame, by: list[str], value: str, rank: str) -> DataFrame
     return counts.withColumn(rank, F.sum("n").over(up_to) - (F.col("n") - 1) / F.lit(2.0))
 
 
-def average_rank(df: DataFrame, by: list[str], value: str, rank: str) -> DataFrame:
-    """Adds the average rank (ties share the mean of theirs) of value within each group."""
-    return df.join(rank_table(df, by, value, rank).drop("n"), [*by, value], "left")
+def average_rank(df: DataFrame, by: list[str], value: str, rank: str, ranges: int = 1) -> DataFrame:
+    """Adds the average rank (ties share the mean of theirs) of value within each group; NULLs have none.
+
+    By default a group is ordered in one task: one shuffle, which other ranks of the same groups share. With `ranges` a group is
+    dealt out by that many ranges of its values, whose limits are approximate quantiles stored beforehand; ranks within a range
+    start from the count of the ranges below. Use it where groups are few and large."""
+    if ranges > 1:
+        return _ranged_rank(df, by, value, rank, ranges)
+    v = F.col(value)
+    ties = F.count(v).over(Window.partitionBy(*by, value))
+    return df.withColumn(rank, F.when(v.isNotNull(), F.rank().over(Window.partitionBy(*by).orderBy(v.asc_nulls_last())) + (ties - 1) / F.lit(2.0)))
+
+
+def _ranged_rank(df: DataFrame, by: list[str], value: str, rank: str, ranges: int) -> DataFrame:
+    at = [k / ranges for k in range(1, ranges)]
+    limits = stored(df.groupBy(*by).agg(F.percentile_approx(value, at, 20 * ranges).alias("_limits")))
+    keys = [F.col(k).alias(f"_by_{k}") for k in by]
+    a = limits.select(*keys, "_limits")
+    rows = df.join(a, [df[k].eqNullSafe(a[f"_by_{k}"]) for k in by], "left") if by else df.join(F.broadcast(limits))  # one row
+    rows = rows.drop(*(f"_by_{k}" for k in by)).withColumn("_range", F.size(F.filter("_limits", lambda x: x < F.col(value)))).drop("_limits")
+    counts = rows.groupBy(*by, "_range").agg(F.count(value).alias("_n"))
+    below = Window.partitionBy(*by).orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)
+    starts = counts.select(*keys, F.col("_range").alias("_at"), F.coalesce(F.sum("_n").over(below), F.lit(0)).alias("_start"))
+    rows = rows.join(starts, [rows[k].eqNullSafe(starts[f"_by_{k}"]) for k in by] + [rows["_range"] == starts["_at"]], "left").drop(*(f"_by_{k}" for k in by), "_at")
+    return average_rank(rows, [*by, "_range"], value, rank).withColumn(rank, F.col(rank) + F.col("_start")).drop("_range", "_start")
 
 
 def ecdf_gaps(df: DataFrame, by: list[str], value: str, second: Column) -> DataFrame:

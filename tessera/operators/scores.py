@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tessera.functions.expr import all_finite, clip, col, interval_excess, pearson, ratio
@@ -35,7 +35,8 @@ def st_rae(df: DataFrame, by: list[str], truth: str = "y", predicted: str = "p")
 
 def regression_metrics(df: DataFrame, by: list[str], truth: str = "y", predicted: str = "p") -> DataFrame:
     """n, st_rae, mae, rmse, spearman, r2 of groups of two rows or more."""
-    rows = scored_rows(df, by, truth, predicted)
+    # The ranks bring a group together anyway, so its mean comes from the same shuffle.
+    rows = df.filter(all_finite(truth, predicted, "lower", "upper")).withColumn("_mean", F.avg(truth).over(Window.partitionBy(*by)))
     for c in (truth, predicted):
         rows = ranks.average_rank(rows, by, c, f"_rank_{c}")
     error = F.col(truth) - F.col(predicted)

@@ -26,12 +26,14 @@ def set_pairs(items: DataFrame, key: str, item: str, least: float | None = None)
         return shared.join(na, "a").join(nb, "b").select("a", "b", F.round(ratio("c", F.col("na") + F.col("nb") - F.col("c")), 6).alias("sim"))
     frequency = items.groupBy(item).agg(F.count("*").alias("_f"))
     sets = items.join(frequency, item).groupBy(key).agg(F.transform(F.array_sort(F.collect_list(F.struct("_f", item))), lambda s: s[item]).alias("s"))
-    n = F.size("s")
-    prefix = F.slice("s", F.lit(1), (n - F.ceil(n * F.lit(least - 1e-9)) + 1).cast("int"))
-    heads = sets.select(F.col(key).alias("k"), n.alias("n"), F.explode(prefix).alias("_i"))
-    left, right = heads.withColumnsRenamed({"k": "a", "n": "na"}), heads.withColumnsRenamed({"k": "b", "n": "nb"})
-    long_enough = (F.col("na") >= F.lit(least - 1e-9) * F.col("nb")) & (F.col("nb") >= F.lit(least - 1e-9) * F.col("na"))
-    candidates = left.join(right, "_i").filter((F.col("a") < F.col("b")) & long_enough).select("a", "b").distinct()
+    n, low = F.size("s"), least - 1e-9
+    prefix = F.slice("s", F.lit(1), (n - F.ceil(n * F.lit(low)) + 1).cast("int"))
+    heads = sets.select(F.col(key).alias("k"), n.alias("n"), F.posexplode(prefix).alias("p", "_i"))
+    left, right = (heads.withColumnsRenamed({"k": k, "n": f"n{k}", "p": f"p{k}"}) for k in ("a", "b"))
+    # What two sets share is at most what stands on the same side of a shared item, and it.
+    most = F.least("pa", "pb") + F.least(F.col("na") - F.col("pa"), F.col("nb") - F.col("pb"))
+    enough = most * F.lit(1 + low) >= F.lit(low) * (F.col("na") + F.col("nb"))
+    candidates = left.join(right, "_i").filter((F.col("a") < F.col("b")) & enough).select("a", "b").distinct()
     both = candidates.join(sets.select(F.col(key).alias("a"), F.col("s").alias("sa")), "a").join(sets.select(F.col(key).alias("b"), F.col("s").alias("sb")), "b")
     c = F.size(F.array_intersect("sa", "sb"))
     sim = F.round(ratio(c, F.size("sa") + F.size("sb") - c), 6)

@@ -74,7 +74,7 @@ def submission_wide(t: Fixtures) -> DataFrame:
 @query()
 def submission_roundtrip(t: Fixtures) -> DataFrame:
     """Written, read back and checked: the checks' violations."""
-    from tessera.operators.graph import stored
+    from tessera.sources.work import stored
 
     out = submission_wide(t)
     back = stored(out)
