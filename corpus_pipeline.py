@@ -15,10 +15,10 @@ from tessera.llm.queries import vocabulary
 
 
 def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Rejects texts without letters, and texts of which no language has half."""
+    """Rejects texts without letters, and mixtures of which no language has a third."""
     model = language.train(docs.filter(language.fold_of(F.col("doc_id")) != 2))
     found = language.identify(docs, model)
-    return found.filter((F.col("lang_pred") != language.UND) & (F.col("score") >= 0.5)).select(docs.columns)
+    return found.filter((F.col("lang_pred") != language.UND) & (F.col("score") >= 1 / 3)).select(docs.columns)
 
 
 def remove_common_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -27,7 +27,7 @@ def stored(df: DataFrame) -> DataFrame:
     """df as a table in the shared folder, read back: the lineage is cut, the planner knows its size,
     and a lost executor loses nothing."""
     spark = df.sparkSession
-    path = f"{work_dir(spark)}/tessera-{uuid.uuid4().hex}"
+    path = f"{work_dir(spark)}/tessera-{spark.sparkContext.applicationId}/{uuid.uuid4().hex}"
     df.write.parquet(path)
     out = spark.read.schema(df.schema).parquet(path)
     out._tessera_path = path
@@ -44,6 +44,12 @@ def drop_stored(*tables: DataFrame) -> None:
             p.getFileSystem(conf).delete(p, True)
 
 
+def release(spark: SparkSession) -> None:
+    """Deletes all tables that stored() made in this application; results that were not written are lost."""
+    path = spark._jvm.org.apache.hadoop.fs.Path(f"{work_dir(spark)}/tessera-{spark.sparkContext.applicationId}")
+    path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+
+
 def id_text(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", *more: Column) -> DataFrame:
     """doc_id, and the text as UTF-8 bytes (null stays null); other columns of the table do not matter."""
     return df.select(F.col(id_col).alias("doc_id"), F.col(text_col).cast("binary").alias("text"), *more)
