@@ -15,6 +15,13 @@ def work_dir(spark: SparkSession) -> str:
 
 def stored(df: DataFrame) -> DataFrame:
     """df written to the shared folder and read back: computed once, its size is known to the planner, and a lost executor loses nothing."""
-    path = f"{work_dir(df.sparkSession)}/tessera-{uuid.uuid4().hex}"
+    spark = df.sparkSession
+    path = f"{work_dir(spark)}/tessera-{spark.sparkContext.applicationId}/{uuid.uuid4().hex}"
     df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    return spark.read.schema(df.schema).parquet(path)
+
+
+def release(spark: SparkSession) -> None:
+    """Deletes all tables that stored() made in this application; results that were not written are lost."""
+    path = spark._jvm.org.apache.hadoop.fs.Path(f"{work_dir(spark)}/tessera-{spark.sparkContext.applicationId}")
+    path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
