@@ -13,7 +13,6 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tessera.functions.expr import bucket
-from tessera.operators import reshape
 from tessera.sources.tables import Tables
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -86,7 +85,9 @@ class Fixtures(Tables):
 
     @property
     def wide(self) -> DataFrame:
-        return reshape.pivot_values(self.long, ["entity"], "endpoint", "y", list(ENDPOINTS), "y")
+        """The long table's y by endpoint, in one shuffle: conditional means by entity instead of a pivot of means."""
+        rows = self.lineitem.filter(F.col("l_linenumber") <= 4).groupBy(F.col("l_orderkey").alias("entity"))
+        return rows.agg(*((F.avg(F.when(F.col("l_linenumber") == e, F.col("l_extendedprice"))) / 9973).alias(f"y{e}") for e in ENDPOINTS))
 
     @property
     def props(self) -> DataFrame:

@@ -14,7 +14,7 @@ from tessera.sources.tables import canonical_json
 
 @query("SELECT l_orderkey AS entity, l_linenumber AS endpoint, l_quantity AS qty, l_extendedprice AS price FROM lineitem WHERE l_quantity >= 45 AND l_returnflag = 'R'")
 def scan_filter_project(t: Fixtures) -> DataFrame:
-    rows = t.lineitem.filter((F.col("l_quantity") >= 45) & (F.col("l_returnflag") == "R"))
+    rows = expr.nan_to_null(t.raw("lineitem").filter((F.col("l_quantity") >= 45) & ~F.isnan("l_quantity") & (F.col("l_returnflag") == "R")))
     return rows.select(F.col("l_orderkey").alias("entity"), F.col("l_linenumber").alias("endpoint"), F.col("l_quantity").alias("qty"), F.col("l_extendedprice").alias("price"))
 
 
@@ -210,7 +210,7 @@ def one_hot(t: Fixtures) -> DataFrame:
 
 @query("SELECT entity, round(y1, 6) + 0.0 AS y1, round(y2, 6) + 0.0 AS y2, round(y3, 6) + 0.0 AS y3, round(y4, 6) + 0.0 AS y4 FROM wide_")
 def pivot_endpoints(t: Fixtures) -> DataFrame:
-    return rounded(t.wide)
+    return rounded(reshape.pivot_values(t.long, ["entity"], "endpoint", "y", list(ENDPOINTS), "y"))
 
 
 @query("SELECT entity, endpoint, round(y, 6) + 0.0 AS y, round(lower, 6) + 0.0 AS lower, round(upper, 6) + 0.0 AS upper, round(sd, 6) + 0.0 AS sd FROM long_ WHERE y IS NOT NULL")

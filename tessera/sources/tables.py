@@ -25,7 +25,11 @@ class Tables:
     def __getattr__(self, name: str) -> DataFrame:
         if name.startswith("_"):
             raise AttributeError(name)
-        return nan_to_null(self.spark.read.parquet(f"{self.sf_dir}/{name}.parquet"))
+        return nan_to_null(self.raw(name))
+
+    def raw(self, name: str) -> DataFrame:
+        """The table as it is stored: filters on its floats reach the files, but NaN must be left out by hand."""
+        return self.spark.read.parquet(f"{self.sf_dir}/{name}.parquet")
 
 
 def read_csv(spark: SparkSession, path: str, schema: T.StructType | str | None = None, columns: list[str] | None = None) -> DataFrame:
