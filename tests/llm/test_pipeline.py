@@ -1,9 +1,16 @@
+"""The stages on their own inputs, each against a brute-force version of what it decides."""
+
 from __future__ import annotations
 
+import hashlib
+import re
+
+import duckdb
 import pytest
 
 import corpus_pipeline
-from tests.llm.test_operators import table
+from tessera.llm import line_dedup
+from tests.llm.test_operators import brute_components, brute_fingerprint, brute_targets, table
 
 SF = "/root/testdata/sf0.001"
 
@@ -26,23 +33,60 @@ def test_all_but_the_last_keep_the_columns(stages):
         assert after.columns == before.columns and after.count() > 0
 
 
-def test_near_copies_leave_one(stages):
-    from tessera.llm import simhash
+def test_language_rejects_texts_without_letters_only(spark, stages):
+    before, after = stages[0]
+    assert {r.doc_id for r in before.collect() if re.search(r"[^\W\d_]", r.text or "")} == {r.doc_id for r in after.collect()}
+    odd = spark.createDataFrame([(1, "12 !", "en", "s", 4), (2, None, None, "s", 0), (3, before.first().text, None, "s", 9)], before.schema)
+    assert [r.doc_id for r in corpus_pipeline.identify_language(spark, before.unionByName(odd), SF).filter("doc_id <= 3 AND source = 's'").collect()] == [3]
+
+
+def test_lines_against_sql(stages):
+    before, after = stages[1]
+    con = duckdb.connect()
+    con.register("documents", before.toPandas())
+    want = {r[0]: r[3] for r in con.sql(line_dedup.SQL).fetchall()}
+    empty = hashlib.sha256(b"").hexdigest()
+    got = {r.doc_id: hashlib.sha256(r.text.encode()).hexdigest() for r in after.collect()}
+    assert {d: h for d, h in want.items() if h != empty} == got
+    assert all(r.n_chars == len(r.text) for r in after.collect())
 
+
+def test_near_copies_leave_one(stages):
     before, after = stages[2]
-    found = simhash.near_duplicates(before).toPandas()
-    assert sorted(r.doc_id for r in after.collect()) == sorted(found.component_id.unique())
+    rows = sorted((r.doc_id, r.text) for r in before.collect())
+    roots = brute_components([brute_fingerprint(t) for _, t in rows])
+    assert sorted(r.doc_id for r in after.collect()) == sorted({rows[k][0] for k in roots})
 
 
-def test_mix_takes_no_document_more_than_twice(stages):
+def test_mix_comes_near_its_targets(stages):
     before, after = stages[3]
-    times = after.groupBy("doc_id").count().toPandas()["count"]
-    assert times.max() <= 2 and set(times) == {1, 2}
+    size = lambda t: len(re.findall(r"[^\x20\x09-\x0D]+", t))
+    sizes, taken, largest = {}, {}, {}
+    for r in before.collect():
+        n = size(r.text)
+        sizes[r.source] = sizes.get(r.source, 0) + n
+        largest[r.source] = max(largest.get(r.source, 0), n)
+    times = {}
+    for r in after.collect():
+        taken[r.source] = taken.get(r.source, 0) + size(r.text)
+        times[r.doc_id] = times.get(r.doc_id, 0) + 1
+    for source, target in brute_targets(sizes).items():
+        assert abs(taken.get(source, 0) - target) <= largest[source] / 2 + 1
+    assert max(times.values()) <= 2
 
 
 def test_packs_every_document(stages):
     before, after = stages[4]
-    assert {r.doc_id for r in before.collect()} == {r.doc_id for r in after.collect()}
+    rows = after.toPandas().sort_values(["sequence_id", "offset"])
+    end = rows.offset + rows.length
+    assert set(rows.doc_id) == {r.doc_id for r in before.collect()} and end.max() <= 2048
+    assert (end.groupby(rows.sequence_id).shift().fillna(0) == rows.offset).all()
+    assert len(rows[rows.start == 0]) == before.count()
+
+
+def test_run_applies_the_stages(spark, stages):
+    columns = ["doc_id", "piece", "start", "length", "ids_crc32"]
+    assert sorted(map(tuple, corpus_pipeline.run(spark, SF).select(columns).collect())) == sorted(map(tuple, stages[-1][1].select(columns).collect()))
 
 
 def test_odd_tables(spark):
