@@ -17,8 +17,8 @@ import zlib
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -95,19 +95,26 @@ def pack(items: DataFrame, capacity: int = 2048, slack: int = 8, leaf_rows: int
     for level in range(rounds):  # stored() runs a round before the next begins
         last = level == rounds - 1
 
-        def place(rows: pd.DataFrame) -> pd.DataFrame:
-            rows = rows.sort_values(["fill", "sequence_id", "doc_id", "offset", "piece"], ascending=[False, True, True, True, True], kind="stable").reset_index(drop=True)
+        def place(rows: pa.Table) -> pa.Table:
+            by = [("fill", "descending"), *((c, "ascending") for c in ("sequence_id", "doc_id", "offset", "piece"))]
+            rows = rows.combine_chunks().take(pc.sort_indices(rows, sort_keys=by))
+            fill, node = rows.column("fill").to_numpy(), rows.column("node").to_numpy()
             if level == 0:
-                rows["sequence_id"] = np.arange(len(rows))
-            new = np.diff(rows["sequence_id"].to_numpy(), prepend=-1) != 0  # in integers; floats would confuse large ids
+                new = np.ones(len(fill), bool)
+            else:
+                new = np.diff(rows.column("sequence_id").to_numpy(), prepend=-1) != 0
             item = np.cumsum(new) - 1
-            bins, offsets = best_fit(rows["fill"].to_numpy()[new], capacity)
-            rows["offset"] += offsets[item]
-            rows["fill"] = np.bincount(bins, weights=rows["fill"].to_numpy()[new]).astype(np.int64)[bins][item]
-            rows["sequence_id"] = (level << 58) + (rows["node"].to_numpy() << 30) + bins[item]
+            bins, offsets = best_fit(fill[new], capacity)
+            out = {
+                "sequence_id": (level << 58) + (node << 30) + bins[item],
+                "offset": rows.column("offset").to_numpy() + offsets[item],
+                "fill": np.bincount(bins, weights=fill[new]).astype(np.int64)[bins][item],
+            }
+            for name, values in out.items():
+                rows = rows.set_column(rows.schema.get_field_index(name), name, pa.array(values, pa.int64()))
             return rows
 
-        packed = stored(left.groupBy("node").applyInPandas(place, schema))
+        packed = stored(left.groupBy("node").applyInArrow(place, schema))
         done = packed if last else packed.filter(F.col("fill") >= capacity - slack)
         out = done if out is None else out.unionByName(done)
         left = packed.filter(F.col("fill") < capacity - slack).withColumn("node", F.floor(F.col("node") / fan_in))
