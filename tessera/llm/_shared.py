@@ -44,6 +44,14 @@ def drop_stored(*tables: DataFrame) -> None:
             p.getFileSystem(conf).delete(p, True)
 
 
+def bound_batches(spark: SparkSession) -> None:
+    """From now on the session's Arrow batches hold CHUNK_BYTES at most (or one row), if they could hold more."""
+    key = "spark.sql.execution.arrow.maxBytesPerBatch"
+    now = spark.conf.get(key).rstrip("bB")
+    if not (now.isdigit() and 0 < int(now) <= CHUNK_BYTES):
+        spark.conf.set(key, str(CHUNK_BYTES))
+
+
 def release(spark: SparkSession) -> None:
     """Deletes all tables that stored() made in this application; results that were not written are lost."""
     path = spark._jvm.org.apache.hadoop.fs.Path(f"{work_dir(spark)}/tessera-{spark.sparkContext.applicationId}")
@@ -52,6 +60,7 @@ def release(spark: SparkSession) -> None:
 
 def id_text(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", *more: Column) -> DataFrame:
     """doc_id, and the text as UTF-8 bytes (null stays null); other columns of the table do not matter."""
+    bound_batches(df.sparkSession)
     return df.select(F.col(id_col).alias("doc_id"), F.col(text_col).cast("binary").alias("text"), *more)
 
 

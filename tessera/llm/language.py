@@ -25,7 +25,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tessera.llm._shared import chunks, id_text
+from tessera.llm._shared import bound_batches, chunks, id_text
 
 UND = "und"
 #: Trigrams overlap, so a count is worth a third of an independent one.
@@ -78,6 +78,7 @@ def _texts(batch: pa.RecordBatch, column: str = "text") -> list[str]:
 
 def train(docs: DataFrame, lang_col: str = "lang", text_col: str = "text", id_col: str = "doc_id", per_language: int = 2000, features: int = 8000) -> Model | None:
     """docs holds the rows that may be learned from; None if no row has both text and language."""
+    bound_batches(docs.sparkSession)
     labelled = docs.filter(F.col(lang_col).isNotNull() & F.col(text_col).isNotNull() & F.col(id_col).isNotNull()).select(
         F.col(id_col).alias("doc_id"), F.col(lang_col).alias("lang"), F.col(text_col).alias("text")
     )
@@ -195,6 +196,7 @@ def identify_texts(model: Model, table: np.ndarray, texts: list[str], penalty: f
 
 def identify(docs: DataFrame, model: Model | None, penalty: float = 6.0, rounds: int = 10, text_col: str = "text") -> DataFrame:
     """All columns of docs, with lang_pred and score (in place of columns of that name)."""
+    bound_batches(docs.sparkSession)
     kept = docs.drop("lang_pred", "score")
 
     def predict(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
