@@ -41,7 +41,7 @@ SPLIT = re.compile(
 #: A pre-token can't span from a visible character to a space before another one.
 _SEAM = re.compile("[!-~](?= [!-~])")
 #: Distinct pre-tokens that a process remembers, and characters split at once.
-REMEMBERED, SEGMENT = 400_000, 1 << 20
+REMEMBERED, SEGMENT = 300_000, 1 << 20
 
 
 def segments(text: str) -> Iterator[str]:
@@ -56,6 +56,29 @@ def segments(text: str) -> Iterator[str]:
     yield text[at:] if at else text
 
 
+def _byte_of() -> dict[str, int]:
+    """The byte that each character of a byte-level vocabulary stands for."""
+    plain = [*range(33, 127), *range(161, 173), *range(174, 256)]
+    rest = [b for b in range(256) if b not in set(plain)]
+    return {chr(b): b for b in plain} | {chr(256 + k): b for k, b in enumerate(rest)}
+
+
+@functools.lru_cache(maxsize=4)
+def ranked(path: str):
+    """The vocabulary as ranks, if its ids rank its merges; else None. It gives the library's ids for texts whose split is the
+    same everywhere (not UNSAFE, no added tokens), and costs less for each call."""
+    import tiktoken
+
+    with open(path, encoding="utf-8") as f:
+        spec = json.load(f)["model"]
+    vocab, byte = spec["vocab"], _byte_of()
+    pairs = [m.split(" ") if isinstance(m, str) else m for m in spec["merges"]]
+    if not set("".join(vocab)) <= set(byte) or any(vocab.get(a + b) != 256 + k for k, (a, b) in enumerate(pairs)):
+        return None
+    ranks = {bytes(byte[c] for c in s): i for s, i in vocab.items() if i < 256 + len(pairs)}
+    return tiktoken.Encoding("ranked", pat_str=PATTERN, mergeable_ranks=ranks, special_tokens={})
+
+
 class Encoder:
     """value(ids) of whole texts, one value per text; `join` combines the values of pre-tokens."""
 
@@ -83,6 +106,8 @@ class Encoder:
         added = [re.escape(t["content"]) for t in spec.get("added_tokens", []) if t["content"]]
         self.special = re.compile("|".join(added)) if added else None
         self.known = self.base = self.whole_tokens(library)
+        ranks = ranked(path)
+        self.merge = (lambda parts: map(ranks.encode_ordinary, parts)) if ranks else self.encode
 
     def whole_tokens(self, library) -> dict:
         """Vocabulary strings that encode alone as one token: each is encoded, nothing is assumed."""
@@ -119,7 +144,7 @@ class Encoder:
             if self.known is self.base:
                 self.known = dict(self.base)
             rest = list(rest)
-            self.known.update(zip(rest, map(self.value, self.encode(rest))))
+            self.known.update(zip(rest, map(self.value, self.merge(rest))))
         get = self.known.__getitem__
         return [self.join(map(get, t)) for t in texts]
 
@@ -128,13 +153,6 @@ def _bytes(ids: list[int]) -> bytes:
     return np.array(ids, dtype="<u4").tobytes()
 
 
-def _byte_of() -> dict[str, int]:
-    """The byte that each character of a byte-level vocabulary stands for."""
-    plain = [*range(33, 127), *range(161, 173), *range(174, 256)]
-    rest = [b for b in range(256) if b not in set(plain)]
-    return {chr(b): b for b in plain} | {chr(256 + k): b for k, b in enumerate(rest)}
-
-
 class IdEncoder:
     """Ids of whole texts as little-endian unsigned 32-bit integers. Where the vocabulary's ids rank its merges, and
     the text is one whose split is the same everywhere, the same vocabulary as ranks encodes; else the library."""
@@ -143,14 +161,7 @@ class IdEncoder:
         self.rest, self.ranked = Encoder(path, _bytes, b"".join), None
         if self.rest.direct:
             return
-        import tiktoken
-
-        spec = json.loads(open(path, encoding="utf-8").read())["model"]
-        vocab, byte = spec["vocab"], _byte_of()
-        pairs = [m.split(" ") if isinstance(m, str) else m for m in spec["merges"]]
-        if set("".join(vocab)) <= set(byte) and all(vocab.get(a + b) == 256 + k for k, (a, b) in enumerate(pairs)):
-            ranks = {bytes(byte[c] for c in s): i for s, i in vocab.items() if i < 256 + len(pairs)}
-            self.ranked = tiktoken.Encoding("ranked", pat_str=PATTERN, mergeable_ranks=ranks, special_tokens={})
+        self.ranked = ranked(path)
 
     def __call__(self, texts: list[str]) -> list[bytes]:
         if self.ranked is None:
