@@ -29,6 +29,8 @@ from pyspark.sql import functions as F
 from tessera.llm._shared import stored
 
 BLOCK_DIMS, EPSILON = 16, 2.1
+#: Share of a block's candidates above which partial distances are computed for all of them at once.
+DENSE = 0.03
 
 
 def usable(vector: Column) -> Column:
@@ -99,11 +101,15 @@ def scan(q, q_ids, x, x_ids, space: Space, bound: np.ndarray, k: int, chunk: int
     for at in range(0, len(x), chunk):
         part, part_ids = x[at : at + chunk], x_ids[at : at + chunk]
         xr = space.members(part)
-        d = min(BLOCK_DIMS, dims)
-        near = (qr[:, :d] ** 2).sum(1)[:, None] + (xr[:, :d] ** 2).sum(1)[None] - 2 * qr[:, :d] @ xr[:, :d].T
         limit = bound + 1e-9 * (1 + bound)
-        i, j = np.nonzero((near * (dims / d) <= (limit * (1 + EPSILON / math.sqrt(d)) ** 2)[:, None]) & (q_ids[:, None] != part_ids[None]))
-        near = near[i, j]
+        d, near, left = 0, 0.0, q_ids[:, None] != part_ids[None]
+        while d < dims and left.mean() > DENSE:  # as products of whole blocks while many candidates are left, then one by one
+            e = min(d + BLOCK_DIMS, dims)
+            near = near + (qr[:, d:e] ** 2).sum(1)[:, None] + (xr[:, d:e] ** 2).sum(1)[None] - 2 * qr[:, d:e] @ xr[:, d:e].T
+            d = e
+            left &= near * (dims / d) <= (limit * ((1 + EPSILON / math.sqrt(d)) ** 2 if d < dims else 1))[:, None]
+        i, j = np.nonzero(left)
+        near = near[i, j] if d else np.zeros(len(i))
         while d < dims and len(i):
             e = min(d + BLOCK_DIMS, dims)
             near = near + ((qr[i, d:e] - xr[j, d:e]) ** 2).sum(1)
@@ -168,7 +174,9 @@ def nearest(
                 order = lists_of(np.column_stack([q, np.zeros(len(q))])).argsort(1)
                 enough = (np.cumsum(held[order], axis=1) < k + 1).sum(1) + 1
                 n = np.minimum(np.maximum(least, enough), n_lists)
-                i, j = np.nonzero(ids[:, None] != s_ids[None])
+                rough = np.where(ids[:, None] != s_ids[None], q @ s_vec.T, -np.inf)
+                worst = np.partition(rough, -min(k, len(s_ids)), axis=1)[:, -min(k, len(s_ids))]
+                i, j = np.nonzero(np.isfinite(rough) & (rough >= (worst - 1e-9 * (1 + np.abs(worst)))[:, None]))
                 score = products(q, s_vec, i, j)
                 top = _best(i, s_ids[j], score, k)
                 i, near_ids, score = i[top], s_ids[j[top]], score[top]
