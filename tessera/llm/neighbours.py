@@ -86,8 +86,11 @@ def products(a: np.ndarray, b: np.ndarray, i: np.ndarray, j: np.ndarray) -> np.n
 
 
 def _best(i, ids, score, k):
-    """Of each query i the k best of (score, id), as positions."""
-    order = np.lexsort((ids, -score, i))
+    """Of each query i the k best of (score, id), as positions; an id counts once, with its best score."""
+    order = np.lexsort((-score, ids, i))
+    again = (np.diff(i[order]) == 0) & (np.diff(ids[order]) == 0)
+    order = order[np.concatenate([[True], ~again])] if len(order) else order
+    order = order[np.lexsort((ids[order], -score[order], i[order]))]
     first = np.searchsorted(i[order], i[order])
     return order[np.arange(len(order)) - first < k]
 
@@ -144,11 +147,14 @@ def nearest(
     rows = rows.filter(F.size("v") == dims)
     same = Window.partitionBy("h1", "h2").orderBy("id")
     plain = F.transform("v", lambda x: x + F.lit(0.0))  # -0.0 counts as 0.0
-    members = rows.withColumn("h1", F.xxhash64(plain)).withColumn("h2", F.xxhash64(F.lit(1), plain)).withColumn("nth", F.row_number().over(same)).filter(F.col("nth") <= k + 1).select("id", "v")
+    # Rows of equal id and vector are one, so that what is counted below are ids.
+    rows = stored(rows.select("id", plain.alias("v")).withColumn("h1", F.xxhash64("v")).withColumn("h2", F.xxhash64(F.lit(1), "v")).dropDuplicates(["id", "h1", "h2"]))
+    members = rows.withColumn("nth", F.row_number().over(same)).filter(F.col("nth") <= k + 1).select("id", "v")
     largest = math.sqrt(rows.agg(F.max(F.aggregate("v", F.lit(0.0), lambda a, x: a + x * x))).first()[0])
     space = Space(dims, largest)
-    picked = members.orderBy(F.xxhash64("id"), "id").limit(sample).toArrow()
+    picked = members.orderBy(F.xxhash64("id"), "id", "v").limit(sample).toArrow()
     s_ids, s_vec = picked.column("id").to_numpy(), _matrix(picked.column("v"), dims)
+    s_starts = np.flatnonzero(np.concatenate([[True], s_ids[1:] != s_ids[:-1]]))  # rows of an id stand together
     n_lists = max(1, min(lists, len(s_ids) // 8))
     centres = k_means(space.lifted(s_vec), n_lists)
 
@@ -161,9 +167,11 @@ def nearest(
             yield pa.RecordBatch.from_arrays([batch.column("id"), batch.column("v"), pa.array(own, pa.int32())], ["id", "v", "list"])
 
     index = stored(members.mapInArrow(assign, "id long, v array<double>, list int"))
-    held = np.zeros(n_lists, np.int64)
+    held, ids_held = np.zeros(n_lists, np.int64), np.zeros(n_lists, np.int64)
     for r in index.groupBy("list").agg(F.count("*").alias("n")).collect():  # a row for each list
         held[r["list"]] = r["n"]
+    for r in index.groupBy("id").agg(F.min("list").alias("list")).groupBy("list").agg(F.count("*").alias("n")).collect():  # an id counts in one list
+        ids_held[r["list"]] = r["n"]
 
     def probes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         least = math.ceil(probe * n_lists)
@@ -172,10 +180,11 @@ def nearest(
                 part = batch.slice(at, 256)
                 q, ids = _matrix(part.column("v"), dims), part.column("id").to_numpy()
                 order = lists_of(np.column_stack([q, np.zeros(len(q))])).argsort(1)
-                enough = (np.cumsum(held[order], axis=1) < k + 1).sum(1) + 1
+                enough = (np.cumsum(ids_held[order], axis=1) < k + 1).sum(1) + 1
                 n = np.minimum(np.maximum(least, enough), n_lists)
                 rough = np.where(ids[:, None] != s_ids[None], q @ s_vec.T, -np.inf)
-                worst = np.partition(rough, -min(k, len(s_ids)), axis=1)[:, -min(k, len(s_ids))]
+                by_id = np.maximum.reduceat(rough, s_starts, axis=1)
+                worst = np.partition(by_id, -min(k, len(s_starts)), axis=1)[:, -min(k, len(s_starts))]
                 i, j = np.nonzero(np.isfinite(rough) & (rough >= (worst - 1e-9 * (1 + np.abs(worst)))[:, None]))
                 score = products(q, s_vec, i, j)
                 top = _best(i, s_ids[j], score, k)

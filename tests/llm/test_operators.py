@@ -398,6 +398,25 @@ def test_neighbours(spark):
     assert (got.groupby("query_id").size() == 20).all()
 
 
+def test_neighbours_of_repeated_ids(spark):
+    rng = np.random.default_rng(4)
+    x = rng.standard_normal((300, 8))
+    x[50:120] = x[40]  # of more ids than a query has neighbours
+    schema = "vec_id long, embedding array<double>"
+    df = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], schema)
+    for how in ({"probe": 1.0}, {"probe": 1.0, "sample": 64}):
+        read = lambda d: sorted(map(tuple, neighbours.nearest(d, **how).collect()))  # noqa: B023, E731
+        want = read(df)
+        assert len(want) == 15 * 20 and read(df.unionByName(df).unionByName(df)) == want
+    # Rows of an id with other vectors are one candidate, with the best product.
+    more = [(i, (v * f).tolist()) for i, v in enumerate(x) for f in (1.0, 0.99, 0.98)]
+    got = neighbours.nearest(spark.createDataFrame(more, schema), probe=1.0).toPandas()
+    assert (got.groupby("query_id").vec_id.nunique() == 20).all() and len(got) == 15 * 20
+    for q, own in got.groupby("query_id"):
+        best = sorted((max(float(x[q] @ x[j] * f * g) for f in (1.0, 0.99, 0.98) for g in (1.0, 0.99, 0.98)) for j in range(300) if j != q), reverse=True)[:20]
+        assert np.allclose(sorted(own.score, reverse=True), best, atol=0.2)
+
+
 def test_neighbours_of_few_and_none(spark):
     schema = "vec_id long, embedding array<float>"
     few = neighbours.nearest(spark.createDataFrame([(0, [1.0, 0.0]), (1, [0.5, 0.5]), (2, [0.5, 0.5])], schema)).collect()
