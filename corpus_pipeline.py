@@ -15,10 +15,12 @@ from tessera.llm.queries import vocabulary
 
 
 def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Rejects texts without letters, and mixtures of which no language has a third."""
+    """Rejects texts without letters, and mixtures of which no language has a third. Texts with letters but no known n-gram
+    stay, and all with letters where no language can be learned."""
     model = language.train(docs.filter(language.fold_of(F.col("doc_id")) != 2))
-    found = language.identify(docs, model)
-    return found.filter((F.col("lang_pred") != language.UND) & (F.col("score") >= 1 / 3)).select(docs.columns)
+    found = language.identify(docs, model, basis_col="_basis")
+    clear = (F.col("_basis") == language.MIXTURE) & (F.col("score") >= 1 / 3)
+    return found.filter(clear | (F.col("_basis") == language.LETTERS)).select(docs.columns)
 
 
 def remove_common_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

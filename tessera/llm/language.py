@@ -28,6 +28,8 @@ from pyspark.sql import types as T
 from tessera.llm._shared import bound_batches, chunks, id_text
 
 UND = "und"
+#: What a prediction rests on.
+NOTHING, LETTERS, MIXTURE = "nothing", "letters", "mixture"
 #: Trigrams overlap, so a count is worth a third of an independent one.
 WORTH = 1 / 3
 #: Bytes of text that are counted at once: what a text's counts take is many times its size.
@@ -166,10 +168,19 @@ def proportions(model: Model, doc: np.ndarray, feature: np.ndarray, n: np.ndarra
         theta[sub], like[sub] = t, like_sub
 
 
+def has_letters(text: str) -> bool:
+    return any(map(str.isalpha, text))
+
+
 def identify_texts(model: Model, table: np.ndarray, texts: list[str], penalty: float, rounds: int, block: int = 128) -> tuple[list[str], list[float]]:
+    return _identified(model, table, texts, penalty, rounds, block)[:2]
+
+
+def _identified(model: Model, table: np.ndarray, texts: list[str], penalty: float, rounds: int, block: int = 128) -> tuple[list[str], list[float], list[str]]:
     n_feat, names = len(model.codes), model.languages
     default = int(model.share.argmax())
-    lang = [names[default] if any(map(str.isalpha, t)) else UND for t in texts]
+    basis = [LETTERS if has_letters(t) else NOTHING for t in texts]
+    lang = [names[default] if b == LETTERS else UND for b in basis]
     score = [float(model.share[default]) if x != UND else 0.0 for x in lang]
     code, ends = trigram_codes(texts)
     feature = table[code]
@@ -190,13 +201,15 @@ def identify_texts(model: Model, table: np.ndarray, texts: list[str], penalty: f
         best = theta.argmax(1)
         for d, k, s in zip(docs.tolist(), best.tolist(), theta[np.arange(len(docs)), best].tolist()):
             if lang[d] != UND:
-                lang[d], score[d] = names[k], min(1.0, max(0.0, s))
-    return lang, score
+                lang[d], score[d], basis[d] = names[k], min(1.0, max(0.0, s)), MIXTURE
+    return lang, score, basis
 
 
-def identify(docs: DataFrame, model: Model | None, penalty: float = 6.0, rounds: int = 10, text_col: str = "text") -> DataFrame:
-    """All columns of docs, with lang_pred and score (in place of columns of that name)."""
+def identify(docs: DataFrame, model: Model | None, penalty: float = 6.0, rounds: int = 10, text_col: str = "text", basis_col: str | None = None) -> DataFrame:
+    """All columns of docs, with lang_pred and score (in place of columns of that name), and in basis_col, if given, what
+    they rest on: NOTHING (no letters), LETTERS (but no model or no known n-gram) or MIXTURE."""
     bound_batches(docs.sparkSession)
+    n_out = 3 if basis_col else 2
     kept = docs.drop("lang_pred", "score")
 
     def predict(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -204,10 +217,15 @@ def identify(docs: DataFrame, model: Model | None, penalty: float = 6.0, rounds:
         for batch in batches:
             for part in chunks(batch, text_col, COUNTED_BYTES):
                 texts = _texts(part, text_col)
-                lang, score = identify_texts(model, table, texts, penalty, rounds) if model else ([UND] * len(texts), [0.0] * len(texts))
-                yield pa.RecordBatch.from_arrays([*part.columns, pa.array(lang, pa.string()), pa.array(score, pa.float64())], [*part.schema.names, "lang_pred", "score"])
-
-    schema = T.StructType([*kept.schema.fields, T.StructField("lang_pred", T.StringType()), T.StructField("score", T.DoubleType())])
+                if model:
+                    lang, score, basis = _identified(model, table, texts, penalty, rounds)
+                else:
+                    lang, score, basis = [UND] * len(texts), [0.0] * len(texts), [LETTERS if has_letters(t) else NOTHING for t in texts]
+                out = [pa.array(lang, pa.string()), pa.array(score, pa.float64()), pa.array(basis, pa.string())][:n_out]
+                yield pa.RecordBatch.from_arrays([*part.columns, *out], [*part.schema.names, *["lang_pred", "score", basis_col][:n_out]])
+
+    more = [T.StructField("lang_pred", T.StringType()), T.StructField("score", T.DoubleType()), T.StructField(basis_col or "", T.StringType())][:n_out]
+    schema = T.StructType([*kept.schema.fields, *more])
     return kept.mapInArrow(predict, schema)
 
 

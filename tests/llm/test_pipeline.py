@@ -40,6 +40,16 @@ def test_language_rejects_texts_without_letters_only(spark, stages):
     assert [r.doc_id for r in corpus_pipeline.identify_language(spark, before.unionByName(odd), SF).filter("doc_id <= 3 AND source = 's'").collect()] == [3]
 
 
+def test_language_keeps_letters_that_tell_nothing(spark):
+    schema = "doc_id long, text string, lang string"
+    alphabets = {"a": "abc", "b": "def", "c": "ghi", "d": "jkl", "e": "mno"}
+    texts = [(10 * k + n, f"{x} {x[::-1]} {x * 2}", lang) for n, (lang, x) in enumerate(alphabets.items()) for k in range(40)]
+    odd = [(1001, "xyz xyz", None), (1002, "12 !", None), (1003, None, None)]
+    kept = lambda rows: {r.doc_id for r in corpus_pipeline.identify_language(spark, spark.createDataFrame(rows, schema), SF).collect()}
+    assert kept(texts + odd) == {d for d, _, _ in texts} | {1001}  # each language has a fifth
+    assert kept([(d, t, None) for d, t, _ in texts + odd]) == {d for d, _, _ in texts} | {1001}
+
+
 def test_lines_against_sql(stages):
     before, after = stages[1]
     con = duckdb.connect()
