@@ -13,15 +13,21 @@ suffix array of their texts (prefix doubling up to K bytes) ranks every start, a
 from the later ones. Classes of more than `most` phrases are not brought together: their strings are compared by 128-bit
 hashes in a pre-aggregated minimum.
 
-Equal phrases of one chunk of a task are merged before they are sent; of the others a task sees one at a time. Texts
-shorter than K bytes lose nothing. Null text: empty. Null id: before all others. Rows with one id are one document:
-neither is earlier than the other. An empty table gives no rows. Extra columns are ignored.
+No key gathers all occurrences of a common passage. A task sends an occurrence of a phrase once for each chunk of text at
+most, and not at all if it remembers an earlier one. Classes with several phrases in a sample of `sample` documents
+(those around the ends of common passages) are dealt out by phrase, not by class, and count as large; the strings of
+large classes are merged by chunk before they are sent. The sample decides where rows go, never what is found.
+
+Texts shorter than K bytes lose nothing. Null text: empty. Documents are in order of their ids, null before all others, and of
+a hash of their texts where ids repeat; rows of one id and one text are one document, and lose the same. Very long texts
+are parsed in pieces of PIECE bytes that share K - 1 bytes. An empty table gives no rows. Extra columns are ignored.
 """
 
 from __future__ import annotations
 
 import itertools
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -33,7 +39,14 @@ from tessera.llm._shared import bound_batches, chunks, stored
 K, GRAM, SPLIT = 100, 8, 42
 _MIX = (np.uint64(0x9E3779B97F4A7C15), np.uint64(0xBF58476D1CE4E5B9))
 _NO_ID = -(1 << 63)
-PROBE, GONE, ASKED = 0, 1, 2
+PROBE, SPREAD, GONE, ASKED, SPELT, COLD, HOT = range(7)
+#: Bytes of a long text that are parsed at once, and repeated phrases that a task remembers.
+PIECE, REMEMBERED = 2 << 20, 100_000
+#: Phrases in the sample that make a class large; strings that a task merges at once; phrases that a task of the last sort takes.
+SEVERAL, STRINGS, TASK_PHRASES = 8, 100_000, 20_000
+#: Where a document stands, and a place in it.
+DOC = ["doc", "r"]
+PLACE = [*DOC, "at"]
 
 
 def parse(data: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, ...]:
@@ -70,98 +83,158 @@ def _signed(values: list[int]) -> np.ndarray:
     return np.array(values, np.uint64).view(np.int64)
 
 
-def _rows(kind, c, w, doc, at, n) -> pa.RecordBatch:
-    return pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip((kind, c, w, doc, at, n), (pa.int32(), pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.int32()))], ["kind", "c", "w", "doc", "at", "n"])
+_ROWS = "kind int, c long, w long, doc long, r long, at long, n long"
+_TEXTS = f"{_ROWS}, text binary"
 
 
-_ROWS = "kind int, c long, w long, doc long, at long, n int"
+def _rows(kind: int, c, w, doc, r, at, n) -> pa.RecordBatch:
+    """A row for each doc; c and w may be 0 for all."""
+    c, w = (np.zeros(len(doc), np.int64) if x is None else x for x in (c, w))
+    columns = [pa.array(np.full(len(doc), kind, np.int32)), *(pa.array(x, pa.int64()) for x in (c, w, doc, r, at, n))]
+    return pa.RecordBatch.from_arrays(columns, ["kind", "c", "w", *PLACE, "n"])
 
 
-def phrases(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """A PROBE for each distinct phrase of a chunk; GONE for its other occurrences."""
+def _marks(doc: np.ndarray, r: np.ndarray, at: np.ndarray, n: np.ndarray) -> pa.RecordBatch:
+    """GONE rows; what touches is joined."""
+    order = np.lexsort((at, r, doc))
+    doc, r, at, end = doc[order], r[order], at[order], (at + n)[order]
+    other = np.concatenate([[False], (np.diff(doc) != 0) | (np.diff(r) != 0)]) if len(doc) else np.zeros(0, bool)
+    reach = np.maximum.accumulate(end + (np.cumsum(other) << 40)) & ((1 << 40) - 1)
+    new = np.ones(len(doc), bool)
+    new[1:] = other[1:] | (at[1:] > reach[:-1])
+    begin = np.flatnonzero(new)
+    stop = reach[np.append(begin[1:] - 1, len(doc) - 1)]
+    return _rows(GONE, None, None, doc[new], r[new], at[new], stop - at[new])
+
+
+def _leads(c, w, doc, r, at) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The order by key and place, whether a row there begins a key, and where its key begins."""
+    order = np.lexsort((at, r, doc, w, c))
+    new = np.ones(len(c), bool)
+    new[1:] = (np.diff(c[order]) != 0) | (np.diff(w[order]) != 0)
+    return order, new, np.flatnonzero(new)[np.cumsum(new) - 1]
+
+
+class Remembered:
+    """Places of phrases that a task has met more than once: what stands later than one of them need not be sent."""
+
+    def __init__(self, most: int = REMEMBERED):
+        self.most, self.place, self.keys = most, {}, np.empty(0, np.int64)
+
+    def later(self, c, w, doc, r, at, repeats) -> np.ndarray:
+        """Whether each phrase (distinct ones) is later than its remembered place; remembers those with repeats."""
+        out = np.zeros(len(c), bool)
+        for i in np.flatnonzero(np.isin(w, self.keys)).tolist():
+            key, place = (int(c[i]), int(w[i])), (int(doc[i]), int(r[i]), int(at[i]))
+            known = self.place.get(key)
+            if known is not None:
+                out[i] = place > known
+                self.place[key] = min(place, known)
+        fresh = np.flatnonzero(repeats & ~out).tolist()
+        if fresh:
+            if len(self.place) + len(fresh) > self.most:
+                self.place = {}
+            for i in fresh[: self.most]:
+                self.place.setdefault((int(c[i]), int(w[i])), (int(doc[i]), int(r[i]), int(at[i])))
+            self.keys = np.fromiter((k[1] for k in self.place), np.int64, len(self.place))
+        return out
+
+
+def pieces(texts: list[bytes], limit: int) -> Iterator[tuple[list[int], list[int], list[bytes]]]:
+    """Rows, offsets and bytes of the texts in blocks of about `limit` bytes; each string starts in one piece."""
+    rows, offsets, parts, size = [], [], [], 0
+    for row, text in enumerate(texts):
+        for a in range(0, max(1, len(text) - K + 1), limit):
+            part = text[a : a + limit + K - 1]
+            if size and size + len(part) > limit:
+                yield rows, offsets, parts
+                rows, offsets, parts, size = [], [], [], 0
+            rows.append(row)
+            offsets.append(a)
+            parts.append(part)
+            size += len(part)
+    if parts:
+        yield rows, offsets, parts
+
+
+def phrases(batches: Iterator[pa.RecordBatch], large: np.ndarray | None = None) -> Iterator[pa.RecordBatch]:
+    """A PROBE for each distinct phrase of a chunk, or SPREAD if its class is one of the large ones; GONE for its other occurrences."""
     import xxhash
 
-    digest = xxhash.xxh3_64_intdigest
+    digest, memory = xxhash.xxh3_64_intdigest, Remembered()
     for batch in batches:
-        for part in chunks(batch):
-            texts = [b or b"" for b in part.column("text").to_pylist()]
-            data = b"".join(texts)
-            ends = np.cumsum([len(t) for t in texts])
-            first, last, a, b = parse(np.frombuffer(data, np.uint8), ends)
-            if not len(first):
-                continue
-            c = _signed([digest(data[x:y]) for x, y in zip(a.tolist(), b.tolist())])
-            w = _signed([digest(data[x:y]) for x, y in zip(first.tolist(), (last + K).tolist())])
-            of = np.searchsorted(ends, first, "right")
-            doc, at, n = part.column("doc").to_numpy()[of], first - (ends[of] - np.diff(ends, prepend=0)[of]), (last - first + 1).astype(np.int32)
-            order = np.lexsort((at, doc, w, c))
-            c, w, doc, at, n = c[order], w[order], doc[order], at[order], n[order]
-            new = np.ones(len(c), bool)
-            new[1:] = (c[1:] != c[:-1]) | (w[1:] != w[:-1])
-            lead = np.flatnonzero(new)[np.cumsum(new) - 1]
-            yield _rows(np.zeros(len(lead))[new], c[new], w[new], doc[new], at[new], n[new])
-            gone = (doc != doc[lead]) | (at != at[lead])
-            if gone.any():
-                yield _marks(doc[gone], at[gone], n[gone] + K - 1)
-
-
-def _marks(doc: np.ndarray, at: np.ndarray, n: np.ndarray) -> pa.RecordBatch:
-    """GONE rows; what touches is joined."""
-    order = np.lexsort((at, doc))
-    doc, at, end = doc[order], at[order], (at + n)[order]
-    reach = np.maximum.accumulate(end + (np.cumsum(np.concatenate([[0], np.diff(doc) != 0])) << 40)) & ((1 << 40) - 1)
-    new = np.ones(len(doc), bool)
-    new[1:] = (doc[1:] != doc[:-1]) | (at[1:] > reach[:-1])
-    at_new = np.flatnonzero(new)
-    stop = reach[np.append(at_new[1:] - 1, len(doc) - 1)]
-    zero = np.zeros(len(at_new), np.int64)
-    return _rows(zero + GONE, zero, zero, doc[new], at[new], stop - at[new])
+        for part in chunks(batch, limit=PIECE):
+            docs, hashes = part.column("doc").to_numpy(), part.column("r").to_numpy()
+            for row, offset, texts in pieces([b or b"" for b in part.column("text").to_pylist()], PIECE):
+                data = b"".join(texts)
+                ends = np.cumsum([len(t) for t in texts])
+                first, last, a, b = parse(np.frombuffer(data, np.uint8), ends)
+                if not len(first):
+                    continue
+                c = _signed([digest(data[x:y]) for x, y in zip(a.tolist(), b.tolist())])
+                w = _signed([digest(data[x:y]) for x, y in zip(first.tolist(), (last + K).tolist())])
+                of = np.searchsorted(ends, first, "right")
+                own = np.array(row)[of]
+                at = first - (ends[of] - np.diff(ends, prepend=0)[of]) + np.array(offset)[of]
+                doc, r, n = docs[own], hashes[own], last - first + 1
+                order, new, lead = _leads(c, w, doc, r, at)
+                c, w, doc, r, at, n = (x[order] for x in (c, w, doc, r, at, n))
+                repeats = np.diff(np.append(np.flatnonzero(new), len(c))) > 1
+                late = np.zeros(len(c), bool)
+                late[new] = memory.later(c[new], w[new], doc[new], r[new], at[new], repeats)
+                spread = np.zeros(len(c), bool) if large is None else np.isin(c, large)
+                for kind, sent in ((PROBE, new & ~late & ~spread), (SPREAD, new & ~late & spread)):
+                    if sent.any():
+                        yield _rows(kind, *(x[sent] for x in (c, w, doc, r, at, n)))
+                gone = late | (doc != doc[lead]) | (r != r[lead]) | (at != at[lead])
+                if gone.any():
+                    yield _marks(doc[gone], r[gone], at[gone], n[gone] + K - 1)
+
+
+def large_classes(rows: DataFrame, sample: int) -> np.ndarray:
+    """Classes with SEVERAL distinct phrases or more in a sample of about `sample` documents: no more than its phrases / SEVERAL."""
+    n = rows.count()
+    picked = rows if n <= sample else rows.filter(F.pmod(F.xxhash64(F.lit(5), *DOC), F.lit(1 << 30)) < int(sample / n * (1 << 30)))
+    found = picked.select(*DOC, "text").mapInArrow(phrases, _ROWS).filter(F.col("kind") == PROBE).select("c", "w").distinct()
+    return np.sort(found.groupBy("c").agg(F.count("*").alias("n")).filter(F.col("n") >= SEVERAL).select("c").toArrow().column("c").to_numpy())
 
 
 def dictionary(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """From PROBE rows by (c, w, doc, at): GONE for later occurrences of a phrase, ASKED for the first ones of classes
-    with several phrases. Holds a row between batches. GONE rows pass."""
-    names = ("c", "w", "doc", "at", "n")
-    last = lead = pending = None  # the row before; the first of its phrase; the first of its class, if not asked yet
+    """From PROBE and SPREAD rows by (kind, c, w, doc, r, at): GONE for later occurrences of a phrase; SPELT for the first one of a
+    SPREAD phrase, and ASKED for the first ones of classes with several PROBE phrases. Holds a row between batches. GONE rows
+    pass."""
+    last = None  # the first of the phrase of the row before, and whether it still has to be asked
     for batch in batches:
         kind = batch.column("kind").to_numpy()
         if (kind == GONE).any():
             yield batch.filter(pa.array(kind == GONE))
-        c, w, doc, at, n = (batch.column(x).to_numpy()[kind == PROBE] for x in names)
-        if not len(c):
+        rows = [batch.column(x).to_numpy()[kind != GONE] for x in ("kind", "c", "w", *PLACE, "n")]
+        if not len(rows[0]):
             continue
-        new_c, new_w = np.ones(len(c), bool), np.ones(len(c), bool)
-        new_c[1:] = c[1:] != c[:-1]
-        new_w[1:] = new_c[1:] | (w[1:] != w[:-1])
         if last is not None:
-            new_c[0] = c[0] != last[0]
-            new_w[0] = new_c[0] or w[0] != last[1]
-        begin = np.flatnonzero(new_w)
-        rank = np.cumsum(new_w) - 1
-        lead_doc, lead_at = (x[begin[rank]] if len(begin) else np.empty(len(c), np.int64) for x in (doc, at))
-        if lead is not None:
-            lead_doc[rank < 0], lead_at[rank < 0] = lead
-        gone = (doc != lead_doc) | (at != lead_at)
+            rows = [np.concatenate([[x], y]) for x, y in zip(last[0], rows)]
+        kind, c, w, doc, r, at, n = rows
+        new_class = np.ones(len(c), bool)
+        new_class[1:] = (np.diff(c) != 0) | (np.diff(kind) != 0)
+        new = new_class.copy()
+        new[1:] |= np.diff(w) != 0
+        begin = np.flatnonzero(new)
+        first = begin[np.cumsum(new) - 1]
+        gone = (doc != doc[first]) | (r != r[first]) | (at != at[first])
         if gone.any():
-            yield _marks(doc[gone], at[gone], n[gone] + K - 1)
-        head = new_c[begin]
-        asked = []
-        if len(begin):
-            if not head[0] and pending is not None:
-                asked.append(pending)
-                pending = None
-            k = np.flatnonzero(head)
-            followed = k[np.append(~head[1:], False)[k]]
-            rows = np.sort(np.concatenate([begin[followed], begin[~head]]))
-            asked += [(c[rows], doc[rows], at[rows], n[rows])]
-            if len(k):
-                i = begin[k[-1]]
-                pending = (c[i : i + 1], doc[i : i + 1], at[i : i + 1], n[i : i + 1]) if k[-1] == len(begin) - 1 else None
-            lead = (doc[begin[-1]], at[begin[-1]])
-        last = (c[-1], w[-1])
-        for ac, ad, aa, an in asked:
-            if len(ac):
-                yield _rows(np.full(len(ac), ASKED), ac, np.zeros(len(ac)), ad, aa, an)
+            yield _marks(doc[gone], r[gone], at[gone], n[gone] + K - 1)
+        follows = ~new_class[begin]  # another phrase of the class stands before
+        several = follows | np.append(follows[1:], False)
+        open_ = np.ones(len(begin), bool)
+        open_[0] = last is None or last[1]
+        spelt = open_ & (kind[begin] == SPREAD)
+        asked = open_ & (kind[begin] == PROBE) & several
+        for name, chosen in ((SPELT, spelt), (ASKED, asked)):
+            if chosen.any():
+                at_ = begin[chosen]
+                yield _rows(name, c[at_], None, doc[at_], r[at_], at[at_], n[at_])
+        end = begin[-1]
+        last = [x[end] for x in rows], bool(open_[-1] and not spelt[-1] and not asked[-1])
 
 
 def suffix_ranks(data: np.ndarray, depth: int = K) -> np.ndarray:
@@ -179,22 +252,23 @@ def suffix_ranks(data: np.ndarray, depth: int = K) -> np.ndarray:
     return rank[: len(data)]
 
 
-def later_strings(c: np.ndarray, doc: np.ndarray, at: np.ndarray, n: np.ndarray, texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
-    """(doc, start) of the strings that also start earlier in their class; phrases come by c, doc, at."""
+def later_strings(c, doc, r, at, n, texts: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(doc, r, start) of the strings that also start earlier in their class: those that are not the first of their suffix rank in
+    the order of the parse. Phrases come by c, doc, r, at."""
     rank = suffix_ranks(np.frombuffer(b"".join(texts), np.uint8))
     base = np.cumsum([0, *map(len, texts)])[:-1]
     within = np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
     group = np.repeat(np.cumsum(np.concatenate([[0], c[1:] != c[:-1]])), n)
     rank = rank[np.repeat(base, n) + within]
-    doc, start = np.repeat(doc, n), np.repeat(at, n) + within
+    doc, r, start = np.repeat(doc, n), np.repeat(r, n), np.repeat(at, n) + within
     key = group * (int(rank.max(initial=0)) + 1) + rank
     order = np.argsort(key, kind="stable")
     new = np.ones(len(key), bool)
     new[1:] = key[order][1:] != key[order][:-1]
     lead = np.empty(len(key), np.int64)
     lead[order] = order[new][np.cumsum(new) - 1]
-    gone = (doc != doc[lead]) | (start != start[lead])
-    return doc[gone], start[gone]
+    gone = (doc != doc[lead]) | (r != r[lead]) | (start != start[lead])
+    return doc[gone], r[gone], start[gone]
 
 
 def _classes(batches: Iterator[pa.RecordBatch], limit: int = 1 << 21) -> Iterator[tuple]:
@@ -203,7 +277,7 @@ def _classes(batches: Iterator[pa.RecordBatch], limit: int = 1 << 21) -> Iterato
     size = 0
 
     def columns(batch):
-        return (*(batch.column(x).to_numpy() for x in ("c", "doc", "at", "n")), batch.column("text").to_pylist())
+        return (*(batch.column(x).to_numpy() for x in ("c", *PLACE, "n")), batch.column("text").to_pylist())
 
     for batch in batches:
         if not batch.num_rows:
@@ -225,34 +299,53 @@ def _classes(batches: Iterator[pa.RecordBatch], limit: int = 1 << 21) -> Iterato
 
 
 def suffix_order(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for c, doc, at, n, texts in _classes(batches):
-        doc, start = later_strings(c, doc, at, n, texts)
+    for c, doc, r, at, n, texts in _classes(batches):
+        doc, r, start = later_strings(c, doc, r, at, n, texts)
         if len(doc):
-            yield _marks(doc, start, np.full(len(doc), K))
+            yield _marks(doc, r, start, np.full(len(doc), K))
+
+
+def _with_text(rows: pa.RecordBatch, texts: list | None = None) -> pa.RecordBatch:
+    return rows.append_column("text", pa.array([None] * rows.num_rows if texts is None else texts, pa.binary()))
+
+
+def _spelt(hot: list[tuple]) -> Iterator[pa.RecordBatch]:
+    """HOT rows of strings (h, doc, r, at), equal ones merged, and GONE for the others."""
+    h, *place = zip(*hot)
+    c, w = _signed([x >> 64 for x in h]), _signed([x & (1 << 64) - 1 for x in h])
+    doc, r, at = (np.array(x, np.int64) for x in place)
+    order, new, lead = _leads(c, w, doc, r, at)
+    c, w, doc, r, at = (x[order] for x in (c, w, doc, r, at))
+    yield _with_text(_rows(HOT, *(x[new] for x in (c, w, doc, r, at)), np.full(new.sum(), K)))
+    gone = (doc != doc[lead]) | (r != r[lead]) | (at != at[lead])
+    if gone.any():
+        yield _with_text(_marks(doc[gone], r[gone], at[gone], np.full(gone.sum(), K)))
 
 
 def ask_texts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Texts of the phrases that `asked` names; of those in hot classes, a row for each string with its hashes."""
+    """COLD rows with the texts of the phrases that `asked` names; of those in hot classes, a HOT row with its hashes for each
+    string of STRINGS, and GONE for its other occurrences."""
     import xxhash
 
+    digest, hot = xxhash.xxh3_128_intdigest, []
     for batch in batches:
-        for part in chunks(batch):
-            rows: list[tuple] = []
-            for text, doc, asked in zip(part.column("text").to_pylist(), part.column("doc").to_pylist(), part.column("asked").to_pylist()):
-                for r in asked:
-                    a, n = r["at"], r["n"]
-                    if r["hot"]:
-                        for i in range(a, a + n):
-                            h = xxhash.xxh3_128_intdigest(text[i : i + K])
-                            rows.append((True, h >> 64, h & (1 << 64) - 1, doc, i, 1, None))
+        for part in chunks(batch, limit=PIECE):
+            cold, texts = [], []
+            for text, doc, r, asked in zip(*(part.column(x).to_pylist() for x in ("text", *DOC, "asked"))):
+                for p in asked:
+                    a, n = p["at"], p["n"]
+                    if p["hot"]:
+                        hot += [(digest(text[i : i + K]), doc, r, i) for i in range(a, a + n)]
+                        if len(hot) >= STRINGS:
+                            yield from _spelt(hot)
+                            hot = []
                     else:
-                        rows.append((False, r["c"] & (1 << 64) - 1, 0, doc, a, n, text[a : a + n + K - 1]))
-            if rows:
-                hot, c, w, doc, at, n, text = zip(*rows)
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array(hot), pa.array(_signed(c)), pa.array(_signed(w)), pa.array(doc, pa.int64()), pa.array(at, pa.int64()), pa.array(n, pa.int32()), pa.array(text, pa.binary())],
-                    ["hot", "c", "w", "doc", "at", "n", "text"],
-                )
+                        cold.append((p["c"], 0, doc, r, a, n))
+                        texts.append(text[a : a + n + K - 1])
+            if cold:
+                yield _with_text(_rows(COLD, *(np.array(x, np.int64) for x in zip(*cold))), texts)
+    if hot:
+        yield from _spelt(hot)
 
 
 def cut_out(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -276,25 +369,28 @@ def cut_out(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             yield pa.RecordBatch.from_arrays([part.column("doc_id"), pa.array(sizes, pa.int64()), pa.array(spans, span), pa.array(kept, pa.binary())], ["doc_id", "n_bytes", "spans", "kept"])
 
 
-def remove_repeats(docs: DataFrame, most: int = 1000, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def remove_repeats(docs: DataFrame, most: int = 1000, sample: int = 4096, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """doc_id, n_bytes, spans (maximal runs of bytes that went) and kept (the bytes that are left) of every row."""
     bound_batches(docs.sparkSession)
-    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(id_col).cast("long"), F.lit(_NO_ID)).alias("doc"), F.col(text_col).cast("binary").alias("text"))
-    found = rows.select("doc", "text").mapInArrow(phrases, _ROWS)
-    # GONE rows have no class; they are spread by their place.
-    key = F.when(F.col("kind") == PROBE, F.col("c")).otherwise(F.xxhash64("doc", "at"))
-    found = stored(found.repartition(key).sortWithinPartitions("c", "w", "doc", "at").mapInArrow(dictionary, _ROWS))
-
-    asked = found.filter(F.col("kind") == ASKED).select("c", "doc", "at", "n")
-    hot = asked.groupBy("c").agg(F.count("*").alias("members")).filter(F.col("members") > most).select("c", F.lit(True).alias("hot"))
-    asked = asked.join(stored(hot), "c", "left").withColumn("hot", F.coalesce("hot", F.lit(False)))
-    asked = asked.groupBy("doc").agg(F.collect_list(F.struct("c", "at", "n", "hot")).alias("asked"))
-    texts = stored(rows.select("doc", "text").join(asked, "doc").mapInArrow(ask_texts, "hot boolean, c long, w long, doc long, at long, n int, text binary"))
-    cold = texts.filter(~F.col("hot")).select("c", "doc", "at", "n", "text").repartition("c").sortWithinPartitions("c", "doc", "at").mapInArrow(suffix_order, _ROWS)
-    strings = texts.filter("hot").select("c", "w", "doc", "at")
-    first = strings.groupBy("c", "w").agg(F.min(F.struct("doc", "at")).alias("first"))
-    again = strings.join(first, ["c", "w"]).filter(F.col("first") < F.struct("doc", "at"))
-
-    marks = found.filter(F.col("kind") == GONE).select("doc", "at", "n").unionByName(cold.select("doc", "at", "n")).unionByName(again.select("doc", "at", F.lit(K).alias("n")))
-    marks = marks.groupBy("doc").agg(F.collect_list(F.struct("at", "n")).alias("marks"))
-    return rows.join(marks, "doc", "left").select("doc_id", "text", "marks").mapInArrow(cut_out, "doc_id long, n_bytes long, spans array<struct<start:long,end:long>>, kept binary")
+    text = F.col(text_col).cast("binary")
+    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(id_col).cast("long"), F.lit(_NO_ID)).alias("doc"), F.xxhash64(text).alias("r"), text.alias("text"))
+    large = large_classes(rows, sample)
+    found = rows.select(*DOC, "text").mapInArrow(lambda batches: phrases(batches, large), _ROWS)
+    # GONE rows have no phrase; they are spread by their place.
+    key = F.when(F.col("kind") == PROBE, F.col("c")).when(F.col("kind") == SPREAD, F.xxhash64("c", "w")).otherwise(F.xxhash64(*PLACE))
+    found = stored(found.repartition(key).sortWithinPartitions("kind", "c", "w", *PLACE).mapInArrow(dictionary, _ROWS))
+
+    asked = found.filter(F.col("kind").isin(ASKED, SPELT))
+    members = found.filter(F.col("kind") == ASKED).groupBy("c").agg(F.count("*").alias("members")).filter(F.col("members") > most)
+    asked = asked.join(stored(members.select("c", F.lit(True).alias("many"))), "c", "left").withColumn("hot", F.col("many").isNotNull() | (F.col("kind") == SPELT))
+    asked = asked.groupBy(*DOC).agg(F.collect_list(F.struct("c", "at", "n", "hot")).alias("asked"))
+    texts = stored(rows.select(*DOC, "text").join(asked, DOC).mapInArrow(ask_texts, _TEXTS))
+    cold = texts.filter(F.col("kind") == COLD).select("c", *PLACE, "n", "text")
+    cold = cold.repartition(max(8, cold.count() // TASK_PHRASES), "c").sortWithinPartitions("c", *PLACE).mapInArrow(suffix_order, _ROWS)
+    strings = texts.filter(F.col("kind") == HOT).select("c", "w", *PLACE)
+    earliest = strings.groupBy("c", "w").agg(F.min(F.struct(*PLACE)).alias("first"))
+    again = strings.join(earliest, ["c", "w"]).filter(F.col("first") < F.struct(*PLACE))
+
+    marks = [df.filter(F.col("kind") == GONE).select(*PLACE, "n") for df in (found, texts, cold)] + [again.select(*PLACE, F.lit(K).cast("long").alias("n"))]
+    marks = reduce(DataFrame.unionByName, marks).groupBy(*DOC).agg(F.collect_list(F.struct("at", "n")).alias("marks"))
+    return rows.join(marks, DOC, "left").select("doc_id", "text", "marks").mapInArrow(cut_out, "doc_id long, n_bytes long, spans array<struct<start:long,end:long>>, kept binary")
