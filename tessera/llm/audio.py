@@ -1,17 +1,20 @@
 """Telephony audio columns.
 
-A payload of bytes is stored as 8-bit mu-law samples in a RIFF file: one byte is one sample, so the form is lossless.
-Read back, the samples are expanded by a lookup table (mu-law or A-law) or, taken as 4-bit ADPCM blocks, decoded by
-numpy with one step per sample position over all blocks at once, and the 8 kHz PCM is resampled by two with integer
-weights. All arithmetic is integer, so equal payloads give equal bytes.
-
-Null and empty texts are one block of padding. Very long texts are one file. Repeated rows stay. Extra columns are
-ignored.
+A payload of bytes is stored in a RIFF file of one of three telephony formats: 8-bit mu-law or A-law samples, or blocks of
+4-bit ADPCM. The bytes are the format's units, so the form is lossless. The payload's checksum deals out the formats, so
+equal payloads have equal files. Read back, samples are expanded by the law's lookup table, or ADPCM blocks are decoded by
+numpy with one step per sample position over all blocks at once; the 8 kHz PCM is resampled by two with integer
+weights and stored beside the file. The features are those of the resampled PCM, and the mean size of the payload read as
+ADPCM. All arithmetic is integer, so equal payloads give equal bytes.
+
+Null and empty texts are one block of padding. Very long texts are one file, decoded SLICE blocks at once. Ties and repeated
+rows: equal texts give equal values, all rows stay. An empty table gives no rows. Extra columns are ignored.
 """
 
 from __future__ import annotations
 
 import struct
+import zlib
 from collections.abc import Iterator
 
 import numpy as np
@@ -23,8 +26,10 @@ from tessera.llm._shared import chunks, doc_id_type, id_text
 
 RATE = 8000
 BLOCK = 576
+#: Blocks that are decoded at once.
+SLICE = 4096
 # Format tags of the RIFF container; step sizes and index moves of IMA ADPCM.
-MU_LAW, A_LAW = 7, 6
+MU_LAW, A_LAW, ADPCM = 7, 6, 17
 INDEX_MOVES = np.array([-1, -1, -1, -1, 2, 4, 6, 8], np.int32)
 STEPS = np.array([
     7, 8, 9, 10, 11, 12, 13, 14, 16, 17, 19, 21, 23, 25, 28, 31, 34, 37, 41, 45, 50, 55, 60, 66, 73, 80, 88, 97, 107,
@@ -53,11 +58,20 @@ def a_law_table() -> np.ndarray:
 TABLES = {MU_LAW: mu_law_table(), A_LAW: a_law_table()}
 
 
-def to_riff(samples: bytes, tag: int = MU_LAW, rate: int = RATE) -> bytes:
-    pad = b"\0" * (len(samples) & 1)
-    fmt = struct.pack("<4sIHHIIHHH", b"fmt ", 18, tag, 1, rate, rate, 1, 8, 0)
-    fact = struct.pack("<4sII", b"fact", 4, len(samples))
-    body = b"WAVE" + fmt + fact + struct.pack("<4sI", b"data", len(samples)) + samples + pad
+def format_of(payload: bytes, formats: tuple[int, ...] = (MU_LAW, A_LAW, ADPCM)) -> int:
+    return formats[zlib.crc32(payload) % len(formats)]
+
+
+def to_riff(data: bytes, tag: int = MU_LAW, rate: int = RATE, block: int = BLOCK) -> bytes:
+    """data: 8-bit samples, or whole ADPCM blocks."""
+    if tag == ADPCM:
+        n = 2 * (block - 4) + 1  # samples of a block
+        fmt = struct.pack("<4sIHHIIHHHH", b"fmt ", 20, tag, 1, rate, rate * block // n, block, 4, 2, n)
+        samples = len(data) // block * n
+    else:
+        fmt, samples = struct.pack("<4sIHHIIHHH", b"fmt ", 18, tag, 1, rate, rate, 1, 8, 0), len(data)
+    fact = struct.pack("<4sII", b"fact", 4, samples)
+    body = b"WAVE" + fmt + fact + struct.pack("<4sI", b"data", len(data)) + data + b"\0" * (len(data) & 1)
     return struct.pack("<4sI", b"RIFF", len(body)) + body
 
 
@@ -114,36 +128,58 @@ def payload_of(text: bytes | None, block: int = BLOCK) -> bytes:
     return text + b"\xff" * (-len(text) % block or (0 if text else block))
 
 
-def describe(pcm: np.ndarray, adpcm: np.ndarray) -> str:
-    """Peak, energy and zero crossings of the resampled PCM, and the mean size of the ADPCM reading."""
-    wide = pcm.astype(np.int64)
-    crossings = int(np.count_nonzero((wide[1:] < 0) != (wide[:-1] < 0)))
-    return f"peak={int(np.abs(wide).max(initial=0))};energy={int((wide * wide).sum())};crossings={crossings};adpcm={int(np.abs(adpcm.astype(np.int64)).sum()) // max(1, adpcm.size)}"
-
-
-def telephony(docs: DataFrame, block: int = BLOCK, keep_pcm: bool = True, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """doc_id, n_bytes, media (the stored file), payload (its sample bytes, read back), pcm (4 kHz, 16 bits; null unless
-    keep_pcm) and feature of every row."""
+def features(pcm: np.ndarray, size: int, n: int) -> str:
+    """Peak, energy and zero crossings of the resampled PCM, and the mean size of the n samples of the ADPCM reading."""
+    peak = energy = crossings = 0
+    for at in range(0, len(pcm), 1 << 20):
+        part = pcm[at : at + (1 << 20) + 1].astype(np.int64)
+        crossings += int(np.count_nonzero((part[1:] < 0) != (part[:-1] < 0)))
+        part = part[: 1 << 20]
+        peak, energy = max(peak, int(np.abs(part).max())), energy + int((part * part).sum())
+    return f"peak={peak};energy={energy};crossings={crossings};adpcm={size // max(1, n)}"
+
+
+def decoded(files: list[tuple[int, int, bytes]], block: int = BLOCK) -> Iterator[tuple[np.ndarray, int, int]]:
+    """Of each file its resampled PCM, and the sum and number of the absolute samples of its bytes read as ADPCM."""
+    blocks = np.frombuffer(b"".join(f[2] for f in files), np.uint8).reshape(-1, block)
+    sums, pcm, n = np.empty(len(blocks), np.int64), {}, 2 * (block - 4) + 1
+    ends = np.cumsum([len(f[2]) // block for f in files])
+    is_adpcm = np.repeat([f[0] == ADPCM for f in files], np.diff(ends, prepend=0))
+    for at in range(0, len(blocks), SLICE):
+        part = decode_adpcm(blocks[at : at + SLICE])
+        sums[at : at + SLICE] = np.abs(part.astype(np.int32)).sum(1)
+        pcm[at] = np.ascontiguousarray(part[is_adpcm[at : at + SLICE]])  # what an ADPCM file's PCM needs
+    wide = np.concatenate(list(pcm.values())) if pcm else np.empty((0, n), np.int16)
+    place = np.cumsum(is_adpcm) - is_adpcm
+    for (tag, _, data), begin, end in zip(files, np.concatenate([[0], ends]).tolist(), ends.tolist()):
+        if tag == ADPCM:
+            samples = wide[place[begin] : place[begin] + end - begin].reshape(-1)
+        else:
+            samples = TABLES[tag][np.frombuffer(data, np.uint8)]
+        yield resample_half(samples), int(sums[begin:end].sum()), (end - begin) * n
+
+
+def telephony(docs: DataFrame, block: int = BLOCK, formats: tuple[int, ...] = (MU_LAW, A_LAW, ADPCM), id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """doc_id, n_bytes, format (tag), media (the stored file), payload (its bytes, read back), pcm (4 kHz, 16 bits) and feature
+    of every row. formats are dealt out by the payload's checksum."""
 
     def store(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for part in chunks(batch):
-                media = [to_riff(payload_of(t, block)) for t in part.column("text").to_pylist()]
+                media = [to_riff(p, format_of(p, formats), block=block) for p in (payload_of(t, block) for t in part.column("text").to_pylist())]
                 size = pc.fill_null(pc.binary_length(part.column("text")), 0).cast(pa.int64())
-                read = [from_riff(m) for m in media]
-                payloads = [r[2] for r in read]
-                all_bytes = np.frombuffer(b"".join(payloads), np.uint8).reshape(-1, block)
-                adpcm = decode_adpcm(all_bytes)
-                ends = np.cumsum([len(p) // block for p in payloads]).tolist()
-                pcm = [resample_half(TABLES[tag][np.frombuffer(p, np.uint8)]) for tag, _, p in read]
-                feature = [describe(x, adpcm[a:b]) for x, a, b in zip(pcm, [0, *ends], ends)]
+                files = [from_riff(m) for m in media]
+                pcm, feature = [], []
+                for samples, total, n in decoded(files, block):
+                    feature.append(features(samples, total, n))
+                    pcm.append(samples.astype("<i2").tobytes())
                 yield pa.RecordBatch.from_arrays(
                     [
-                        part.column("doc_id"), size, pa.array(media, pa.binary()), pa.array(payloads, pa.binary()),
-                        pa.array([x.astype("<i2").tobytes() if keep_pcm else None for x in pcm], pa.binary()), pa.array(feature),
+                        part.column("doc_id"), size, pa.array([f[0] for f in files], pa.int32()), pa.array(media, pa.binary()),
+                        pa.array([f[2] for f in files], pa.binary()), pa.array(pcm, pa.binary()), pa.array(feature),
                     ],
-                    ["doc_id", "n_bytes", "media", "payload", "pcm", "feature"],
+                    ["doc_id", "n_bytes", "format", "media", "payload", "pcm", "feature"],
                 )
 
-    schema = f"doc_id {doc_id_type(docs, id_col)}, n_bytes long, media binary, payload binary, pcm binary, feature string"
+    schema = f"doc_id {doc_id_type(docs, id_col)}, n_bytes long, format int, media binary, payload binary, pcm binary, feature string"
     return id_text(docs, id_col, text_col).mapInArrow(store, schema)

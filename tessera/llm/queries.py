@@ -47,7 +47,7 @@ def op10_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op4_telephony_audio(spark: SparkSession, sf_dir: str) -> DataFrame:
-    out = audio.telephony(documents(spark, sf_dir), keep_pcm=False)
+    out = audio.telephony(documents(spark, sf_dir))
     return out.select(
         "doc_id",
         "n_bytes",
@@ -57,6 +57,9 @@ def op4_telephony_audio(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.length("media").cast("long").alias("media_bytes"),
         F.sha2("media", 256).alias("media_sha256"),
         "feature",
+        "format",
+        F.length("pcm").cast("long").alias("pcm_bytes"),
+        F.sha2("pcm", 256).alias("pcm_sha256"),
     )
 
 
