@@ -1,17 +1,19 @@
 """Language identification as inference over mixtures of languages.
 
 A document is a mixture of languages, each a distribution over n-grams (byte trigrams of the lower-cased text, with
-all that is no letter as a space). Expectation-maximisation estimates the languages' proportions. The set of languages is chosen by
-penalised likelihood: from all languages the smallest proportion is dropped as long as the likelihood, less a penalty
-for each language, doesn't fall. The largest proportion names the language.
+all that is no letter as a space). Expectation-maximisation estimates the languages' proportions, until no likelihood of a batch rises
+by more than TOLERANCE or for `rounds` rounds. The set of languages is chosen by penalised likelihood: every language alone, and
+from all languages down to two, where the one with the smallest proportion goes each time; the set with the highest likelihood, less a
+penalty for each language, is taken. The largest proportion names the language.
 
 The n-gram likelihoods are learned from a bounded sample of labelled documents, `per_language` of each language on
 average, chosen by a hash of the id; the n-grams are the `features` ones that tell languages apart best. The model's size
 is languages * features and does not grow with the input; every document is predicted from its whole text.
 
 Null texts and texts without letters: `und`, score 0. Texts with letters but no known n-gram: the most frequent
-language, with its share as score. No labelled document: `und` for all. Null ids are never learned from. Repeated rows stay. An empty
-table gives no rows. Very long texts are counted in one piece of their own. Extra columns are ignored.
+language, with its share as score. No labelled document: `und` for all. Null ids are never learned from. Ties go to the language
+whose code comes first; repeated rows stay and are predicted alike. An empty table gives no rows. Very long texts are counted in
+pieces of COUNTED_BYTES that share two bytes. Extra columns are ignored.
 """
 
 from __future__ import annotations
@@ -34,6 +36,8 @@ NOTHING, LETTERS, MIXTURE = "nothing", "letters", "mixture"
 WORTH = 1 / 3
 #: Bytes of text that are counted at once: what a text's counts take is many times its size.
 COUNTED_BYTES = 1 << 20
+#: Rises of a log-likelihood below this end the rounds; a set is given up if even this slack would not make it the best.
+TOLERANCE, SLACK = 0.01, 1.0
 
 
 @dataclass
@@ -45,6 +49,8 @@ class Model:
 
     def table(self) -> np.ndarray:
         """Feature number of each trigram code, from 1; 0: none."""
+        if len(self.codes) >= 1 << 16:
+            raise ValueError("a model has 65,535 n-grams at most")
         out = np.zeros(1 << 24, np.uint16)
         out[self.codes] = np.arange(1, len(self.codes) + 1)
         return out
@@ -62,16 +68,39 @@ def _letters() -> np.ndarray:
     return out
 
 
-def trigram_codes(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
-    """The codes of all trigrams of the texts, and where each text's end (two spaces part the texts)."""
-    raw = [t.lower().encode("utf-8", "replace") for t in texts]
-    data = _letters()[np.frombuffer(b"  ".join([b"", *raw, b""]), np.uint8)]
+def _codes(data: np.ndarray) -> np.ndarray:
     code = data[:-2].astype(np.uint32)
     code <<= 8
     code |= data[1:-1]
     code <<= 8
     code |= data[2:]
-    return code, np.cumsum([len(r) + 2 for r in raw])
+    return code
+
+
+def trigram_codes(texts: list[str]) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """The codes of all trigrams of the texts and the number of the text of each, in blocks of about COUNTED_BYTES; two spaces
+    part the texts, and stand around them."""
+    letters, held, size = _letters(), [], 0
+
+    def block() -> tuple[np.ndarray, np.ndarray]:
+        code = _codes(letters[np.frombuffer(b"  ".join([b"", *(raw for _, raw in held), b""]), np.uint8)])
+        return code, np.repeat([k for k, _ in held], [len(raw) + 2 for _, raw in held])
+
+    for k, text in enumerate(texts):
+        raw = text.lower().encode("utf-8", "replace")
+        if held and size + len(raw) > COUNTED_BYTES:
+            yield block()
+            held, size = [], 0
+        if len(raw) <= COUNTED_BYTES:
+            held.append((k, raw))
+            size += len(raw) + 2
+            continue
+        data = np.frombuffer(b"  " + raw + b"  ", np.uint8)
+        for at in range(0, len(data) - 2, COUNTED_BYTES):
+            code = _codes(letters[data[at : at + COUNTED_BYTES + 2]])
+            yield code, np.full(len(code), k)
+    if held:
+        yield block()
 
 
 def _texts(batch: pa.RecordBatch, column: str = "text") -> list[str]:
@@ -97,10 +126,9 @@ def train(docs: DataFrame, lang_col: str = "lang", text_col: str = "text", id_co
         for batch in batches:
             for part in chunks(batch, limit=COUNTED_BYTES):
                 lang = np.array([number[x] for x in part.column("lang").to_pylist()])
-                code, ends = trigram_codes(_texts(part))
-                of = lang[np.minimum(np.searchsorted(ends, np.arange(len(code)), "right"), len(lang) - 1)]
-                key, n = np.unique(of.astype(np.int64) << 24 | code, return_counts=True)
-                yield pa.RecordBatch.from_arrays([pa.array((key >> 24).astype(np.int32)), pa.array((key & 0xFFFFFF).astype(np.int32)), pa.array(n.astype(np.int64))], ["k", "code", "n"])
+                for code, of in trigram_codes(_texts(part)):
+                    key, n = np.unique(lang[of].astype(np.int64) << 24 | code, return_counts=True)
+                    yield pa.RecordBatch.from_arrays([pa.array((key >> 24).astype(np.int32)), pa.array((key & 0xFFFFFF).astype(np.int32)), pa.array(n.astype(np.int64))], ["k", "code", "n"])
 
     grams = sample.mapInArrow(count, "k int, code int, n long").filter(F.col("code") != 0x202020).groupBy("k", "code").agg(F.sum("n").alias("n"))
     by_code = grams.groupBy("code").agg(F.map_from_entries(F.collect_list(F.struct("k", "n"))).alias("by"), F.sum("n").alias("n"))
@@ -118,16 +146,17 @@ def train(docs: DataFrame, lang_col: str = "lang", text_col: str = "text", id_co
 
 
 def _em(c, p, doc, starts, theta, rounds):
-    """Proportions by document after some rounds, and the log-likelihood of the last proportions but one's mixture."""
-    like = None
-    for _ in range(rounds):
+    """Proportions by document, and their log-likelihood."""
+    like = np.full(len(starts), -np.inf)
+    for k in range(rounds + 1):
         r = theta[doc] * p
         s = np.maximum(r.sum(1), np.float32(1e-30))
+        before, like = like, np.add.reduceat(c * np.log(s), starts)
+        if k == rounds or not (like - before > TOLERANCE).any():
+            return theta, like
         r *= (c / s)[:, None]
         new = np.add.reduceat(r, starts, axis=0)
-        like = np.add.reduceat(c * np.log(s), starts)
         theta = new / np.maximum(new.sum(1, keepdims=True), 1e-30)
-    return theta, like
 
 
 def proportions(model: Model, doc: np.ndarray, feature: np.ndarray, n: np.ndarray, penalty: float, rounds: int) -> tuple[np.ndarray, np.ndarray]:
@@ -147,8 +176,8 @@ def proportions(model: Model, doc: np.ndarray, feature: np.ndarray, n: np.ndarra
     at = np.repeat(np.arange(len(docs)), lengths)
     p = np.exp(log_p)
     theta, like = _em(c, p, at, starts, np.full((len(docs), n_lang), 1 / n_lang, np.float32), rounds)
-    # No set of two or more is likelier than all languages, so the others are settled with one.
-    open_ = like - 2 * cost > score
+    # No set of two or more is likelier than all languages (but for what EM has not climbed yet), so the others are settled with one.
+    open_ = like - 2 * cost + SLACK > score
     active = np.ones((len(docs), n_lang), bool)
     size = n_lang
     while True:
@@ -182,21 +211,20 @@ def _identified(model: Model, table: np.ndarray, texts: list[str], penalty: floa
     basis = [LETTERS if has_letters(t) else NOTHING for t in texts]
     lang = [names[default] if b == LETTERS else UND for b in basis]
     score = [float(model.share[default]) if x != UND else 0.0 for x in lang]
-    code, ends = trigram_codes(texts)
-    feature = table[code]
-    hits = np.flatnonzero(feature)
-    doc = np.searchsorted(ends, hits, "right")
-    feature = feature[hits].astype(np.int64) - 1
-    cuts = np.searchsorted(doc, np.arange(0, len(texts) + block, block))
     keys, counts = [], []
-    for k, (a, b) in enumerate(zip(cuts, cuts[1:])):
-        if b > a:
-            n = np.bincount((doc[a:b] - k * block) * n_feat + feature[a:b])
+    for code, of in trigram_codes(texts):
+        feature = table[code]
+        hits = np.flatnonzero(feature)
+        feature, doc = feature[hits].astype(np.int64) - 1, of[hits]
+        for first in np.unique(doc // block).tolist():
+            a, b = np.searchsorted(doc, [first * block, (first + 1) * block])
+            n = np.bincount((doc[a:b] - first * block) * n_feat + feature[a:b])
             at = np.flatnonzero(n)
-            keys.append(at + k * block * n_feat)
+            keys.append(at + first * block * n_feat)
             counts.append(n[at])
     if keys:
-        key, n = np.concatenate(keys), np.concatenate(counts)
+        key, own = np.unique(np.concatenate(keys), return_inverse=True)  # a long text's pieces come together
+        n = np.bincount(own, weights=np.concatenate(counts))
         docs, theta = proportions(model, key // n_feat, key % n_feat, n, penalty, rounds)
         best = theta.argmax(1)
         for d, k, s in zip(docs.tolist(), best.tolist(), theta[np.arange(len(docs)), best].tolist()):
@@ -205,7 +233,7 @@ def _identified(model: Model, table: np.ndarray, texts: list[str], penalty: floa
     return lang, score, basis
 
 
-def identify(docs: DataFrame, model: Model | None, penalty: float = 6.0, rounds: int = 10, text_col: str = "text", basis_col: str | None = None) -> DataFrame:
+def identify(docs: DataFrame, model: Model | None, penalty: float = 6.0, rounds: int = 20, text_col: str = "text", basis_col: str | None = None) -> DataFrame:
     """All columns of docs, with lang_pred and score (in place of columns of that name), and in basis_col, if given, what
     they rest on: NOTHING (no letters), LETTERS (but no model or no known n-gram) or MIXTURE."""
     bound_batches(docs.sparkSession)
