@@ -2,7 +2,8 @@
 
 A round lets every node tell its larger neighbours, then its smaller ones, of the smallest node that it knows; the
 number of rounds grows with the logarithm of a component's size. Each round is a table in the shared folder. Minima are
-pre-aggregated, and the joins that hand them out can be split where a node has very many neighbours.
+pre-aggregated, and the joins that hand them out can be split by the adaptive skew join where a node has very many neighbours. A table
+goes when the next round has been written.
 """
 
 from __future__ import annotations

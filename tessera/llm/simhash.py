@@ -1,7 +1,8 @@
 """SimHash near-duplicates by pivot distance tables.
 
-Distinct fingerprints meet where two of five bit blocks agree, which any two within three bits do. In every meeting
-the table of distances to PIVOTS reference fingerprints discards pairs whose distances to some reference differ by more than three (the triangle
+Distinct fingerprints meet where two of five bit blocks agree, which any two within three bits do. For every meeting
+the table of distances to PIVOTS reference fingerprints is computed. The order by the first column makes the pairs: only those within
+three there are ever formed; then pairs whose distances to some other reference differ by more than three are discarded (the triangle
 inequality: none of them can link), one reference after another, and the survivors are verified. A meeting reports links
 that span its groups, not all pairs; meetings of more than `most` fingerprints are dealt out by pairs of chunks, so no
 task holds more than two chunks of one. Components of the links, with the fingerprint as node, give the classes.
@@ -80,24 +81,38 @@ def fingerprints(docs: DataFrame, width: int = 3, id_col: str = "doc_id", text_c
     return id_text(docs, id_col, text_col).mapInArrow(hashed, f"doc_id {doc_id_type(docs, id_col)}, fp long")
 
 
-def spanning_links(group: np.ndarray, fp: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Links (fingerprint, root) that span the linked fingerprints of each group; group is sorted."""
+def spanning_links(group: np.ndarray, fp: np.ndarray, seen: dict | None = None) -> tuple[np.ndarray, np.ndarray]:
+    """Links (fingerprint, root) that span the linked fingerprints of each group.
+
+    A group stands in the order of its distances to the first reference, and only rows within RADIUS of each other there become
+    pairs; the other references' columns discard pairs one after another. seen: is given the pairs of all groups, of the windows, after
+    the table, and the links."""
     refs = references()
     table = np.bitwise_count(fp[:, None] ^ refs[None, :]).astype(np.int8)
+    order = np.lexsort((table[:, 0], group))
+    group, fp, table = group[order], fp[order], table[order]
     n = len(fp)
     root = np.arange(n)
-    size_from = np.searchsorted(group, group, "right") - np.arange(n)  # rows of the group from here on
-    left = np.flatnonzero(size_from > 1)
+    begin = np.flatnonzero(np.concatenate([[True], group[1:] != group[:-1]]))
+    number = np.repeat(np.arange(len(begin)), np.diff(np.append(begin, n)))
+    key = number * 1024 + table[:, 0]
+    reach = np.searchsorted(key, key + RADIUS, "right") - np.arange(n)  # rows of the window from here on
+    counts = dict.fromkeys(("pairs", "near", "left", "links"), 0)
+    size = np.diff(np.append(begin, n))
+    counts["pairs"], counts["near"] = int((size * (size - 1) // 2).sum()), int((reach - 1).sum())
+    left = np.flatnonzero(reach > 1)
     step = 1
     while len(left):
         i, j = left, left + step
         ok = root[i] != root[j]
         i, j = i[ok], j[ok]
-        for p in range(PIVOTS):
+        for p in range(1, PIVOTS):
             ok = np.abs(table[i, p] - table[j, p]) <= RADIUS
             i, j = i[ok], j[ok]
+        counts["left"] += len(i)
         ok = np.bitwise_count(fp[i] ^ fp[j]) <= RADIUS
         i, j = i[ok], j[ok]
+        counts["links"] += len(i)
         while len(i):
             a, b = root[i], root[j]
             np.minimum.at(root, np.maximum(a, b), np.minimum(a, b))
@@ -109,7 +124,9 @@ def spanning_links(group: np.ndarray, fp: np.ndarray) -> tuple[np.ndarray, np.nd
             ok = root[i] != root[j]
             i, j = i[ok], j[ok]
         step += 1
-        left = left[size_from[left] > step]
+        left = left[reach[left] > step]
+    if seen is not None:
+        seen.update(counts)
     child = np.flatnonzero(root != np.arange(n))
     return fp[child], fp[root[child]]
 
