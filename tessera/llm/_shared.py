@@ -2,8 +2,9 @@
 
 from __future__ import annotations
 
+import re
 import uuid
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -16,32 +17,58 @@ CHUNK_BYTES = 4 << 20
 
 
 def work_dir(spark: SparkSession) -> str:
-    """The shared folder of the cluster; where none is set, a folder of the (shared) warehouse."""
+    """The folder in spark.checkpoint.dir. Where none is set, a folder of the warehouse if all runs on this machine; a cluster must set one."""
     at = spark.conf.get("spark.checkpoint.dir", None)
     if at:
         return at.rstrip("/")
+    if not re.fullmatch(r"local(\[[^\]]*\])?", spark.sparkContext.master):
+        raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
     return spark.conf.get("spark.sql.warehouse.dir").rstrip("/") + "/_work"
 
 
+#: Paths of the tables that stored() made and that were not dropped.
+_made: list[str] = []
+
+
 def stored(df: DataFrame) -> DataFrame:
     """df as a table in the shared folder, read back: the lineage is cut, the planner knows its size,
     and a lost executor loses nothing."""
     spark = df.sparkSession
     path = f"{work_dir(spark)}/tessera-{spark.sparkContext.applicationId}/{uuid.uuid4().hex}"
+    _made.append(path)
     df.write.parquet(path)
     out = spark.read.schema(df.schema).parquet(path)
     out._tessera_path = path
     return out
 
 
+def _delete(spark: SparkSession, path: str) -> None:
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    at.getFileSystem(spark._jsc.hadoopConfiguration()).delete(at, True)
+
+
 def drop_stored(*tables: DataFrame) -> None:
     """Deletes tables made by stored() that no later plan reads."""
     for df in tables:
         path = getattr(df, "_tessera_path", None)
-        if path:
-            jvm, conf = df.sparkSession._jvm, df.sparkSession._jsc.hadoopConfiguration()
-            p = jvm.org.apache.hadoop.fs.Path(path)
-            p.getFileSystem(conf).delete(p, True)
+        if path in _made:
+            _made.remove(path)
+            _delete(df.sparkSession, path)
+
+
+def finished(spark: SparkSession, build: Callable[[], DataFrame], *read: DataFrame) -> DataFrame:
+    """build() as a stored table, without the tables that were stored on the way, nor those that it read. If it fails, what was stored on the
+    way goes too. One thread at a time."""
+    before, out = set(_made), None
+    try:
+        out = stored(build())
+        return out
+    finally:
+        for path in [p for p in _made if p not in before and p != getattr(out, "_tessera_path", None)]:
+            _made.remove(path)
+            _delete(spark, path)
+        if out is not None:
+            drop_stored(*read)
 
 
 def bound_batches(spark: SparkSession) -> None:
@@ -54,8 +81,8 @@ def bound_batches(spark: SparkSession) -> None:
 
 def release(spark: SparkSession) -> None:
     """Deletes all tables that stored() made in this application; results that were not written are lost."""
-    path = spark._jvm.org.apache.hadoop.fs.Path(f"{work_dir(spark)}/tessera-{spark.sparkContext.applicationId}")
-    path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+    _made.clear()
+    _delete(spark, f"{work_dir(spark)}/tessera-{spark.sparkContext.applicationId}")
 
 
 def id_text(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", *more: Column) -> DataFrame:

@@ -7,8 +7,12 @@ none at the few sites where the band is widest). Lines on `min_sites` sites or m
 occurrences go, but for the first one (smallest document, then first place), so that no text is lost to its copies.
 
 Hashes have 128 bits. Null text: no lines, stays null. Null site: no site. Null document: ordered first. Rows that
-repeat lose the same lines. A text that loses all lines is empty. An empty table gives no rows. Other columns are kept;
-n_lines and n_removed are added in place of columns of that name.
+repeat lose the same lines. A text that loses all lines is empty. Ties for the first occurrence: rows that repeat share it. Very long
+texts are split into lines and joined again in one row. An empty table gives no rows. Other columns are kept; n_lines and n_removed are added
+in place of columns of that name.
+
+A line's occurrences are counted by pre-aggregation; the join that marks them broadcasts the boilerplate, or, where that is too large,
+is split by the adaptive skew join, which an inner join of a hot line with its one row allows.
 """
 
 from __future__ import annotations

@@ -1,7 +1,8 @@
 """Mixing sources to target weights by a multivariate-hypergeometric splitting tree; DataFrame operations only.
 
-Every source's documents fall into blocks by hash, at most MOST_BLOCKS of them, so that what follows is small however
-large a source is. A source whose target is f times its size gives floor(f) whole passes over its blocks and a last
+Every source's documents fall into blocks by hash, at most `most_blocks` of them, so that what follows is small however
+large a source is; a shard is at least `shard_blocks` blocks, and there are 2**most_levels shards at most. Both bounds are parameters:
+raise them for sources beyond most_blocks * block_words words, where blocks grow instead. A source whose target is f times its size gives floor(f) whole passes over its blocks and a last
 pass over the first blocks of a permutation, up to the target; the block in which the target falls gives its documents
 in hashed order, the last one in part. The numbers of blocks drawn, one per source, are then split among the output shards:
 a node of the tree passes a multivariate-hypergeometric share of its vector to its left child, half of its blocks in
@@ -13,7 +14,9 @@ logarithms of its probabilities plus hashed Gumbel noise, in one pass over its r
 the seed, so reruns agree.
 
 Null source: a source of its own, the last one. Null text: no words. Texts without words are never taken. Rows that repeat
-count each. An empty table gives no rows. Columns of any name are kept in `row`.
+count each. Ties in a hash are ordered by id and size. Very long texts are documents like others: one block holds them, and the last one
+taken may be taken in part. The sources themselves, a row each, are ordered in one task: they are few. An empty table gives no rows.
+Columns of any name are kept in `row`.
 """
 
 from __future__ import annotations
@@ -27,8 +30,6 @@ from pyspark.sql import functions as F
 from tessera.llm._shared import stored
 
 WORDS = r"[^\x20\x09-\x0D]+"
-MOST_BLOCKS = 65_536
-
 
 def words_in(text: Column) -> Column:
     return F.coalesce(F.regexp_count(text, F.lit(WORDS)), F.lit(0)).cast("long")
@@ -93,12 +94,12 @@ def block_of(doc_id: Column, size: Column, n_blocks: Column, seed: int) -> Colum
     return F.pmod(F.xxhash64(F.lit(seed), doc_id, size), n_blocks)
 
 
-def make_plan(thin: DataFrame, block_words: int = 16_384, shard_blocks: int = 64, seed: int = 1) -> Plan:
+def make_plan(thin: DataFrame, block_words: int = 16_384, shard_blocks: int = 64, seed: int = 1, most_blocks: int = 65_536, most_levels: int = 12) -> Plan:
     """What each block gives, and to which shards; thin: doc_id, source, size."""
     sources = targets(thin.groupBy("source").agg(F.sum("size").alias("source_size")))
     want = F.round("target").cast("long")
     passes = F.when(F.col("source_size") > 0, F.floor(want / F.col("source_size"))).otherwise(F.lit(0)).cast("long")
-    n_blocks = F.least(F.lit(MOST_BLOCKS), F.greatest(F.lit(1), F.ceil(F.col("source_size") / block_words))).cast("long")
+    n_blocks = F.least(F.lit(most_blocks), F.greatest(F.lit(1), F.ceil(F.col("source_size") / block_words))).cast("long")
     sources = stored(sources.withColumn("passes", passes).withColumn("rest", want - passes * F.col("source_size")).withColumn("n_blocks", n_blocks))
 
     placed = thin.join(sources.select("source", "ix", "n_blocks"), thin["source"].eqNullSafe(sources["source"])).select("ix", block_of(F.col("doc_id"), F.col("size"), F.col("n_blocks"), seed).alias("block"), "size")
@@ -112,7 +113,7 @@ def make_plan(thin: DataFrame, block_words: int = 16_384, shard_blocks: int = 64
     draws = blocks.select("ix", "block", "passes", F.explode(in_pass).alias("pass")).withColumn("perm", F.xxhash64(F.lit(seed), name, "ix", "block"))
     draws = stored(draws.withColumn("j", F.row_number().over(Window.partitionBy("ix").orderBy("pass", "perm", "block"))).select("ix", "block", "pass", "j"))
     n = draws.count()
-    levels = min(12, max(0, math.floor(math.log2(n / shard_blocks)))) if n else 0
+    levels = min(most_levels, max(0, math.floor(math.log2(n / shard_blocks)))) if n else 0
 
     per_source = draws.groupBy("ix").agg(F.count("*").alias("n"))
     row = per_source.agg(F.array_sort(F.collect_list(F.struct("ix", "n"))).alias("by"))

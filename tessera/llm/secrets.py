@@ -7,12 +7,12 @@ searched with the regex. Rules without mandatory trigrams scan every text of the
 nothing is shuffled and no posting list grows with the corpus.
 
 The index folds A-Z; matches are verified on the text as it is, so the query never loses a match.
-Null and empty texts have no spans. Repeated rows stay. Extra columns are ignored.
+Null and empty texts have no spans. Spans that tie in their start are ordered by the listing of their kinds; repeated rows stay. A very long
+text is a segment of its own. An empty table gives no rows. Extra columns are ignored.
 """
 
 from __future__ import annotations
 
-import hashlib
 import re
 from collections.abc import Iterator
 from dataclasses import dataclass
@@ -240,10 +240,3 @@ def secret_spans(docs: DataFrame, rules: tuple[Rule, ...] = RULES, id_col: str =
 
     return id_text(docs, id_col, text_col).mapInArrow(scan, f"doc_id {doc_id_type(docs, id_col)}, spans array<struct<start:long,kind:int,end:long>>")
 
-
-def span_text(spans: list[tuple[int, int, int]], rules: tuple[Rule, ...] = RULES) -> str:
-    return ",".join(f"{rules[k].kind}:{a}:{b}" for a, k, b in spans)
-
-
-def span_digest(spans: list[tuple[int, int, int]], rules: tuple[Rule, ...] = RULES) -> str:
-    return hashlib.sha256(span_text([s for s in spans if rules[s[1]].base], rules).encode()).hexdigest()
