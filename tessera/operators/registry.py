@@ -2,10 +2,14 @@
 
 from __future__ import annotations
 
+import contextlib
+import os
+import time
 import uuid
+from collections.abc import Callable, Iterator
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tessera.functions.expr import col, ratio
@@ -31,25 +35,88 @@ def status(complete: Column, metrics: Column, age: Column, limit) -> Column:
     return F.when(complete & metrics, "completed").when(complete, "missing metrics").when(age > limit, "stale").otherwise("incomplete")
 
 
-def upsert(existing: DataFrame, current: DataFrame, keys: list[str], first_seen: str = "first_seen") -> DataFrame:
-    """Current rows replace those of their key but keep the earlier first_seen; rows of other keys stay. Columns that a side lacks are NULL.
-    Upserting twice changes nothing."""
-    old = existing.select(*keys, F.col(first_seen).alias("_first"))
-    fresh = current.join(old, keys, "left").withColumn(first_seen, F.coalesce(F.least("_first", first_seen), "_first", first_seen)).drop("_first")
-    return existing.join(current.select(*keys), keys, "left_anti").unionByName(fresh, allowMissingColumns=True)
-
-
-def replace_table(df: DataFrame, path: str) -> str:
-    """Writes a new version beside the old ones and then names it current; readers never see a part. Returns the version's path.
-    The name is a one-row table itself; callers serialise writers."""
-    version = f"{path}/version-{uuid.uuid4().hex}"
+def upsert(existing: DataFrame, current: DataFrame, keys: list[str], run: str | None = None, first_seen: str = "first_seen") -> DataFrame:
+    """Current rows replace those of their key but keep the earlier first_seen; rows of other keys stay. With `run`, current holds
+    all rows of the runs that it names: every old row of these runs goes, and runs that it doesn't name stay. NULL keys
+    equal NULL keys. Columns that a side lacks are NULL. Upserting twice changes nothing."""
+    known = existing.groupBy(*(F.col(k).alias(f"_key_{k}") for k in keys)).agg(F.min(first_seen).alias("_first"))
+    fresh = current.join(known, reduce(lambda a, b: a & b, (current[k].eqNullSafe(known[f"_key_{k}"]) for k in keys)), "left")
+    fresh = fresh.withColumn(first_seen, F.coalesce(F.least("_first", first_seen), "_first", first_seen)).select(current.columns)
+    by = [run] if run else keys
+    renewed = current.select(*(F.col(k).alias(f"_new_{k}") for k in by)).distinct()
+    kept = existing.join(renewed, reduce(lambda a, b: a & b, (existing[k].eqNullSafe(renewed[f"_new_{k}"]) for k in by)), "left_anti")
+    return kept.unionByName(fresh, allowMissingColumns=True)
+
+
+def _files(spark: SparkSession, path: str):
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return at.getFileSystem(spark._jsc.hadoopConfiguration()), at
+
+
+def _versions(spark: SparkSession, path: str) -> list[tuple[int, str]]:
+    """Number and path of the versions that were written to their end. Trouble with the folder is raised."""
+    fs, at = _files(spark, f"{path}/version-*/_SUCCESS")
+    return sorted((int(f.getPath().getParent().getName().split("-")[1]), f.getPath().getParent().toString()) for f in fs.globStatus(at) or [])
+
+
+def _create(fs, at) -> bool:
+    """Makes a file unless it is there; whether it was made. Stores create atomically, but Hadoop's local files don't."""
+    if fs.getScheme() == "file":
+        try:
+            os.close(os.open(at.toUri().getPath(), os.O_CREAT | os.O_EXCL))
+            return True
+        except FileExistsError:
+            return False
+    try:
+        fs.create(at, False).close()
+        return True
+    except Exception as e:
+        if "AlreadyExists" not in str(e) and "AlreadyBeingCreated" not in str(e):
+            raise
+        return False
+
+
+@contextlib.contextmanager
+def locked(spark: SparkSession, path: str, wait: float = 60.0) -> Iterator[None]:
+    """Holds the table's lock file, so that writers follow one another. A lock that does not come free in `wait` seconds raises; one
+    that a dead writer left is removed by hand."""
+    fs, at = _files(spark, f"{path}/_lock")
+    fs.mkdirs(at.getParent())
+    until = time.monotonic() + wait
+    while not _create(fs, at):
+        if time.monotonic() > until:
+            raise TimeoutError(f"{path} is locked")
+        time.sleep(0.05)
+    try:
+        yield
+    finally:
+        fs.delete(at, False)
+
+
+def replace_table(df: DataFrame, path: str, keep: int = 2) -> str:
+    """Writes a new version, numbered after the last one, beside the old ones, and returns its path. A version counts when it is complete, so a
+    writer that fails leaves the table as it was and readers never see a part. All but the last `keep` versions are
+    deleted. Callers hold the lock."""
+    spark = df.sparkSession
+    before = _versions(spark, path)
+    version = f"{path}/version-{before[-1][0] + 1 if before else 0:012d}-{uuid.uuid4().hex}"
     df.write.parquet(version)
-    df.sparkSession.createDataFrame([(version,)], "value string").coalesce(1).write.mode("overwrite").text(f"{path}/current")
+    for _, old in before[: max(0, len(before) + 1 - keep)]:
+        fs, at = _files(spark, old)
+        fs.delete(at, True)
     return version
 
 
-def read_table(spark, path: str) -> DataFrame:
-    return spark.read.parquet(spark.read.text(f"{path}/current").first()["value"])
+def read_table(spark: SparkSession, path: str) -> DataFrame | None:
+    """The last complete version; None if there is none yet."""
+    found = _versions(spark, path)
+    return spark.read.parquet(found[-1][1]) if found else None
+
+
+def update_table(spark: SparkSession, path: str, change: Callable[[DataFrame | None], DataFrame]) -> str:
+    """Read, change and replace under the lock."""
+    with locked(spark, path):
+        return replace_table(change(read_table(spark, path)), path)
 
 
 def merge_sources(tables: dict[str, DataFrame], keys: list[str], value: str, check: bool = True) -> DataFrame:

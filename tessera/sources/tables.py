@@ -3,9 +3,11 @@
 from __future__ import annotations
 
 import contextlib
+import hashlib
 import json
 import os
 import tempfile
+from collections.abc import Callable
 from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
@@ -68,15 +70,15 @@ def canonical_json(entries) -> "F.Column":
     return F.to_json(F.map_from_entries(F.array_sort(F.map_entries(entries))))
 
 
-def cached(spark: SparkSession, path: str, settings: dict, build) -> DataFrame:
-    """The table at path if it was written with these settings, else build() written there. The settings are a table beside it."""
+def cached(spark: SparkSession, path: str, settings: dict, build: Callable[[], DataFrame]) -> DataFrame:
+    """The table that was written for these settings, else build() written there. Each settings have a folder of their own, named by
+    their hash; it counts when it is complete, so a build that fails is done again and leaves those of other settings alone."""
     text = json.dumps(settings, sort_keys=True, separators=(",", ":"))
-    with contextlib.suppress(Exception):
-        if spark.read.text(f"{path}/settings").first()["value"] == text:
-            return spark.read.parquet(f"{path}/data")
-    build().write.mode("overwrite").parquet(f"{path}/data")
-    spark.createDataFrame([(text,)], "value string").coalesce(1).write.mode("overwrite").text(f"{path}/settings")
-    return spark.read.parquet(f"{path}/data")
+    folder = f"{path}/{hashlib.sha256(text.encode()).hexdigest()}"
+    done = spark._jvm.org.apache.hadoop.fs.Path(f"{folder}/_SUCCESS")
+    if not done.getFileSystem(spark._jsc.hadoopConfiguration()).exists(done):
+        build().write.mode("overwrite").parquet(folder)
+    return spark.read.parquet(folder)
 
 
 def load_config(path: str, overrides: dict | None = None) -> dict:
@@ -101,14 +103,14 @@ def write_sorted_csv(df: DataFrame, path: str, by: list[str]) -> None:
     df.orderBy(*(F.col(c).asc_nulls_last() for c in by)).write.mode("overwrite").option("header", True).csv(path)
 
 
-def write_json_atomic(value, path: str) -> None:
-    """Driver-side JSON that is never seen half written."""
+def write_atomic(data: bytes, path: str) -> None:
+    """A driver-side file that is never seen half written."""
     folder = os.path.dirname(os.path.abspath(path))
     os.makedirs(folder, exist_ok=True)
     fd, name = tempfile.mkstemp(dir=folder, suffix=".part")
     try:
-        with os.fdopen(fd, "w") as f:
-            json.dump(value, f, sort_keys=True, indent=1)
+        with os.fdopen(fd, "wb") as f:
+            f.write(data)
         os.replace(name, path)
     except BaseException:
         with contextlib.suppress(FileNotFoundError):
@@ -116,6 +118,10 @@ def write_json_atomic(value, path: str) -> None:
         raise
 
 
+def write_json_atomic(value, path: str) -> None:
+    write_atomic(json.dumps(value, sort_keys=True, indent=1).encode(), path)
+
+
 def append_events(df: DataFrame, path: str) -> None:
     """Adds rows to a JSON-lines log."""
     df.write.mode("append").json(path)

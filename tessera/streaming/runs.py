@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
@@ -10,23 +10,22 @@ from tessera.operators import registry
 
 
 def latest(batch: DataFrame, keys: list[str], order: str) -> DataFrame:
-    """The last record of each key in a batch, with the batch's first time as first_seen."""
-    w = Window.partitionBy(*keys)
-    rows = batch.withColumn("first_seen", F.min(order).over(w)).withColumn("_i", F.row_number().over(w.orderBy(F.desc(order))))
-    return rows.filter(F.col("_i") == 1).drop("_i")
+    """The last record of each key in a batch, with the batch's first time as first_seen; pre-aggregated."""
+    rest = [c for c in batch.columns if c not in (*keys, "first_seen")]
+    g = batch.groupBy(*keys).agg(F.max(F.struct(order, *(c for c in rest if c != order))).alias("_last"), F.min(order).alias("first_seen"))
+    return g.select(*keys, *(F.col(f"_last.{c}").alias(c) for c in rest), "first_seen")
 
 
-def watch_runs(spark: SparkSession, source: str, schema: str, table: str, checkpoint: str, keys: list[str], order: str = "refreshed", once: bool = True) -> StreamingQuery:
-    """Reads JSON run records that arrive below `source` and upserts them into the versioned table. A batch that is repeated after a failure
-    changes nothing, since upserts are idempotent."""
+def watch_runs(
+    spark: SparkSession, source: str, schema: str, table: str, checkpoint: str, keys: list[str], order: str = "refreshed", run: str | None = None, once: bool = True,
+) -> StreamingQuery:
+    """Reads JSON run records that arrive below `source` and upserts them into the versioned table, by key or, if a batch always holds
+    all records of a run, by `run`. A batch that is repeated after a failure changes nothing, since upserts are idempotent; a
+    registry that cannot be read fails the batch and stays as it is."""
 
     def apply(batch: DataFrame, batch_id: int) -> None:
         current = latest(batch, keys, order)
-        try:
-            existing = registry.read_table(batch.sparkSession, table)
-        except Exception:  # noqa: BLE001  the first batch
-            existing = current.limit(0)
-        registry.replace_table(registry.upsert(existing, current, keys), table)
+        registry.update_table(batch.sparkSession, table, lambda old: current if old is None else registry.upsert(old, current, keys, run))
 
     stream = spark.readStream.schema(schema).json(source)
     writer = stream.writeStream.foreachBatch(apply).option("checkpointLocation", checkpoint)

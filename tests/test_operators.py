@@ -217,10 +217,49 @@ def test_older_tables_are_padded(spark):
     assert {(r.run, r.score) for r in registry.upsert(old, new, ["run"]).collect()} == {("r1", None), ("r2", 0.5)}
 
 
+def test_upsert_by_run_drops_endpoints_that_are_gone(spark):
+    schema = "run string, endpoint string, first_seen int, score double"
+    old = spark.createDataFrame([("r1", None, 1, 0.65), ("r1", "gone", 1, 0.7), ("r9", None, 1, 0.9), (None, "a", 2, 0.1), (None, "b", 2, 0.2)], schema)
+    new = spark.createDataFrame([("r1", None, 5, 0.6), ("r1", "new", 5, 0.5), (None, "a", 6, 0.3)], schema)
+    once = registry.upsert(old, new, ["run", "endpoint"], "run")
+    want = {("r1", None, 1, 0.6), ("r1", "new", 5, 0.5), ("r9", None, 1, 0.9), (None, "a", 2, 0.3)}
+    assert {tuple(r) for r in once.collect()} == want and once.count() == 4
+    assert {tuple(r) for r in registry.upsert(once, new, ["run", "endpoint"], "run").collect()} == want
+    by_key = registry.upsert(old, new, ["run", "endpoint"])
+    assert {tuple(r) for r in by_key.collect()} == want | {("r1", "gone", 1, 0.7), (None, "b", 2, 0.2)} and by_key.count() == 6
+
+
 def test_versioned_table(spark, tmp_path):
-    for n in (3, 5):
-        registry.replace_table(spark.range(n), str(tmp_path))
-    assert registry.read_table(spark, str(tmp_path)).count() == 5
+    path = str(tmp_path / "t")
+    assert registry.read_table(spark, path) is None
+    for n in (3, 5, 7):
+        registry.replace_table(spark.range(n), path)
+    assert registry.read_table(spark, path).count() == 7 and len(list((tmp_path / "t").glob("version-*"))) == 2
+
+
+def test_failed_writes_and_reads_leave_the_table(spark, tmp_path):
+    path = str(tmp_path / "t")
+    registry.replace_table(spark.range(5), path)
+    with pytest.raises(Exception, match="no luck"):
+        registry.update_table(spark, path, lambda old: old.withColumn("x", F.raise_error(F.lit("no luck")).cast("int")))
+    assert registry.read_table(spark, path).count() == 5
+    for part in (tmp_path / "t").glob("version-0*/part-*"):
+        part.write_bytes(b"not a table")
+    with pytest.raises(Exception):
+        registry.update_table(spark, path, lambda old: spark.range(1) if old is None else old.filter("id > 1"))
+    assert not (tmp_path / "t" / "_lock").exists() and {f.read_bytes() for f in (tmp_path / "t").glob("version-000000000000-*/part-*")} == {b"not a table"}
+
+
+def test_writers_follow_one_another(spark, tmp_path):
+    from concurrent.futures import ThreadPoolExecutor
+
+    path = str(tmp_path / "t")
+    add = lambda k: registry.update_table(spark, path, lambda old: spark.range(k, k + 1) if old is None else old.union(spark.range(k, k + 1)))
+    with ThreadPoolExecutor(4) as pool:
+        list(pool.map(add, range(6)))
+    assert sorted(r.id for r in registry.read_table(spark, path).collect()) == list(range(6))
+    with registry.locked(spark, path), pytest.raises(TimeoutError), registry.locked(spark, path, wait=0.1):
+        pass
 
 
 @pytest.mark.parametrize("given_scores, weights", [({"a": 0.5, "b": 1.0}, {"a": 2 / 3, "b": 1 / 3}), ({"a": 0.0, "b": 1.0, "c": 0.0}, {"a": 0.5, "b": 0.0, "c": 0.5})])
@@ -323,7 +362,31 @@ def test_cache_is_rebuilt_for_other_settings(spark, tmp_path):
         return spark.range(len(built))
 
     path = str(tmp_path / "cache")
-    assert [tables.cached(spark, path, {"radius": r}, build).count() for r in (2, 2, 3)] == [1, 1, 2]
+    assert [tables.cached(spark, path, {"radius": r}, build).count() for r in (2, 2, 3, 2)] == [1, 1, 2, 1]
+
+    def fails():
+        return spark.range(9).withColumn("x", F.raise_error(F.lit("no luck")).cast("int"))
+
+    with pytest.raises(Exception, match="no luck"):
+        tables.cached(spark, path, {"radius": 4}, fails)
+    assert [tables.cached(spark, path, {"radius": r}, build).count() for r in (2, 4, 4)] == [1, 3, 3]
+
+
+def test_work_folder(spark, monkeypatch):
+    from tessera.sources import work
+
+    assert work.work_dir(spark).endswith("shared")
+
+    class Session:
+        conf = {"spark.sql.warehouse.dir": "/w"}
+
+        def __init__(self, master):
+            self.sparkContext = type("Context", (), {"master": master})
+
+    assert work.work_dir(Session("local[4]")) == "/w/_work" == work.work_dir(Session("local"))
+    for master in ("local-cluster[3,2,1024]", "yarn", "spark://host:7077"):
+        with pytest.raises(ValueError):
+            work.work_dir(Session(master))
 
 
 def test_config(tmp_path):
@@ -346,6 +409,13 @@ def test_stream_of_runs(spark, tmp_path):
         watch_runs(spark, source, schema, table, checkpoint, ["run"]).awaitTermination()
     got = {(r.run, r.first_seen, r.score) for r in registry.read_table(spark, table).collect()}
     assert got == {("a", 1, 0.3), ("b", 1, 0.9), ("c", 3, 0.1)}
+    for part in (tmp_path / "table").glob("version-*/part-*"):  # a registry that can't be read is not replaced
+        part.write_bytes(b"not a table")
+    versions = set((tmp_path / "table").glob("version-*"))
+    spark.createDataFrame([("d", 9, 0.1)], schema).coalesce(1).write.mode("append").json(source)
+    with pytest.raises(Exception):
+        watch_runs(spark, source, schema, table, checkpoint, ["run"]).awaitTermination()
+    assert set((tmp_path / "table").glob("version-*")) == versions
 
 
 def test_windowed_counts(spark, tmp_path):
