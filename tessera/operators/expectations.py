@@ -21,11 +21,17 @@ def together(*results: DataFrame) -> DataFrame:
     return reduce(DataFrame.unionByName, results)
 
 
-def require(results: DataFrame) -> None:
-    """Raises with all checks that were violated."""
+def examples(rows: DataFrame, order: list[str], n: int = 5) -> DataFrame:
+    """The first n rows in an order that names them."""
+    return rows.orderBy(*order).limit(n)
+
+
+def require(results: DataFrame, rows: dict[str, DataFrame] | None = None) -> None:
+    """Raises with all checks that were violated; of those in `rows`, with the first five violating rows by their first column."""
     bad = results.filter(F.col("violations") > 0).orderBy("check").collect()  # a row for each check
     if bad:
-        raise ExpectationError("; ".join(f"{r['check']}: {r['violations']}" for r in bad))
+        shown = {r["check"]: [x.asDict() for x in examples(rows[r["check"]], rows[r["check"]].columns[:1]).collect()] for r in bad if r["check"] in (rows or {})}
+        raise ExpectationError("; ".join(f"{r['check']}: {r['violations']}" + (f", such as {shown[r['check']]}" if r["check"] in shown else "") for r in bad))
 
 
 def require_columns(df: DataFrame, columns: list[str], exactly: bool = False) -> DataFrame:

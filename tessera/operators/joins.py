@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tessera.operators.expectations import ExpectationError, repeated_keys, require_columns
+from tessera.operators.expectations import ExpectationError, examples, repeated_keys, require_columns
 
 #: Sides of each relation whose keys must be unique.
 _UNIQUE = {"one_to_one": "lr", "many_to_one": "r", "one_to_many": "l", "many_to_many": ""}
@@ -18,8 +18,8 @@ def validated_join(left: DataFrame, right: DataFrame, on: list[str], how: str =
     require_columns(right, on)
     if check:
         for side, df in (("l", left), ("r", right)):
-            if side in _UNIQUE[validate] and repeated_keys(df, on).filter(F.col("n") > 1).take(1):
-                raise ExpectationError(f"{validate}: the {'left' if side == 'l' else 'right'} keys {on} repeat")
+            if side in _UNIQUE[validate] and (repeated := examples(repeated_keys(df, on).filter(F.col("n") > 1).select(*on), on).collect()):
+                raise ExpectationError(f"{validate}: the {'left' if side == 'l' else 'right'} keys {on} repeat, such as {[r.asDict() for r in repeated]}")
     return left.join(right, on, how)
 
 

@@ -31,9 +31,9 @@ def average_rank(df: DataFrame, by: list[str], value: str, rank: str, ranges: in
     start from the count of the ranges below. Use it where groups are few and large."""
     if ranges > 1:
         return _ranged_rank(df, by, value, rank, ranges)
-    v = F.col(value)
-    ties = F.count(v).over(Window.partitionBy(*by, value))
-    return df.withColumn(rank, F.when(v.isNotNull(), F.rank().over(Window.partitionBy(*by).orderBy(v.asc_nulls_last())) + (ties - 1) / F.lit(2.0)))
+    v, w = F.col(value), Window.partitionBy(*by).orderBy(F.col(value).asc_nulls_last())
+    last = F.count(v).over(w.rangeBetween(Window.unboundedPreceding, Window.currentRow))  # of the value's rows
+    return df.withColumn(rank, F.when(v.isNotNull(), (F.rank().over(w) + last) / F.lit(2.0)))
 
 
 def _ranged_rank(df: DataFrame, by: list[str], value: str, rank: str, ranges: int) -> DataFrame:
@@ -50,6 +50,19 @@ def _ranged_rank(df: DataFrame, by: list[str], value: str, rank: str, ranges: in
     return average_rank(rows, [*by, "_range"], value, rank).withColumn(rank, F.col(rank) + F.col("_start")).drop("_range", "_start")
 
 
+def positions(df: DataFrame, order: list[str], name: str) -> DataFrame:
+    """Adds the place of each row in the order (from 1, NULLs last): rows are dealt out by ranges and sorted there, and start from the
+    counts of the ranges below. No task orders more than a range; rows that tie in all of `order` share out their places."""
+    by = [F.col(c).asc_nulls_last() for c in order]
+    rows = stored(df.repartitionByRange(*by).sortWithinPartitions(*by).withColumn("_at", F.monotonically_increasing_id()))
+    counts = rows.groupBy(F.shiftright("_at", 33).alias("_range")).agg(F.count("*").alias("_n"))
+    below = Window.orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)
+    starts = counts.select("_range", F.coalesce(F.sum("_n").over(below), F.lit(0)).alias("_start"))  # a row for each task
+    place = F.col("_start") + F.col("_at").bitwiseAND(F.lit((1 << 33) - 1)) + 1
+    rows = rows.withColumn("_range", F.shiftright("_at", 33)).join(F.broadcast(starts), "_range")
+    return rows.withColumn(name, place.cast("long")).drop("_at", "_range", "_start")
+
+
 def ecdf_gaps(df: DataFrame, by: list[str], value: str, second: Column) -> DataFrame:
     """by, value, gap = F1 - F2 at each pooled distinct value, and next, the value after it. `second` tells the second sample's rows."""
     counts = value_counts(df, by, value, F.count_if(second).alias("n2"))

@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import itertools
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -44,3 +47,22 @@ def index_names(df: DataFrame, name: str, index: str) -> DataFrame:
     """Numbers the distinct names from 0 in their order (the vocabulary is ranked, not the rows)."""
     vocabulary = df.select(name).distinct().withColumn(index, F.dense_rank().over(Window.orderBy(name)) - 1)
     return df.join(vocabulary, name)
+
+
+def concat_blocks(blocks: dict[str, tuple[Column, int]]) -> tuple[Column, Callable[[Column], Column]]:
+    """The arrays of named blocks of fixed widths as one array, and the name of the block that holds a position."""
+    ends = list(itertools.accumulate(n for _, n in blocks.values()))
+
+    def block(position: Column) -> Column:
+        out = None
+        for name, end in zip(blocks, ends):
+            out = (F if out is None else out).when(position < end, F.lit(name))
+        return out
+
+    return F.concat(*(c for c, _ in blocks.values())), block
+
+
+def offsets(df: DataFrame, by: list[str], order: str, size: str, name: str) -> DataFrame:
+    """Adds where each row's part begins when a batch's parts are laid end to end."""
+    before = Window.partitionBy(*by).orderBy(order).rowsBetween(Window.unboundedPreceding, -1)
+    return df.withColumn(name, F.coalesce(F.sum(size).over(before), F.lit(0).cast("long")))

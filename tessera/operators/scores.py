@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tessera.functions.expr import all_finite, clip, col, interval_excess, pearson, ratio
+from tessera.functions.expr import all_finite, clip, col, finite, interval_excess, pearson, ratio
 from tessera.operators import ranks
 
 
@@ -33,12 +33,14 @@ def st_rae(df: DataFrame, by: list[str], truth: str = "y", predicted: str = "p")
     return scored_rows(df, by, truth, predicted).groupBy(*by).agg(F.count("*").alias("n"), st_rae_of(predicted).alias("st_rae"))
 
 
-def regression_metrics(df: DataFrame, by: list[str], truth: str = "y", predicted: str = "p") -> DataFrame:
+def regression_metrics(df: DataFrame, by: list[str], truth: str = "y", predicted: str = "p", ranges: int = 1) -> DataFrame:
     """n, st_rae, mae, rmse, spearman, r2 of groups of two rows or more."""
-    # The ranks bring a group together anyway, so its mean comes from the same shuffle.
-    rows = df.filter(all_finite(truth, predicted, "lower", "upper")).withColumn("_mean", F.avg(truth).over(Window.partitionBy(*by)))
+    if ranges > 1:
+        rows = scored_rows(df, by, truth, predicted)
+    else:  # the ranks bring a group together anyway, so its mean comes from the same shuffle
+        rows = df.filter(all_finite(truth, predicted, "lower", "upper")).withColumn("_mean", F.avg(truth).over(Window.partitionBy(*by)))
     for c in (truth, predicted):
-        rows = ranks.average_rank(rows, by, c, f"_rank_{c}")
+        rows = ranks.average_rank(rows, by, c, f"_rank_{c}", ranges)
     error = F.col(truth) - F.col(predicted)
     g = rows.groupBy(*by).agg(
         F.count("*").alias("n"),
@@ -51,6 +53,14 @@ def regression_metrics(df: DataFrame, by: list[str], truth: str = "y", predicted
     return g.filter("n >= 2")
 
 
+def objective(*scores: Column | str) -> tuple[Column, Column]:
+    """The first finite score, else infinity, and its number from 0 (NULL if none is finite): what a search minimises."""
+    first, used = F.lit(float("inf")), F.lit(None).cast("int")
+    for k, c in reversed(list(enumerate(scores))):
+        first, used = F.when(finite(c), col(c)).otherwise(first), F.when(finite(c), F.lit(k)).otherwise(used)
+    return first, used
+
+
 def macro(metrics: DataFrame, by: list[str], score: str, endpoint: str = "endpoint") -> DataFrame:
     """Unweighted mean of the endpoints' scores, with the endpoints that have one."""
     g = metrics.filter(F.col(score).isNotNull()).groupBy(*by)

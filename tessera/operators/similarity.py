@@ -6,26 +6,26 @@ import math
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tessera.functions.expr import ratio
+from tessera.functions.expr import col, ratio
+from tessera.sources.work import stored
 
 
-def set_pairs(items: DataFrame, key: str, item: str, least: float | None = None) -> DataFrame:
+def set_pairs(items: DataFrame, key: str, item: str, least: float | None = None, top: int | None = None, block_rows: int = 1024) -> DataFrame:
     """a < b and sim, the Tanimoto similarity of their sets, for all pairs that share an item (others have 0).
 
     items holds (key, item) once each. With `least`, prefix filtering: items are ordered from rare to frequent, and two sets of that
     similarity share one among their first n - ceil(least * n) + 1, so frequent items make no pairs; each candidate is then
-    counted exactly. Without, every shared item pairs, which costs the square of its frequency."""
-    sizes = items.groupBy(key).agg(F.count("*").alias("_n"))
+    counted exactly. Without, blocks of sets meet (see sparse_pairs), so a frequent item costs no more than a rare one; top: only the
+    best pairs by (-sim, a, b)."""
     if least is None:
-        left, right = (items.select(F.col(key).alias(k), F.col(item).alias("_i")) for k in ("a", "b"))
-        shared = left.join(right, "_i").filter("a < b").groupBy("a", "b").agg(F.count("*").alias("c"))
-        na, nb = sizes.select(F.col(key).alias("a"), F.col("_n").alias("na")), sizes.select(F.col(key).alias("b"), F.col("_n").alias("nb"))
-        return shared.join(na, "a").join(nb, "b").select("a", "b", F.round(ratio("c", F.col("na") + F.col("nb") - F.col("c")), 6).alias("sim"))
+        found = sparse_pairs(items.select(F.col(key).alias("id"), F.col(item).alias("_i"), F.lit(1.0).alias("_x")), top, block_rows).withColumn("sim", F.round("sim", 6))
+        return found if top is None else found.orderBy(F.desc("sim"), "a", "b").limit(top)
     frequency = items.groupBy(item).agg(F.count("*").alias("_f"))
     sets = items.join(frequency, item).groupBy(key).agg(F.transform(F.array_sort(F.collect_list(F.struct("_f", item))), lambda s: s[item]).alias("s"))
+    sets = stored(sets)  # three branches read it
     n, low = F.size("s"), least - 1e-9
     prefix = F.slice("s", F.lit(1), (n - F.ceil(n * F.lit(low)) + 1).cast("int"))
     heads = sets.select(F.col(key).alias("k"), n.alias("n"), F.posexplode(prefix).alias("p", "_i"))
@@ -40,14 +40,60 @@ def set_pairs(items: DataFrame, key: str, item: str, least: float | None = None)
     return both.select("a", "b", sim.alias("sim")).filter(F.col("sim") >= least)
 
 
-def count_pairs(counts: DataFrame, key: str, item: str, n: str) -> DataFrame:
+def top_set_pairs(items: DataFrame, key: str, item: str, n: int, steps: tuple[float, ...] = (0.8, 0.5)) -> DataFrame:
+    """The n most similar pairs by (-sim, a, b). Thresholds are tried from high to low; only if too few pairs reach the lowest do
+    blocks of all sets meet, each giving its n best."""
+    best = lambda pairs: pairs.orderBy(F.desc("sim"), "a", "b").limit(n)
+    for least in steps:
+        found = stored(set_pairs(items, key, item, least))
+        if found.limit(n).count() == n:
+            return best(found)
+    return set_pairs(items, key, item, top=n)
+
+
+def count_pairs(counts: DataFrame, key: str, item: str, n: str, block_rows: int = 1024) -> DataFrame:
     """a < b and sim = dot / (|a|^2 + |b|^2 - dot) of their count maps, for all pairs that share an item."""
-    norms = counts.groupBy(key).agg(F.sum(F.col(n) * F.col(n)).alias("_q"))
-    a = counts.select(F.col(key).alias("a"), F.col(item).alias("_i"), F.col(n).alias("_x"))
-    b = counts.select(F.col(key).alias("b"), F.col(item).alias("_i"), F.col(n).alias("_y"))
-    dots = a.join(b, "_i").filter("a < b").groupBy("a", "b").agg(F.sum(F.col("_x") * F.col("_y")).alias("dot"))
-    qa, qb = norms.select(F.col(key).alias("a"), F.col("_q").alias("qa")), norms.select(F.col(key).alias("b"), F.col("_q").alias("qb"))
-    return dots.join(qa, "a").join(qb, "b").select("a", "b", ratio("dot", F.col("qa") + F.col("qb") - F.col("dot")).alias("sim"))
+    return sparse_pairs(counts.select(F.col(key).alias("id"), F.col(item).alias("_i"), F.col(n).cast("double").alias("_x")), None, block_rows)
+
+
+def sparse_pairs(cells: DataFrame, top: int | None, block_rows: int, columns: int = 4096) -> DataFrame:
+    """Generalised Tanimoto of all rows that share a column, from the cells (id, _i, _x) of a sparse matrix: blocks of rows meet as
+    products of dense slices of the columns that both have. A pair of blocks is one unit of work, and is bounded by its rows. top: a pair of
+    blocks reports its best that many, and what ties with them to six decimals."""
+    rows = stored(cells.groupBy("id").agg(F.collect_list("_i").alias("i"), F.collect_list("_x").alias("x")))
+    kind = dict(rows.dtypes)["id"]
+
+    def meet(x: pa.Table, y: pa.Table) -> pa.Table:
+        a = b = np.empty(0, np.int64)
+        sim = np.empty(0)
+        if x.num_rows and y.num_rows:
+            sides = [(t.column(f"id{s}"), t.column(f"i{s}").combine_chunks(), t.column(f"x{s}").combine_chunks()) for t, s in ((x, ""), (y, "_r"))]
+            row = [np.repeat(np.arange(len(i)), i.value_lengths().to_numpy()) for _, i, _ in sides]
+            value = [v.flatten().to_numpy() for _, _, v in sides]
+            code = pa.chunked_array([i.flatten() for _, i, _ in sides]).unify_dictionaries().dictionary_encode().combine_chunks().indices.to_numpy()
+            code = [code[: len(row[0])], code[len(row[0]) :]]
+            square = [np.bincount(r, weights=v * v, minlength=len(i)) for r, v, (_, i, _) in zip(row, value, sides)]
+            dot = np.zeros((x.num_rows, y.num_rows))
+            shared = np.intersect1d(code[0], code[1])
+            for at in range(0, len(shared), columns):
+                part, dense = shared[at : at + columns], []
+                for r, c, v, (_, i, _) in zip(row, code, value, sides):
+                    place = np.minimum(np.searchsorted(part, c), len(part) - 1)
+                    own = part[place] == c
+                    m = np.zeros((len(i), len(part)))
+                    m[r[own], place[own]] = v[own]
+                    dense.append(m)
+                dot += dense[0] @ dense[1].T
+            ids = [s[0].to_numpy() for s in sides]
+            i, j = np.nonzero((dot > 0) & (ids[0][:, None] < ids[1][None]))
+            sim = dot[i, j] / (square[0][i] + square[1][j] - dot[i, j])
+            a, b = ids[0][i], ids[1][j]
+            if top is not None and len(sim) > top:
+                first = sim >= np.partition(sim, -top)[-top] - 1.1e-6
+                sim, a, b = sim[first], a[first], b[first]
+        return pa.table({"a": pa.array(a, x.column("id").type), "b": pa.array(b, x.column("id").type), "sim": pa.array(sim, pa.float64())})
+
+    return _met(rows, rows, block_rows).applyInArrow(meet, f"a {kind}, b {kind}, sim double")
 
 
 def _matrix(column: pa.Array) -> np.ndarray:
@@ -57,10 +103,16 @@ def _matrix(column: pa.Array) -> np.ndarray:
     return flat.reshape(len(column), -1) if len(column) else flat.reshape(0, 1)
 
 
+def _l1(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    step = max(1, (1 << 21) // max(1, b.size))  # rows whose differences are held at once
+    parts = [np.abs(a[at : at + step, None, :] - b[None]).sum(2) for at in range(0, len(a), step)]
+    return 1 / (1 + np.concatenate(parts) / 12)
+
+
 SCORES = {
     "cosine": lambda a, b: (a / np.linalg.norm(a, axis=1, keepdims=True)) @ (b / np.linalg.norm(b, axis=1, keepdims=True)).T,
     "dot": lambda a, b: a @ b.T,
-    "l1": lambda a, b: 1 / (1 + np.abs(a[:, None, :] - b[None, :, :]).sum(2) / 12),
+    "l1": _l1,
 }
 
 
@@ -74,56 +126,107 @@ def _met(left: DataFrame, right: DataFrame, block_rows: int):
     return left.groupBy("bl", "br").cogroup(right.groupBy("bl", "br"))
 
 
-def dense_pairs(left: DataFrame, right: DataFrame, score: str = "cosine", least: float | None = None, upper: bool = False, block_rows: int = 1024) -> DataFrame:
+def _equal(x: pa.Table, y: pa.Table, where: tuple[str, str]) -> np.ndarray:
+    """Whether a row of x and a row of y have one value of those columns."""
+    return x.column(where[0]).to_numpy()[:, None] == y.column(f"{where[1]}_r").to_numpy()[None]
+
+
+def dense_pairs(
+    left: DataFrame, right: DataFrame, score: str = "cosine", least: float | None = None, upper: bool = False, same: tuple[str, str] | None = None, carry: tuple[str, ...] = (), block_rows: int = 1024,
+) -> DataFrame:
     """a, b, sim of all pairs of two tables (id, v) of vectors, as products of blocks: block pairs are the units of work and
-    no side is broadcast. least: only pairs from it on; upper: only a < b."""
-    kind = dict(left.dtypes)["id"]
+    no side is broadcast. least: only pairs from it on; upper: only a < b; same = (left column, right column): only pairs of one value.
+    carry: columns of both tables that go with the pairs, as a_<name> and b_<name>, so that no join has to bring them."""
+    kinds = dict(left.dtypes)
+    columns = ["id", *carry]
+    fields = [(f"{side}_{c}" if c != "id" else side, c, f"{c}_r" if side == "b" else c, side) for c in columns for side in "ab"]
 
     def meet(x: pa.Table, y: pa.Table) -> pa.Table:
-        if not x.num_rows or not y.num_rows:
-            i = j = np.empty(0, np.int64)
-            found = np.empty(0)
-        else:
+        i = j = np.empty(0, np.int64)
+        found = np.empty(0)
+        if x.num_rows and y.num_rows:
             sim = SCORES[score](_matrix(x.column("v")), _matrix(y.column("v_r")))
             keep = np.ones(sim.shape, bool) if least is None else sim >= least - 1e-12
             if upper:
                 keep &= x.column("id").to_numpy()[:, None] < y.column("id_r").to_numpy()[None]
+            if same:
+                keep &= _equal(x, y, same)
             i, j = np.nonzero(keep)
             found = sim[i, j]
-        ids = (pa.array([], pa.int64()),) * 2 if not len(i) else (x.column("id").take(pa.array(i)), y.column("id_r").take(pa.array(j)))
-        return pa.table({"a": ids[0], "b": ids[1], "sim": pa.array(found, pa.float64())})
+        out = {name: (x if side == "a" else y).column(c).take(pa.array(i if side == "a" else j)) for name, _, c, side in fields}
+        return pa.table(out | {"sim": pa.array(found, pa.float64())})
+
+    keep = ["id", "v", *carry, *(c for c in same or () if c not in carry)]
+    schema = ", ".join(f"{name} {kinds[c]}" for name, c, _, _ in fields)
+    return _met(left.select(*dict.fromkeys(keep)), right.select(*dict.fromkeys(keep)), block_rows).applyInArrow(meet, f"{schema}, sim double")
+
+
+def group_best(left: DataFrame, right: DataFrame, score: str = "cosine", block_rows: int = 1024) -> DataFrame:
+    """ga, gb, sim: of every two groups of two tables (id, v, g) the best product of their members, rounded to nine decimals. Blocks give a row for
+    each two groups that meet in them, not for each two members."""
+    kinds = dict(left.dtypes)["g"], dict(right.dtypes)["g"]
+
+    def meet(x: pa.Table, y: pa.Table) -> pa.Table:
+        a = b = np.empty(0, np.int64)
+        found = np.empty(0)
+        if x.num_rows and y.num_rows:
+            sim = np.round(SCORES[score](_matrix(x.column("v")), _matrix(y.column("v_r"))), 9)
+            (ga, ia), (gb, ib) = (np.unique(t.column(c).to_numpy(), return_inverse=True) for t, c in ((x, "g"), (y, "g_r")))
+            by_row = np.maximum.reduceat(sim[np.argsort(ia, kind="stable")], np.searchsorted(np.sort(ia), np.arange(len(ga))), axis=0)
+            best = np.maximum.reduceat(by_row[:, np.argsort(ib, kind="stable")], np.searchsorted(np.sort(ib), np.arange(len(gb))), axis=1)
+            a, b, found = np.repeat(ga, len(gb)), np.tile(gb, len(ga)), best.reshape(-1)
+        return pa.table({"ga": pa.array(a, x.column("g").type), "gb": pa.array(b, y.column("g_r").type), "sim": pa.array(found, pa.float64())})
 
-    return _met(left, right, block_rows).applyInArrow(meet, f"a {kind}, b {kind}, sim double")
+    found = _met(left.select("id", "v", "g"), right.select("id", "v", "g"), block_rows).applyInArrow(meet, f"ga {kinds[0]}, gb {kinds[1]}, sim double")
+    return found.groupBy("ga", "gb").agg(F.max("sim").alias("sim"))
 
 
-def dense_nearest(queries: DataFrame, references: DataFrame, score: str = "cosine", other: bool = False, where: tuple[str, str] | None = None, block_rows: int = 1024) -> DataFrame:
+def dense_nearest(
+    queries: DataFrame, references: DataFrame, score: str = "cosine", other: bool = False, where: tuple[str, str] | None = None, same: tuple[str, str] | None = None, block_rows: int = 1024,
+) -> DataFrame:
     """id, neighbour, sim: each query's nearest reference, ties to the smallest id. other: not the query itself. where
-    = (query column, reference column): only references with another value. A block pair reports one row for each query."""
+    = (query column, reference column): only references with another value; same: only with one value. A block pair reports one row for
+    each query."""
     kind = dict(queries.dtypes)["id"]
 
     def meet(x: pa.Table, y: pa.Table) -> pa.Table:
         ids = refs = np.empty(0, np.int64)
         found = np.empty(0)
         if x.num_rows and y.num_rows:
+            y = y.take(pa.array(np.argsort(y.column("id_r").to_numpy())))
             ids, refs = x.column("id").to_numpy(), y.column("id_r").to_numpy()
-            order = np.argsort(refs)
-            sim = np.round(SCORES[score](_matrix(x.column("v")), _matrix(y.column("v_r")))[:, order], 9)
+            sim = np.round(SCORES[score](_matrix(x.column("v")), _matrix(y.column("v_r"))), 9)
             if other:
-                sim[ids[:, None] == refs[order][None]] = -np.inf
+                sim[ids[:, None] == refs[None]] = -np.inf
             if where:
-                a, b = x.column(where[0]).to_numpy(), y.column(f"{where[1]}_r").to_numpy()[order]
-                sim[a[:, None] == b[None]] = -np.inf
+                sim[_equal(x, y, where)] = -np.inf
+            if same:
+                sim[~_equal(x, y, same)] = -np.inf
             best = sim.argmax(1)
             found = sim[np.arange(len(ids)), best]
             ok = np.isfinite(found)
-            ids, refs, found = ids[ok], refs[order][best][ok], found[ok]
-        return pa.table({"id": pa.array(ids), "neighbour": pa.array(refs), "sim": pa.array(found, pa.float64())})
+            ids, refs, found = ids[ok], refs[best][ok], found[ok]
+        return pa.table({"id": pa.array(ids, x.column("id").type), "neighbour": pa.array(refs, y.column("id_r").type), "sim": pa.array(found, pa.float64())})
 
     found = _met(queries, references, block_rows).applyInArrow(meet, f"id {kind}, neighbour {kind}, sim double")
     best = found.groupBy("id").agg(F.min(F.struct((-F.col("sim")).alias("s"), "neighbour")).alias("n"))
     return best.select("id", F.col("n.neighbour").alias("neighbour"), (-F.col("n.s")).alias("sim"))
 
 
+def pack_bits(df: DataFrame, key: str, bit: str, n: int) -> DataFrame:
+    """key and `words`: its bits 0..n-1, 64 to a long. df holds (key, bit), repeats included; sums of distinct powers are bits."""
+    width = -(-n // 64)
+    at = df.select(key, F.floor(F.col(bit) / 64).cast("int").alias("_w"), (F.col(bit) % 64).cast("int").alias("_b"))
+    words = at.groupBy(key).agg(*(F.bit_or(F.when(F.col("_w") == w, F.expr("shiftleft(1L, _b)")).otherwise(F.lit(0).cast("long"))).alias(f"_w{w}") for w in range(width)))
+    return words.select(key, F.array(*(f"_w{w}" for w in range(width))).alias("words"))
+
+
+def packed_tanimoto(a: Column | str, b: Column | str) -> Column:
+    """Similarity of two packed bit sets by population counts; two empty ones have 0."""
+    count = lambda f: F.aggregate(F.zip_with(col(a), col(b), f), F.lit(0), lambda n, w: n + F.bit_count(w))
+    return F.coalesce(ratio(count(lambda x, y: x.bitwiseAND(y)), count(lambda x, y: x.bitwiseOR(y))), F.lit(0.0))
+
+
 def nearest_of_pairs(pairs: DataFrame, left: str, right: str, sim: str = "sim") -> DataFrame:
     """The best partner of each left id among given pairs, ties to the smallest; an aggregation, not a window."""
     best = pairs.groupBy(left).agg(F.min(F.struct((-F.col(sim)).alias("s"), right)).alias("n"))
@@ -143,4 +246,4 @@ def threshold_stats(pairs: DataFrame, thresholds: list[float], delta: str, by: l
     return g.agg(F.count("*").alias("n"), F.avg(delta).alias("mean"), q[1].alias("median"), q[0].alias("q1"), q[2].alias("q3"), (q[2] - q[0]).alias("iqr"), F.count_if(F.col(delta) >= 1).alias("cliffs_1"), F.count_if(F.col(delta) >= 2).alias("cliffs_2"))
 
 
-__all__ = ["SCORES", "both_ways", "count_pairs", "dense_nearest", "dense_pairs", "nearest_of_pairs", "set_pairs", "threshold_stats"]
+__all__ = ["SCORES", "both_ways", "count_pairs", "dense_nearest", "dense_pairs", "group_best", "nearest_of_pairs", "pack_bits", "packed_tanimoto", "set_pairs", "sparse_pairs", "threshold_stats", "top_set_pairs"]

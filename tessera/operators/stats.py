@@ -19,22 +19,22 @@ def pearson_table(df: DataFrame, pairs: list[tuple[str, str]]) -> DataFrame:
     return pairwise_complete(df, pairs).groupBy("x_name", "y_name").agg(F.count("*").alias("n"), pearson("x", "y").alias("r"))
 
 
-def spearman_by(rows: DataFrame, by: list[str], x: str, y: str, least: int = 3) -> DataFrame:
+def spearman_by(rows: DataFrame, by: list[str], x: str, y: str, least: int = 3, ranges: int = 1) -> DataFrame:
     """n and rho for each group; ranks are over the group's complete rows."""
     rows = rows.filter(F.col(x).isNotNull() & F.col(y).isNotNull())
-    rows = ranks.average_rank(ranks.average_rank(rows, by, x, "_rx"), by, y, "_ry")
+    rows = ranks.average_rank(ranks.average_rank(rows, by, x, "_rx", ranges), by, y, "_ry", ranges)
     return rows.groupBy(*by).agg(F.count("*").alias("n"), pearson("_rx", "_ry", least).alias("rho"))
 
 
-def spearman_table(df: DataFrame, pairs: list[tuple[str, str]]) -> DataFrame:
-    return spearman_by(pairwise_complete(df, pairs), ["x_name", "y_name"], "x", "y")
+def spearman_table(df: DataFrame, pairs: list[tuple[str, str]], ranges: int = 1) -> DataFrame:
+    return spearman_by(pairwise_complete(df, pairs), ["x_name", "y_name"], "x", "y", ranges=ranges)
 
 
-def partial_spearman(rows: DataFrame, by: list[str], x: str, y: str, z: str) -> DataFrame:
+def partial_spearman(rows: DataFrame, by: list[str], x: str, y: str, z: str, ranges: int = 1) -> DataFrame:
     """Rank correlation of x and y with z held: the correlation of the residuals, in closed form. Five rows at least."""
     rows = rows.filter(F.col(x).isNotNull() & F.col(y).isNotNull() & F.col(z).isNotNull())
     for c in (x, y, z):
-        rows = ranks.average_rank(rows, by, c, f"_r_{c}")
+        rows = ranks.average_rank(rows, by, c, f"_r_{c}", ranges)
     r = lambda a, b: pearson(f"_r_{a}", f"_r_{b}")
     g = rows.groupBy(*by).agg(F.count("*").alias("n"), r(x, y).alias("xy"), r(x, z).alias("xz"), r(y, z).alias("yz"))
     rest = F.sqrt((1 - F.col("xz") * F.col("xz")) * (1 - F.col("yz") * F.col("yz")))

@@ -196,10 +196,10 @@ def cv_group_stats(t: Fixtures) -> DataFrame:
     return rounded(g)
 
 
-@query("""WITH seen AS (SELECT DISTINCT user_id % 7 AS model, user_id % 4 AS seed, event_id % 50 AS fold FROM events WHERE event_id < 900)
+@query("""WITH seen AS (SELECT DISTINCT user_id % 7 AS model, user_id % 4 AS seed, event_id % 50 AS fold FROM events WHERE (user_id % 28 + event_id % 50) % 11 <> 0)
 SELECT m.model, m.seed, CAST(f.f AS BIGINT) AS fold FROM (SELECT DISTINCT model, seed FROM seen) m CROSS JOIN range(0, 50) f(f) LEFT JOIN seen s ON s.model = m.model AND s.seed = m.seed AND s.fold = f.f WHERE s.fold IS NULL""")
 def missing_folds(t: Fixtures) -> DataFrame:
-    seen = t.events.filter("event_id < 900").select((F.col("user_id") % 7).alias("model"), (F.col("user_id") % 4).alias("seed"), (F.col("event_id") % 50).alias("fold")).distinct()
+    seen = t.events.filter("(user_id % 28 + event_id % 50) % 11 <> 0").select((F.col("user_id") % 7).alias("model"), (F.col("user_id") % 4).alias("seed"), (F.col("event_id") % 50).alias("fold")).distinct()
     return profile.missing_units(seen, ["model", "seed"], "fold", 50)
 
 
@@ -275,14 +275,12 @@ def sample_summary(t: Fixtures) -> DataFrame:
 
 @query("SELECT endpoint, entity, round(rank() OVER (PARTITION BY endpoint ORDER BY qty) + (count(*) OVER (PARTITION BY endpoint, qty) - 1) / CAST(2 AS DOUBLE), 6) + 0.0 AS rank FROM long_")
 def avg_rank(t: Fixtures) -> DataFrame:
-    return ranks.average_rank(t.long.select("endpoint", "entity", "qty"), ["endpoint"], "qty", "rank").select("endpoint", "entity", r6("rank").alias("rank"))
+    return ranks.average_rank(t.long.select("endpoint", "entity", "qty"), ["endpoint"], "qty", "rank", t.ranges).select("endpoint", "entity", r6("rank").alias("rank"))
 
 
-@query("""WITH r AS (SELECT endpoint, entity AS step, abs(y - p) AS loss FROM pred_ WHERE model = 'm3' AND seed = 1 AND entity % 37 = 0), b AS (SELECT *, min(loss) OVER (PARTITION BY endpoint ORDER BY step) AS best FROM r),
-m AS (SELECT *, max(CASE WHEN loss = best THEN step END) OVER (PARTITION BY endpoint ORDER BY step) AS best_step, row_number() OVER (PARTITION BY endpoint ORDER BY step) AS i FROM b), k AS (SELECT *, max(CASE WHEN step = best_step THEN i END) OVER (PARTITION BY endpoint ORDER BY step) AS bi FROM m)
-SELECT endpoint, step, round(best, 6) + 0.0 AS best, best_step, i - bi AS stale, i - bi >= 20 AS stop FROM k""")
+@query("""WITH r AS (SELECT endpoint, fold, entity AS step, abs(y - p) AS loss FROM pred_ WHERE model = 'm3' AND seed = 1), b AS (SELECT *, min(loss) OVER (PARTITION BY endpoint, fold ORDER BY step) AS best FROM r),
+m AS (SELECT *, max(CASE WHEN loss = best THEN step END) OVER (PARTITION BY endpoint, fold ORDER BY step) AS best_step, row_number() OVER (PARTITION BY endpoint, fold ORDER BY step) AS i FROM b), k AS (SELECT *, max(CASE WHEN step = best_step THEN i END) OVER (PARTITION BY endpoint, fold ORDER BY step) AS bi FROM m)
+SELECT endpoint, fold, step, round(best, 6) + 0.0 AS best, best_step, i - bi AS stale, i - bi >= 20 AS stop FROM k""")
 def best_so_far(t: Fixtures) -> DataFrame:
-    rows = t.pred.filter("model = 'm3' AND seed = 1 AND entity % 37 = 0").select("endpoint", F.col("entity").alias("step"), F.abs(F.col("y") - F.col("p")).alias("loss"))
-    return ranks.best_so_far(rows, ["endpoint"], "step", "loss", patience=20).withColumn("best", r6("best"))
-
-
+    rows = t.pred.filter("model = 'm3' AND seed = 1").select("endpoint", "fold", F.col("entity").alias("step"), F.abs(F.col("y") - F.col("p")).alias("loss"))
+    return ranks.best_so_far(rows, ["endpoint", "fold"], "step", "loss", patience=20).withColumn("best", r6("best"))

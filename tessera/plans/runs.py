@@ -64,14 +64,15 @@ def featurization_audit(t: Fixtures) -> DataFrame:
     return t.pages.select("page_id", outcome.alias("outcome"), F.octet_length("html").cast("long").alias("bytes"))
 
 
-@query("SELECT o_orderkey AS ordinal, coalesce(round(y1, 6) + 0.0, 5.0) AS e1, coalesce(round(y2, 6) + 0.0, 5.0) AS e2, coalesce(round(y3, 6) + 0.0, 5.0) AS e3, coalesce(round(y4, 6) + 0.0, 5.0) AS e4 FROM orders LEFT JOIN wide_ ON entity = o_orderkey WHERE o_orderkey % 20 = 0")
+@query("SELECT o_orderkey AS ordinal, coalesce(round(y1, 6) + 0.0, 5.0) AS e1, coalesce(round(y2, 6) + 0.0, 5.0) AS e2, coalesce(round(y3, 6) + 0.0, 5.0) AS e3, coalesce(round(y4, 6) + 0.0, 5.0) AS e4 FROM orders LEFT JOIN wide_ ON entity = o_orderkey")
 def submission_wide(t: Fixtures) -> DataFrame:
-    template = t.orders.filter("o_orderkey % 20 = 0").select(F.col("o_orderkey").alias("entity"))
+    template = t.orders.select(F.col("o_orderkey").alias("entity"))
     out = template.join(t.wide, "entity", "left").select(F.col("entity").alias("ordinal"), *(F.coalesce(r6(f"y{e}"), F.lit(5.0)).alias(f"e{e}") for e in ENDPOINTS))
     return expectations.require_columns(out, ["ordinal", "e1", "e2", "e3", "e4"], exactly=True)
 
 
-@query()
+@query("""SELECT 'unique' AS "check", count(*) AS violations FROM (SELECT o_orderkey FROM orders GROUP BY 1 HAVING count(*) > 1) UNION ALL SELECT 'same keys', count(*) FILTER (WHERE o_orderkey IS NULL) FROM orders
+UNION ALL SELECT 'e' || e || ' finite', count(*) FILTER (WHERE y IS NULL OR isinf(y)) FROM (SELECT e.e, coalesce(CASE e.e WHEN 1 THEN y1 WHEN 2 THEN y2 WHEN 3 THEN y3 ELSE y4 END, 5) AS y FROM orders LEFT JOIN wide_ ON entity = o_orderkey CROSS JOIN range(1, 5) e(e)) GROUP BY e""")
 def submission_roundtrip(t: Fixtures) -> DataFrame:
     """Written, read back and checked: the checks' violations."""
     from tessera.sources.work import stored
@@ -105,17 +106,29 @@ def problem_rows(t: Fixtures) -> DataFrame:
     return d.unionByName(t.pages.filter(~F.lower("html").contains("<title")).select(F.lit("pages").alias("source"), F.col("page_id").alias("id"), F.lit("no title").alias("problem")))
 
 
-@query("SELECT user_id % 40 AS file, count(DISTINCT (user_id % 2, event_type = 'click')) AS identities, count(DISTINCT (user_id % 2, event_type = 'click')) = 1 AS single FROM events WHERE event_id < 60 GROUP BY 1")
+@query("SELECT user_id % 120 AS file, count(DISTINCT (user_id % 2, user_id % 3 = 0 AND event_type = 'click')) AS identities, count(DISTINCT (user_id % 2, user_id % 3 = 0 AND event_type = 'click')) = 1 AS single FROM events GROUP BY 1")
 def single_identity(t: Fixtures) -> DataFrame:
-    identity = F.struct((F.col("user_id") % 2).alias("a"), (F.col("event_type") == "click").alias("b"))
-    g = t.events.filter("event_id < 60").groupBy((F.col("user_id") % 40).alias("file")).agg(F.count_distinct(identity).alias("identities"))
+    identity = F.struct((F.col("user_id") % 2).alias("a"), ((F.col("user_id") % 3 == 0) & (F.col("event_type") == "click")).alias("b"))
+    g = t.events.groupBy((F.col("user_id") % 120).alias("file")).agg(F.count_distinct(identity).alias("identities"))
     return g.withColumn("single", F.col("identities") == 1)
 
 
-@query("WITH r AS (SELECT user_id AS run, list(value ORDER BY event_id) FILTER (WHERE event_type = 'purchase' AND event_id < 800) AS ms FROM events WHERE user_id < 60 GROUP BY 1) SELECT run, m.m AS metric FROM r LEFT JOIN LATERAL (SELECT unnest(r.ms) AS m) m ON true")
+@query("WITH r AS (SELECT user_id AS run, list(value) FILTER (WHERE event_type = 'purchase' AND user_id % 5 <> 0) AS ms FROM events GROUP BY 1) SELECT run, m.m AS metric FROM r LEFT JOIN LATERAL (SELECT unnest(r.ms) AS m) m ON true")
 def outer_explode_metrics(t: Fixtures) -> DataFrame:
-    keep = F.when((F.col("event_type") == "purchase") & (F.col("event_id") < 800), F.col("value"))
-    return t.events.filter("user_id < 60").groupBy(F.col("user_id").alias("run")).agg(F.collect_list(keep).alias("ms")).select("run", F.explode_outer("ms").alias("metric"))
+    # A join to the list of runs, so that no run's metrics are gathered in one row.
+    metrics = t.events.filter("event_type = 'purchase' AND user_id % 5 <> 0").select(F.col("user_id").alias("run"), F.col("value").alias("metric"))
+    return t.events.select(F.col("user_id").alias("run")).distinct().join(metrics, "run", "left")
+
+
+@query("""SELECT 'orders' AS source, o_orderkey AS id, concat('customer ', o_custkey) AS detail FROM (SELECT * FROM orders WHERE o_custkey IS NULL OR o_totalprice > 400000 ORDER BY o_orderkey LIMIT 5)
+UNION ALL SELECT 'labels', doc_id, concat('quality ', quality) FROM (SELECT * FROM labels WHERE toxic = 1 ORDER BY doc_id LIMIT 5)""")
+def violation_examples(t: Fixtures) -> DataFrame:
+    """The first five rows that violate a check, as a message names them."""
+    orders = expectations.examples(t.orders.filter("o_custkey IS NULL OR o_totalprice > 400000"), ["o_orderkey"])
+    labels = expectations.examples(t.labels.filter("toxic = 1"), ["doc_id"])
+    return orders.select(F.lit("orders").alias("source"), F.col("o_orderkey").alias("id"), F.concat(F.lit("customer "), "o_custkey").alias("detail")).unionByName(
+        labels.select(F.lit("labels").alias("source"), F.col("doc_id").alias("id"), F.concat(F.lit("quality "), "quality").alias("detail"))
+    )
 
 
 # Identity and features
@@ -140,9 +153,9 @@ def row_descriptors(t: Fixtures) -> DataFrame:
     return t.documents.select("doc_id", n.alias("n_chars"), less(" ").alias("n_spaces"), less("\n").alias("n_breaks"), less(".").alias("n_stops"), r6(ratio(less(" "), n)).alias("space_fraction"), (F.octet_length("text") - n).alias("n_wide"))
 
 
-@query("SELECT DISTINCT doc_id, " + sql_bucket("w", 2048) + " AS bit FROM toks_ WHERE doc_id % 5 = 0")
+@query("SELECT DISTINCT doc_id, " + sql_bucket("w", 2048) + " AS bit FROM toks_")
 def hashed_bits(t: Fixtures) -> DataFrame:
-    return t.documents.filter("n_chars < 2000 AND doc_id % 5 = 0").select("doc_id", F.explode(F.array_distinct(F.transform(words("text"), lambda w: bucket(w, 2048)))).alias("bit"))
+    return t.documents.select("doc_id", F.explode(F.array_distinct(F.transform(words("text"), lambda w: bucket(w, 2048)))).alias("bit"))
 
 
 # Bundles
@@ -197,18 +210,20 @@ def seed_average(t: Fixtures) -> DataFrame:
     return rounded(registry.seed_mean(t.pred.filter("endpoint = 1"), ["entity", "endpoint", "model"]))
 
 
-_RUNS = "SELECT user_id AS run, event_type AS endpoint, min(ts) AS first_seen, max(ts) AS refreshed, count(*) AS n, round(avg(value), 6) + 0.0 AS score FROM events WHERE {w} GROUP BY 1, 2"
+_RUNS = "SELECT user_id AS run, nullif(event_type, 'view') AS endpoint, min(ts) AS first_seen, max(ts) AS refreshed, count(*) AS n, round(avg(value), 6) + 0.0 AS score FROM events WHERE {w} GROUP BY 1, 2"
+#: Two snapshots of the registry that share out all events: runs of the old one only, of the current one only, and of both, some of which lose an endpoint.
+_OLD = "CASE user_id % 5 WHEN 0 THEN true WHEN 1 THEN false ELSE event_id % 2 = 0 OR event_type = 'click' AND user_id % 4 = 2 END"
 
 
-@query(f"""WITH old AS ({_RUNS.format(w='event_id < 5000 AND user_id < 100')}), cur AS ({_RUNS.format(w='event_id >= 5000 AND user_id >= 40')})
-SELECT coalesce(c.run, o.run) AS run, coalesce(c.endpoint, o.endpoint) AS endpoint, CASE WHEN c.run IS NULL THEN o.first_seen ELSE coalesce(least(o.first_seen, c.first_seen), c.first_seen) END AS first_seen, coalesce(c.refreshed, o.refreshed) AS refreshed, coalesce(c.n, o.n) AS n, coalesce(c.score, o.score) AS score
-FROM old o FULL OUTER JOIN cur c ON o.run = c.run AND o.endpoint = c.endpoint""")
+@query(f"""WITH old AS ({_RUNS.format(w=_OLD)}), cur AS ({_RUNS.format(w=f'NOT ({_OLD})')})
+SELECT c.run, c.endpoint, coalesce(least(o.first_seen, c.first_seen), c.first_seen) AS first_seen, c.refreshed, c.n, c.score FROM cur c LEFT JOIN old o ON o.run = c.run AND o.endpoint IS NOT DISTINCT FROM c.endpoint
+UNION ALL SELECT * FROM old WHERE run NOT IN (SELECT run FROM cur)""")
 def registry_upsert(t: Fixtures) -> DataFrame:
-    return registry.upsert(run_rows(t, "event_id < 5000 AND user_id < 100"), run_rows(t, "event_id >= 5000 AND user_id >= 40"), ["run", "endpoint"])
+    return registry.upsert(run_rows(t, _OLD), run_rows(t, f"NOT ({_OLD})"), ["run", "endpoint"], "run")
 
 
 def run_rows(t: Fixtures, where: str) -> DataFrame:
-    g = t.events.filter(where).groupBy(F.col("user_id").alias("run"), F.col("event_type").alias("endpoint"))
+    g = t.events.filter(where).groupBy(F.col("user_id").alias("run"), F.nullif("event_type", F.lit("view")).alias("endpoint"))
     return g.agg(F.min("ts").alias("first_seen"), F.max("ts").alias("refreshed"), F.count("*").alias("n"), r6(F.avg("value")).alias("score"))
 
 
@@ -223,18 +238,18 @@ def metric_tables(t: Fixtures) -> DataFrame:
     return rounded(e.unionByName(macro))
 
 
-@query("""SELECT event_id, coalesce(CASE WHEN event_type = 'click' THEN 'm' || user_id END, CASE WHEN user_id % 3 <> 0 THEN event_type || '::' || 'run' || (user_id % 3) END, event_type) AS model FROM events WHERE event_id < 2000""")
+@query("""SELECT event_id, coalesce(CASE WHEN event_type = 'click' THEN 'm' || user_id END, CASE WHEN user_id % 3 <> 0 THEN event_type || '::' || 'run' || (user_id % 3) END, event_type) AS model FROM events""")
 def resolve_model_id(t: Fixtures) -> DataFrame:
-    rows = t.events.filter("event_id < 2000").select(
+    rows = t.events.select(
         "event_id", F.when(F.col("event_type") == "click", F.concat(F.lit("m"), "user_id")).alias("model_id"), "event_type", F.when(F.col("user_id") % 3 != 0, F.concat(F.lit("run"), F.col("user_id") % 3)).otherwise("").alias("run_name")
     )
     return rows.select("event_id", registry.model_identity("model_id", "event_type", "run_name").alias("model"))
 
 
-@query("SELECT event_id, 'exp' || (user_id % 4) || '/fold' || (event_id % 5) AS run, 'exp' || (user_id % 4) || '/fold' || (event_id % 5) || '|' || CASE WHEN event_type = 'view' THEN '' ELSE event_type END AS key FROM events WHERE event_id < 2000")
+@query("SELECT event_id, 'exp' || (user_id % 4) || '/fold' || (event_id % 5) AS run, 'exp' || (user_id % 4) || '/fold' || (event_id % 5) || '|' || CASE WHEN event_type = 'view' THEN '' ELSE event_type END AS key FROM events")
 def registry_key(t: Fixtures) -> DataFrame:
     path = F.concat(F.lit("/data/outputs/exp"), (F.col("user_id") % 4).cast("string"), F.lit("/fold"), (F.col("event_id") % 5).cast("string"), F.lit("/metadata.json"))
-    rows = t.events.filter("event_id < 2000").select("event_id", registry.relative_run(path, "outputs").alias("run"), F.when(F.col("event_type") != "view", F.col("event_type")).alias("endpoint"))
+    rows = t.events.select("event_id", registry.relative_run(path, "outputs").alias("run"), F.when(F.col("event_type") != "view", F.col("event_type")).alias("endpoint"))
     return rows.select("event_id", "run", registry.run_key("run", "endpoint").alias("key"))
 
 
@@ -245,14 +260,14 @@ def scored_task_subset(t: Fixtures) -> DataFrame:
     return counts.join(tasks.filter("scored"), "task").select("task", "label", "n")
 
 
-@query("SELECT event_id, CASE WHEN event_type IN ('click', 'view') THEN event_type || '_loss' ELSE 'shared_loss' END AS loss, CASE WHEN event_id % 2 = 0 THEN event_id % 7 ELSE 3 END AS depth FROM events WHERE event_id < 1000")
+@query("SELECT event_id, CASE WHEN event_type IN ('click', 'view') THEN event_type || '_loss' ELSE 'shared_loss' END AS loss, CASE WHEN event_id % 2 = 0 THEN event_id % 7 ELSE 3 END AS depth FROM events")
 def config_overlay(t: Fixtures) -> DataFrame:
     shared = F.create_map(F.lit("loss"), F.lit("shared_loss"), F.lit("depth"), F.lit("3"))
     stage = F.map_filter(
         F.create_map(F.lit("loss"), F.when(F.col("event_type").isin("click", "view"), F.concat("event_type", F.lit("_loss"))), F.lit("depth"), F.when(F.col("event_id") % 2 == 0, (F.col("event_id") % 7).cast("string"))), lambda k, v: v.isNotNull()
     )
     merged = F.map_zip_with(shared, stage, lambda k, a, b: F.coalesce(b, a))
-    return t.events.filter("event_id < 1000").select("event_id", merged["loss"].alias("loss"), merged["depth"].cast("long").alias("depth"))
+    return t.events.select("event_id", merged["loss"].alias("loss"), merged["depth"].cast("long").alias("depth"))
 
 
 @query("WITH s AS (SELECT user_id, event_id, value FROM events), h AS (SELECT user_id, event_id, coalesce(max(value) OVER (PARTITION BY user_id ORDER BY event_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 100) AS estimate, 600 - coalesce(sum(value) OVER (PARTITION BY user_id ORDER BY event_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS remaining FROM s) SELECT user_id, event_id, round(estimate, 6) + 0.0 AS estimate, remaining >= estimate + 10 AS admitted FROM h")
@@ -262,6 +277,22 @@ def runtime_admission(t: Fixtures) -> DataFrame:
     return rows.select("user_id", "event_id", r6("estimate").alias("estimate"), (F.col("remaining") >= F.col("estimate") + 10).alias("admitted"))
 
 
+@query("""SELECT * FROM (SELECT 'Row integrity' AS analysis, format('{:,}', count(*)) || ' orders; ' || format('{:,}', count(*) - count(DISTINCT o_orderkey)) || ' repeated keys' AS finding, 'Keys identify rows' AS implication, 'High' AS priority FROM orders UNION ALL
+SELECT 'Label sparsity', format('{:,}', count(*)) || ' of ' || format('{:,}', (SELECT count(*) FROM documents)) || ' documents have labels', 'Losses must be masked', 'Critical' FROM labels UNION ALL
+SELECT 'Uncertainty', 'sd is known of ' || format('{:,}', count(sd)) || ' of ' || format('{:,}', count(*)) || ' measurements', 'Weights need a default', 'Medium' FROM long_)""")
+def report_summary(t: Fixtures) -> DataFrame:
+    """Findings, each looked up in an aggregate, by priority."""
+    from tessera.sources.reports import findings
+
+    n = lambda c: F.format_number(c, 0)
+    total = t.documents.agg(F.count("*").alias("total"))
+    return findings(
+        ("Row integrity", t.orders.agg(F.concat(n(F.count("*")), F.lit(" orders; "), n(F.count("*") - F.countDistinct("o_orderkey")), F.lit(" repeated keys"))), "Keys identify rows", "High"),
+        ("Label sparsity", t.labels.agg(F.count("*").alias("n")).join(F.broadcast(total)).select(F.concat(n("n"), F.lit(" of "), n("total"), F.lit(" documents have labels"))), "Losses must be masked", "Critical"),  # one row each
+        ("Uncertainty", t.long.agg(F.concat(F.lit("sd is known of "), n(F.count("sd")), F.lit(" of "), n(F.count("*")), F.lit(" measurements"))), "Weights need a default", "Medium"),
+    )
+
+
 # Models
 
 
@@ -270,7 +301,7 @@ def gbt_per_endpoint(t: Fixtures) -> DataFrame:
     """A boosted-tree regressor for each endpoint on the train folds, scored on the held-out one."""
     from tessera.operators.models import fit_predict
 
-    return rounded(scores.regression_metrics(fit_predict(bundle(t), ["qty", "tax", "total", "balance"], 0), ["endpoint"]))
+    return rounded(scores.regression_metrics(fit_predict(bundle(t), ["qty", "tax", "total", "balance"], 0, endpoints=[1, 2]), ["endpoint"]))
 
 
 @query()
@@ -278,7 +309,7 @@ def batch_inference(t: Fixtures) -> DataFrame:
     """The fitted models' long predictions for the held-out fold."""
     from tessera.operators.models import fit_predict
 
-    return fit_predict(bundle(t), ["qty", "tax"], 1, trees=3).select("entity", "endpoint", r6("p").alias("p"))
+    return fit_predict(bundle(t), ["qty", "tax"], 1, trees=3, endpoints=[1, 2]).select("entity", "endpoint", r6("p").alias("p"))
 
 
 def bundle(t: Fixtures) -> DataFrame:

@@ -2,12 +2,12 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tessera.functions import expr
 from tessera.functions.expr import r6, rounded
-from tessera.operators import joins, profile, reshape
+from tessera.operators import joins, profile, ranks, reshape
 from tessera.plans.base import ENDPOINTS, Fixtures, query, sql_bucket
 from tessera.sources.tables import canonical_json
 
@@ -22,11 +22,11 @@ def scan_filter_project(t: Fixtures) -> DataFrame:
   SELECT o_orderkey, o_custkey, 'finished' AS source, 0 AS priority FROM orders WHERE o_orderstatus = 'F'
   UNION ALL SELECT o_orderkey, o_custkey, 'urgent', 1 FROM orders WHERE o_orderpriority = '1-URGENT'
   UNION ALL SELECT o_orderkey, o_custkey, 'large', 2 FROM orders WHERE o_totalprice > 300000
-  UNION ALL SELECT o_orderkey, o_custkey, 'all', 3 FROM orders WHERE o_orderkey % 3 = 0)
+  UNION ALL SELECT o_orderkey, o_custkey, 'all', 3 FROM orders)
 SELECT o_orderkey, priority, o_custkey, source FROM s QUALIFY row_number() OVER (PARTITION BY o_orderkey ORDER BY priority) = 1""")
 def tagged_union_first(t: Fixtures) -> DataFrame:
     o = t.orders
-    slices = [("finished", o.filter("o_orderstatus = 'F'")), ("urgent", o.filter("o_orderpriority = '1-URGENT'")), ("large", o.filter("o_totalprice > 300000")), ("all", o.filter("o_orderkey % 3 = 0"))]
+    slices = [("finished", o.filter("o_orderstatus = 'F'")), ("urgent", o.filter("o_orderpriority = '1-URGENT'")), ("large", o.filter("o_totalprice > 300000")), ("all", o)]
     return joins.first_of_sources([(n, df.select("o_orderkey", "o_custkey")) for n, df in slices], ["o_orderkey"])
 
 
@@ -193,7 +193,10 @@ def stable_seed(t: Fixtures) -> DataFrame:
     return t.customer.select("c_custkey", expr.stable_seed("c_name").alias("seed"))
 
 
-@query()
+_CRC_STEP = "list_reduce(list_concat([xor(c, b)], [0, 0, 0, 0, 0, 0, 0, 0]), lambda x, z: xor(x >> 1, 3988292384 * (x & 1)))"
+
+
+@query(f"SELECT c_custkey, xor(xor(list_reduce(list_concat([4294967295], list_transform(string_split(c_name, ''), lambda s: CAST(ord(s) AS BIGINT))), lambda c, b: {_CRC_STEP}), 4294967295), 42) & 2147483647 AS seed FROM customer")
 def crc_seed(t: Fixtures) -> DataFrame:
     return t.customer.select("c_custkey", expr.crc_seed("c_name", 42).alias("seed"))
 
@@ -205,6 +208,23 @@ def one_hot(t: Fixtures) -> DataFrame:
     return t.customer.select("c_custkey", *slots, (~F.col("c_mktsegment").isin(known)).cast("int").alias("is_other"))
 
 
+@query("""WITH f AS (SELECT c_custkey, list_concat([CAST(c_mktsegment = 'BUILDING' AS DOUBLE), CAST(c_mktsegment = 'MACHINERY' AS DOUBLE), CAST(c_mktsegment NOT IN ('BUILDING', 'MACHINERY') AS DOUBLE)], [c_acctbal], [CAST(c_nationkey AS DOUBLE), CAST(c_nationkey % 5 AS DOUBLE)]) AS x FROM customer)
+SELECT c_custkey, CAST(i - 1 AS INTEGER) AS pos, CASE WHEN i <= 3 THEN 'segment' WHEN i = 4 THEN 'balance' ELSE 'nation' END AS block, x[i] AS x FROM f, LATERAL (SELECT unnest(range(1, 7)) AS i)""")
+def feature_blocks(t: Fixtures) -> DataFrame:
+    known = ["BUILDING", "MACHINERY"]
+    segment = F.array(*((F.col("c_mktsegment") == s).cast("double") for s in known), (~F.col("c_mktsegment").isin(known)).cast("double"))
+    nation = F.array(F.col("c_nationkey").cast("double"), (F.col("c_nationkey") % 5).cast("double"))
+    features, block = reshape.concat_blocks({"segment": (segment, 3), "balance": (F.array("c_acctbal"), 1), "nation": (nation, 2)})
+    return t.customer.select("c_custkey", F.posexplode(features).alias("pos", "x")).withColumn("block", block(F.col("pos"))).select("c_custkey", "pos", "block", "x")
+
+
+@query("SELECT doc_id, n_lines, CAST(coalesce(sum(n_lines) OVER (PARTITION BY source ORDER BY doc_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS BIGINT) AS first_line FROM (SELECT doc_id, source, len(string_split(text, chr(10))) AS n_lines FROM documents)")
+def batch_offsets(t: Fixtures) -> DataFrame:
+    """Where each document's parts begin when a source's are laid end to end."""
+    rows = t.documents.select("doc_id", "source", F.size(F.split("text", "\n", -1)).cast("long").alias("n_lines"))
+    return reshape.offsets(rows, ["source"], "doc_id", "n_lines", "first_line").select("doc_id", "n_lines", "first_line")
+
+
 # Reshape
 
 
@@ -220,9 +240,9 @@ def unpivot_struct(t: Fixtures) -> DataFrame:
     return reshape.unpivot_groups(wide, ["entity"], {e: {f: f"{f}_{e}" for f in fields} for e in ENDPOINTS}).filter(F.col("y").isNotNull()).transform(rounded)
 
 
-@query("SELECT vec_id, CAST(i - 1 AS INTEGER) AS pos, round(v[i], 6) + 0.0 AS x FROM vec_, LATERAL (SELECT unnest(range(1, 65)) AS i) WHERE vec_id % 10 = 0")
+@query("SELECT vec_id, CAST(i - 1 AS INTEGER) AS pos, round(v[i], 6) + 0.0 AS x FROM vec_, LATERAL (SELECT unnest(range(1, 65)) AS i)")
 def explode_vector(t: Fixtures) -> DataFrame:
-    return t.vec.filter("vec_id % 10 = 0").select("vec_id", F.posexplode("v").alias("pos", "x")).withColumn("x", r6("x"))
+    return t.vec.select("vec_id", F.posexplode("v").alias("pos", "x")).withColumn("x", r6("x"))
 
 
 @query("""WITH c AS (SELECT o_custkey AS id, p_brand AS name, count(*) AS n FROM lineitem JOIN orders ON l_orderkey = o_orderkey JOIN part ON l_partkey = p_partkey GROUP BY 1, 2)
@@ -247,7 +267,7 @@ def symmetric_matrix(t: Fixtures) -> DataFrame:
     return reshape.symmetric(pairs, "a", "b", "v", F.lit(1.0))
 
 
-@query("""SELECT l_orderkey, l_linenumber, l_shipdate, row_number() OVER (ORDER BY l_shipdate NULLS LAST, l_orderkey, l_linenumber, l_partkey, l_extendedprice) AS position FROM lineitem WHERE l_orderkey < 200""")
+@query("""SELECT l_orderkey, l_linenumber, l_shipdate, row_number() OVER (ORDER BY l_shipdate NULLS LAST, l_orderkey, l_linenumber, l_partkey, l_extendedprice) AS position FROM lineitem""")
 def sorted_registry(t: Fixtures) -> DataFrame:
-    order = Window.orderBy(F.col("l_shipdate").asc_nulls_last(), "l_orderkey", "l_linenumber", "l_partkey", "l_extendedprice")
-    return t.lineitem.filter("l_orderkey < 200").select("l_orderkey", "l_linenumber", "l_shipdate", F.row_number().over(order).cast("long").alias("position"))
+    order = ["l_shipdate", "l_orderkey", "l_linenumber", "l_partkey", "l_extendedprice"]
+    return ranks.positions(t.lineitem.select(*order), order, "position").select("l_orderkey", "l_linenumber", "l_shipdate", "position")

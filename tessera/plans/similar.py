@@ -6,11 +6,12 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tessera.functions.expr import bucket, cut, r6, rounded
-from tessera.operators import folds, graph, profile, reshape, similarity, stats
+from tessera.operators import folds, graph, profile, ranks, reshape, similarity, stats
 from tessera.plans.base import Fixtures, query, sql_bucket
 from tessera.plans.profiles import _SQL_VECTOR
 from tessera.plans.scans import t_counts
 from tessera.plans.statistics import sql_pearson
+from tessera.sources.work import stored
 
 _COS = "round(list_cosine_similarity({a}.v, {b}.v), 9)"
 #: Nearest neighbours as CTE text: queries vec_id % 5 = 0, references the others; and within the whole set.
@@ -28,13 +29,12 @@ def halves(t: Fixtures) -> tuple[DataFrame, DataFrame]:
     return v.filter("id % 5 = 0"), v.filter("id % 5 <> 0")
 
 
-def vector_pairs(t: Fixtures) -> DataFrame:
-    """a < b, cosine and the difference of payloads (labels) of all pairs."""
-    v = vectors(t).select("id", "v")
-    payload = t.vec.select("vec_id", F.col("label").cast("double").alias("x"))
-    pairs = similarity.dense_pairs(v, v, upper=True)
-    pairs = pairs.join(payload.withColumnsRenamed({"vec_id": "a", "x": "xa"}), "a").join(payload.withColumnsRenamed({"vec_id": "b", "x": "xb"}), "b")
-    return pairs.select("a", "b", F.round("sim", 9).alias("sim"), F.abs(F.col("xa") - F.col("xb")).alias("delta"))
+def vector_pairs(t: Fixtures, least: float | None = None) -> DataFrame:
+    """a < b, cosine, the difference of payloads (labels) and the first one's payload of all pairs, or of those from `least` on."""
+    v = vectors(t).withColumn("label", F.col("label").cast("double"))
+    pairs = similarity.dense_pairs(v, v, upper=True, carry=("label",), least=None if least is None else least - 1e-9)
+    pairs = pairs.select("a", "b", F.round("sim", 9).alias("sim"), F.abs(F.col("a_label") - F.col("b_label")).alias("delta"), F.col("a_label").cast("int").alias("endpoint"))
+    return pairs if least is None else pairs.filter(F.col("sim") >= least)
 
 
 _PAIRS = f"vp AS (SELECT p.vec_id AS a, q.vec_id AS b, {_COS.format(a='p', b='q')} AS sim, CAST(abs(p.label - q.label) AS DOUBLE) AS delta FROM vec_ p JOIN vec_ q ON p.vec_id < q.vec_id)"
@@ -50,20 +50,17 @@ def similarity_edges(t: Fixtures) -> DataFrame:
     return similarity.set_pairs(t.toks, "doc_id", "w", 0.6)
 
 
-@query("""WITH c AS (SELECT o_custkey AS id, p_brand AS name, count(*) AS n FROM lineitem JOIN orders ON l_orderkey = o_orderkey JOIN part ON l_partkey = p_partkey WHERE o_custkey % 10 = 0 GROUP BY 1, 2), q AS (SELECT id, sum(n * n) AS q FROM c GROUP BY 1),
+@query("""WITH c AS (SELECT o_custkey AS id, p_brand AS name, count(*) AS n FROM lineitem JOIN orders ON l_orderkey = o_orderkey JOIN part ON l_partkey = p_partkey GROUP BY 1, 2), q AS (SELECT id, sum(n * n) AS q FROM c GROUP BY 1),
 d AS (SELECT x.id AS a, y.id AS b, sum(x.n * y.n) AS dot FROM c x JOIN c y ON x.name = y.name AND x.id < y.id GROUP BY 1, 2)
 SELECT a, b, round(CAST(dot AS DOUBLE) / (qa.q + qb.q - dot), 6) + 0.0 AS sim FROM d JOIN q qa ON qa.id = a JOIN q qb ON qb.id = b""")
 def tanimoto_counts(t: Fixtures) -> DataFrame:
-    return rounded(similarity.count_pairs(t_counts(t).filter("id % 10 = 0"), "id", "name", "n"))
+    return rounded(similarity.count_pairs(t_counts(t), "id", "name", "n"))
 
 
-@query(f"SELECT q.vec_id AS a, r.vec_id AS b, {_L1.format(a='q', b='r').replace(', 9)', ', 6)')} + 0.0 AS sim FROM vec_ q JOIN vec_ r ON q.vec_id < r.vec_id AND q.label = r.label AND q.vec_id < 100")
+@query(f"SELECT q.vec_id AS a, r.vec_id AS b, {_L1.format(a='q', b='r').replace(', 9)', ', 6)')} + 0.0 AS sim FROM vec_ q JOIN vec_ r ON q.vec_id < r.vec_id AND q.label = r.label")
 def l1_score(t: Fixtures) -> DataFrame:
     v = vectors(t)
-    pairs = similarity.dense_pairs(v.filter("id < 100").select("id", "v"), v.select("id", "v"), "l1", upper=True)
-    label = v.select("id", "label")
-    same = pairs.join(label.withColumnsRenamed({"id": "a", "label": "la"}), "a").join(label.withColumnsRenamed({"id": "b", "label": "lb"}), "b").filter("la = lb")
-    return rounded(same.select("a", "b", "sim"))
+    return rounded(similarity.dense_pairs(v, v, "l1", upper=True, same=("label", "label")))
 
 
 @query(f"WITH {_PAIRS} SELECT count(*) AS pairs, (SELECT count(*) * (count(*) - 1) // 2 FROM vec_) AS expected, round(avg(sim), 6) + 0.0 AS mean, round(max(sim), 6) + 0.0 AS max, round(avg(delta), 6) + 0.0 AS mean_delta FROM vp")
@@ -96,7 +93,7 @@ def nn_threshold_fractions(t: Fixtures) -> DataFrame:
 @query(f"""WITH {_PAIRS} SELECT t.t AS threshold, count(*) AS n, round(avg(delta), 6) + 0.0 AS mean, round(median(delta), 6) + 0.0 AS median, round(quantile_cont(delta, 0.25), 6) + 0.0 AS q1, round(quantile_cont(delta, 0.75), 6) + 0.0 AS q3,
 round(quantile_cont(delta, 0.75) - quantile_cont(delta, 0.25), 6) + 0.0 AS iqr, count(*) FILTER (WHERE delta >= 1) AS cliffs_1, count(*) FILTER (WHERE delta >= 2) AS cliffs_2 FROM vp, (VALUES (0.1::DOUBLE), (0.2), (0.3), (0.4)) t(t) WHERE sim >= t.t GROUP BY 1""")
 def cliff_thresholds(t: Fixtures) -> DataFrame:
-    return rounded(similarity.threshold_stats(vector_pairs(t), [0.1, 0.2, 0.3, 0.4], "delta"))
+    return rounded(similarity.threshold_stats(vector_pairs(t, 0.1), [0.1, 0.2, 0.3, 0.4], "delta"))
 
 
 _BINS = [-1.0, 0.0, 0.1, 0.2, 0.3, 0.4, 1.000001]
@@ -113,7 +110,7 @@ def binned_pair_stats(t: Fixtures) -> DataFrame:
 
 @query(f"WITH {_PAIRS}, r AS (SELECT *, abs(p.label - 0) AS e, row_number() OVER (PARTITION BY p.label ORDER BY delta DESC, sim DESC, a, b) AS rank FROM vp JOIN vec_ p ON p.vec_id = a WHERE sim >= 0.25) SELECT label AS endpoint, CAST(rank AS INTEGER) AS rank, a, b, round(sim, 6) + 0.0 AS sim, delta FROM r WHERE rank <= 10")
 def top_cliff_pairs(t: Fixtures) -> DataFrame:
-    rows = vector_pairs(t).filter("sim >= 0.25").join(t.vec.select(F.col("vec_id").alias("a"), F.col("label").alias("endpoint")), "a")
+    rows = vector_pairs(t, 0.25)
     rank = F.row_number().over(Window.partitionBy("endpoint").orderBy(F.desc("delta"), F.desc("sim"), "a", "b"))
     return rows.withColumn("rank", rank).filter("rank <= 10").select("endpoint", "rank", "a", "b", r6("sim").alias("sim"), "delta")
 
@@ -124,7 +121,7 @@ _SECOND = f"n2 AS (SELECT q.vec_id AS id, arg_min(r.vec_id, (-{_L1.format(a='q',
 def two_representations(t: Fixtures) -> DataFrame:
     """Nearest neighbours by two scores, side by side."""
     q, r = halves(t)
-    a, b = similarity.dense_nearest(q, r), similarity.dense_nearest(q, r, "l1", block_rows=256)
+    a, b = similarity.dense_nearest(q, r), similarity.dense_nearest(q, r, "l1")
     return a.join(b.withColumnsRenamed({"neighbour": "neighbour_2", "sim": "sim_2"}), "id")
 
 
@@ -172,27 +169,32 @@ def saturation(t: Fixtures) -> DataFrame:
     return bits.agg(F.count("*").alias("n"), r6(F.avg("bits")).alias("mean_bits"), F.count_if(F.col("bits") >= 0.3 * 256).alias("saturated_30"), F.count_if(F.col("bits") >= 0.9 * 256).alias("saturated_90"), F.max("bits").alias("max_bits"))
 
 
-_REACH = "WITH RECURSIVE e AS (SELECT a AS u, b AS v FROM sims_ WHERE sim >= {t} UNION ALL SELECT b, a FROM sims_ WHERE sim >= {t}), r AS (SELECT doc_id AS u, doc_id AS v FROM documents WHERE n_chars < 2000 UNION SELECT r.u, e.v FROM r JOIN e ON r.v = e.u), c AS (SELECT u AS doc_id, min(v) AS root FROM r GROUP BY 1)"
+@query(f"""WITH b AS (SELECT DISTINCT doc_id, {sql_bucket("w", 2048)} AS bit FROM toks_), n AS (SELECT doc_id, count(*) AS n FROM b GROUP BY 1), c AS (SELECT x.doc_id AS a, count(*) AS c FROM b x JOIN b y ON y.doc_id = x.doc_id + 1 AND x.bit = y.bit GROUP BY 1)
+SELECT x.doc_id AS a, y.doc_id AS b, round(coalesce(c, 0) / CAST(x.n + y.n - coalesce(c, 0) AS DOUBLE), 6) + 0.0 AS sim FROM n x JOIN n y ON y.doc_id = x.doc_id + 1 LEFT JOIN c ON c.a = x.doc_id""")
+def packed_tanimoto(t: Fixtures) -> DataFrame:
+    """Each document and the next one, as packed bits."""
+    packed = similarity.pack_bits(t.toks.select("doc_id", bucket("w", 2048).alias("bit")), "doc_id", "bit", 2048)
+    left, right = packed.select(F.col("doc_id").alias("a"), F.col("words").alias("x")), packed.select(F.col("doc_id").alias("b"), F.col("words").alias("y"))
+    return left.join(right, F.col("b") == F.col("a") + 1).select("a", "b", r6(similarity.packed_tanimoto("x", "y")).alias("sim"))
 
 
-def document_components(t: Fixtures, least: float) -> DataFrame:
-    edges = similarity.set_pairs(t.toks, "doc_id", "w", least)
-    return graph.components(t.documents.filter("n_chars < 2000").select("doc_id"), edges, "doc_id")
+_REACH = "WITH RECURSIVE e AS (SELECT a AS u, b AS v FROM sims_ WHERE sim >= {t} UNION ALL SELECT b, a FROM sims_ WHERE sim >= {t}), r AS (SELECT doc_id AS u, doc_id AS v FROM documents UNION SELECT r.u, e.v FROM r JOIN e ON r.v = e.u), c AS (SELECT u AS doc_id, min(v) AS root FROM r GROUP BY 1)"
 
 
 @query(_REACH.format(t=0.6) + " SELECT doc_id, root, CAST(dense_rank() OVER (ORDER BY root) - 1 AS INTEGER) AS component FROM c")
 def components(t: Fixtures) -> DataFrame:
-    return reshape.index_names(document_components(t, 0.6), "root", "component").select("doc_id", "root", "component")
+    found = graph.components(t.documents.select("doc_id"), similarity.set_pairs(t.toks, "doc_id", "w", 0.6), "doc_id")
+    return reshape.index_names(found, "root", "component").select("doc_id", "root", "component")
 
 
 @query(" UNION ALL ".join(f"SELECT * FROM ({_REACH.format(t=x).replace('WITH RECURSIVE ', 'WITH RECURSIVE ')}, g AS (SELECT root, count(*) AS n FROM c GROUP BY 1) SELECT CAST({x} AS DOUBLE) AS threshold, count(*) AS components, count(*) FILTER (WHERE n = 1) AS singletons, round(count(*) FILTER (WHERE n = 1) / CAST(count(*) AS DOUBLE), 6) + 0.0 AS singleton_fraction, max(n) AS largest, round(median(n), 6) + 0.0 AS median FROM g)" for x in (0.5, 0.6)))
 def component_summary(t: Fixtures) -> DataFrame:
-    out = None
+    edges = stored(similarity.set_pairs(t.toks, "doc_id", "w", 0.5))  # both thresholds read it
+    out = []
     for x in (0.5, 0.6):
-        sizes = document_components(t, x).groupBy("root").agg(F.count("*").alias("n"))
-        one = profile.size_summary(sizes, "components").select(F.lit(x).alias("threshold"), "*")
-        out = one if out is None else out.unionByName(one)
-    return rounded(out)
+        sizes = graph.components(t.documents.select("doc_id"), edges.filter(F.col("sim") >= x), "doc_id").groupBy("root").agg(F.count("*").alias("n"))
+        out.append(profile.size_summary(sizes, "components").select(F.lit(x).alias("threshold"), "*"))
+    return rounded(out[0].unionByName(out[1]))
 
 
 _KFOLD = """WITH h AS (SELECT {k} AS k, row_number() OVER (ORDER BY {b}, {k}) - 1 AS r, count(*) OVER () AS n FROM {t}), f AS (SELECT k, CAST(CASE WHEN r < (n % 5) * (n // 5 + 1) THEN r // (n // 5 + 1) ELSE n % 5 + (r - (n % 5) * (n // 5 + 1)) // (n // 5) END AS INTEGER) AS fold FROM h)"""
@@ -234,11 +236,8 @@ def applicability_domain(t: Fixtures) -> DataFrame:
 @query(f"""WITH n AS (SELECT q.label AS endpoint, q.vec_id AS id, max({_COS.format(a='q', b='r')}) AS sim FROM vec_ q JOIN vec_ r ON q.label = r.label AND q.vec_id <> r.vec_id GROUP BY 1, 2) SELECT endpoint, {_SQL_VECTOR.format(v='sim')}, round(avg(CASE WHEN sim >= 0.3 THEN 1 ELSE 0 END), 6) + 0.0 AS at_3 FROM n GROUP BY 1""")
 def endpoint_coverage(t: Fixtures) -> DataFrame:
     v = vectors(t)
-    label = v.select("id", "label")
-    pairs = similarity.both_ways(similarity.dense_pairs(v.select("id", "v"), v.select("id", "v"), upper=True))
-    same = pairs.join(label.withColumnsRenamed({"id": "a", "label": "endpoint"}), "a").join(label.withColumnsRenamed({"id": "b", "label": "lb"}), "b").filter("endpoint = lb")
-    best = same.groupBy("endpoint", "a").agg(F.max("sim").alias("sim"))
-    return rounded(best.groupBy("endpoint").agg(*profile.stat_vector("sim"), F.avg((F.round("sim", 9) >= 0.3).cast("int")).alias("at_3")))
+    best = similarity.dense_nearest(v, v, other=True, same=("label", "label")).join(v.select("id", F.col("label").alias("endpoint")), "id")
+    return rounded(best.groupBy("endpoint").agg(*profile.stat_vector("sim"), F.avg((F.col("sim") >= 0.3).cast("int")).alias("at_3")))
 
 
 @query(f"WITH {_NN}, b AS (SELECT *, CASE WHEN sim >= 0.4 THEN 'high' WHEN sim >= 0.35 THEN 'moderate' ELSE 'low' END AS band FROM nn) SELECT band, id FROM b QUALIFY row_number() OVER (PARTITION BY band ORDER BY ('0x' || substr(md5(id || 'sample'), 1, 8))::BIGINT, id) <= 8")
@@ -255,12 +254,12 @@ def within_group_pairs(t: Fixtures) -> DataFrame:
     return rounded(pairs.groupBy("grp").agg(F.count("*").alias("pairs"), F.avg("d").alias("mean"), F.coalesce(F.stddev_samp("d"), F.lit(0.0)).alias("sd"), F.min("d").alias("min"), F.max("d").alias("max")))
 
 
-@query()
+@query(f"""WITH o AS (SELECT vec_id, v, row_number() OVER (ORDER BY vec_id) - 1 AS o, count(*) OVER () AS n FROM vec_), d AS (SELECT r.r AS id, {sql_bucket("concat(r.r, 'a')", 1 << 32)} AS ha, {sql_bucket("concat(r.r, 'b')", 1 << 32)} AS hb FROM range(0, 2000) r(r))
+SELECT d.id, x.vec_id AS a, y.vec_id AS b, round(list_inner_product(x.v, y.v), 6) + 0.0 AS sim FROM d JOIN o x ON x.o = d.ha % x.n JOIN o y ON y.o = d.hb % y.n WHERE x.o <> y.o""")
 def sampled_pairs(t: Fixtures) -> DataFrame:
     """2,000 pairs at fixed-seed hashed ordinals, and their cosines; a pair of equal ordinals is left out."""
     n = t.vec.agg(F.count("*").alias("n"))
-    ordinal = F.row_number().over(Window.orderBy("vec_id")) - 1  # of ids
-    ids = t.vec.select("vec_id").withColumn("o", ordinal).join(t.vec.select("vec_id", "v"), "vec_id")
+    ids = ranks.positions(t.vec.select("vec_id", "v"), ["vec_id"], "o").withColumn("o", F.col("o") - 1)
     draws = t.spark.range(2000).join(F.broadcast(n)).select("id", (bucket("id", 1 << 32, "a") % F.col("n")).alias("oa"), (bucket("id", 1 << 32, "b") % F.col("n")).alias("ob")).filter("oa <> ob")
     rows = draws.join(ids.select(F.col("o").alias("oa"), F.col("vec_id").alias("a"), F.col("v").alias("va")), "oa").join(ids.select(F.col("o").alias("ob"), F.col("vec_id").alias("b"), F.col("v").alias("vb")), "ob")
     dot = F.aggregate(F.zip_with("va", "vb", lambda x, y: x * y), F.lit(0.0), lambda s, d: s + d)
@@ -271,10 +270,8 @@ def sampled_pairs(t: Fixtures) -> DataFrame:
 SELECT instance, arg_min(reference, (-sim, -reference)) AS neighbour, round(max(sim), 6) + 0.0 AS sim FROM s GROUP BY 1""")
 def multi_instance_nn(t: Fixtures) -> DataFrame:
     q, r = halves(t)
-    pairs = similarity.dense_pairs(q.select("id", "v"), r.select("id", "v"))
-    instance = q.select(F.col("id").alias("a"), (F.col("label") * 10 + F.col("id") % 7).alias("instance"))
-    reference = r.select(F.col("id").alias("b"), (F.col("label") * 10 + F.col("id") % 3).alias("reference"))
-    best = pairs.join(instance, "a").join(reference, "b").groupBy("instance", "reference").agg(F.max(F.round("sim", 9)).alias("sim"))
+    best = similarity.group_best(q.withColumn("g", F.col("label") * 10 + F.col("id") % 7), r.withColumn("g", F.col("label") * 10 + F.col("id") % 3))
+    best = best.withColumnsRenamed({"ga": "instance", "gb": "reference"})
     # Ties go to the largest reference here.
     g = best.groupBy("instance").agg(F.max(F.struct("sim", "reference")).alias("n"))
     return rounded(g.select("instance", F.col("n.reference").alias("neighbour"), F.col("n.sim").alias("sim")))
@@ -285,8 +282,8 @@ def knn_baseline(t: Fixtures) -> DataFrame:
     from tessera.operators.scores import weighted_mean
 
     q, r = halves(t)
-    pairs = similarity.dense_pairs(q.select("id", "v"), r.select("id", "v"), least=0.2).join(r.select(F.col("id").alias("b"), "label"), "b")
-    g = pairs.groupBy(F.col("a").alias("id")).agg(F.count("*").alias("neighbours"), weighted_mean("label", "sim").alias("p"))
+    pairs = similarity.dense_pairs(q, r, least=0.2, carry=("label",))
+    g = pairs.groupBy(F.col("a").alias("id")).agg(F.count("*").alias("neighbours"), weighted_mean("b_label", "sim").alias("p"))
     return rounded(g)
 
 

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tessera.functions.expr import pearson, ratio, rounded
+from tessera.functions.expr import pearson, r6, ratio, rounded
 from tessera.operators import comparison, reshape, scores, stats
 from tessera.plans.base import ENDPOINTS, Fixtures, query, sql_bucket
 from tessera.plans.profiles import scheme_rows
@@ -34,7 +34,7 @@ metrics AS (SELECT endpoint, model, seed, count(*) AS n, round(sum({_EXCESS.form
 
 @query(f"WITH {_METRICS} SELECT * FROM metrics")
 def regression_metrics(t: Fixtures) -> DataFrame:
-    return rounded(scores.regression_metrics(t.pred, ["endpoint", "model", "seed"]))
+    return rounded(scores.regression_metrics(t.pred, ["endpoint", "model", "seed"], ranges=t.ranges))
 
 
 @query(f"""WITH m AS (SELECT *, avg(y) OVER (PARTITION BY endpoint, model, seed) AS mu FROM pred_), s AS (SELECT endpoint, model, seed, sum({_EXCESS.format(p='p')}) / nullif(sum({_EXCESS.format(p='mu')}), 0) AS v FROM m GROUP BY 1, 2, 3)
@@ -55,13 +55,13 @@ def pearson_pairwise(t: Fixtures) -> DataFrame:
 @query(f"""WITH r AS ({_PAIR_ROWS}), k AS (SELECT x_name, y_name, {sql_rank('x_name, y_name', 'x')} AS rx, {sql_rank('x_name, y_name', 'y')} AS ry FROM r)
 SELECT x_name, y_name, count(*) AS n, {sql_pearson('rx', 'ry')} AS rho FROM k GROUP BY 1, 2""")
 def spearman_pairwise(t: Fixtures) -> DataFrame:
-    return rounded(stats.spearman_table(t.wide, _PAIRS))
+    return rounded(stats.spearman_table(t.wide, _PAIRS, t.ranges))
 
 
 @query(f"""WITH k AS (SELECT endpoint, {sql_rank('endpoint', 'y')} AS x, {sql_rank('endpoint', 'qty')} AS y, {sql_rank('endpoint', 'tax')} AS z FROM long_), c AS (SELECT endpoint, count(*) AS n, corr(x, y) AS xy, corr(x, z) AS xz, corr(y, z) AS yz FROM k GROUP BY 1)
 SELECT endpoint, n, round((xy - xz * yz) / sqrt((1 - xz * xz) * (1 - yz * yz)), 6) + 0.0 AS rho FROM c""")
 def partial_spearman(t: Fixtures) -> DataFrame:
-    return rounded(stats.partial_spearman(t.long, ["endpoint"], "y", "qty", "tax"))
+    return rounded(stats.partial_spearman(t.long, ["endpoint"], "y", "qty", "tax", t.ranges))
 
 
 @query(f"""WITH j AS (SELECT d.n_chars, length(d.text) - length(replace(d.text, ' ', '')) AS gaps, l.quality, l.toxic FROM documents d JOIN labels l ON d.doc_id = l.doc_id), u AS (SELECT 'quality' AS label, 'n_chars' AS property, CAST(quality AS DOUBLE) AS x, CAST(n_chars AS DOUBLE) AS y FROM j UNION ALL
@@ -165,7 +165,7 @@ def uncertainty_relationships(t: Fixtures) -> DataFrame:
     rows = t.long.select("entity", "endpoint", (F.col("upper") - F.col("lower")).alias("ci_width"), "sd").join(t.props.select("entity", "total", "balance"), "entity")
     rows = reshape.unpivot_values(rows, ["endpoint", "total", "balance"], ["ci_width", "sd"], "metric", "m")
     rows = reshape.unpivot_values(rows, ["endpoint", "metric", "m"], ["total", "balance"], "property", "v")
-    return rounded(stats.spearman_by(rows, ["endpoint", "metric", "property"], "m", "v"))
+    return rounded(stats.spearman_by(rows, ["endpoint", "metric", "property"], "m", "v", ranges=t.ranges))
 
 
 @query("""WITH f AS (SELECT l.endpoint, avg(y) AS mean, CASE WHEN stddev_pop(y) < 1e-8 THEN 1 ELSE stddev_pop(y) END AS scale FROM long_ l JOIN folds_ g ON l.entity = g.entity WHERE random_fold <> 0 GROUP BY 1)
@@ -200,14 +200,14 @@ def mean_baseline_cv(t: Fixtures) -> DataFrame:
 k AS (SELECT *, {sql_rank('a, b, scope', 'ra')} AS xa, {sql_rank('a, b, scope', 'rb')} AS xb FROM j)
 SELECT a, b, scope, count(*) AS n, {sql_pearson('ra', 'rb')} AS r, {sql_pearson('xa', 'xb')} AS rho, round(avg(abs(ra - rb)), 6) + 0.0 AS mean_gap, round(max(abs(ra - rb)), 6) + 0.0 AS max_gap, round(avg(abs(ra)), 6) + 0.0 AS mae_a, round(avg(abs(rb)), 6) + 0.0 AS mae_b FROM k GROUP BY 1, 2, 3""")
 def residual_complementarity(t: Fixtures) -> DataFrame:
-    return rounded(comparison.complementarity(comparison.model_pairs(t.pred.filter("seed = 1"), ["entity", "endpoint", "seed"])))
+    return rounded(comparison.complementarity(comparison.model_pairs(t.pred.filter("seed = 1"), ["entity", "endpoint", "seed"]), ranges=t.ranges))
 
 
 _FOLD_SCORES = f"""v AS (SELECT *, avg(y) OVER (PARTITION BY endpoint, model, seed, fold) AS mu FROM pred_), sc AS (SELECT model, seed, fold, endpoint, sum({_EXCESS.format(p='p')}) / nullif(sum({_EXCESS.format(p='mu')}), 0) AS s FROM v GROUP BY 1, 2, 3, 4), mc AS (SELECT model, seed, fold, avg(s) AS macro FROM sc GROUP BY 1, 2, 3)"""
 
 
-def fold_macro(t: Fixtures) -> DataFrame:
-    return scores.macro(scores.st_rae(t.pred, ["endpoint", "model", "seed", "fold"]), ["model", "seed", "fold"], "st_rae")
+def fold_macro(t: Fixtures, where: str = "true") -> DataFrame:
+    return scores.macro(scores.st_rae(t.pred.filter(where), ["endpoint", "model", "seed", "fold"]), ["model", "seed", "fold"], "st_rae")
 
 
 @query(f"""WITH {_FOLD_SCORES}, d AS (SELECT c.model, c.seed, c.fold, c.macro - r.macro AS delta FROM mc c JOIN mc r ON c.seed = r.seed AND c.fold = r.fold AND r.model = 'm2' AND c.model <> 'm2'), f AS (SELECT model, count(*) AS folds, count(*) FILTER (WHERE m < 0) AS folds_improved FROM (SELECT model, fold, avg(delta) AS m FROM d GROUP BY 1, 2) GROUP BY 1)
@@ -222,13 +222,28 @@ def deltas(t: Fixtures, reference: str = "m2") -> DataFrame:
     return m.filter(F.col("model") != reference).join(ref, ["seed", "fold"]).select("model", "seed", "fold", (F.col("macro") - F.col("ref")).alias("delta"))
 
 
-@query(f"""WITH {_FOLD_SCORES}, e AS (SELECT model, avg(macro) AS macro, CASE WHEN model = 'm1' THEN 3 ELSE 4 END AS scored FROM mc GROUP BY 1), b AS (SELECT scored AS c, macro AS s, model AS m FROM e ORDER BY scored DESC, macro, model LIMIT 1)
+_COVERED = "NOT (model = 'm1' AND endpoint = 4)"  # a model that scores fewer endpoints
+
+
+@query(f"""WITH {_FOLD_SCORES.replace("FROM pred_", f"FROM pred_ WHERE {_COVERED}").replace("avg(s) AS macro", "avg(s) AS macro, count(s) AS scored")}, e AS (SELECT model, avg(macro) AS macro, min(scored) AS scored FROM mc GROUP BY 1), b AS (SELECT scored AS c, macro AS s, model AS m FROM e ORDER BY scored DESC, macro, model LIMIT 1)
 SELECT model, round(macro, 6) + 0.0 AS macro, scored, CASE WHEN model = m THEN 'reference' WHEN scored <> c THEN 'not comparable' WHEN macro < s THEN 'better' ELSE 'worse' END AS status, CASE WHEN scored = c THEN round(macro - s, 6) + 0.0 END AS delta FROM e, b""")
 def model_comparison(t: Fixtures) -> DataFrame:
-    table = fold_macro(t).groupBy("model").agg(F.avg("macro").alias("macro")).withColumn("scored", F.when(F.col("model") == "m1", 3).otherwise(4))
+    # Coverage is what every fold and seed of a model scores.
+    table = fold_macro(t, _COVERED).groupBy("model").agg(F.avg("macro").alias("macro"), F.min("scored").alias("scored"))
     return rounded(comparison.rank_models(table))
 
 
+@query(f"""WITH {_FOLD_SCORES}, m AS (SELECT model, seed, fold, CASE WHEN model = 'm1' AND fold = 0 THEN NULL WHEN model = 'm3' AND seed = 2 THEN NULL ELSE macro END AS first, CASE WHEN model = 'm3' AND fold < 2 THEN NULL ELSE macro + seed END AS second FROM mc)
+SELECT model, seed, fold, round(coalesce(first, second, CAST('Infinity' AS DOUBLE)), 6) + 0.0 AS objective, CASE WHEN first IS NOT NULL THEN 0 WHEN second IS NOT NULL THEN 1 END AS used FROM m""")
+def objective_fallback(t: Fixtures) -> DataFrame:
+    """A search's objective: the configured metric, else the fallback, else infinity; NaN and infinity are not finite."""
+    nan = F.lit(float("nan"))
+    first = F.when((F.col("model") == "m1") & (F.col("fold") == 0), nan).when((F.col("model") == "m3") & (F.col("seed") == 2), float("inf")).otherwise(F.col("macro"))
+    second = F.when((F.col("model") == "m3") & (F.col("fold") < 2), F.lit(None)).otherwise(F.col("macro") + F.col("seed"))
+    value, used = scores.objective(first, second)
+    return fold_macro(t).select("model", "seed", "fold", r6(value).alias("objective"), used.alias("used"))
+
+
 @query("""WITH c AS (SELECT endpoint, CAST(count(*) FILTER (WHERE y >= 5 AND p >= 5) AS DOUBLE) AS tp, CAST(count(*) FILTER (WHERE y < 5 AND p >= 5) AS DOUBLE) AS fp, CAST(count(*) FILTER (WHERE y >= 5 AND p < 5) AS DOUBLE) AS fn, CAST(count(*) FILTER (WHERE y < 5 AND p < 5) AS DOUBLE) AS tn FROM pred_ WHERE model = 'm3' AND seed = 1 GROUP BY 1)
 SELECT endpoint, CAST(tp AS BIGINT) AS tp, CAST(fp AS BIGINT) AS fp, CAST(fn AS BIGINT) AS fn, CAST(tn AS BIGINT) AS tn, round((tp + tn) / (tp + fp + fn + tn), 6) + 0.0 AS accuracy, round(tp / (tp + fp), 6) + 0.0 AS precision, round(tp / (tp + fn), 6) + 0.0 AS recall, round(2 * tp / (2 * tp + fp + fn), 6) + 0.0 AS f1, round((tp * tn - fp * fn) / sqrt((tp + fp) * (tp + fn) * (tn + fp) * (tn + fn)), 6) + 0.0 AS mcc FROM c""")
 def confusion_mcc(t: Fixtures) -> DataFrame:

@@ -136,6 +136,45 @@ def test_expectations_report_all(spark):
         expectations.require(checks)
 
 
+def test_errors_name_the_first_rows(spark):
+    df = spark.createDataFrame([(k, 9) for k in (8, 3, 5, 1, 7, 6, 2)] + [(4, 0)], "k int, fold int")
+    bad = df.filter("fold > 4")
+    with pytest.raises(ExpectationError, match=r"^folds: 7, such as \[\{'k': 1, 'fold': 9\}, \{'k': 2, 'fold': 9\}, \{'k': 3.*'k': 6, 'fold': 9\}\]$"):
+        expectations.require(expectations.result("folds", bad), {"folds": bad})
+    twice = spark.createDataFrame([(k % 9,) for k in range(18)], "k int")
+    with pytest.raises(ExpectationError, match=r"repeat, such as \[\{'k': 0\}, \{'k': 1\}, \{'k': 2\}, \{'k': 3\}, \{'k': 4\}\]"):
+        joins.validated_join(df, twice, ["k"])
+
+
+def test_objective_falls_back(spark):
+    inf, nan = float("inf"), float("nan")
+    df = spark.createDataFrame([(1.0, 2.0), (nan, 2.0), (None, 3.0), (-inf, 4.0), (inf, None), (nan, nan)], "a double, b double")
+    assert [tuple(r) for r in df.select(*scores.objective("a", "b")).collect()] == [(1.0, 0), (2.0, 1), (3.0, 1), (4.0, 1), (inf, None), (inf, None)]
+
+
+def test_external_predictions(spark, tmp_path):
+    from tessera.operators import models
+
+    long = spark.createDataFrame([(1, "a", 0.5), (1, "b", 0.25), (2, "a", 0.75)], "k int, endpoint string, y double")
+    models.export_wide(long, ["k"], "endpoint", "y", ["a", "b"], str(tmp_path / "wide"))
+    wide = tables.read_csv(spark, str(tmp_path / "wide"), "k int, y_a double, y_b double")
+    assert {tuple(r) for r in wide.collect()} == {(1, 0.5, 0.25), (2, 0.75, None)}
+    back = spark.createDataFrame([(1, 0.1), (2, 0.2), (3, 0.3)], "k int, p double")
+    assert {(r.k, r.endpoint, r.p) for r in models.join_predictions(long, back, ["k"]).collect()} == {(1, "a", 0.1), (1, "b", 0.1), (2, "a", 0.2)}
+    with pytest.raises(Exception, match='no prediction of .*"k":2'):
+        models.join_predictions(long, back.filter("k <> 2"), ["k"]).collect()
+    with pytest.raises(ExpectationError, match="repeat"):
+        models.join_predictions(long, back.union(back), ["k"])
+
+
+def test_blocks_of_features_and_offsets(spark):
+    features, block = reshape.concat_blocks({"a": (F.array(F.lit(1), F.lit(2)), 2), "b": (F.array(F.lit(3)), 1)})
+    rows = spark.range(1).select(F.posexplode(features).alias("pos", "x")).withColumn("block", block(F.col("pos"))).collect()
+    assert [tuple(r) for r in rows] == [(0, 1, "a"), (1, 2, "a"), (2, 3, "b")]
+    df = spark.createDataFrame([(1, 2, 5), (1, 1, 3), (2, 9, 4)], "g int, k int, n long")
+    assert {(r.g, r.k): r.at for r in reshape.offsets(df, ["g"], "k", "n", "at").collect()} == {(1, 1): 0, (1, 2): 3, (2, 9): 0}
+
+
 def test_constant_in_group(spark):
     df = spark.createDataFrame([(1, 1.0), (1, 1.0 + 1e-9), (2, 1.0), (2, 2.0), (3, 1.0), (3, None)], "k int, v double")
     assert sorted(r.k for r in expectations.constant_in_group(df, ["k"], "v", atol=1e-8).collect()) == [2, 3]
@@ -170,6 +209,61 @@ def test_prefix_filter_loses_nothing(spark):
         assert {(r.a, r.b) for r in similarity.set_pairs(items, "id", "w", least).collect()} == want
 
 
+def test_sparse_blocks_count_what_is_shared(spark):
+    rng = np.random.default_rng(31)
+    sets = {i: set(rng.choice(60, rng.integers(1, 20), replace=False).tolist()) for i in range(70)}
+    items = spark.createDataFrame([(k, f"w{w}") for k, s in sets.items() for w in s], "id int, w string")
+    want = {(a, b): len(sets[a] & sets[b]) / len(sets[a] | sets[b]) for a in sets for b in sets if a < b and sets[a] & sets[b]}
+    got = {(r.a, r.b): r.sim for r in similarity.set_pairs(items, "id", "w", block_rows=17).collect()}
+    assert got == pytest.approx(want, abs=1e-6)
+    first = sorted((-round(s, 6), a, b) for (a, b), s in want.items())[:9]
+    assert [(r.a, r.b) for r in similarity.top_set_pairs(items, "id", "w", 9).collect()] == [(a, b) for _, a, b in first]
+    few = [r.sim for r in similarity.top_set_pairs(items, "id", "w", 3, steps=(0.1,)).collect()]
+    assert few == [r.sim for r in similarity.set_pairs(items, "id", "w", top=3, block_rows=10).collect()]
+    counts = {i: {int(w): int(rng.integers(1, 5)) for w in rng.choice(40, 6, replace=False)} for i in range(30)}
+    df = spark.createDataFrame([(k, w, n) for k, c in counts.items() for w, n in c.items()], "id int, w int, n int")
+    dot = lambda x, y: sum(n * y.get(w, 0) for w, n in x.items())
+    want = {(a, b): dot(x, y) / (dot(x, x) + dot(y, y) - dot(x, y)) for a, x in counts.items() for b, y in counts.items() if a < b and dot(x, y)}
+    assert {(r.a, r.b): r.sim for r in similarity.count_pairs(df, "id", "w", "n", block_rows=8).collect()} == pytest.approx(want)
+
+
+def test_blocks_carry_and_choose(spark):
+    rng = np.random.default_rng(32)
+    x, g = rng.standard_normal((40, 5)), rng.integers(0, 4, 40)
+    df = spark.createDataFrame([(i, v.tolist(), int(k), f"n{k}") for i, (v, k) in enumerate(zip(x, g))], "id long, v array<double>, g int, name string")
+    l1 = 1 / (1 + np.abs(x[:, None] - x[None]).sum(2) / 12)
+    rows = similarity.dense_pairs(df, df, "l1", upper=True, same=("g", "g"), carry=("name",), block_rows=9).collect()
+    assert {(r.a, r.b): (r.a_name, r.b_name) for r in rows} == {(i, j): (f"n{g[i]}", f"n{g[j]}") for i in range(40) for j in range(i + 1, 40) if g[i] == g[j]}
+    assert all(r.sim == pytest.approx(l1[r.a, r.b]) for r in rows)
+    cos = (x / np.linalg.norm(x, axis=1, keepdims=True)) @ (x / np.linalg.norm(x, axis=1, keepdims=True)).T
+    best = {(r.ga, r.gb): r.sim for r in similarity.group_best(df, df.withColumn("g", F.col("id") % 3), block_rows=7).collect()}
+    assert best == pytest.approx({(k, m): cos[g == k][:, np.arange(40) % 3 == m].max() for k in range(4) for m in range(3)}, abs=1e-9)
+    near = {r.id: r.neighbour for r in similarity.dense_nearest(df, df, other=True, same=("g", "g"), block_rows=6).collect()}
+    masked = np.where((g[:, None] == g[None]) & ~np.eye(40, dtype=bool), cos, -2)
+    assert near == {i: int(masked[i].argmax()) for i in range(40) if masked[i].max() > -2}
+
+
+def test_packed_bits(spark):
+    rng = np.random.default_rng(33)
+    sets = {i: set(rng.choice(130, rng.integers(1, 40), replace=False).tolist()) | {63, 64} for i in range(12)}
+    packed = similarity.pack_bits(spark.createDataFrame([(k, int(b)) for k, s in sets.items() for b in [*s, 63]], "id int, bit int"), "id", "bit", 130)
+    words = {r.id: r.words for r in packed.collect()}
+    assert {k: {64 * i + b for i, w in enumerate(ws) for b in range(64) if w >> b & 1} for k, ws in words.items()} == sets
+    pair = packed.alias("x").join(packed.alias("y"), F.col("y.id") == F.col("x.id") + 1).select("x.id", similarity.packed_tanimoto("x.words", "y.words").alias("s"))
+    assert {r.id: r.s for r in pair.collect()} == pytest.approx({k: len(sets[k] & sets[k + 1]) / len(sets[k] | sets[k + 1]) for k in range(11)})
+    empty = spark.createDataFrame([([0], [0])], "a array<long>, b array<long>")
+    assert one(empty.select(similarity.packed_tanimoto("a", "b").alias("s"))).s == 0.0
+
+
+def test_positions_of_ranges(spark):
+    rng = np.random.default_rng(34)
+    rows = [(int(k), None if v > 90 else int(v)) for k, v in enumerate(rng.integers(0, 100, 500))]
+    df = spark.createDataFrame(rows, "k int, v int").repartition(7)
+    got = [r.k for r in ranks.positions(df, ["v", "k"], "place").orderBy("place").collect()]
+    assert got == [k for k, _ in sorted(rows, key=lambda r: (r[1] is None, r[1] or 0, r[0]))]
+    assert [r.place for r in ranks.positions(df, ["v", "k"], "place").orderBy("place").collect()] == list(range(1, 501))
+
+
 def test_blocks_find_the_nearest(spark):
     x = np.random.default_rng(4).standard_normal((50, 6))
     df = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "id long, v array<double>")

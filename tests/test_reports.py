@@ -33,3 +33,34 @@ def test_gates(spark, tmp_path):
     (tmp_path / "COMPLETED").touch()
     assert reports.marker_problems(str(tmp_path)) == ["COMPLETED without metadata.json", "COMPLETED without predictions.csv"]
     assert reports.preflight([u], [str(tmp_path)], {"a": {"b": 1}}, ["a.b", "a.c"]) == [f"{u}: missing", "a.c: not set"]
+
+
+def test_preflight_of_data_and_checkpoint(spark, tmp_path):
+    from tessera.operators import expectations
+
+    spark.range(3).write.parquet(str(tmp_path / "model"))
+    folds = spark.createDataFrame([(1, 0), (2, 7)], "k int, fold int")
+    checks = expectations.together(expectations.unique(folds, ["k"]), expectations.within(folds, "fold", 0, 4, "folds"))
+    assert reports.preflight([], [], {}, [], checks, {str(tmp_path / "model"): (["id"], 3)}) == ["folds: 1 rows"]
+    problems = reports.preflight([], [], {}, [], None, {str(tmp_path / "model"): (["state"], 1), str(tmp_path / "none"): ([], 0)})
+    assert [p.split(": ")[1] for p in problems] == ["no state", "cannot be read"]
+
+
+def test_outputs_by_hash(spark, tmp_path):
+    from tessera.sources.tables import file_provenance, write_atomic
+
+    write_atomic(b"one", str(tmp_path / "out" / "a.txt"))
+    write_atomic(b"two", str(tmp_path / "out" / "b.txt"))
+    recorded = spark.createDataFrame(file_provenance(spark, str(tmp_path / "out")).collect())
+    assert reports.output_problems(spark, {}, str(tmp_path / "out"), recorded) == []
+    write_atomic(b"2", str(tmp_path / "out" / "b.txt"))
+    (tmp_path / "out" / "a.txt").unlink()
+    assert reports.output_problems(spark, {str(tmp_path / "t"): ([], 0)}, str(tmp_path / "out"), recorded) == [f"{tmp_path / 't'}: cannot be read", "a.txt: missing", "b.txt: changed"]
+
+
+def test_findings_by_priority(spark):
+    cell = spark.createDataFrame([("n = 3",)], "x string")
+    rows = reports.findings(("b", cell, "then", "High"), ("a", cell, "then", "High"), ("z", cell, "so", "Critical")).collect()
+    assert [tuple(r) for r in rows] == [("z", "n = 3", "so", "Critical"), ("a", "n = 3", "then", "High"), ("b", "n = 3", "then", "High")]
+    with pytest.raises(ValueError):
+        reports.findings(("b", cell, "then", "Urgent"))
