@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tessera.llm import language, line_dedup, mixing, packing, simhash
-from tessera.llm._shared import stored
+from tessera.llm._shared import finished, stored
 from tessera.llm.queries import vocabulary
 
 
@@ -67,9 +67,9 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each stage's rows are a table for the next one; what a stage stores on its way, and its own input, goes when its rows are
+    written. The last stage's rows are not written here."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    for k, (_, stage) in enumerate(STAGES):
-        docs = stage(spark, docs, sf_dir)
-        if k < len(STAGES) - 1:
-            docs = stored(docs)
-    return docs
+    for _, stage in STAGES[:-1]:
+        docs = finished(spark, lambda stage=stage, docs=docs: stage(spark, docs, sf_dir), docs)
+    return STAGES[-1][1](spark, docs, sf_dir)
