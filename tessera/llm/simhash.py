@@ -7,6 +7,13 @@ inequality: none of them can link), one reference after another, and the survivo
 that span its groups, not all pairs; meetings of more than `most` fingerprints are dealt out by pairs of chunks, so no
 task holds more than two chunks of one. Components of the links, with the fingerprint as node, give the classes.
 
+near_copies() links texts by the Jaccard similarity of their shingles instead, for radii at which no blocks of bits agree.
+Distinct texts meet where a band of minimum shingle hashes agrees (BANDS bands of ROWS: a pair of similarity 0.8 misses all of them
+in 2 of 1000 cases). In a meeting, pairs with some column of the pivot table or the fingerprints more than WIDE bits apart are discarded,
+and those whose minimum hashes, a byte of each, agree far too seldom. Of the rest the likeliest propose links that span the meeting; in later
+rounds each text proposes its likeliest pairs, twice as many each time. Every proposal is verified by the exact similarity of both texts.
+Rounds go on, without pairs that links join already or that were refused, until nothing is left to propose.
+
 Texts: A-Z lower-cased, words separated by space and \\t to \\r, shingles of `width` words joined by a space, repeats
 included; fewer words: the whole sequence; null, empty and blank texts: fingerprint zero, linked like any other. Repeated rows
 and equal texts have equal fingerprints. Very long texts are hashed in pieces. Null ids stay; a component of
@@ -27,6 +34,10 @@ from tessera.llm._shared import chunks, doc_id_type, id_text, stored
 from tessera.llm.components import components
 
 SEED, RADIUS, PIVOTS = 42, 3, 16
+BANDS, ROWS, WIDE = 16, 5, 22
+#: How far an estimate may fall short of the similarity (three standard errors of BANDS * ROWS hashes); pairs that a text proposes in a
+#: meeting of the second round.
+SHORT, LIKELIEST = 0.14, 4
 _WIDTHS = (13, 13, 13, 13, 12)
 _SHINGLES_AT_ONCE = 1 << 15
 
@@ -50,23 +61,42 @@ def references() -> np.ndarray:
     return x ^ (x >> np.uint64(31))
 
 
-def fingerprint(text: bytes | None, width: int = 3) -> int:
+def shingle_hashes(text: bytes | None, width: int) -> Iterator[np.ndarray]:
+    """XXH64 of all shingles, repeats included, in pieces; none for texts without words."""
     import xxhash
 
     words = (text or b"").lower().split()
     if not words:
-        return 0
+        return
     line = b" ".join(words)
     ends = np.cumsum(np.fromiter(map(len, words), np.int64, len(words)) + 1) - 1
     starts = np.concatenate([[0], ends[:-1] + 1])
     k = min(width, len(words))
-    digest = xxhash.xxh64_intdigest
-    n, bits = len(words) - k + 1, np.zeros(64, np.int64)
+    digest, n = xxhash.xxh64_intdigest, len(words) - k + 1
     for a in range(0, n, _SHINGLES_AT_ONCE):
         z = min(n, a + _SHINGLES_AT_ONCE)
-        h = np.array([digest(line[s:e], SEED) for s, e in zip(starts[a:z].tolist(), ends[a + k - 1 : z + k - 1].tolist())], "<u8")
-        bits += np.unpackbits(h.view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(0, dtype=np.int64)
-    return int(np.packbits(2 * bits > n, bitorder="little").view("<u8")[0])
+        yield np.array([digest(line[s:e], SEED) for s, e in zip(starts[a:z].tolist(), ends[a + k - 1 : z + k - 1].tolist())], "<u8")
+
+
+class Fingerprint:
+    """Counts of set bits over the pieces of a text."""
+
+    def __init__(self):
+        self.bits, self.n = np.zeros(64, np.int64), 0
+
+    def add(self, h: np.ndarray) -> None:
+        self.bits += np.unpackbits(h.view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(0, dtype=np.int64)
+        self.n += len(h)
+
+    def value(self) -> int:
+        return int(np.packbits(2 * self.bits > self.n, bitorder="little").view("<u8")[0])
+
+
+def fingerprint(text: bytes | None, width: int = 3) -> int:
+    out = Fingerprint()
+    for h in shingle_hashes(text, width):
+        out.add(h)
+    return out.value()
 
 
 def fingerprints(docs: DataFrame, width: int = 3, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -169,3 +199,192 @@ def near_duplicates(docs: DataFrame, width: int = 3, id_col: str = "doc_id", tex
     least = rooted.groupBy("root").agg(F.min("first").alias("component_id"))
     classes = stored(rooted.join(least, "root").select(F.col("fp").alias("_fp"), "component_id"))
     return rows.join(classes, F.col("fp") == F.col("_fp"), "left").select("doc_id", "fp", "component_id")
+
+
+def _mixers() -> tuple[np.ndarray, np.ndarray]:
+    """Factors (odd) and terms of the hash functions of the bands."""
+    rng = np.random.default_rng(10)
+    return tuple(rng.integers(0, 1 << 64, BANDS * ROWS, np.uint64, endpoint=False) | np.uint64(odd) for odd in (1, 0))
+
+
+def band_keys(least: np.ndarray) -> list[int]:
+    """A key for each band of minimum hashes."""
+    import xxhash
+
+    return [_signed(xxhash.xxh3_64_intdigest(band.tobytes(), k)) for k, band in enumerate(least.reshape(BANDS, ROWS))]
+
+
+def signatures(batches: Iterator[pa.RecordBatch], width: int) -> Iterator[pa.RecordBatch]:
+    """doc_id, t1, t2, fp, band keys, and a byte of each minimum hash; texts without words have the key 0 only."""
+    factor, term = _mixers()
+    for batch in batches:
+        for part in chunks(batch):
+            fps, keys, sketches = [], [], []
+            for text in part.column("text").to_pylist():
+                out, least = Fingerprint(), np.full(BANDS * ROWS, np.iinfo(np.uint64).max)
+                for h in shingle_hashes(text, width):
+                    out.add(h)
+                    for at in range(0, len(h), 1024):
+                        np.minimum(least, (h[at : at + 1024, None] * factor + term).min(0), out=least)
+                fps.append(out.value())
+                keys.append(band_keys(least) if out.n else [0])
+                sketches.append((least >> np.uint64(7) & np.uint64(255)).astype(np.uint8).tobytes())
+            fps = np.array(fps, np.uint64).view(np.int64)
+            yield pa.RecordBatch.from_arrays(
+                [*(part.column(c) for c in ("doc_id", "t1", "t2")), pa.array(fps), pa.array(keys, pa.list_(pa.int64())), pa.array(sketches, pa.binary())], ["doc_id", "t1", "t2", "fp", "keys", "sketch"]
+            )
+
+
+def pair_key(u: np.ndarray, v: np.ndarray) -> np.ndarray:
+    """A hash of each pair of nodes u < v."""
+    x = u.view(np.uint64) * np.uint64(0x9E3779B97F4A7C15) + v.view(np.uint64)
+    x = (x ^ (x >> np.uint64(29))) * np.uint64(0xBF58476D1CE4E5B9)
+    return x ^ (x >> np.uint64(32))
+
+
+def proposals(group, node, fp, sketch, root, refused, similarity: float, most: int | None) -> tuple[np.ndarray, np.ndarray]:
+    """Pairs of nodes, within WIDE bits and not estimated far below the similarity, of each group (sorted); nodes with one root are joined
+    already, refused holds the sorted keys of pairs that aren't links. most: each node's likeliest so many; None: likely ones that span
+    the group."""
+    by = np.lexsort((root, group))
+    group, node, fp, sketch, root = group[by], node[by], fp[by], sketch[by], root[by]
+    n = len(fp)
+    table = np.bitwise_count(fp[:, None] ^ references()[None, :]).astype(np.int8)
+    new = np.concatenate([[True], np.diff(group) != 0])
+    starts = np.flatnonzero(new)
+    end = np.append(starts[1:], n)[np.cumsum(new) - 1]
+    lead = new | np.concatenate([[True], np.diff(root) != 0])
+    own = np.flatnonzero(lead)[np.cumsum(lead) - 1]  # the first row of a group with each root stands for it
+    out = []
+    for least in (0.95, 0.87, similarity - SHORT) if most is None else (similarity - SHORT,):
+        left, step = np.flatnonzero(end - np.arange(n) > 1), 1
+        while len(left):
+            i, j = left, left + step
+            ok = own[i] != own[j]
+            i, j = i[ok], j[ok]
+            for p in range(PIVOTS):
+                ok = np.abs(table[i, p] - table[j, p]) <= WIDE
+                i, j = i[ok], j[ok]
+            ok = np.bitwise_count(fp[i] ^ fp[j]) <= WIDE
+            i, j = i[ok], j[ok]
+            alike = (sketch[i] == sketch[j]).mean(1)
+            alike = (alike - 1 / 256) / (1 - 1 / 256)
+            ok = alike >= least
+            i, j, alike = i[ok], j[ok], alike[ok]
+            if len(i) and len(refused):
+                key = pair_key(np.minimum(node[i], node[j]), np.maximum(node[i], node[j]))
+                ok = refused[np.minimum(np.searchsorted(refused, key), len(refused) - 1)] != key
+                i, j, alike = i[ok], j[ok], alike[ok]
+            if len(i):
+                out.append((i, j, alike))
+            while most is None and len(i):
+                a, b = own[i], own[j]
+                np.minimum.at(own, np.maximum(a, b), np.minimum(a, b))
+                while not np.array_equal(own[own], own):
+                    own = own[own]
+                ok = own[i] != own[j]
+                i, j = i[ok], j[ok]
+            step += 1
+            left = left[end[left] - left > step]
+            if step & (step - 1) == 0 and len(left):  # groups that are one already need no more
+                several = np.maximum.reduceat(own, starts) != starts
+                left = left[several[np.searchsorted(starts, left, "right") - 1]]
+    i, j, alike = (np.concatenate([x[k] for x in out]) if out else np.empty(0, np.int64) for k in range(3))
+    if most is not None:
+        a, pair = np.concatenate([i, j]), np.tile(np.arange(len(i)), 2)
+        order = np.lexsort((-alike[pair], a))
+        a, pair = a[order], pair[order]
+        chosen = np.unique(pair[np.arange(len(a)) - np.searchsorted(a, a) < most])
+        i, j = i[chosen], j[chosen]
+    return node[i], node[j]
+
+
+def _proposed(nodes: DataFrame, known: DataFrame | None, refused: DataFrame | None, similarity: float, turn: int, most: int) -> DataFrame:
+    """u < v: what all meetings propose. known: node, root; refused: u, v."""
+    rows = nodes.select("node", "fp", "sketch", F.posexplode("keys").alias("t", "key"))
+    large = stored(rows.groupBy("t", "key").agg(F.count("*").alias("n")).filter("n > 1"))  # a key of one text is no meeting
+    rows = rows.join(large, ["t", "key"]).withColumn("chunks", F.ceil(F.col("n") / most).cast("int")).withColumn("own", F.pmod(F.xxhash64("node"), F.col("chunks")).cast("int"))
+    pairs = F.transform(F.sequence(F.lit(0), F.col("chunks") - 1), lambda c: F.struct(F.least(c, F.col("own")).alias("a"), F.greatest(c, F.col("own")).alias("b")))
+    rows = rows.select("node", "fp", "sketch", F.explode(pairs).alias("p"), "t", "key").select(F.xxhash64("t", "key", "p.a", "p.b").alias("g"), "node", "fp", "sketch")
+    empty = F.array().cast("array<long>")
+    if known is not None:
+        rows = rows.join(known, "node", "left").withColumn("root", F.coalesce("root", "node"))
+        rows = rows.join(refused.groupBy(F.col("u").alias("node")).agg(F.collect_list("v").alias("no")), "node", "left").withColumn("no", F.coalesce("no", empty))
+    else:
+        rows = rows.withColumn("root", F.col("node")).withColumn("no", empty)
+
+    def whole_groups(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.Table]:
+        held = None
+        for batch in batches:
+            if batch.num_rows:
+                held = pa.Table.from_batches([batch]) if held is None else pa.concat_tables([held, pa.Table.from_batches([batch])])
+                g = held.column("g").to_numpy()
+                cut = int(np.searchsorted(g, g[-1]))  # the last group may go on
+                if cut:
+                    yield held.slice(0, cut)
+                    held = held.slice(cut)
+        if held is not None:
+            yield held
+
+    def meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for rows in whole_groups(batches):
+            g, node, fp, root = (rows.column(c).to_numpy() for c in ("g", "node", "fp", "root"))
+            sketch = np.frombuffer(b"".join(rows.column("sketch").to_pylist()), np.uint8).reshape(len(g), -1)
+            no = rows.column("no").combine_chunks()
+            partner = no.flatten().to_numpy()
+            keys = np.unique(pair_key(np.repeat(node, no.value_lengths().to_numpy()), partner)) if len(partner) else np.empty(0, np.uint64)
+            u, v = proposals(g, node, fp.view(np.uint64), sketch, root, keys, similarity, None if turn == 0 else LIKELIEST << (turn - 1))
+            yield pa.RecordBatch.from_arrays([pa.array(np.minimum(u, v)), pa.array(np.maximum(u, v))], ["u", "v"])
+
+    return rows.repartition("g").sortWithinPartitions("g").mapInArrow(meet, "u long, v long").distinct()
+
+
+def _similar(pairs: DataFrame, nodes: DataFrame, texts: DataFrame, width: int, similarity: float) -> DataFrame:
+    """u, v and whether their texts' shingles have that Jaccard similarity; texts: t1, t2, text."""
+    needed = pairs.select(F.explode(F.array("u", "v")).alias("node")).distinct().join(nodes.select("node", "t1", "t2"), "node")
+    found = texts.join(needed, ["t1", "t2"]).groupBy("node").agg(F.first("text").alias("text"))
+
+    def shingles(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for part in chunks(batch):
+                sets = [np.unique(np.concatenate([np.empty(0, "<u8"), *shingle_hashes(t, width)])).tobytes() for t in part.column("text").to_pylist()]
+                yield pa.RecordBatch.from_arrays([part.column("node"), pa.array(sets, pa.binary())], ["node", "s"])
+
+    sets = stored(found.mapInArrow(shingles, "node long, s binary"))
+    both = pairs.join(sets.select(F.col("node").alias("u"), F.col("s").alias("a")), "u").join(sets.select(F.col("node").alias("v"), F.col("s").alias("b")), "v")
+
+    def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            ok = []
+            for a, b in zip(batch.column("a"), batch.column("b")):
+                x, y = (np.frombuffer(c.as_buffer(), "<u8") for c in (a, b))
+                shared = len(np.intersect1d(x, y, assume_unique=True))
+                ok.append(shared >= (similarity - 1e-12) * (len(x) + len(y) - shared))
+            yield pa.RecordBatch.from_arrays([batch.column("u"), batch.column("v"), pa.array(ok, pa.bool_())], ["u", "v", "ok"])
+
+    return both.select("u", "v", "a", "b").mapInArrow(compare, "u long, v long, ok boolean")
+
+
+def near_copies(docs: DataFrame, width: int = 5, similarity: float = 0.8, most: int = 1024, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """doc_id, fp, component_id (the smallest doc_id that links reach) of every row; texts link from that Jaccard similarity of their
+    distinct shingles on. Texts without words are one class."""
+    text = F.col(text_col).cast("binary")
+    hashes = [F.xxhash64(F.coalesce(text, F.lit(b"")), F.lit(k)).alias(f"t{k}") for k in (1, 2)]
+    kind = doc_id_type(docs, id_col)
+    read = id_text(docs, id_col, text_col, *hashes)
+    rows = stored(read.mapInArrow(lambda batches: signatures(batches, width), f"doc_id {kind}, t1 long, t2 long, fp long, keys array<long>, sketch binary"))
+    nodes = rows.groupBy("t1", "t2").agg(F.min("doc_id").alias("first"), F.min(F.struct("fp", "keys", "sketch")).alias("k"))
+    nodes = stored(nodes.select(F.monotonically_increasing_id().alias("node"), "t1", "t2", "first", "k.*"))
+    checked = known = None
+    for turn in itertools.count():
+        asked = stored(_proposed(nodes, known, None if checked is None else checked.filter("NOT ok"), similarity, turn, most))
+        if not asked.take(1):
+            break
+        new = stored(_similar(asked, nodes, read.select("t1", "t2", "text"), width, similarity))
+        checked = new if checked is None else stored(checked.unionByName(new))
+        known = stored(components(checked.filter("ok").select("u", "v")))
+    rooted = nodes.select("node", "t1", "t2", "first")
+    rooted = rooted.withColumn("root", F.col("node")) if known is None else rooted.join(known, "node", "left").withColumn("root", F.coalesce("root", "node"))
+    least = rooted.groupBy("root").agg(F.min("first").alias("component_id"))
+    classes = stored(rooted.join(least, "root").select("t1", "t2", "component_id"))
+    return rows.join(classes, ["t1", "t2"]).select("doc_id", "fp", "component_id")

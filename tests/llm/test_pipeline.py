@@ -6,11 +6,12 @@ import hashlib
 import re
 
 import duckdb
+import numpy as np
 import pytest
 
 import corpus_pipeline
-from tessera.llm import line_dedup
-from tests.llm.test_operators import brute_components, brute_fingerprint, brute_targets, table
+from tessera.llm import line_dedup, simhash
+from tests.llm.test_operators import brute_targets, table
 
 SF = "/root/testdata/sf0.001"
 
@@ -61,11 +62,62 @@ def test_lines_against_sql(stages):
     assert all(r.n_chars == len(r.text) for r in after.collect())
 
 
+def shingles(text, width=5):
+    words = re.findall(r"[^\x20\x09-\x0D]+", re.sub("[A-Z]", lambda m: m[0].lower(), text or ""))
+    return {" ".join(words[i : i + width]) for i in range(max(1, len(words) - width + 1))} if words else set()
+
+
+def brute_classes(texts, similarity=0.8):
+    """The first of each component of the links, by all pairs."""
+    sets, root = [shingles(t) for t in texts], list(range(len(texts)))
+
+    def find(x):
+        while root[x] != x:
+            x = root[x]
+        return x
+
+    for i, x in enumerate(sets):
+        for j, y in enumerate(sets[:i]):
+            if len(x & y) >= (similarity - 1e-12) * len(x | y):
+                a, b = find(i), find(j)
+                root[max(a, b)] = min(a, b)
+    return [find(i) for i in range(len(texts))]
+
+
 def test_near_copies_leave_one(stages):
     before, after = stages[2]
     rows = sorted((r.doc_id, r.text) for r in before.collect())
-    roots = brute_components([brute_fingerprint(t) for _, t in rows])
-    assert sorted(r.doc_id for r in after.collect()) == sorted({rows[k][0] for k in roots})
+    assert sorted(r.doc_id for r in after.collect()) == sorted({rows[k][0] for k in brute_classes([t for _, t in rows])})
+
+
+@pytest.mark.parametrize("most", [8, 1024])
+def test_near_copies_of_edited_texts(spark, most):
+    rng = np.random.default_rng(21)
+    words = [f"w{i}" for i in range(400)]
+    texts = [None, "", " \n", "one", "ONE", "one two three four", "one  two three\tfour"]
+    for n in (6, 9, 30, 60, 150, 400):
+        for _ in range(3):
+            own = rng.choice(words, n).tolist()
+            for edits in (0, 0, 1, 1, 2, 3, n // 40, n // 20):  # chains, of similarities around the limit
+                copy = list(own)
+                for _ in range(edits):
+                    copy[int(rng.integers(n))] = str(rng.choice(words))
+                texts.append(" ".join(copy))
+                if edits == 1:
+                    own = copy
+    common = " ".join(rng.choice(words, 40))  # a passage of many, which makes no copies
+    texts += [common + " " + " ".join(rng.choice(words, 60)) for _ in range(60)]
+    docs = spark.createDataFrame([(2 * i, t, "x", 1) for i, t in enumerate(texts)], "doc_id long, text string, fp string, node int")
+    got = {r.doc_id // 2: r.component_id // 2 for r in simhash.near_copies(docs.unionByName(docs.limit(20)), most=most).collect()}
+    want = brute_classes(texts)
+    wrong = [i for i in range(len(texts)) if got[i] != want[i]]
+    assert not wrong and len(set(want)) < 0.75 * len(texts)
+
+
+def test_near_copies_of_null_ids(spark):
+    text = " ".join(f"w{i}" for i in range(60))
+    docs = spark.createDataFrame([(None, text), (7, text + " end"), (None, "other words here"), (9, None)], "doc_id long, text string")
+    assert sorted((str(r.doc_id), str(r.component_id)) for r in simhash.near_copies(docs).collect()) == [("7", "7"), ("9", "9"), ("None", "7"), ("None", "None")]
 
 
 def test_mix_comes_near_its_targets(stages):
