@@ -32,8 +32,9 @@ def remove_common_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Da
 
 
 def keep_one_of_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The document with the smallest id of each component stays, once if its row repeats; rows without an id stay."""
-    found = stored(simhash.near_duplicates(docs))
+    """Texts whose five-word shingles have a similarity of 0.8 or more are linked; the document with the smallest id of each component
+    stays, once if its row repeats; rows without an id stay."""
+    found = stored(simhash.near_copies(docs))
     copies = stored(found.filter(F.col("doc_id") != F.col("component_id")).select(F.col("doc_id").alias("_copy")).distinct())
     out = docs.join(copies, F.col("doc_id") == F.col("_copy"), "left_anti")
     repeats = found.filter(F.col("doc_id") == F.col("component_id")).groupBy("doc_id").agg(F.count("*").alias("n")).filter("n > 1")
@@ -43,7 +44,8 @@ def keep_one_of_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Each document as often as the mix takes it, the document that it takes in part if at least by half."""
+    """Each document as often as the mix takes it, the document that it takes in part if at least by half; ties in the hashed order go to
+    the smaller id."""
     thin = stored(docs.select("doc_id", "source", mixing.words_in(F.col("text")).alias("size")))
     mixed = mixing.mix(docs, mixing.make_plan(thin))
     times = F.when(F.col("size") > 0, F.round(F.col("taken") / F.col("size"))).otherwise(0).cast("int")
