@@ -366,6 +366,31 @@ def test_line_dedup_against_sql(spark):
     assert out.filter("text is null").count() == 1 and "h1" in out.columns
 
 
+@pytest.fixture
+def split_joins(spark):
+    """No broadcasts, and joins whose partitions count as skewed from a KB on."""
+    how = {
+        "spark.sql.autoBroadcastJoinThreshold": "-1", "spark.sql.adaptive.autoBroadcastJoinThreshold": "-1", "spark.sql.adaptive.skewJoin.skewedPartitionThresholdInBytes": "1k",
+        "spark.sql.adaptive.skewJoin.skewedPartitionFactor": "1.1", "spark.sql.adaptive.advisoryPartitionSizeInBytes": "1k", "spark.sql.shuffle.partitions": "13",
+    }
+    before = {k: spark.conf.get(k, None) for k in how}
+    for k, v in how.items():
+        spark.conf.set(k, v)
+    yield
+    for k, v in before.items():
+        spark.conf.unset(k) if v is None else spark.conf.set(k, v)
+
+
+def test_hot_lines_and_nodes_in_split_joins(spark, split_joins):
+    rows = [(i, f"hot line\nown line {i}\nhot line\n{'warm' if i % 4 == 0 else i}", f"s{i % 30}") for i in range(2000)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string").repartition(16)
+    got = {r.doc_id: (r.text, r.n_removed) for r in line_dedup.dedup_lines(docs).collect()}
+    want = {i: (f"own line {i}" + ("" if i % 4 == 0 else f"\n{i}"), 2 + (i % 4 == 0)) for i in range(1, 2000)} | {0: ("hot line\nown line 0\nwarm", 1)}
+    assert got == want
+    edges = spark.createDataFrame([(5, k) for k in range(6, 3000)] + [(k, k + 1) for k in range(4000, 4100)] + [(2999, 4050)], "u long, v long").repartition(16)
+    assert {r.node: r.root for r in components(edges, 0).collect()} == {k: 5 for k in [*range(6, 3000), *range(4000, 4101)]}
+
+
 # SimHash
 
 
@@ -432,10 +457,12 @@ def test_pivots_choose_the_pairs():
     assert seen["pairs"] == 3000 * 2999 // 2 and seen["near"] < 0.6 * seen["pairs"] and seen["left"] < 0.01 * seen["pairs"] and seen["links"] == 200
 
 
-def test_components_of_a_long_chain(spark):
+@pytest.mark.parametrize("small", [0, 1000])
+def test_components_of_a_long_chain(spark, small):
     edges = spark.createDataFrame([(i, i + 1) for i in range(200)] + [(500, 501), (7, 7)], "u long, v long")
-    roots = {r.node: r.root for r in components(edges).collect()}
+    roots = {r.node: r.root for r in components(edges, small).collect()}
     assert roots == {i: 0 for i in range(1, 201)} | {501: 500}
+    assert components(edges.filter("u > 900"), small).count() == 0
 
 
 # Language
