@@ -2,19 +2,49 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tessera.sources.work import stored
 
+#: Edges that one task may join up: 16 MB of them.
+SMALL = 1 << 20
+
 
-def components(nodes: DataFrame, edges: DataFrame, node: str = "id", a: str = "a", b: str = "b") -> DataFrame:
+def _joined(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """All of few edges (u > v) at once: every node that is not a root, and its root."""
+    edges = pa.Table.from_batches(list(batches), pa.schema([("u", pa.int64()), ("v", pa.int64())]))
+    nodes, place = np.unique(np.concatenate([edges.column("u").to_numpy(), edges.column("v").to_numpy()]), return_inverse=True)
+    u, v = np.split(place, 2)
+    root = np.arange(len(nodes))
+    while True:
+        a, b = root[u], root[v]
+        apart = a != b
+        if not apart.any():
+            break
+        np.minimum.at(root, np.maximum(a, b)[apart], np.minimum(a, b)[apart])
+        while not np.array_equal(root[root], root):
+            root = root[root]
+    child = np.flatnonzero(root != np.arange(len(nodes)))
+    yield pa.RecordBatch.from_arrays([pa.array(nodes[child]), pa.array(nodes[root[child]])], ["u", "v"])
+
+
+def components(nodes: DataFrame, edges: DataFrame, node: str = "id", a: str = "a", b: str = "b", small: int = SMALL) -> DataFrame:
     """node and root, the smallest node that it reaches.
 
     Each round hangs every node's neighbours below the smallest that it knows, and then skips a level by looking up the
-    parent's parent; edges inside a tree are dropped. The rounds grow with the logarithm of a component's diameter."""
+    parent's parent; edges inside a tree are dropped. The rounds grow with the logarithm of a component's diameter. No more than `small`
+    edges between whole-number nodes are joined up in one task instead."""
     links = stored(edges.select(F.greatest(a, b).alias("u"), F.least(a, b).alias("v")).filter("u <> v").distinct())
-    while True:
+    kind = dict(links.dtypes)["u"]
+    few = kind in ("int", "bigint") and links.count() <= small
+    if few:
+        links = links.select(F.col("u").cast("long"), F.col("v").cast("long")).coalesce(1).mapInArrow(_joined, "u long, v long").select(F.col("u").cast(kind), F.col("v").cast(kind))
+    while not few:
         state = links.agg(F.count("*"), F.bit_xor(F.xxhash64("u", "v"))).first()
         if not state[0]:
             break

@@ -6,6 +6,7 @@ import math
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -13,28 +14,40 @@ from tessera.functions.expr import col, ratio
 from tessera.sources.work import stored
 
 
+#: What a candidate of the prefix join costs, in pairs of a block.
+CANDIDATE = 8
+
+
 def set_pairs(items: DataFrame, key: str, item: str, least: float | None = None, top: int | None = None, block_rows: int = 1024) -> DataFrame:
     """a < b and sim, the Tanimoto similarity of their sets, for all pairs that share an item (others have 0).
 
     items holds (key, item) once each. With `least`, prefix filtering: items are ordered from rare to frequent, and two sets of that
     similarity share one among their first n - ceil(least * n) + 1, so frequent items make no pairs; each candidate is then
-    counted exactly. Without, blocks of sets meet (see sparse_pairs), so a frequent item costs no more than a rare one; top: only the
-    best pairs by (-sim, a, b)."""
-    if least is None:
-        found = sparse_pairs(items.select(F.col(key).alias("id"), F.col(item).alias("_i"), F.lit(1.0).alias("_x")), top, block_rows).withColumn("sim", F.round("sim", 6))
+    counted exactly. Where the prefixes' candidates would cost more than all pairs of sets in blocks, because few items are rare, and without
+    `least`, blocks of sets meet (see sparse_pairs), so a frequent item costs no more than a rare one. top: only the best pairs by
+    (-sim, a, b)."""
+    items = stored(items.select(F.col(key).alias("id"), F.col(item).alias("_item")))
+    coded = stored(items.groupBy("_item").agg(F.count("*").alias("_f")).withColumn("_c", F.monotonically_increasing_id()))
+    entry = F.struct("_f", "_c")
+    sets = stored(items.join(coded, "_item").groupBy("id").agg(F.transform(F.array_sort(F.collect_list(entry)), lambda x: x["_c"]).alias("s")))
+    n = F.size("s")
+    if least is not None:
+        low = least - 1e-9
+        prefix = F.slice("s", F.lit(1), (n - F.ceil(n * F.lit(low)) + 1).cast("int"))
+        heads = sets.select(F.col("id").alias("k"), n.alias("n"), F.posexplode(prefix).alias("p", "_i"))
+        f = F.col("f").cast("double")
+        candidates, n_sets = heads.groupBy("_i").agg(F.count("*").alias("f")).agg(F.sum(f * (f - 1) / 2)).first()[0] or 0, sets.count()
+    if least is None or candidates * CANDIDATE > n_sets * (n_sets - 1) / 2:
+        rows = sets.select("id", F.col("s").alias("i"), F.array_repeat(F.lit(1.0).cast("float"), n).alias("x"))
+        found = sparse_pairs(rows, top, block_rows, least).withColumn("sim", F.round("sim", 6))
+        found = found if least is None else found.filter(F.col("sim") >= least)
         return found if top is None else found.orderBy(F.desc("sim"), "a", "b").limit(top)
-    frequency = items.groupBy(item).agg(F.count("*").alias("_f"))
-    sets = items.join(frequency, item).groupBy(key).agg(F.transform(F.array_sort(F.collect_list(F.struct("_f", item))), lambda s: s[item]).alias("s"))
-    sets = stored(sets)  # three branches read it
-    n, low = F.size("s"), least - 1e-9
-    prefix = F.slice("s", F.lit(1), (n - F.ceil(n * F.lit(low)) + 1).cast("int"))
-    heads = sets.select(F.col(key).alias("k"), n.alias("n"), F.posexplode(prefix).alias("p", "_i"))
     left, right = (heads.withColumnsRenamed({"k": k, "n": f"n{k}", "p": f"p{k}"}) for k in ("a", "b"))
     # What two sets share is at most what stands on the same side of a shared item, and it.
     most = F.least("pa", "pb") + F.least(F.col("na") - F.col("pa"), F.col("nb") - F.col("pb"))
     enough = most * F.lit(1 + low) >= F.lit(low) * (F.col("na") + F.col("nb"))
-    candidates = left.join(right, "_i").filter((F.col("a") < F.col("b")) & enough).select("a", "b").distinct()
-    both = candidates.join(sets.select(F.col(key).alias("a"), F.col("s").alias("sa")), "a").join(sets.select(F.col(key).alias("b"), F.col("s").alias("sb")), "b")
+    pairs = left.join(right, "_i").filter((F.col("a") < F.col("b")) & enough).select("a", "b").distinct()
+    both = pairs.join(sets.select(F.col("id").alias("a"), F.col("s").alias("sa")), "a").join(sets.select(F.col("id").alias("b"), F.col("s").alias("sb")), "b")
     c = F.size(F.array_intersect("sa", "sb"))
     sim = F.round(ratio(c, F.size("sa") + F.size("sb") - c), 6)
     return both.select("a", "b", sim.alias("sim")).filter(F.col("sim") >= least)
@@ -53,47 +66,99 @@ def top_set_pairs(items: DataFrame, key: str, item: str, n: int, steps: tuple[fl
 
 def count_pairs(counts: DataFrame, key: str, item: str, n: str, block_rows: int = 1024) -> DataFrame:
     """a < b and sim = dot / (|a|^2 + |b|^2 - dot) of their count maps, for all pairs that share an item."""
-    return sparse_pairs(counts.select(F.col(key).alias("id"), F.col(item).alias("_i"), F.col(n).cast("double").alias("_x")), None, block_rows)
+    cells = counts.select(F.col(key).alias("id"), F.col(item).alias("_i"), F.col(n).cast("double").alias("_x"))
+    coded = stored(cells.select("_i").distinct().withColumn("_c", F.monotonically_increasing_id()))
+    rows = cells.join(coded, "_i").groupBy("id").agg(F.collect_list(F.struct("_c", "_x")).alias("e"))
+    return sparse_pairs(stored(rows.select("id", F.col("e._c").alias("i"), F.col("e._x").alias("x"))), None, block_rows)
+
+
+#: Pairs of two blocks that are settled one by one.
+FEW_PAIRS = 20_000
+
+
+def _shared(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The values that both hold, and how often each does."""
+    (ca, na), (cb, nb) = (np.unique(x, return_counts=True) for x in (a, b))
+    both, ia, ib = np.intersect1d(ca, cb, assume_unique=True, return_indices=True)
+    return both, na[ia].astype(float), nb[ib].astype(float)
+
+
+def _slice(row, code, value, square, part: np.ndarray, kind) -> np.ndarray:
+    """The columns `part` (sorted) of a sparse matrix, dense."""
+    place = np.minimum(np.searchsorted(part, code), len(part) - 1)
+    own = part[place] == code
+    out = np.zeros((len(square), len(part)), kind)
+    out[row[own], place[own]] = value[own]
+    return out
 
 
-def sparse_pairs(cells: DataFrame, top: int | None, block_rows: int, columns: int = 4096) -> DataFrame:
-    """Generalised Tanimoto of all rows that share a column, from the cells (id, _i, _x) of a sparse matrix: blocks of rows meet as
-    products of dense slices of the columns that both have. A pair of blocks is one unit of work, and is bounded by its rows. top: a pair of
-    blocks reports its best that many, and what ties with them to six decimals."""
-    rows = stored(cells.groupBy("id").agg(F.collect_list("_i").alias("i"), F.collect_list("_x").alias("x")))
+def _rest(row, code, value, square, columns: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Sums of squares by row, row ends, columns and values of the part of a sparse matrix that lies in some columns."""
+    own = np.flatnonzero(np.isin(code, columns))
+    own = own[np.lexsort((code[own], row[own]))]
+    ends = np.searchsorted(row[own], np.arange(len(square) + 1))
+    return np.bincount(row[own], weights=value[own].astype(float) ** 2, minlength=len(square)), ends, code[own], value[own]
+
+
+def _dot(a: tuple, p: int, b: tuple, q: int) -> float:
+    (_, ea, ca, va), (_, eb, cb, vb) = a, b
+    x, y = slice(ea[p], ea[p + 1]), slice(eb[q], eb[q + 1])
+    _, i, j = np.intersect1d(ca[x], cb[y], assume_unique=True, return_indices=True)
+    return float((va[x][i] * vb[y][j]).sum())
+
+
+def sparse_pairs(rows: DataFrame, top: int | None, block_rows: int, least: float | None = None, columns: int = 2048) -> DataFrame:
+    """a < b and the generalised Tanimoto similarity of all rows (id, i, x: columns and values) of a sparse matrix that share a column.
+    Blocks of rows meet as products of dense slices of the columns that both have; a pair of blocks is one unit of work, and is
+    bounded by its rows. least: only pairs that reach it, to six decimals; top: a pair of blocks reports its best that many, and what ties
+    with them to six decimals."""
     kind = dict(rows.dtypes)["id"]
 
     def meet(x: pa.Table, y: pa.Table) -> pa.Table:
         a = b = np.empty(0, np.int64)
         sim = np.empty(0)
         if x.num_rows and y.num_rows:
-            sides = [(t.column(f"id{s}"), t.column(f"i{s}").combine_chunks(), t.column(f"x{s}").combine_chunks()) for t, s in ((x, ""), (y, "_r"))]
-            row = [np.repeat(np.arange(len(i)), i.value_lengths().to_numpy()) for _, i, _ in sides]
-            value = [v.flatten().to_numpy() for _, _, v in sides]
-            code = pa.chunked_array([i.flatten() for _, i, _ in sides]).unify_dictionaries().dictionary_encode().combine_chunks().indices.to_numpy()
-            code = [code[: len(row[0])], code[len(row[0]) :]]
-            square = [np.bincount(r, weights=v * v, minlength=len(i)) for r, v, (_, i, _) in zip(row, value, sides)]
-            dot = np.zeros((x.num_rows, y.num_rows))
-            shared = np.intersect1d(code[0], code[1])
-            for at in range(0, len(shared), columns):
-                part, dense = shared[at : at + columns], []
-                for r, c, v, (_, i, _) in zip(row, code, value, sides):
-                    place = np.minimum(np.searchsorted(part, c), len(part) - 1)
-                    own = part[place] == c
-                    m = np.zeros((len(i), len(part)))
-                    m[r[own], place[own]] = v[own]
-                    dense.append(m)
-                dot += dense[0] @ dense[1].T
-            ids = [s[0].to_numpy() for s in sides]
-            i, j = np.nonzero((dot > 0) & (ids[0][:, None] < ids[1][None]))
-            sim = dot[i, j] / (square[0][i] + square[1][j] - dot[i, j])
-            a, b = ids[0][i], ids[1][j]
+            sides = []
+            for t, suffix in ((x, ""), (y, "_r")):
+                i, v = t.column(f"i{suffix}").combine_chunks(), t.column(f"x{suffix}").combine_chunks()
+                row = np.repeat(np.arange(len(i)), i.value_lengths().to_numpy())
+                value = v.flatten().to_numpy()
+                sides.append((row, i.flatten().to_numpy(), value, np.bincount(row, weights=value.astype(float) ** 2, minlength=len(i))))
+            # Products of whole numbers are exact in single precision up to 2**24.
+            whole = all((v == np.floor(v)).all() and q.max(initial=0) < 1 << 24 for _, _, v, q in sides)
+            shared, n_left, n_right = _shared(sides[0][1], sides[1][1])
+            shared = np.concatenate([np.sort(shared[at]) for at in np.array_split(np.argsort(-n_left * n_right, kind="stable"), range(columns, len(shared), columns))])
+            dot = np.zeros((x.num_rows, y.num_rows), np.float32 if whole else np.float64)
+            square = sides[0][3][:, None] + sides[1][3][None]
+            reach = None if least is None else (least - 1e-6) / (1 + least - 1e-6) * square - 1e-6
+            i = j = None
+            for at in range(0, max(1, len(shared)), columns):
+                part = shared[at : at + columns]
+                if len(part):
+                    dot += _slice(*sides[0], part, dot.dtype) @ _slice(*sides[1], part, dot.dtype).T
+                rest = shared[at + columns :]
+                if least is not None and len(rest):  # most columns are rare: what they could add at most leaves few pairs
+                    others = [_rest(*side, rest) for side in sides]
+                    possible = dot + np.sqrt(others[0][0][:, None] * others[1][0][None]) >= reach
+                    if np.count_nonzero(possible) <= FEW_PAIRS:
+                        i, j = np.nonzero(possible)
+                        dot[i, j] += [_dot(others[0], p, others[1], q) for p, q in zip(i.tolist(), j.tolist())]
+                        break
+            if i is None:
+                i, j = np.nonzero(dot > 0 if least is None else dot >= reach)
+            else:
+                ok = dot[i, j] >= reach[i, j]
+                i, j = i[ok], j[ok]
+            sim = dot[i, j].astype(float)
+            sim = sim / (square[i, j] - sim)
+            a, b, i = _halved(x, y, i, j)
+            sim = sim[i]
             if top is not None and len(sim) > top:
                 first = sim >= np.partition(sim, -top)[-top] - 1.1e-6
                 sim, a, b = sim[first], a[first], b[first]
         return pa.table({"a": pa.array(a, x.column("id").type), "b": pa.array(b, x.column("id").type), "sim": pa.array(sim, pa.float64())})
 
-    return _met(rows, rows, block_rows).applyInArrow(meet, f"a {kind}, b {kind}, sim double")
+    return _met(rows, rows, block_rows, half=True).applyInArrow(meet, f"a {kind}, b {kind}, sim double")
 
 
 def _matrix(column: pa.Array) -> np.ndarray:
@@ -116,16 +181,25 @@ SCORES = {
 }
 
 
-def _met(left: DataFrame, right: DataFrame, block_rows: int):
+def _met(left: DataFrame, right: DataFrame, block_rows: int, half: bool = False):
     """Both tables in blocks of about block_rows rows, by hash of the id, each row once for every block of the other; grouped for
-    a cogroup by block pair. The right columns are renamed, so that a table can meet itself."""
+    a cogroup by block pair. The right columns are renamed, so that a table can meet itself; with `half` each two of its blocks meet once."""
     right = right.withColumnsRenamed({c: f"{c}_r" for c in right.columns})
-    nl, nr = (max(1, math.ceil(df.count() / block_rows)) for df in (left, right))
-    left = left.withColumn("bl", F.pmod(F.xxhash64("id"), F.lit(nl)).cast("int")).withColumn("br", F.explode(F.sequence(F.lit(0), F.lit(nr - 1))))
-    right = right.withColumn("br", F.pmod(F.xxhash64("id_r"), F.lit(nr)).cast("int")).withColumn("bl", F.explode(F.sequence(F.lit(0), F.lit(nl - 1))))
+    nl = max(1, math.ceil(left.count() / block_rows))
+    nr = nl if half else max(1, math.ceil(right.count() / block_rows))
+    left = left.withColumn("bl", F.pmod(F.xxhash64("id"), F.lit(nl)).cast("int")).withColumn("br", F.explode(F.sequence(F.col("bl") if half else F.lit(0), F.lit(nr - 1))))
+    right = right.withColumn("br", F.pmod(F.xxhash64("id_r"), F.lit(nr)).cast("int")).withColumn("bl", F.explode(F.sequence(F.lit(0), F.col("br") if half else F.lit(nl - 1))))
     return left.groupBy("bl", "br").cogroup(right.groupBy("bl", "br"))
 
 
+def _halved(x: pa.Table, y: pa.Table, i: np.ndarray, j: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The smaller and the larger ids of pairs of two blocks of one table, and which pairs are meant: a block that meets itself has each twice."""
+    a, b = x.column("id").to_numpy()[i], y.column("id_r").to_numpy()[j]
+    meant = np.flatnonzero(a < b if x.column("bl")[0] == x.column("br")[0] else a != b)
+    a, b = a[meant], b[meant]
+    return np.minimum(a, b), np.maximum(a, b), meant
+
+
 def _equal(x: pa.Table, y: pa.Table, where: tuple[str, str]) -> np.ndarray:
     """Whether a row of x and a row of y have one value of those columns."""
     return x.column(where[0]).to_numpy()[:, None] == y.column(f"{where[1]}_r").to_numpy()[None]
@@ -137,28 +211,36 @@ def dense_pairs(
     """a, b, sim of all pairs of two tables (id, v) of vectors, as products of blocks: block pairs are the units of work and
     no side is broadcast. least: only pairs from it on; upper: only a < b; same = (left column, right column): only pairs of one value.
     carry: columns of both tables that go with the pairs, as a_<name> and b_<name>, so that no join has to bring them."""
-    kinds = dict(left.dtypes)
-    columns = ["id", *carry]
-    fields = [(f"{side}_{c}" if c != "id" else side, c, f"{c}_r" if side == "b" else c, side) for c in columns for side in "ab"]
+    kinds, half = dict(left.dtypes), upper and left is right
 
     def meet(x: pa.Table, y: pa.Table) -> pa.Table:
         i = j = np.empty(0, np.int64)
-        found = np.empty(0)
+        found, swapped = np.empty(0), np.empty(0, bool)
         if x.num_rows and y.num_rows:
             sim = SCORES[score](_matrix(x.column("v")), _matrix(y.column("v_r")))
             keep = np.ones(sim.shape, bool) if least is None else sim >= least - 1e-12
-            if upper:
+            if upper and not half:
                 keep &= x.column("id").to_numpy()[:, None] < y.column("id_r").to_numpy()[None]
             if same:
                 keep &= _equal(x, y, same)
             i, j = np.nonzero(keep)
+            if half:
+                meant = _halved(x, y, i, j)[2]
+                i, j = i[meant], j[meant]
             found = sim[i, j]
-        out = {name: (x if side == "a" else y).column(c).take(pa.array(i if side == "a" else j)) for name, _, c, side in fields}
+            swapped = x.column("id").to_numpy()[i] > y.column("id_r").to_numpy()[j] if half else np.zeros(len(i), bool)
+        out = {}
+        for c in ("id", *carry):
+            a, b = x.column(c).take(pa.array(i)).combine_chunks(), y.column(f"{c}_r").take(pa.array(j)).combine_chunks()
+            names = ("a", "b") if c == "id" else (f"a_{c}", f"b_{c}")
+            out[names[0]] = pc.if_else(pa.array(swapped), b, a) if len(i) else a
+            out[names[1]] = pc.if_else(pa.array(swapped), a, b) if len(i) else b
         return pa.table(out | {"sim": pa.array(found, pa.float64())})
 
-    keep = ["id", "v", *carry, *(c for c in same or () if c not in carry)]
-    schema = ", ".join(f"{name} {kinds[c]}" for name, c, _, _ in fields)
-    return _met(left.select(*dict.fromkeys(keep)), right.select(*dict.fromkeys(keep)), block_rows).applyInArrow(meet, f"{schema}, sim double")
+    used = list(dict.fromkeys(["id", "v", *carry, *(same or ())]))
+    fields = [f"{side}{'' if c == 'id' else '_' + c} {kinds[c]}" for c in ("id", *carry) for side in "ab"]
+    met = _met(left.select(*used), right.select(*used), block_rows, half)
+    return met.applyInArrow(meet, f"{', '.join(fields)}, sim double")
 
 
 def group_best(left: DataFrame, right: DataFrame, score: str = "cosine", block_rows: int = 1024) -> DataFrame:

@@ -184,6 +184,16 @@ def test_models_with_other_truths_are_rejected(spark):
     df = spark.createDataFrame([(1, "a", 1.0, 2.0), (1, "b", 1.5, 2.0)], "k int, model string, y double, p double")
     with pytest.raises(Exception, match="disagree"):
         comparison.model_pairs(df, ["k"]).collect()
+    with pytest.raises(Exception, match="disagree"):
+        comparison.model_pairs(df, ["k"], ["a", "b"]).collect()
+
+
+def test_model_pairs_in_columns_and_arrays(spark):
+    rows = [(k, m, float(k), k + 0.1 * n) for k in range(6) for n, m in enumerate("acb") if (k + n) % 4]
+    df = spark.createDataFrame(rows, "k int, model string, y double, p double")
+    got = [sorted(map(tuple, comparison.model_pairs(df, ["k"], models).select("k", "a", "b", F.round("ra", 6), F.round("rb", 6)).collect())) for models in (None, ["c", "b", "a"])]
+    have = {(k, m): round(y - p, 6) for k, m, y, p in rows}
+    assert got[0] == got[1] == sorted((k, a, b, have[k, a], have[k, b]) for k in range(6) for a, b in ("ab", "ac", "bc") if (k, a) in have and (k, b) in have)
 
 
 def test_larger_coverage_is_the_reference(spark):
@@ -275,11 +285,12 @@ def test_blocks_find_the_nearest(spark):
     assert similarity.dense_pairs(df, df, upper=True, block_rows=9).count() == 50 * 49 // 2
 
 
-def test_components_refine_with_the_threshold(spark):
+@pytest.mark.parametrize("small", [0, 1000])
+def test_components_refine_with_the_threshold(spark, small):
     nodes = spark.range(30)
     edges = [(i, i + 1, 0.5 + 0.02 * i) for i in range(20)] + [(25, 26, 0.9)]
     df = spark.createDataFrame(edges, "a long, b long, sim double")
-    low, high = ({r.id: r.root for r in graph.components(nodes, df.filter(F.col("sim") >= t)).collect()} for t in (0.5, 0.7))
+    low, high = ({r.id: r.root for r in graph.components(nodes, df.filter(F.col("sim") >= t), small=small).collect()} for t in (0.5, 0.7))
     assert low == {i: 0 if i <= 20 else 25 if i in (25, 26) else i for i in range(30)}
     assert all(low[a] == low[b] for a in high for b in high if high[a] == high[b])
 
