@@ -1,4 +1,4 @@
-"""Connected components of a threshold graph."""
+"""Connected components of a threshold graph, and graphs as features."""
 
 from __future__ import annotations
 
@@ -6,7 +6,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tessera.sources.work import stored
@@ -59,3 +59,11 @@ def components(nodes: DataFrame, edges: DataFrame, node: str = "id", a: str = "a
             break
     roots = links.select(F.col("u").alias(node), F.col("v").alias("root"))
     return nodes.select(node).join(roots, node, "left").withColumn("root", F.coalesce("root", node))
+
+
+def path_graph(items: Column) -> tuple[Column, Column]:
+    """Nodes and edges of the graph in which neighbours of an array of texts are linked: distinct items, and distinct links "a b" with a < b,
+    no item being linked to itself. Featurisers number the nodes by their place; a batch lays them end to end by reshape.offsets."""
+    before, after = F.slice(items, 1, F.greatest(F.size(items) - 1, F.lit(0))), F.slice(items, 2, F.greatest(F.size(items) - 1, F.lit(0)))
+    links = F.zip_with(before, after, lambda a, b: F.when(a != b, F.concat_ws(" ", F.least(a, b), F.greatest(a, b))))
+    return F.array_distinct(items), F.array_distinct(F.filter(links, lambda x: x.isNotNull()))

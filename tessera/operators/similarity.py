@@ -14,6 +14,11 @@ from tessera.functions.expr import col, ratio
 from tessera.sources.work import stored
 
 
+def six(sim: Column | str) -> Column:
+    """Six decimals; quotients of counts that end in an exact half go up in every engine."""
+    return F.round(col(sim) + F.lit(1e-9), 6)
+
+
 #: What a candidate of the prefix join costs, in pairs of a block.
 CANDIDATE = 8
 
@@ -39,7 +44,7 @@ def set_pairs(items: DataFrame, key: str, item: str, least: float | None = None,
         candidates, n_sets = heads.groupBy("_i").agg(F.count("*").alias("f")).agg(F.sum(f * (f - 1) / 2)).first()[0] or 0, sets.count()
     if least is None or candidates * CANDIDATE > n_sets * (n_sets - 1) / 2:
         rows = sets.select("id", F.col("s").alias("i"), F.array_repeat(F.lit(1.0).cast("float"), n).alias("x"))
-        found = sparse_pairs(rows, top, block_rows, least).withColumn("sim", F.round("sim", 6))
+        found = sparse_pairs(rows, top, block_rows, least).withColumn("sim", six("sim"))
         found = found if least is None else found.filter(F.col("sim") >= least)
         return found if top is None else found.orderBy(F.desc("sim"), "a", "b").limit(top)
     left, right = (heads.withColumnsRenamed({"k": k, "n": f"n{k}", "p": f"p{k}"}) for k in ("a", "b"))
@@ -49,7 +54,7 @@ def set_pairs(items: DataFrame, key: str, item: str, least: float | None = None,
     pairs = left.join(right, "_i").filter((F.col("a") < F.col("b")) & enough).select("a", "b").distinct()
     both = pairs.join(sets.select(F.col("id").alias("a"), F.col("s").alias("sa")), "a").join(sets.select(F.col("id").alias("b"), F.col("s").alias("sb")), "b")
     c = F.size(F.array_intersect("sa", "sb"))
-    sim = F.round(ratio(c, F.size("sa") + F.size("sb") - c), 6)
+    sim = six(ratio(c, F.size("sa") + F.size("sb") - c))
     return both.select("a", "b", sim.alias("sim")).filter(F.col("sim") >= least)
 
 

@@ -44,7 +44,7 @@ CTES = {
     "CROSS JOIN (VALUES ('m1'), ('m2'), ('m3')) m(model) CROSS JOIN (VALUES (1), (2), (3)) s(seed)",
     "vec_": "SELECT vec_id, label, CAST(embedding AS DOUBLE[]) AS v FROM embeddings",
     "toks_": """SELECT DISTINCT doc_id, w FROM (SELECT doc_id, unnest(string_split_regex(lower(text), '[^a-z0-9]+')) AS w FROM documents) WHERE w <> ''""",
-    "sims_": """SELECT a.doc_id AS a, b.doc_id AS b, round(count(*) / CAST(min(sa.n) + min(sb.n) - count(*) AS DOUBLE), 6) AS sim FROM toks_ a JOIN toks_ b ON a.w = b.w AND a.doc_id < b.doc_id
+    "sims_": """SELECT a.doc_id AS a, b.doc_id AS b, round(count(*) / CAST(min(sa.n) + min(sb.n) - count(*) AS DOUBLE) + 1e-9, 6) AS sim FROM toks_ a JOIN toks_ b ON a.w = b.w AND a.doc_id < b.doc_id
         JOIN (SELECT doc_id, count(*) AS n FROM toks_ GROUP BY 1) sa ON sa.doc_id = a.doc_id JOIN (SELECT doc_id, count(*) AS n FROM toks_ GROUP BY 1) sb ON sb.doc_id = b.doc_id GROUP BY 1, 2""",
 }
 

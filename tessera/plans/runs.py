@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tessera.functions.expr import bucket, finite, identity_levels, r6, ratio, rounded, words
-from tessera.operators import expectations, folds, registry, reshape, scores
+from tessera.operators import expectations, folds, graph, registry, reshape, scores
 from tessera.plans.base import ENDPOINTS, Fixtures, query, sql_bucket
 from tessera.plans.relations import _LEVELS
 from tessera.plans.statistics import _EXCESS, _FOLD_SCORES
@@ -158,6 +158,17 @@ def hashed_bits(t: Fixtures) -> DataFrame:
     return t.documents.select("doc_id", F.explode(F.array_distinct(F.transform(words("text"), lambda w: bucket(w, 2048)))).alias("bit"))
 
 
+@query("""WITH w AS (SELECT doc_id, source, list_filter(string_split_regex(lower(text), '[^a-z0-9]+'), lambda x: x <> '') AS w FROM documents), g AS (SELECT doc_id, source, len(list_distinct(w)) AS n_nodes,
+len(list_distinct(list_filter(list_transform(range(1, len(w)), lambda i: CASE WHEN w[i] <> w[i + 1] THEN least(w[i], w[i + 1]) || ' ' || greatest(w[i], w[i + 1]) END), lambda x: x IS NOT NULL))) AS n_edges FROM w)
+SELECT doc_id, n_nodes, 2 * n_edges AS n_edges, CAST(coalesce(sum(n_nodes) OVER (PARTITION BY source ORDER BY doc_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS BIGINT) AS first_node FROM g""")
+def graph_features(t: Fixtures) -> DataFrame:
+    """Each document as the graph of its neighbouring words (edges count in both directions), and where its nodes begin in its source's batch."""
+    items = F.filter(F.split(F.lower("text"), "[^a-z0-9]+"), lambda w: w != "")
+    nodes, edges = graph.path_graph(F.col("items"))
+    rows = t.documents.select("doc_id", "source", items.alias("items")).select("doc_id", "source", F.size(nodes).cast("long").alias("n_nodes"), (2 * F.size(edges)).cast("long").alias("n_edges"))
+    return reshape.offsets(rows, ["source"], "doc_id", "n_nodes", "first_node").select("doc_id", "n_nodes", "n_edges", "first_node")
+
+
 # Bundles
 
 

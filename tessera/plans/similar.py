@@ -170,12 +170,12 @@ def saturation(t: Fixtures) -> DataFrame:
 
 
 @query(f"""WITH b AS (SELECT DISTINCT doc_id, {sql_bucket("w", 2048)} AS bit FROM toks_), n AS (SELECT doc_id, count(*) AS n FROM b GROUP BY 1), c AS (SELECT x.doc_id AS a, count(*) AS c FROM b x JOIN b y ON y.doc_id = x.doc_id + 1 AND x.bit = y.bit GROUP BY 1)
-SELECT x.doc_id AS a, y.doc_id AS b, round(coalesce(c, 0) / CAST(x.n + y.n - coalesce(c, 0) AS DOUBLE), 6) + 0.0 AS sim FROM n x JOIN n y ON y.doc_id = x.doc_id + 1 LEFT JOIN c ON c.a = x.doc_id""")
+SELECT x.doc_id AS a, y.doc_id AS b, round(coalesce(c, 0) / CAST(x.n + y.n - coalesce(c, 0) AS DOUBLE) + 1e-9, 6) AS sim FROM n x JOIN n y ON y.doc_id = x.doc_id + 1 LEFT JOIN c ON c.a = x.doc_id""")
 def packed_tanimoto(t: Fixtures) -> DataFrame:
     """Each document and the next one, as packed bits."""
     packed = similarity.pack_bits(t.toks.select("doc_id", bucket("w", 2048).alias("bit")), "doc_id", "bit", 2048)
     left, right = packed.select(F.col("doc_id").alias("a"), F.col("words").alias("x")), packed.select(F.col("doc_id").alias("b"), F.col("words").alias("y"))
-    return left.join(right, F.col("b") == F.col("a") + 1).select("a", "b", r6(similarity.packed_tanimoto("x", "y")).alias("sim"))
+    return left.join(right, F.col("b") == F.col("a") + 1).select("a", "b", similarity.six(similarity.packed_tanimoto("x", "y")).alias("sim"))
 
 
 _REACH = "WITH RECURSIVE e AS (SELECT a AS u, b AS v FROM sims_ WHERE sim >= {t} UNION ALL SELECT b, a FROM sims_ WHERE sim >= {t}), r AS (SELECT doc_id AS u, doc_id AS v FROM documents UNION SELECT r.u, e.v FROM r JOIN e ON r.v = e.u), c AS (SELECT u AS doc_id, min(v) AS root FROM r GROUP BY 1)"

@@ -295,6 +295,12 @@ def test_components_refine_with_the_threshold(spark, small):
     assert all(low[a] == low[b] for a in high for b in high if high[a] == high[b])
 
 
+def test_path_graph(spark):
+    rows = [["b", "a", "b", "b", "c"], ["x"], []]
+    df = spark.createDataFrame([(w,) for w in rows], "w array<string>")
+    assert [tuple(r) for r in df.select(*graph.path_graph(F.col("w"))).collect()] == [(["b", "a", "c"], ["a b", "b c"]), (["x"], []), ([], [])]
+
+
 def test_folds_are_even_and_keep_groups(spark):
     df = spark.range(103).withColumn("grp", F.col("id") % 17)
     sizes = [r["count"] for r in folds.k_fold(df, "id").groupBy("fold").count().collect()]
