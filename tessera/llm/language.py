@@ -223,8 +223,10 @@ def _identified(model: Model, table: np.ndarray, texts: list[str], penalty: floa
             keys.append(at + first * block * n_feat)
             counts.append(n[at])
     if keys:
-        key, own = np.unique(np.concatenate(keys), return_inverse=True)  # a long text's pieces come together
-        n = np.bincount(own, weights=np.concatenate(counts))
+        key, n = np.concatenate(keys), np.concatenate(counts)
+        if (np.diff(key) <= 0).any():  # a long text's pieces come together
+            key, own = np.unique(key, return_inverse=True)
+            n = np.bincount(own, weights=n)
         docs, theta = proportions(model, key // n_feat, key % n_feat, n, penalty, rounds)
         best = theta.argmax(1)
         for d, k, s in zip(docs.tolist(), best.tolist(), theta[np.arange(len(docs)), best].tolist()):

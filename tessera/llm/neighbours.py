@@ -402,5 +402,5 @@ def nearest(
     # A candidate may be found in the sample and in its list.
     order = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
     merged = found.unionByName(known).groupBy("query_id", "vec_id").agg(F.max("score").alias("score"))
-    drop_stored(members)
+    drop_stored(rows, members)
     return merged.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
