@@ -11,7 +11,7 @@ near_copies() links texts by the Jaccard similarity of their shingles instead, f
 Distinct texts meet where a band of minimum shingle hashes agrees (BANDS bands of ROWS: a pair of similarity 0.8 misses all of them
 in 2 of 1000 cases). In a meeting, pairs with some column of the pivot table or the fingerprints more than WIDE bits apart are discarded,
 and those whose minimum hashes, a byte of each, agree far too seldom. Of the rest the likeliest propose links that span the meeting; in later
-rounds each text proposes its likeliest pairs, twice as many each time. Every proposal is verified by the exact similarity of both texts.
+rounds each text proposes its likeliest pairs, four times as many each time. Every proposal is verified by the exact similarity of both texts.
 Rounds go on, without pairs that links join already or that were refused, until nothing is left to propose.
 
 Texts: A-Z lower-cased, words separated by space and \\t to \\r, shingles of `width` words joined by a space, repeats
@@ -35,9 +35,9 @@ from tessera.llm.components import components
 
 SEED, RADIUS, PIVOTS = 42, 3, 16
 BANDS, ROWS, WIDE = 16, 5, 22
-#: How far an estimate may fall short of the similarity (three standard errors of BANDS * ROWS hashes); pairs that a text proposes in a
-#: meeting of the second round.
-SHORT, LIKELIEST = 0.14, 4
+#: Minimum hashes of a text, the first of which make the bands; how far an estimate may fall short of the similarity (2.4 standard errors of
+#: so many); pairs that a text proposes in a meeting of the second round.
+HASHES, SHORT, LIKELIEST = 256, 0.06, 4
 _WIDTHS = (13, 13, 13, 13, 12)
 _SHINGLES_AT_ONCE = 1 << 15
 
@@ -204,14 +204,14 @@ def near_duplicates(docs: DataFrame, width: int = 3, id_col: str = "doc_id", tex
 def _mixers() -> tuple[np.ndarray, np.ndarray]:
     """Factors (odd) and terms of the hash functions of the bands."""
     rng = np.random.default_rng(10)
-    return tuple(rng.integers(0, 1 << 64, BANDS * ROWS, np.uint64, endpoint=False) | np.uint64(odd) for odd in (1, 0))
+    return tuple(rng.integers(0, 1 << 64, HASHES, np.uint64, endpoint=False) | np.uint64(odd) for odd in (1, 0))
 
 
 def band_keys(least: np.ndarray) -> list[int]:
     """A key for each band of minimum hashes."""
     import xxhash
 
-    return [_signed(xxhash.xxh3_64_intdigest(band.tobytes(), k)) for k, band in enumerate(least.reshape(BANDS, ROWS))]
+    return [_signed(xxhash.xxh3_64_intdigest(band.tobytes(), k)) for k, band in enumerate(least[: BANDS * ROWS].reshape(BANDS, ROWS))]
 
 
 def signatures(batches: Iterator[pa.RecordBatch], width: int) -> Iterator[pa.RecordBatch]:
@@ -221,7 +221,7 @@ def signatures(batches: Iterator[pa.RecordBatch], width: int) -> Iterator[pa.Rec
         for part in chunks(batch):
             fps, keys, sketches = [], [], []
             for text in part.column("text").to_pylist():
-                out, least = Fingerprint(), np.full(BANDS * ROWS, np.iinfo(np.uint64).max)
+                out, least = Fingerprint(), np.full(HASHES, np.iinfo(np.uint64).max)
                 for h in shingle_hashes(text, width):
                     out.add(h)
                     for at in range(0, len(h), 1024):
@@ -333,15 +333,16 @@ def _proposed(nodes: DataFrame, known: DataFrame | None, refused: DataFrame | No
             no = rows.column("no").combine_chunks()
             partner = no.flatten().to_numpy()
             keys = np.unique(pair_key(np.repeat(node, no.value_lengths().to_numpy()), partner)) if len(partner) else np.empty(0, np.uint64)
-            u, v = proposals(g, node, fp.view(np.uint64), sketch, root, keys, similarity, None if turn == 0 else LIKELIEST << (turn - 1))
+            u, v = proposals(g, node, fp.view(np.uint64), sketch, root, keys, similarity, None if turn == 0 else LIKELIEST << 2 * (turn - 1))
             yield pa.RecordBatch.from_arrays([pa.array(np.minimum(u, v)), pa.array(np.maximum(u, v))], ["u", "v"])
 
     return rows.repartition("g").sortWithinPartitions("g").mapInArrow(meet, "u long, v long").distinct()
 
 
 def _similar(pairs: DataFrame, nodes: DataFrame, texts: DataFrame, width: int, similarity: float) -> DataFrame:
-    """u, v and whether their texts' shingles have that Jaccard similarity; texts: t1, t2, text."""
+    """u, v, the Jaccard similarity of their texts' shingles, and ok, whether it suffices; texts: t1, t2, text."""
     needed = pairs.select(F.explode(F.array("u", "v")).alias("node")).distinct().join(nodes.select("node", "t1", "t2"), "node")
+    needed = stored(needed)  # few: their size is known before the texts are read, which then need not be shuffled
     found = texts.join(needed, ["t1", "t2"]).groupBy("node").agg(F.first("text").alias("text"))
 
     def shingles(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -355,14 +356,14 @@ def _similar(pairs: DataFrame, nodes: DataFrame, texts: DataFrame, width: int, s
 
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            ok = []
+            found = []
             for a, b in zip(batch.column("a"), batch.column("b")):
                 x, y = (np.frombuffer(c.as_buffer(), "<u8") for c in (a, b))
                 shared = len(np.intersect1d(x, y, assume_unique=True))
-                ok.append(shared >= (similarity - 1e-12) * (len(x) + len(y) - shared))
-            yield pa.RecordBatch.from_arrays([batch.column("u"), batch.column("v"), pa.array(ok, pa.bool_())], ["u", "v", "ok"])
+                found.append(shared / max(1, len(x) + len(y) - shared) if len(x) or len(y) else 1.0)
+            yield pa.RecordBatch.from_arrays([batch.column("u"), batch.column("v"), pa.array(found, pa.float64())], ["u", "v", "sim"])
 
-    return both.select("u", "v", "a", "b").mapInArrow(compare, "u long, v long, ok boolean")
+    return both.select("u", "v", "a", "b").mapInArrow(compare, "u long, v long, sim double").withColumn("ok", F.col("sim") >= similarity - 1e-12)
 
 
 def near_copies(docs: DataFrame, width: int = 5, similarity: float = 0.8, most: int = 1024, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
