@@ -299,13 +299,21 @@ def proposals(group, node, fp, sketch, root, refused, similarity: float, most: i
     return node[i], node[j]
 
 
-def _proposed(nodes: DataFrame, known: DataFrame | None, refused: DataFrame | None, similarity: float, turn: int, most: int) -> DataFrame:
-    """u < v: what all meetings propose. known: node, root; refused: u, v."""
-    rows = nodes.select("node", "fp", "sketch", F.posexplode("keys").alias("t", "key"))
-    large = stored(rows.groupBy("t", "key").agg(F.count("*").alias("n")).filter("n > 1"))  # a key of one text is no meeting
-    rows = rows.join(large, ["t", "key"]).withColumn("chunks", F.ceil(F.col("n") / most).cast("int")).withColumn("own", F.pmod(F.xxhash64("node"), F.col("chunks")).cast("int"))
+def _meetings(nodes: DataFrame, most: int) -> DataFrame:
+    """g, node, fp, sketch of all nodes that share a key with another one; large groups are dealt out by pairs of chunks."""
+    thin = nodes.select("node", F.posexplode("keys").alias("t", "key"))
+    large = thin.groupBy("t", "key").agg(F.count("*").alias("n")).filter("n > 1")  # a key of one text is no meeting
+    own = F.pmod(F.xxhash64("node"), F.col("chunks")).cast("int")
+    rows = thin.join(large.hint("merge"), ["t", "key"]).withColumn("chunks", F.ceil(F.col("n") / most).cast("int")).withColumn("own", own)
     pairs = F.transform(F.sequence(F.lit(0), F.col("chunks") - 1), lambda c: F.struct(F.least(c, F.col("own")).alias("a"), F.greatest(c, F.col("own")).alias("b")))
-    rows = rows.select("node", "fp", "sketch", F.explode(pairs).alias("p"), "t", "key").select(F.xxhash64("t", "key", "p.a", "p.b").alias("g"), "node", "fp", "sketch")
+    rows = stored(rows.select("node", F.explode(pairs).alias("p"), "t", "key").select("node", F.xxhash64("t", "key", "p.a", "p.b").alias("g")))
+    met = stored(nodes.join(rows.select("node").distinct(), "node", "left_semi").select("node", "fp", "sketch"))  # before it goes once for each meeting
+    return stored(rows.join(met, "node").select("g", "node", "fp", "sketch"))
+
+
+def _proposed(meetings: DataFrame, known: DataFrame | None, refused: DataFrame | None, similarity: float, turn: int) -> DataFrame:
+    """u < v: what all meetings propose. known: node, root; refused: u, v."""
+    rows = meetings
     empty = F.array().cast("array<long>")
     if known is not None:
         rows = rows.join(known, "node", "left").withColumn("root", F.coalesce("root", "node"))
@@ -377,8 +385,9 @@ def near_copies(docs: DataFrame, width: int = 5, similarity: float = 0.8, most:
     nodes = rows.groupBy("t1", "t2").agg(F.min("doc_id").alias("first"), F.min(F.struct("fp", "keys", "sketch")).alias("k"))
     nodes = stored(nodes.select(F.monotonically_increasing_id().alias("node"), "t1", "t2", "first", "k.*"))
     checked = known = None
+    meetings = _meetings(nodes, most)
     for turn in itertools.count():
-        asked = stored(_proposed(nodes, known, None if checked is None else checked.filter("NOT ok"), similarity, turn, most))
+        asked = stored(_proposed(meetings, known, None if checked is None else checked.filter("NOT ok"), similarity, turn))
         if not asked.take(1):
             break
         new = stored(_similar(asked, nodes, read.select("t1", "t2", "text"), width, similarity))
