@@ -307,7 +307,8 @@ def _meetings(nodes: DataFrame, most: int) -> DataFrame:
     rows = thin.join(large.hint("merge"), ["t", "key"]).withColumn("chunks", F.ceil(F.col("n") / most).cast("int")).withColumn("own", own)
     pairs = F.transform(F.sequence(F.lit(0), F.col("chunks") - 1), lambda c: F.struct(F.least(c, F.col("own")).alias("a"), F.greatest(c, F.col("own")).alias("b")))
     rows = stored(rows.select("node", F.explode(pairs).alias("p"), "t", "key").select("node", F.xxhash64("t", "key", "p.a", "p.b").alias("g")))
-    met = stored(nodes.join(rows.select("node").distinct(), "node", "left_semi").select("node", "fp", "sketch"))  # before it goes once for each meeting
+    # Tables of known size, so that the nodes' sketches move only where they have to.
+    met = stored(nodes.join(stored(rows.select("node").distinct()), "node", "left_semi").select("node", "fp", "sketch"))
     return stored(rows.join(met, "node").select("g", "node", "fp", "sketch"))
 
 
@@ -317,7 +318,8 @@ def _proposed(meetings: DataFrame, known: DataFrame | None, refused: DataFrame |
     empty = F.array().cast("array<long>")
     if known is not None:
         rows = rows.join(known, "node", "left").withColumn("root", F.coalesce("root", "node"))
-        rows = rows.join(refused.groupBy(F.col("u").alias("node")).agg(F.collect_list("v").alias("no")), "node", "left").withColumn("no", F.coalesce("no", empty))
+        partners = stored(refused.groupBy(F.col("u").alias("node")).agg(F.collect_list("v").alias("no")))
+        rows = rows.join(partners, "node", "left").withColumn("no", F.coalesce("no", empty))
     else:
         rows = rows.withColumn("root", F.col("node")).withColumn("no", empty)
 
