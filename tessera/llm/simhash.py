@@ -38,6 +38,8 @@ BANDS, ROWS, WIDE = 16, 5, 22
 #: Minimum hashes of a text, the first of which make the bands; how far an estimate may fall short of the similarity (2.4 standard errors of
 #: so many); pairs that a text proposes in a meeting of the second round.
 HASHES, SHORT, LIKELIEST = 256, 0.06, 4
+#: Nodes to verify that are broadcast: 24 bytes each.
+FEW_NODES = 200_000
 _WIDTHS = (13, 13, 13, 13, 12)
 _SHINGLES_AT_ONCE = 1 << 15
 
@@ -352,7 +354,9 @@ def _proposed(meetings: DataFrame, known: DataFrame | None, refused: DataFrame |
 def _similar(pairs: DataFrame, nodes: DataFrame, texts: DataFrame, width: int, similarity: float) -> DataFrame:
     """u, v, the Jaccard similarity of their texts' shingles, and ok, whether it suffices; texts: t1, t2, text."""
     needed = pairs.select(F.explode(F.array("u", "v")).alias("node")).distinct().join(nodes.select("node", "t1", "t2"), "node")
-    needed = stored(needed)  # few: their size is known before the texts are read, which then need not be shuffled
+    needed = stored(needed)
+    if needed.count() <= FEW_NODES:  # then the texts need not be shuffled
+        needed = F.broadcast(needed)
     found = texts.join(needed, ["t1", "t2"]).groupBy("node").agg(F.first("text").alias("text"))
 
     def shingles(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
