@@ -35,7 +35,7 @@ NOTHING, LETTERS, MIXTURE = "nothing", "letters", "mixture"
 #: Trigrams overlap, so a count is worth a third of an independent one.
 WORTH = 1 / 3
 #: Bytes of text that are counted at once: what a text's counts take is many times its size.
-COUNTED_BYTES = 1 << 20
+COUNTED_BYTES = 1 << 19
 #: Rises of a log-likelihood below this end the rounds; a set is given up if even this slack would not make it the best.
 TOLERANCE, SLACK = 0.01, 1.0
 
