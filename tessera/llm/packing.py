@@ -7,7 +7,7 @@ round emits all. Rounds stop when one node is left, or after `max_rounds`, so th
 leaf_rows * fan_in**(max_rounds - 1) pieces; a node that is left alone wastes a bin at most.
 
 Null and empty texts are one end token. Repeated rows are packed as often as they occur; items of one size are placed in the order of
-their numbers. Very long texts are encoded in segments and cut into pieces. An empty table gives no rows. Extra columns are ignored.
+their numbers. Very long texts are encoded in segments (where the split cuts anyway) and cut into pieces; a text's ids are held at once. An empty table gives no rows. Extra columns are ignored.
 """
 
 from __future__ import annotations

@@ -11,7 +11,8 @@ Unicode version), up to the next place where any split cuts, are encoded by the
 whole; so are all texts for other tokenizers. Results are the library's in every case.
 
 Nulls and empty texts: 0 tokens. Ties and repeated rows: equal texts have equal counts, all rows stay. Very long texts are split
-where no pre-token can span. An empty table gives no rows. Extra columns are ignored.
+where no pre-token can span; a pre-token of any length (a run of millions of blanks) is merged as one piece, without the split's
+backtracking, and not remembered. An empty table gives no rows. Extra columns are ignored.
 """
 
 from __future__ import annotations
@@ -61,6 +62,9 @@ SPLIT = re.compile(
 _SEAM = re.compile("[!-~](?= [!-~])")
 #: Distinct pre-tokens that a process remembers, and characters split at once.
 REMEMBERED, SEGMENT = 300_000, 1 << 20
+#: Pre-tokens beyond this length are not remembered; runs of blanks beyond it would exhaust the stack of the ranked vocabulary's split.
+LONG = 10_000
+_BLANKS = re.compile(f"[{_SPACES}]{{{LONG}}}")
 
 
 def segments(text: str) -> Iterator[str]:
@@ -115,8 +119,9 @@ def merges_alone(string: bytes, rank: dict[tuple[bytes, bytes], int]) -> bool:
 
 @functools.lru_cache(maxsize=4)
 def ranked(path: str):
-    """The vocabulary as ranks, if its ids rank its merges and every merged string, alone, becomes one token by the listed pairs; else
-    None. It then gives the library's ids for texts whose split is the same everywhere (not UNSAFE, no added tokens).
+    """The vocabulary as ranks, with its split and without any (a text is one pre-token), if its ids rank its merges and every merged string,
+    alone, becomes one token by the listed pairs; else None. It then gives the library's ids for texts whose split is the same everywhere
+    (not UNSAFE, no added tokens).
 
     Proof: where two neighbours make a string t of the vocabulary, no merge has crossed t's ends, so what happened within t is what
     happens to t alone, which ends with t; hence the two are t's listed pair, and merging by strings is merging by pairs."""
@@ -138,7 +143,7 @@ def ranked(path: str):
     if not all(got.ids == [256 + k] or merges_alone(m, rank) for k, (m, got) in enumerate(zip(merged, alone))):
         return None
     ranks = {r: vocab[s] for s, r in raw.items() if vocab[s] < 256 + len(pairs)}
-    return tiktoken.Encoding("ranked", pat_str=PATTERN, mergeable_ranks=ranks, special_tokens={})
+    return tuple(tiktoken.Encoding("ranked", pat_str=split, mergeable_ranks=ranks, special_tokens={}) for split in (PATTERN, "(?s).+"))
 
 
 class Encoder:
@@ -169,7 +174,7 @@ class Encoder:
         self.special = re.compile("|".join(added)) if added else None
         self.known = self.base = self.whole_tokens(library)
         ranks = ranked(path)
-        self.merge = (lambda parts: map(ranks.encode_ordinary, parts)) if ranks else self.encode
+        self.merge = (lambda parts: map(ranks[1].encode_ordinary, parts)) if ranks else self.encode
 
     def whole_tokens(self, library) -> dict:
         """Vocabulary strings that encode alone as one token: each is encoded, nothing is assumed."""
@@ -210,7 +215,10 @@ class Encoder:
             self.known.update(zip(rest, map(self.value, self.merge(rest))))
             self.known.update(zip(odd, map(self.value, self.encode(odd))) if odd else ())
         get = self.known.__getitem__
-        return [self.join(map(get, t)) for t in texts]
+        out = [self.join(map(get, t)) for t in texts]
+        for x in [x for x in rest if len(x) > LONG] if rest else ():
+            del self.known[x]
+        return out
 
 
 def _bytes(ids: list[int]) -> bytes:
@@ -218,23 +226,29 @@ def _bytes(ids: list[int]) -> bytes:
 
 
 class IdEncoder:
-    """Ids of whole texts as little-endian unsigned 32-bit integers. Where the vocabulary's ids rank its merges, and
-    the text is one whose split is the same everywhere, the same vocabulary as ranks encodes; else the library."""
+    """Ids of whole texts as little-endian unsigned 32-bit integers, segment by segment. Where the vocabulary's ids rank its merges, and
+    the segment is one whose split is the same everywhere and holds no very long run of blanks, the same vocabulary as ranks encodes;
+    else its pre-tokens are merged one by one, or the library encodes."""
 
     def __init__(self, path: str):
         self.rest, self.ranked = Encoder(path, _bytes, b"".join), None
         if self.rest.direct:
             return
-        self.ranked = ranked(path)
+        ranks = ranked(path)
+        self.ranked = ranks and ranks[0].encode_to_numpy
+
+    def _segment(self, text: str) -> bytes:
+        if UNSAFE.search(text) or (len(text) > LONG and _BLANKS.search(text)):
+            return self.rest([text])[0]
+        return self.ranked(text, disallowed_special=()).astype("<u4").tobytes()
 
     def __call__(self, texts: list[str]) -> list[bytes]:
         if self.ranked is None:
             return self.rest(texts)
         special = self.rest.special
-        odd = [k for k, t in enumerate(texts) if UNSAFE.search(t) or (special and special.search(t))]
+        odd = [k for k, t in enumerate(texts) if special and special.search(t)]
         other = dict(zip(odd, self.rest([texts[k] for k in odd]))) if odd else {}
-        encode = self.ranked.encode_to_numpy
-        return [other[k] if k in other else encode(t, disallowed_special=()).astype("<u4").tobytes() for k, t in enumerate(texts)]
+        return [other[k] if k in other else b"".join(map(self._segment, segments(t))) for k, t in enumerate(texts)]
 
 
 @functools.lru_cache(maxsize=4)
