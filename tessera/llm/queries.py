@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessera.llm import audio, language, line_dedup, mixing, neighbours, packing, secrets, simhash, suffix_dedup, tokens
+from tessera.llm import audio, language, line_dedup, mixing, neighbours, packing, periodic, secrets, simhash, suffix_dedup, tokens
 
 
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -90,6 +90,38 @@ def op8_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.best_fit_packing(documents(spark, sf_dir), vocabulary()).drop("slot")
 
 
+def with_planted_runs(docs: DataFrame) -> DataFrame:
+    """doc_id and text; a tenth of the texts, told by the ids' checksums, go over into a repeated stretch of their words."""
+    words = F.regexp_extract_all("text", F.lit(r"[^\x20\x09-\x0D]+"), F.lit(0))
+    h = F.crc32(F.col("doc_id").cast("string"))
+    planted = docs.select("doc_id", "text", F.floor(h / 10).alias("g"), F.when(h % 10 == 0, words).alias("words"))
+    n = F.size("words").cast("long")
+    planted = planted.withColumn("a", F.when(n > 0, F.col("g") % n)).withColumn("p", 1 + F.floor((n - F.col("a")) / (3 + F.col("g") % 8)))
+    a, p, left = F.col("a").cast("int"), F.col("p").cast("int"), (n - F.col("a")).cast("int")
+    again = F.slice(F.flatten(F.array_repeat(F.slice("words", a + 1, p), F.ceil(left / p).cast("int"))), 1, left)
+    text = F.array_join(F.concat(F.slice("words", F.lit(1), a), again), " ")
+    return planted.select("doc_id", F.when(F.col("p").isNotNull(), text).otherwise(F.col("text")).alias("text"))
+
+
+def op11_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = periodic.periodic_runs(with_planted_runs(documents(spark, sf_dir)))
+    longest = F.array_max(F.transform("runs", lambda r: F.struct(r["length"].alias("length"), (-r["start"]).alias("start"), (-r["period"]).alias("period"))))
+    line = lambda r: F.concat(F.concat_ws(",", *(r[k].cast("string") for k in ("start", "length", "period"))), F.lit("\n"))
+    out = out.withColumn("longest", longest)
+    length, period = F.col("longest.length"), -F.col("longest.period")
+    return out.select(
+        "doc_id",
+        F.size("runs").cast("long").alias("n_runs"),
+        (-F.col("longest.start")).alias("start"),
+        length.alias("length"),
+        period.alias("period"),
+        F.floor((1000 * length - (1000 * length) % period) / period).alias("exponent_milli"),
+        F.sha2(F.array_join(F.transform("runs", line), ""), 256).alias("runs_sha256"),
+        F.sha2("collapsed", 256).alias("collapsed_sha256"),
+        "n_words",
+    )
+
+
 QUERIES = {
     f.__name__: f
     for f in (
@@ -103,6 +135,7 @@ QUERIES = {
         op8_best_fit_packing,
         op9_adaptive_neighbours,
         op10_simhash_near_dedup,
+        op11_periodic_runs,
     )
 }
 SQL: dict[str, str] = {"op5_line_dedup": line_dedup.SQL}
