@@ -5,7 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessera.llm import audio, language, line_dedup, mixing, neighbours, packing, periodic, secrets, simhash, suffix_dedup, tokens
+from tessera.llm import audio, language, line_dedup, lm_scoring, mixing, neighbours, packing, periodic, prefix_trie, secrets, simhash, suffix_dedup, tokens
+from tessera.llm._shared import stored
 
 
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -122,6 +123,31 @@ def op11_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op12_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lm_scoring.score_documents(documents(spark, sf_dir), vocabulary())
+
+
+def rebuilt_conversations(turns: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Turns and conversations in which each one's first turns, up to five by its id's checksum, are those of its hundred's first one."""
+    n_head = F.crc32(F.col("conv_id").cast("string")) % 6
+    convs = turns.groupBy("conv_id").agg(F.count("*").alias("n"))
+    convs = convs.select("conv_id", "n", (F.col("conv_id") - F.col("conv_id") % 100).alias("base"), n_head.alias("h"))
+    sizes = convs.filter(F.col("conv_id") == F.col("base")).select("base", F.col("n").alias("n_base"))
+    convs = stored(convs.join(sizes, "base", "left").withColumn("n_head", F.least("h", F.coalesce("n_base", F.lit(0)))))
+    heads = turns.filter((F.col("conv_id") % 100 == 0) & (F.col("pos") <= 5)).withColumnRenamed("conv_id", "base")
+    heads = heads.join(convs.select("base", "conv_id", "h"), "base").filter("pos <= h").select(*turns.columns)
+    own = turns.join(convs.select("conv_id", "h", "n_head"), "conv_id").filter("pos > h").withColumn("pos", F.col("n_head") + F.col("pos") - F.col("h"))
+    return heads.unionByName(own.select(*turns.columns)), convs.select("conv_id")
+
+
+def op13_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    turns = prefix_trie.numbered_turns(spark.read.parquet(f"{sf_dir}/conversations.parquet"))
+    nodes, ends = prefix_trie.prefix_trie(*rebuilt_conversations(turns))
+    hashes = stored(prefix_trie.list_hashes(ends))
+    none = F.sha2(F.lit(""), 256)
+    return nodes.join(hashes, ["conv_id", "depth"], "left").withColumn("ends_sha256", F.coalesce("sha256", none)).drop("sha256")
+
+
 QUERIES = {
     f.__name__: f
     for f in (
@@ -136,6 +162,8 @@ QUERIES = {
         op9_adaptive_neighbours,
         op10_simhash_near_dedup,
         op11_periodic_runs,
+        op12_lm_scoring,
+        op13_prefix_trie,
     )
 }
-SQL: dict[str, str] = {"op5_line_dedup": line_dedup.SQL}
+SQL: dict[str, str] = {"op5_line_dedup": line_dedup.SQL, "op13_prefix_trie": prefix_trie.SQL}

@@ -261,6 +261,18 @@ def id_encoder(path: str) -> IdEncoder:
     return IdEncoder(path)
 
 
+@functools.lru_cache(maxsize=4)
+def vocabulary_size(path: str) -> int:
+    """One more than the largest id."""
+    if path.endswith(".model"):
+        import sentencepiece
+
+        return sentencepiece.SentencePieceProcessor(model_file=path).vocab_size()
+    from tokenizers import Tokenizer
+
+    return 1 + max(Tokenizer.from_file(path).get_vocab(with_added_tokens=True).values())
+
+
 def texts_of(batch: pa.RecordBatch) -> list[str]:
     return [b.decode("utf-8", "replace") if b else "" for b in batch.column("text").to_pylist()]
 

@@ -167,4 +167,4 @@ def test_registered():
     import __spark_entry__ as entry
 
     names = set(entry.queries())
-    assert {"pipeline", *queries.QUERIES} <= names and len(queries.QUERIES) >= 11
+    assert {"pipeline", *queries.QUERIES} <= names and len(queries.QUERIES) >= 13
