@@ -1,14 +1,17 @@
-"""Connected components of a threshold graph, and graphs as features."""
+"""Connected components of a threshold graph, and graphs as features: tables of nodes and edges, neighbourhood fingerprints, batches."""
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from tessera.functions.expr import bucket
+from tessera.operators.reshape import offsets
+from tessera.operators.scan import Carried, Line
 from tessera.sources.work import stored
 
 #: Edges that one task may join up: 16 MB of them.
@@ -67,3 +70,44 @@ def path_graph(items: Column) -> tuple[Column, Column]:
     before, after = F.slice(items, 1, F.greatest(F.size(items) - 1, F.lit(0))), F.slice(items, 2, F.greatest(F.size(items) - 1, F.lit(0)))
     links = F.zip_with(before, after, lambda a, b: F.when(a != b, F.concat_ws(" ", F.least(a, b), F.greatest(a, b))))
     return F.array_distinct(items), F.array_distinct(F.filter(links, lambda x: x.isNotNull()))
+
+
+def path_tables(df: DataFrame, graph: str, items: str) -> tuple[DataFrame, DataFrame]:
+    """The same graphs as tables: nodes (graph, node, place: number of the distinct item by its first occurrence) and edges (graph, a, b with a < b)."""
+    rows = df.select(graph, F.posexplode(items).alias("_p", "node"))
+    nodes = rows.groupBy(graph, "node").agg(F.min("_p").alias("_p"))
+    nodes = Line(nodes, [graph], ["_p"], 8).carry(place=Carried("sum", F.lit(1).cast("long"), own=False)).done().withColumn("place", F.coalesce("place", F.lit(0).cast("long"))).drop("_p")
+    before, after = F.slice(items, 1, F.greatest(F.size(items) - 1, F.lit(0))), F.slice(items, 2, F.greatest(F.size(items) - 1, F.lit(0)))
+    links = F.inline(F.zip_with(before, after, lambda a, b: F.struct(F.least(a, b).alias("a"), F.greatest(a, b).alias("b"))))
+    return nodes, df.select(graph, links).filter("a <> b").distinct()
+
+
+def neighbourhood_ids(nodes: DataFrame, edges: DataFrame, graph: str, label: Column, rounds: int = 2, hashed: Callable[[Column], Column] = lambda text: bucket(text, 1 << 32)) -> DataFrame:
+    """graph, node, round, id: what each node's neighbourhood of radius 0 to `rounds` looks like, as a number. Round 0 hashes the node's label; every
+    further one hashes the node's last number with the sum of its neighbours', which is the same in any order. Sums are pre-aggregated, so a node
+    with very many neighbours meets its numbers, not its edges, in a task."""
+    both = stored(edges.select(graph, F.col("a").alias("_to"), F.col("b").alias("_from")).unionByName(edges.select(graph, F.col("b").alias("_to"), F.col("a").alias("_from"))))
+    now = stored(nodes.select(graph, "node", hashed(F.concat(F.lit("0|"), label.cast("string"))).alias("id")))
+    out = now.withColumn("round", F.lit(0))
+    for k in range(1, rounds + 1):
+        sums = both.join(now.withColumnRenamed("node", "_from"), [graph, "_from"]).groupBy(graph, F.col("_to").alias("node")).agg(F.sum("id").alias("_s"))
+        text = F.concat_ws("|", F.lit(k), F.col("id").cast("string"), F.coalesce("_s", F.lit(0)).cast("string"))
+        now = stored(now.join(sums, [graph, "node"], "left").select(graph, "node", hashed(text).alias("id")))
+        out = out.unionByName(now.withColumn("round", F.lit(k)))
+    return out.select(graph, "node", "round", "id")
+
+
+def folded(ids: DataFrame, graph: str, bits: int = 2048) -> DataFrame:
+    """graph, bits: the numbers of its neighbourhoods modulo `bits`, in order, once each; `bits` at most."""
+    return ids.select(graph, (F.col("id") % bits).cast("int").alias("_b")).distinct().groupBy(graph).agg(F.array_sort(F.collect_list("_b")).alias("bits"))
+
+
+def batch_edges(nodes: DataFrame, edges: DataFrame, graph: str, batch: DataFrame, by: list[str], ranges: int = 1) -> DataFrame:
+    """by, graph, src, dst: every edge in both directions, nodes numbered through each batch: the graphs of a batch (graph and by) are laid end to end in
+    their order. nodes: graph, node, place."""
+    sizes = nodes.groupBy(graph).agg(F.count("*").alias("_n"))
+    first = offsets(batch.join(sizes, graph).select(*by, graph, "_n"), by, graph, "_n", "_first", ranges)
+    a, b = (nodes.select(graph, F.col("node").alias(c), F.col("place").alias(f"_{c}")) for c in "ab")
+    rows = edges.join(a, [graph, "a"]).join(b, [graph, "b"]).join(first.select(*by, graph, "_first"), graph)
+    ends = [F.col("_first") + F.col(f"_{c}") for c in "ab"]
+    return rows.select(*by, graph, F.inline(F.array(*(F.struct(x.alias("src"), y.alias("dst")) for x, y in (ends, ends[::-1])))))

@@ -6,6 +6,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tessera.functions.expr import col, ratio, skew_g1
+from tessera.operators.quantile import exact_quantiles, with_quantiles
+from tessera.operators.scan import Carried, Line
 
 
 def first_n(df: DataFrame, by: list[str], order: list[Column], n: int) -> DataFrame:
@@ -14,10 +16,12 @@ def first_n(df: DataFrame, by: list[str], order: list[Column], n: int) -> DataFr
 
 
 def fences(df: DataFrame, by: list[str], value: str, k: float, approximate: int | None = None) -> DataFrame:
-    """Quartiles and the fences k IQR beyond them. approximate: the accuracy of percentile_approx, whose memory is bounded where
-    the exact one holds every distinct value of a group."""
-    q = F.percentile_approx(value, [0.25, 0.75], approximate) if approximate else F.percentile(value, F.array(F.lit(0.25), F.lit(0.75)))
-    g = df.groupBy(*by).agg(q.alias("_q"))
+    """Quartiles and the fences k IQR beyond them, exact for groups of any size; approximate: the accuracy of percentile_approx instead, which
+    takes one pass."""
+    if approximate:
+        g = df.groupBy(*by).agg(F.percentile_approx(value, [0.25, 0.75], approximate).alias("_q"))
+    else:
+        g = exact_quantiles(df, by, value, (0.25, 0.75)).withColumnRenamed("q", "_q")
     iqr = F.col("_q")[1] - F.col("_q")[0]
     return g.select(*by, F.col("_q")[0].alias("q1"), F.col("_q")[1].alias("q3"), (F.col("_q")[0] - k * iqr).alias("low"), (F.col("_q")[1] + k * iqr).alias("high"))
 
@@ -36,25 +40,46 @@ def two_arm_label(direct: Column | str, other: Column | str, shift: float = 0.30
     return F.when(direct > 4, above).when(direct < 4, below)
 
 
-def moments(value: Column | str, thresholds: dict[str, float] | None = None) -> list[Column]:
-    """Aggregates of a distribution: n, mean, median, sd, q1, q3, iqr, min, max, skew, and counts at or above thresholds."""
+def _above(v: Column, thresholds: dict[str, float]) -> list[Column]:
+    return [c for name, t in thresholds.items() for c in (F.count_if(v >= t).alias(f"n_{name}"), ratio(F.count_if(v >= t), F.count(v)).alias(f"fraction_{name}"))]
+
+
+def moments(df: DataFrame, by: list[str], value: str, thresholds: dict[str, float] | None = None, *more: Column) -> DataFrame:
+    """A distribution by group: n, mean, median, sd, q1, q3, iqr, min, max, skew, counts at or above thresholds, and further aggregates. Quantiles are
+    exact, and no task holds a group's values."""
     v = col(value)
-    q = F.percentile(v, F.array(*map(F.lit, (0.25, 0.5, 0.75))))
-    out = [F.count(v).alias("n"), F.avg(v).alias("mean"), q[1].alias("median"), F.stddev_samp(v).alias("sd"), q[0].alias("q1"), q[2].alias("q3"), (q[2] - q[0]).alias("iqr"), F.min(v).alias("min"), F.max(v).alias("max"), skew_g1(v).alias("skew")]
-    for name, t in (thresholds or {}).items():
-        out += [F.count_if(v >= t).alias(f"n_{name}"), ratio(F.count_if(v >= t), F.count(v)).alias(f"fraction_{name}")]
-    return out
+    aggs = [F.count(v).alias("n"), F.avg(v).alias("mean"), F.stddev_samp(v).alias("sd"), F.min(v).alias("min"), F.max(v).alias("max"), skew_g1(v).alias("skew"), *_above(v, thresholds or {}), *more]
+    out = with_quantiles(df, by, value, {"q1": 0.25, "median": 0.5, "q3": 0.75}, *aggs).withColumn("iqr", F.col("q3") - F.col("q1"))
+    first = [*by, "n", "mean", "median", "sd", "q1", "q3", "iqr", "min", "max", "skew"]
+    return out.select(*first, *(c for c in out.columns if c not in first))
 
 
 def quantiles(value: Column | str, at: tuple[float, ...], prefix: str = "p") -> list[Column]:
+    """Aggregates, for groups that a task can hold; exact_quantiles is for others."""
     q = F.percentile(col(value), F.array(*map(F.lit, at)))
     return [q[k].alias(f"{prefix}{round(100 * p):02d}") for k, p in enumerate(at)]
 
 
-def stat_vector(value: Column | str) -> list[Column]:
-    """n, mean, population sd, min, max and seven quantiles."""
+def stat_vector(df: DataFrame, by: list[str], value: str, *more: Column) -> DataFrame:
+    """n, mean, population sd, min, max, seven exact quantiles, and further aggregates, by group."""
     v = col(value)
-    return [F.count(v).alias("n"), F.avg(v).alias("mean"), F.stddev_pop(v).alias("sd"), F.min(v).alias("min"), F.max(v).alias("max"), *quantiles(v, (0.01, 0.05, 0.25, 0.5, 0.75, 0.95, 0.99))]
+    aggs = [F.count(v).alias("n"), F.avg(v).alias("mean"), F.stddev_pop(v).alias("sd"), F.min(v).alias("min"), F.max(v).alias("max"), *more]
+    return with_quantiles(df, by, value, {f"p{p:02d}": p / 100 for p in (1, 5, 25, 50, 75, 95, 99)}, *aggs)
+
+
+def pair_statistics(df: DataFrame, by: list[str], value: str, ranges: int = 1) -> DataFrame:
+    """Of |a - b| over all pairs of a group's rows that have a value: pairs, mean, sd, min, max. No pair is made: in order, a value counts as often
+    as its place is past the middle, the squares follow from the variance, the least difference is one of neighbours, the largest the range."""
+    rows = df.filter(F.col(value).isNotNull())
+    totals = rows.groupBy(*by).agg(F.count("*").alias("_n"), F.avg(value).alias("_mean"), F.var_pop(value).alias("_var"), F.min(value).alias("_low"), F.max(value).alias("_high"))
+    line = Line(rows.select(*by, value), by, [value], ranges).carry(_i=Carried("count", F.col(value)), _next=Carried("next", F.col(value))).done()
+    line = line.join(totals, by) if by else line.join(F.broadcast(totals))  # one row
+    sums = line.groupBy(*by, "_n", "_var", "_low", "_high").agg(F.sum((2 * F.col("_i") - F.col("_n") - 1) * (F.col(value) - F.col("_mean"))).alias("_sum"), F.min(F.col("_next") - F.col(value)).alias("min"))
+    pairs = F.col("_n") * (F.col("_n") - 1) / F.lit(2.0)
+    square = F.col("_n").cast("double") * F.col("_n") * F.col("_var")
+    sd = F.sqrt(F.greatest(square - F.col("_sum") * F.col("_sum") / pairs, F.lit(0.0)) / (pairs - 1))
+    out = sums.filter("_n > 1").select(*by, pairs.cast("long").alias("pairs"), (F.col("_sum") / pairs).alias("mean"), F.when(pairs > 1, sd).alias("sd"), "min", (F.col("_high") - F.col("_low")).alias("max"))
+    return out
 
 
 def duplicate_groups(df: DataFrame, by: list[str], name: str) -> DataFrame:

@@ -1,6 +1,7 @@
 """Ranks, empirical distributions and running minima.
 
-Tables of ranks and distributions count equal values first, with map-side combine, and order the distinct values only.
+Tables of ranks and distributions count equal values first, with map-side combine, and order the distinct values only: in one task for each
+group by default, by ranges of the values (scan.Line) with `ranges`.
 """
 
 from __future__ import annotations
@@ -9,6 +10,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tessera.functions.expr import ratio
+from tessera.operators.scan import Carried, Line
 from tessera.sources.work import stored
 
 
@@ -16,11 +18,10 @@ def value_counts(df: DataFrame, by: list[str], value: str, *counts: Column) -> D
     return df.filter(F.col(value).isNotNull()).groupBy(*by, value).agg(F.count("*").alias("n"), *counts)
 
 
-def rank_table(df: DataFrame, by: list[str], value: str, rank: str) -> DataFrame:
-    """by, value, n, and the average rank of the value's rows."""
-    up_to = Window.partitionBy(*by).orderBy(value).rowsBetween(Window.unboundedPreceding, 0)
-    counts = value_counts(df, by, value)
-    return counts.withColumn(rank, F.sum("n").over(up_to) - (F.col("n") - 1) / F.lit(2.0))
+def rank_table(df: DataFrame, by: list[str], value: str, rank: str, ranges: int = 1) -> DataFrame:
+    """by, value, n, and the average rank of the value's rows. ranges: by how many ranges of the values they are ranked."""
+    line = Line(value_counts(df, by, value), by, [value], ranges).carry(_up_to=Carried("sum", F.col("n")))
+    return line.done().select(*by, value, "n", (F.col("_up_to") - (F.col("n") - 1) / F.lit(2.0)).alias(rank))
 
 
 def average_rank(df: DataFrame, by: list[str], value: str, rank: str, ranges: int = 1) -> DataFrame:
@@ -63,20 +64,25 @@ def positions(df: DataFrame, order: list[str], name: str) -> DataFrame:
     return rows.withColumn(name, place.cast("long")).drop("_at", "_range", "_start")
 
 
-def ecdf_gaps(df: DataFrame, by: list[str], value: str, second: Column) -> DataFrame:
+def ecdf_gaps(df: DataFrame, by: list[str], value: str, second: Column, ranges: int = 1) -> DataFrame:
     """by, value, gap = F1 - F2 at each pooled distinct value, and next, the value after it. `second` tells the second sample's rows."""
     counts = value_counts(df, by, value, F.count_if(second).alias("n2"))
-    w = Window.partitionBy(*by).orderBy(value)
-    up_to, whole = w.rowsBetween(Window.unboundedPreceding, 0), Window.partitionBy(*by)
-    f2 = ratio(F.sum("n2").over(up_to), F.sum("n2").over(whole))
-    f1 = ratio(F.sum(F.col("n") - F.col("n2")).over(up_to), F.sum(F.col("n") - F.col("n2")).over(whole))
-    return counts.select(*by, value, (f1 - f2).alias("gap"), F.lead(value).over(w).alias("next"))
+    line = Line(counts, by, [value], ranges).carry(_n=Carried("sum", F.col("n")), _n2=Carried("sum", F.col("n2")), next=Carried("next", F.col(value)))
+    ends = [F.max(c).over(Window.partitionBy(*by)) for c in ("_n", "_n2")]
+    rows = line.done()
+    if ranges > 1:
+        all_of = [F.col(k).alias(f"_all_{k}") for k in by]
+        totals = rows.groupBy(*by).agg(F.max("_n").alias("_e"), F.max("_n2").alias("_e2")).select(*all_of, "_e", "_e2")
+        rows = rows.join(totals, [rows[k].eqNullSafe(totals[f"_all_{k}"]) for k in by]) if by else rows.join(F.broadcast(totals))  # one row
+        ends = [F.col("_e"), F.col("_e2")]
+    f2, f1 = ratio("_n2", ends[1]), ratio(F.col("_n") - F.col("_n2"), ends[0] - ends[1])
+    return rows.select(*by, value, (f1 - f2).alias("gap"), "next")
 
 
-def best_so_far(df: DataFrame, by: list[str], step: str, loss: str, patience: int) -> DataFrame:
+def best_so_far(df: DataFrame, by: list[str], step: str, loss: str, patience: int, ranges: int = 1) -> DataFrame:
     """Running minimum of the loss, the step that reached it, how many steps ago, and whether patience ran out."""
-    w = Window.partitionBy(*by).orderBy(step).rowsBetween(Window.unboundedPreceding, 0)
-    rows = df.withColumn("best", F.min(loss).over(w)).withColumn("_i", F.row_number().over(Window.partitionBy(*by).orderBy(step)).cast("long"))
+    line = Line(df, by, [step], ranges).carry(best=Carried("min", F.col(loss)), _i=Carried("sum", F.lit(1).cast("long")))
     hit = F.col(loss) == F.col("best")
-    rows = rows.withColumn("best_step", F.max(F.when(hit, F.col(step))).over(w)).withColumn("stale", F.col("_i") - F.max(F.when(hit, F.col("_i"))).over(w))
+    line = line.carry(best_step=Carried("last", F.when(hit, F.col(step))), _at_best=Carried("last", F.when(hit, F.col("_i"))))
+    rows = line.done().withColumn("stale", F.col("_i") - F.col("_at_best"))
     return rows.select(*by, step, "best", "best_step", "stale", (F.col("stale") >= patience).alias("stop"))

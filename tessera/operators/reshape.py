@@ -8,6 +8,8 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from tessera.operators.scan import Carried, Line
+
 
 def pivot_values(df: DataFrame, keys: list[str], name: str, value: str, names: list, prefix: str = "") -> DataFrame:
     """Long to wide with fixed columns: conditional aggregates, one shuffle, no job to find the names."""
@@ -62,7 +64,7 @@ def concat_blocks(blocks: dict[str, tuple[Column, int]]) -> tuple[Column, Callab
     return F.concat(*(c for c, _ in blocks.values())), block
 
 
-def offsets(df: DataFrame, by: list[str], order: str, size: str, name: str) -> DataFrame:
-    """Adds where each row's part begins when a batch's parts are laid end to end."""
-    before = Window.partitionBy(*by).orderBy(order).rowsBetween(Window.unboundedPreceding, -1)
-    return df.withColumn(name, F.coalesce(F.sum(size).over(before), F.lit(0).cast("long")))
+def offsets(df: DataFrame, by: list[str], order: str, size: str, name: str, ranges: int = 1) -> DataFrame:
+    """Adds where each row's part begins when a batch's parts are laid end to end; a batch may span `ranges` tasks."""
+    line = Line(df, by, [order], ranges).carry(**{name: Carried("sum", F.col(size), own=False)})
+    return line.done().withColumn(name, F.coalesce(name, F.lit(0).cast("long")))

@@ -11,6 +11,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tessera.functions.expr import col, ratio
+from tessera.operators import balls, ranks
+from tessera.operators.scan import Carried, Line
 from tessera.sources.work import stored
 
 
@@ -19,6 +21,8 @@ def six(sim: Column | str) -> Column:
     return F.round(col(sim) + F.lit(1e-9), 6)
 
 
+#: Block pairs from which on nearest neighbours are found by a ball cover.
+MANY_BLOCKS = 64
 #: What a candidate of the prefix join costs, in pairs of a block.
 CANDIDATE = 8
 
@@ -44,7 +48,7 @@ def set_pairs(items: DataFrame, key: str, item: str, least: float | None = None,
         candidates, n_sets = heads.groupBy("_i").agg(F.count("*").alias("f")).agg(F.sum(f * (f - 1) / 2)).first()[0] or 0, sets.count()
     if least is None or candidates * CANDIDATE > n_sets * (n_sets - 1) / 2:
         rows = sets.select("id", F.col("s").alias("i"), F.array_repeat(F.lit(1.0).cast("float"), n).alias("x"))
-        found = sparse_pairs(rows, top, block_rows, least).withColumn("sim", six("sim"))
+        found = sparse_pairs(rows, top, block_rows, least, by_size=least is not None).withColumn("sim", six("sim"))
         found = found if least is None else found.filter(F.col("sim") >= least)
         return found if top is None else found.orderBy(F.desc("sim"), "a", "b").limit(top)
     left, right = (heads.withColumnsRenamed({"k": k, "n": f"n{k}", "p": f"p{k}"}) for k in ("a", "b"))
@@ -112,11 +116,24 @@ def _dot(a: tuple, p: int, b: tuple, q: int) -> float:
     return float((va[x][i] * vb[y][j]).sum())
 
 
-def sparse_pairs(rows: DataFrame, top: int | None, block_rows: int, least: float | None = None, columns: int = 2048) -> DataFrame:
+def size_blocks(rows: DataFrame, size: str, least: float, block_rows: int) -> DataFrame:
+    """rows with their block b, in the order of their sizes, and the first and last block whose sizes are within a factor `least` of the block's.
+    Blocks are numbered by a place in the whole order, and what they reach by counting the blocks' ends in order: no pair of blocks is made."""
+    rows = ranks.positions(rows, [size, "id"], "_place").withColumn("b", F.floor((F.col("_place") - 1) / block_rows).cast("int")).drop("_place")
+    rows = stored(rows)
+    ends = rows.groupBy("b").agg(F.min(size).cast("double").alias("low"), (F.max(size) / F.lit(least)).alias("high"))
+    marks = ends.select("b", F.inline(F.array(F.struct(F.col("low").alias("v"), F.lit(0).alias("k")), F.struct(F.col("high").alias("v"), F.lit(1).alias("k")))))
+    line = Line(marks, [], ["v", "k"], 8).carry(_lows=Carried("count", F.when(F.col("k") == 0, 1)), _highs=Carried("count", F.when(F.col("k") == 1, 1))).done()
+    count = lambda c, k: F.max(F.when(F.col("k") == k, F.coalesce(c, F.lit(0)))).cast("int")
+    reached = line.groupBy("b").agg(count("_highs", 0).alias("first"), (count("_lows", 1) - 1).alias("last"))
+    return rows.join(reached, "b")
+
+
+def sparse_pairs(rows: DataFrame, top: int | None, block_rows: int, least: float | None = None, columns: int = 2048, by_size: bool = False) -> DataFrame:
     """a < b and the generalised Tanimoto similarity of all rows (id, i, x: columns and values) of a sparse matrix that share a column.
     Blocks of rows meet as products of dense slices of the columns that both have; a pair of blocks is one unit of work, and is
     bounded by its rows. least: only pairs that reach it, to six decimals; top: a pair of blocks reports its best that many, and what ties
-    with them to six decimals."""
+    with them to six decimals. by_size (rows are sets, with `least`): blocks are ranges of sizes, and those meet only whose sizes allow it."""
     kind = dict(rows.dtypes)["id"]
 
     def meet(x: pa.Table, y: pa.Table) -> pa.Table:
@@ -163,10 +180,15 @@ def sparse_pairs(rows: DataFrame, top: int | None, block_rows: int, least: float
                 sim, a, b = sim[first], a[first], b[first]
         return pa.table({"a": pa.array(a, x.column("id").type), "b": pa.array(b, x.column("id").type), "sim": pa.array(sim, pa.float64())})
 
-    return _met(rows, rows, block_rows, half=True).applyInArrow(meet, f"a {kind}, b {kind}, sim double")
+    if not by_size:
+        return _met(rows, rows, block_rows, half=True).applyInArrow(meet, f"a {kind}, b {kind}, sim double")
+    blocks = size_blocks(rows.withColumn("_size", F.size("i")), "_size", least - 1e-6, block_rows)
+    left = blocks.select("id", "i", "x", F.col("b").alias("bl"), F.explode(F.sequence("b", "last")).alias("br"))
+    right = blocks.select(*(F.col(c).alias(f"{c}_r") for c in ("id", "i", "x")), F.col("b").alias("br"), F.explode(F.sequence("first", "b")).alias("bl"))
+    return left.groupBy("bl", "br").cogroup(right.groupBy("bl", "br")).applyInArrow(meet, f"a {kind}, b {kind}, sim double")
 
 
-def _matrix(column: pa.Array) -> np.ndarray:
+def matrix_of(column: pa.Array) -> np.ndarray:
     if isinstance(column, pa.ChunkedArray):
         column = column.combine_chunks()
     flat = column.flatten().to_numpy(zero_copy_only=False).astype(float)
@@ -222,7 +244,7 @@ def dense_pairs(
         i = j = np.empty(0, np.int64)
         found, swapped = np.empty(0), np.empty(0, bool)
         if x.num_rows and y.num_rows:
-            sim = SCORES[score](_matrix(x.column("v")), _matrix(y.column("v_r")))
+            sim = SCORES[score](matrix_of(x.column("v")), matrix_of(y.column("v_r")))
             keep = np.ones(sim.shape, bool) if least is None else sim >= least - 1e-12
             if upper and not half:
                 keep &= x.column("id").to_numpy()[:, None] < y.column("id_r").to_numpy()[None]
@@ -257,7 +279,7 @@ def group_best(left: DataFrame, right: DataFrame, score: str = "cosine", block_r
         a = b = np.empty(0, np.int64)
         found = np.empty(0)
         if x.num_rows and y.num_rows:
-            sim = np.round(SCORES[score](_matrix(x.column("v")), _matrix(y.column("v_r"))), 9)
+            sim = np.round(SCORES[score](matrix_of(x.column("v")), matrix_of(y.column("v_r"))), 9)
             (ga, ia), (gb, ib) = (np.unique(t.column(c).to_numpy(), return_inverse=True) for t, c in ((x, "g"), (y, "g_r")))
             by_row = np.maximum.reduceat(sim[np.argsort(ia, kind="stable")], np.searchsorted(np.sort(ia), np.arange(len(ga))), axis=0)
             best = np.maximum.reduceat(by_row[:, np.argsort(ib, kind="stable")], np.searchsorted(np.sort(ib), np.arange(len(gb))), axis=1)
@@ -268,34 +290,38 @@ def group_best(left: DataFrame, right: DataFrame, score: str = "cosine", block_r
     return found.groupBy("ga", "gb").agg(F.max("sim").alias("sim"))
 
 
+def nearest_in_block(x: pa.Table, y: pa.Table, score: str, other: bool, where: tuple[str, str] | None, same: tuple[str, str] | None) -> pa.Table:
+    """id, neighbour, sim: of each row of x its nearest row of y (columns with _r), ties to the smallest id, as dense_nearest asks."""
+    ids = refs = np.empty(0, np.int64)
+    found = np.empty(0)
+    if x.num_rows and y.num_rows:
+        y = y.take(pa.array(np.argsort(y.column("id_r").to_numpy())))
+        ids, refs = x.column("id").to_numpy(), y.column("id_r").to_numpy()
+        sim = np.round(SCORES[score](matrix_of(x.column("v")), matrix_of(y.column("v_r"))), 9)
+        if other:
+            sim[ids[:, None] == refs[None]] = -np.inf
+        if where:
+            sim[_equal(x, y, where)] = -np.inf
+        if same:
+            sim[~_equal(x, y, same)] = -np.inf
+        best = sim.argmax(1)
+        found = sim[np.arange(len(ids)), best]
+        ok = np.isfinite(found)
+        ids, refs, found = ids[ok], refs[best][ok], found[ok]
+    return pa.table({"id": pa.array(ids, x.column("id").type), "neighbour": pa.array(refs, y.column("id_r").type), "sim": pa.array(found, pa.float64())})
+
+
 def dense_nearest(
     queries: DataFrame, references: DataFrame, score: str = "cosine", other: bool = False, where: tuple[str, str] | None = None, same: tuple[str, str] | None = None, block_rows: int = 1024,
 ) -> DataFrame:
     """id, neighbour, sim: each query's nearest reference, ties to the smallest id. other: not the query itself. where
     = (query column, reference column): only references with another value; same: only with one value. A block pair reports one row for
-    each query."""
+    each query. Where all block pairs are more than MANY_BLOCKS and the score falls with a metric, a ball cover leaves out those that cannot matter."""
     kind = dict(queries.dtypes)["id"]
-
-    def meet(x: pa.Table, y: pa.Table) -> pa.Table:
-        ids = refs = np.empty(0, np.int64)
-        found = np.empty(0)
-        if x.num_rows and y.num_rows:
-            y = y.take(pa.array(np.argsort(y.column("id_r").to_numpy())))
-            ids, refs = x.column("id").to_numpy(), y.column("id_r").to_numpy()
-            sim = np.round(SCORES[score](_matrix(x.column("v")), _matrix(y.column("v_r"))), 9)
-            if other:
-                sim[ids[:, None] == refs[None]] = -np.inf
-            if where:
-                sim[_equal(x, y, where)] = -np.inf
-            if same:
-                sim[~_equal(x, y, same)] = -np.inf
-            best = sim.argmax(1)
-            found = sim[np.arange(len(ids)), best]
-            ok = np.isfinite(found)
-            ids, refs, found = ids[ok], refs[best][ok], found[ok]
-        return pa.table({"id": pa.array(ids, x.column("id").type), "neighbour": pa.array(refs, y.column("id_r").type), "sim": pa.array(found, pa.float64())})
-
-    found = _met(queries, references, block_rows).applyInArrow(meet, f"id {kind}, neighbour {kind}, sim double")
+    if score in balls.METRICS and math.ceil(queries.count() / block_rows) * math.ceil(references.count() / block_rows) > MANY_BLOCKS:
+        return balls.ball_nearest(queries, references, score, other, where, same, block_rows=block_rows)
+    met = _met(queries, references, block_rows)
+    found = met.applyInArrow(lambda x, y: nearest_in_block(x, y, score, other, where, same), f"id {kind}, neighbour {kind}, sim double")
     best = found.groupBy("id").agg(F.min(F.struct((-F.col("sim")).alias("s"), "neighbour")).alias("n"))
     return best.select("id", F.col("n.neighbour").alias("neighbour"), (-F.col("n.s")).alias("sim"))
 

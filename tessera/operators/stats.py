@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tessera.functions.expr import pearson, ratio
 from tessera.operators import ranks
+from tessera.operators.scan import Carried, Line
 
 
 def pairwise_complete(df: DataFrame, pairs: list[tuple[str, str]]) -> DataFrame:
@@ -41,18 +42,18 @@ def partial_spearman(rows: DataFrame, by: list[str], x: str, y: str, z: str, ran
     return g.select(*by, "n", F.when(F.col("n") >= 5, ratio(F.col("xy") - F.col("xz") * F.col("yz"), rest)).alias("rho"))
 
 
-def mann_whitney(df: DataFrame, by: list[str], value: str, first: Column) -> DataFrame:
+def mann_whitney(df: DataFrame, by: list[str], value: str, first: Column, ranges: int = 1) -> DataFrame:
     """n1, n2 and U of the rows for which `first` holds, against the others."""
     t = ranks.value_counts(df.withColumn("_1", first), by, value, F.count_if("_1").alias("n1"))
-    up_to = Window.partitionBy(*by).orderBy(value).rowsBetween(Window.unboundedPreceding, 0)
-    t = t.withColumn("_r", F.sum("n").over(up_to) - (F.col("n") - 1) / F.lit(2.0))
+    t = Line(t, by, [value], ranges).carry(_up_to=Carried("sum", F.col("n"))).done()
+    t = t.withColumn("_r", F.col("_up_to") - (F.col("n") - 1) / F.lit(2.0))
     n1 = F.sum("n1")
     return t.groupBy(*by).agg(n1.alias("n1"), F.sum(F.col("n") - F.col("n1")).alias("n2"), (F.sum(F.col("n1") * F.col("_r")) - n1 * (n1 + 1) / F.lit(2.0)).alias("u"))
 
 
-def kruskal_wallis(df: DataFrame, by: list[str], value: str, group: str) -> DataFrame:
+def kruskal_wallis(df: DataFrame, by: list[str], value: str, group: str, ranges: int = 1) -> DataFrame:
     """groups, n and H with its correction for ties."""
-    table = ranks.rank_table(df, by, value, "_r")
+    table = ranks.rank_table(df, by, value, "_r", ranges)
     rows = df.filter(F.col(value).isNotNull()).groupBy(*by, group, value).agg(F.count("*").alias("m")).join(table, [*by, value])
     sums = rows.groupBy(*by, group).agg(F.sum("m").cast("double").alias("m"), F.sum(F.col("m") * F.col("_r")).alias("t"))
     h = sums.groupBy(*by).agg(F.count("*").alias("groups"), F.sum("m").alias("n"), F.sum(F.col("t") * F.col("t") / F.col("m")).alias("s"))
@@ -78,8 +79,8 @@ def chi_square(df: DataFrame, a: str, b: str) -> DataFrame:
     return g.select(F.col("n").cast("long").alias("n"), "chi2", F.when(F.col("kb") >= 2, v).alias("v"))
 
 
-def ks_and_wasserstein(df: DataFrame, by: list[str], value: str, second: Column) -> DataFrame:
-    gaps = ranks.ecdf_gaps(df, by, value, second)
+def ks_and_wasserstein(df: DataFrame, by: list[str], value: str, second: Column, ranges: int = 1) -> DataFrame:
+    gaps = ranks.ecdf_gaps(df, by, value, second, ranges)
     width = F.col("next") - F.col(value)
     return gaps.groupBy(*by).agg(F.max(F.abs("gap")).alias("ks"), F.sum(F.abs("gap") * width).alias("w1"))
 
@@ -93,9 +94,9 @@ def smd(df: DataFrame, by: list[str], value: str, second: Column) -> DataFrame:
     return df.groupBy(*by).agg(na.alias("n_a"), nb.alias("n_b"), F.when(pooled == 0, 0.0).otherwise(ratio(F.avg(b) - F.avg(a), pooled)).alias("smd"))
 
 
-def shift(df: DataFrame, by: list[str], value: str, second: Column) -> DataFrame:
+def shift(df: DataFrame, by: list[str], value: str, second: Column, ranges: int = 1) -> DataFrame:
     """smd, ks and w1 of each group between two samples."""
-    return smd(df, by, value, second).join(ks_and_wasserstein(df, by, value, second), by)
+    return smd(df, by, value, second).join(ks_and_wasserstein(df, by, value, second, ranges), by)
 
 
 def confusion(df: DataFrame, by: list[str], truth: Column, predicted: Column) -> DataFrame:

@@ -121,6 +121,11 @@ class Fixtures(Tables):
         size = int(str(self.raw("lineitem")._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
         return 1 + size // (1 << 30)
 
+    @property
+    def segments(self) -> int:
+        """Ranges of the lines along which ranks, distributions and offsets run."""
+        return 8 * self.ranges
+
     @property
     def toks(self) -> DataFrame:
         from tessera.functions.expr import words

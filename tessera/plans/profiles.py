@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from tessera.functions import expr
 from tessera.functions.expr import r6, ratio, rounded
 from tessera.operators import expectations, profile, ranks, reshape, scores
+from tessera.operators.quantile import with_quantiles
 from tessera.plans.base import ENDPOINTS, Fixtures, query
 
 _Q = "round(quantile_cont({v}, {p}), 6) + 0.0"
@@ -29,7 +30,7 @@ d AS (SELECT endpoint, {sql_moments('y')}, count(*) FILTER (WHERE y >= 5) AS n_a
 SELECT d.*, o.outliers FROM d JOIN o ON d.endpoint = o.endpoint""")
 def target_distribution(t: Fixtures) -> DataFrame:
     rows = t.long.select("endpoint", "y")
-    stats = rows.groupBy("endpoint").agg(*profile.moments("y", {"active": 5.0}))
+    stats = profile.moments(rows, ["endpoint"], "y", {"active": 5.0})
     limits = profile.fences(rows, ["endpoint"], "y", 1.5)
     outside = rows.join(limits, "endpoint").groupBy("endpoint").agg(F.count_if((F.col("y") < F.col("low")) | (F.col("y") > F.col("high"))).alias("outliers"))
     return rounded(stats.join(outside, "endpoint"))
@@ -38,7 +39,7 @@ def target_distribution(t: Fixtures) -> DataFrame:
 @query(f"""SELECT endpoint, property, {sql_moments('v')} FROM (SELECT l.endpoint, u.property, u.v FROM long_ l JOIN props_ p ON l.entity = p.entity, LATERAL (VALUES ('total', p.total), ('balance', p.balance)) u(property, v)) GROUP BY 1, 2""")
 def property_summary(t: Fixtures) -> DataFrame:
     rows = t.long.select("entity", "endpoint").join(t.props.select("entity", "total", "balance"), "entity")
-    return rounded(reshape.unpivot_values(rows, ["endpoint"], ["total", "balance"], "property", "v").groupBy("endpoint", "property").agg(*profile.moments("v")))
+    return rounded(profile.moments(reshape.unpivot_values(rows, ["endpoint"], ["total", "balance"], "property", "v"), ["endpoint", "property"], "v"))
 
 
 @query("""SELECT 'orders' AS source, count(*) AS n_rows, count(*) - count(o_totalprice) AS null_cells, count(DISTINCT o_custkey) AS n_names, count(*) FILTER (WHERE o_totalprice <= 0) AS invalid FROM orders
@@ -165,7 +166,7 @@ _SQL_VECTOR = "count({v}) AS n, round(avg({v}), 6) + 0.0 AS mean, round(stddev_p
 
 @query(f"SELECT endpoint, {_SQL_VECTOR.format(v='y')} FROM long_ GROUP BY 1")
 def stat_vector(t: Fixtures) -> DataFrame:
-    return rounded(t.long.groupBy("endpoint").agg(*profile.stat_vector("y")))
+    return rounded(profile.stat_vector(t.long.select("endpoint", "y"), ["endpoint"], "y"))
 
 
 @query("""SELECT endpoint, bin, n, round(n / (total * 0.5::DOUBLE), 6) + 0.0 AS density FROM (SELECT endpoint, CAST(least(floor(y / 0.5::DOUBLE), 19) AS INTEGER) AS bin, count(*) AS n, sum(count(*)) OVER (PARTITION BY endpoint) AS total FROM long_ WHERE y BETWEEN 0 AND 10 GROUP BY 1, 2)""")
@@ -203,12 +204,13 @@ def missing_folds(t: Fixtures) -> DataFrame:
     return profile.missing_units(seen, ["model", "seed"], "fold", 50)
 
 
-@query("""SELECT c.kind, c.category, r.endpoint, count(*) AS n, round(avg(abs(r.y - r.p)), 6) + 0.0 AS mae, round(avg(r.y - r.p), 6) + 0.0 AS bias FROM pred_ r JOIN props_ q ON q.entity = r.entity, LATERAL (VALUES ('segment', segment), ('status', status), ('priority', priority)) c(kind, category) WHERE r.model = 'm2' AND r.seed = 1 GROUP BY 1, 2, 3""")
+@query("""SELECT r.model, r.seed, c.kind, c.category, r.endpoint, count(*) AS n, round(avg(abs(r.y - r.p)), 6) + 0.0 AS mae, round(avg(r.y - r.p), 6) + 0.0 AS bias FROM pred_ r JOIN props_ q ON q.entity = r.entity, LATERAL (VALUES ('segment', segment), ('status', status), ('priority', priority)) c(kind, category) GROUP BY 1, 2, 3, 4, 5""")
 def error_by_domain(t: Fixtures) -> DataFrame:
-    rows = t.pred.filter("model = 'm2' AND seed = 1").join(t.props.select("entity", "segment", "status", "priority"), "entity")
-    long = reshape.unpivot_values(rows, ["endpoint", "y", "p"], ["segment", "status", "priority"], "kind", "category")
+    by = ["model", "seed", "endpoint"]
+    rows = t.pred.join(t.props.select("entity", "segment", "status", "priority"), "entity")
+    long = reshape.unpivot_values(rows, [*by, "y", "p"], ["segment", "status", "priority"], "kind", "category")
     error = F.col("y") - F.col("p")
-    return rounded(long.groupBy("kind", "category", "endpoint").agg(F.count("*").alias("n"), F.avg(F.abs(error)).alias("mae"), F.avg(error).alias("bias")))
+    return rounded(long.groupBy(*by, "kind", "category").agg(F.count("*").alias("n"), F.avg(F.abs(error)).alias("mae"), F.avg(error).alias("bias")))
 
 
 @query("""WITH s AS (SELECT l.endpoint, l.y, u.scheme, u.fold FROM long_ l JOIN folds_ f ON l.entity = f.entity, LATERAL (VALUES ('random', random_fold), ('group', group_fold)) u(scheme, fold)), a AS (SELECT scheme, endpoint, avg(y) AS m FROM s GROUP BY 1, 2)
@@ -242,20 +244,20 @@ def concentration_levels(t: Fixtures) -> DataFrame:
 def uncertainty_summary(t: Fixtures) -> DataFrame:
     rows = t.long.select("endpoint", (F.col("upper") - F.col("lower")).alias("ci_width"), "sd")
     long = reshape.unpivot_values(rows, ["endpoint"], ["ci_width", "sd"], "metric", "v", keep_null=True)
-    return rounded(long.groupBy("endpoint", "metric").agg(*profile.moments("v"), (F.count("*") - F.count("v")).alias("missing")))
+    return rounded(profile.moments(long, ["endpoint", "metric"], "v", None, (F.count("*") - F.count("v")).alias("missing")))
 
 
 @query("""WITH s AS (SELECT u.scheme, u.fold, l.y FROM long_ l JOIN folds_ f ON l.entity = f.entity, LATERAL (VALUES ('random', random_fold), ('group', group_fold)) u(scheme, fold)), g AS (SELECT scheme, fold, count(*) AS n, median(y) AS m FROM s GROUP BY 1, 2)
 SELECT scheme, count(*) AS folds, min(n) AS smallest, max(n) AS largest, round(avg(m), 6) + 0.0 AS mean_of_medians FROM g GROUP BY 1""")
 def cv_scheme_summary(t: Fixtures) -> DataFrame:
-    g = scheme_rows(t, "y").groupBy("scheme", "fold").agg(F.count("*").alias("n"), F.median("y").alias("m"))
+    g = with_quantiles(scheme_rows(t, "y"), ["scheme", "fold"], "y", {"m": 0.5}, F.count("*").alias("n"))
     return g.groupBy("scheme").agg(F.count("*").alias("folds"), F.min("n").alias("smallest"), F.max("n").alias("largest"), r6(F.avg("m")).alias("mean_of_medians"))
 
 
 @query("SELECT endpoint, round(min(w), 6) + 0.0 AS min, round(median(w), 6) + 0.0 AS median, round(max(w), 6) + 0.0 AS max FROM (SELECT endpoint, CASE WHEN sd > 0.01 THEN 1 / (sd * sd) END AS w FROM long_) GROUP BY 1")
 def weight_summary(t: Fixtures) -> DataFrame:
     rows = t.long.select("endpoint", F.when(F.col("sd") > 0.01, 1 / (F.col("sd") * F.col("sd"))).alias("w"))
-    return rounded(rows.groupBy("endpoint").agg(F.min("w").alias("min"), F.median("w").alias("median"), F.max("w").alias("max")))
+    return rounded(with_quantiles(rows, ["endpoint"], "w", {"median": 0.5}, F.min("w").alias("min"), F.max("w").alias("max")))
 
 
 @query("SELECT CAST(floor(total / 20000) AS BIGINT) AS x, CAST(floor(balance / 1000) AS BIGINT) AS y, count(*) AS n, round(log10(count(*)), 6) + 0.0 AS log_n FROM props_ GROUP BY 1, 2")
@@ -278,9 +280,10 @@ def avg_rank(t: Fixtures) -> DataFrame:
     return ranks.average_rank(t.long.select("endpoint", "entity", "qty"), ["endpoint"], "qty", "rank", t.ranges).select("endpoint", "entity", r6("rank").alias("rank"))
 
 
-@query("""WITH r AS (SELECT endpoint, fold, entity AS step, abs(y - p) AS loss FROM pred_ WHERE model = 'm3' AND seed = 1), b AS (SELECT *, min(loss) OVER (PARTITION BY endpoint, fold ORDER BY step) AS best FROM r),
-m AS (SELECT *, max(CASE WHEN loss = best THEN step END) OVER (PARTITION BY endpoint, fold ORDER BY step) AS best_step, row_number() OVER (PARTITION BY endpoint, fold ORDER BY step) AS i FROM b), k AS (SELECT *, max(CASE WHEN step = best_step THEN i END) OVER (PARTITION BY endpoint, fold ORDER BY step) AS bi FROM m)
-SELECT endpoint, fold, step, round(best, 6) + 0.0 AS best, best_step, i - bi AS stale, i - bi >= 20 AS stop FROM k""")
+@query("""WITH r AS (SELECT model, seed, endpoint, fold, entity AS step, abs(y - p) AS loss FROM pred_), b AS (SELECT *, min(loss) OVER w AS best FROM r WINDOW w AS (PARTITION BY model, seed, endpoint, fold ORDER BY step)),
+m AS (SELECT *, max(CASE WHEN loss = best THEN step END) OVER w AS best_step, row_number() OVER w AS i FROM b WINDOW w AS (PARTITION BY model, seed, endpoint, fold ORDER BY step)), k AS (SELECT *, max(CASE WHEN step = best_step THEN i END) OVER (PARTITION BY model, seed, endpoint, fold ORDER BY step) AS bi FROM m)
+SELECT model, seed, endpoint, fold, step, round(best, 6) + 0.0 AS best, best_step, i - bi AS stale, i - bi >= 20 AS stop FROM k""")
 def best_so_far(t: Fixtures) -> DataFrame:
-    rows = t.pred.filter("model = 'm3' AND seed = 1").select("endpoint", "fold", F.col("entity").alias("step"), F.abs(F.col("y") - F.col("p")).alias("loss"))
-    return ranks.best_so_far(rows, ["endpoint", "fold"], "step", "loss", patience=20).withColumn("best", r6("best"))
+    by = ["model", "seed", "endpoint", "fold"]
+    rows = t.pred.select(*by, F.col("entity").alias("step"), F.abs(F.col("y") - F.col("p")).alias("loss"))
+    return ranks.best_so_far(rows, by, "step", "loss", patience=20, ranges=t.segments).withColumn("best", r6("best"))

@@ -7,15 +7,18 @@ from pyspark.sql import functions as F
 
 from tessera.functions.expr import close, identity_levels, r6
 from tessera.operators import expectations, joins, reshape, similarity
+from tessera.operators.scan import Carried, Line
 from tessera.plans.base import ENDPOINTS, Fixtures, query
+from tessera.sources.work import stored
 
 
-@query("SELECT l.entity, l.endpoint, round(l.y, 6) + 0.0 AS y, f.random_fold AS fold, p.grp FROM long_ l JOIN folds_ f ON l.entity = f.entity JOIN props_ p ON p.entity = l.entity WHERE l.endpoint = 1")
+@query("SELECT l.entity, l.endpoint, round(l.y, 6) + 0.0 AS y, c.n AS n, f.random_fold AS fold, p.grp FROM long_ l JOIN (SELECT l_orderkey AS entity, l_linenumber AS endpoint, count(*) AS n FROM lineitem GROUP BY 1, 2) c ON c.entity = l.entity AND c.endpoint = l.endpoint JOIN folds_ f ON l.entity = f.entity JOIN props_ p ON p.entity = l.entity")
 def join_inner_validated(t: Fixtures) -> DataFrame:
-    rows = t.long.filter("endpoint = 1").select("entity", "endpoint", r6("y").alias("y"))
-    folds = t.folds.select("entity", F.col("random_fold").alias("fold"))
-    out = joins.validated_join(rows, folds, ["entity"], "inner", "one_to_one")
-    return joins.validated_join(out, t.props.select("entity", "grp"), ["entity"], "inner", "one_to_one")
+    keys = ["entity", "endpoint"]
+    lines = t.lineitem.groupBy(F.col("l_orderkey").alias("entity"), F.col("l_linenumber").alias("endpoint")).agg(F.count("*").alias("n"))
+    out = joins.validated_join(t.long.select(*keys, r6("y").alias("y")), lines, keys, "inner", "one_to_one")
+    about = joins.validated_join(t.folds.select("entity", F.col("random_fold").alias("fold")), t.props.select("entity", "grp"), ["entity"], "inner", "one_to_one")
+    return joins.validated_join(out, about, ["entity"], "inner", "many_to_one")
 
 
 @query("SELECT o_orderkey AS entity, round(y1, 6) + 0.0 AS y1, round(y2, 6) + 0.0 AS y2 FROM orders LEFT JOIN wide_ ON o_orderkey = entity")
@@ -89,21 +92,26 @@ def expected_key_coverage(t: Fixtures) -> DataFrame:
     return expected.join(seen, ["ordinal", "endpoint"], "left").withColumn("n", F.coalesce("n", F.lit(0)).cast("long"))
 
 
-@query("SELECT a.c AS rate, b.c AS depth, d.c AS loss, concat_ws('_', a.c, b.c, d.c) AS run, CAST(row_number() OVER (ORDER BY a.c, b.c, d.c) - 1 AS BIGINT) AS job FROM (VALUES ('0.01'), ('0.1')) a(c), (VALUES ('2'), ('4'), ('8')) b(c), (VALUES ('interval'), ('mse')) d(c)")
+@query("""SELECT a.c AS source, b.c AS segment, d.c AS kind, concat_ws('_', a.c, b.c, d.c) AS run, CAST(row_number() OVER (ORDER BY a.c, b.c, d.c) - 1 AS BIGINT) AS job
+FROM (SELECT DISTINCT source AS c FROM documents WHERE source IS NOT NULL) a, (SELECT DISTINCT c_mktsegment AS c FROM customer WHERE c_mktsegment IS NOT NULL) b, (SELECT DISTINCT event_type AS c FROM events WHERE event_type IS NOT NULL) d""")
 def grid_expansion(t: Fixtures) -> DataFrame:
-    return grid(t.spark, {"rate": ["0.01", "0.1"], "depth": ["2", "4", "8"], "loss": ["interval", "mse"]})
+    return grid({"source": t.documents.select("source"), "segment": t.customer.select("c_mktsegment"), "kind": t.events.select("event_type")})
 
 
-def grid(spark, axes: dict[str, list[str]]) -> DataFrame:
-    """All combinations, numbered by division and modulo of the job number as an array job is decoded."""
-    total = 1
-    for values in axes.values():
-        total *= len(values)
-    out, below = spark.range(total).withColumnRenamed("id", "job"), total
+def grid(axes: dict[str, DataFrame]) -> DataFrame:
+    """All combinations of the distinct values of tables of one column, numbered as an array job is decoded: by division and modulo of the job
+    number. Values are numbered, not rows; a job finds its value of each axis by an equal join on its place there."""
+    places, total = {}, 1
     for name, values in axes.items():
-        below //= len(values)
-        out = out.withColumn(name, F.element_at(F.array(*map(F.lit, values)), (F.floor(F.col("job") / below) % len(values) + 1).cast("int")))
-    return out.withColumn("run", F.concat_ws("_", *axes))
+        values = values.toDF(name).filter(F.col(name).isNotNull()).distinct()
+        places[name] = stored(Line(values, [], [name], 8).carry(_n=Carried("count", F.col(name), own=False)).done().withColumn("_at", F.coalesce("_n", F.lit(0)).cast("long")).drop("_n"))
+        total *= places[name].count()
+    out, below = next(iter(places.values())).sparkSession.range(total).withColumnRenamed("id", "job"), total
+    for name, values in places.items():
+        n = max(1, values.count())
+        below //= n
+        out = out.withColumn("_at", F.floor(F.col("job") / max(1, below)) % n).join(values, "_at").drop("_at")
+    return out.select(*axes, F.concat_ws("_", *axes).alias("run"), "job")
 
 
 @query("""SELECT l.l_orderkey, l.l_linenumber, l.n AS lines, round(e.total, 6) + 0.0 AS ext_total FROM (SELECT l_orderkey, l_linenumber, count(*) AS n FROM lineitem GROUP BY 1, 2) l

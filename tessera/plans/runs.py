@@ -10,6 +10,7 @@ from tessera.operators import expectations, folds, graph, registry, reshape, sco
 from tessera.plans.base import ENDPOINTS, Fixtures, query, sql_bucket
 from tessera.plans.relations import _LEVELS
 from tessera.plans.statistics import _EXCESS, _FOLD_SCORES
+from tessera.sources.work import stored
 
 # Expectations
 
@@ -166,7 +167,42 @@ def graph_features(t: Fixtures) -> DataFrame:
     items = F.filter(F.split(F.lower("text"), "[^a-z0-9]+"), lambda w: w != "")
     nodes, edges = graph.path_graph(F.col("items"))
     rows = t.documents.select("doc_id", "source", items.alias("items")).select("doc_id", "source", F.size(nodes).cast("long").alias("n_nodes"), (2 * F.size(edges)).cast("long").alias("n_edges"))
-    return reshape.offsets(rows, ["source"], "doc_id", "n_nodes", "first_node").select("doc_id", "n_nodes", "n_edges", "first_node")
+    return reshape.offsets(rows, ["source"], "doc_id", "n_nodes", "first_node", t.segments).select("doc_id", "n_nodes", "n_edges", "first_node")
+
+
+_H = "('0x' || substr(md5({0}), 1, 8))::BIGINT"
+_GRAPHS = """q AS (SELECT doc_id, source, list_filter(string_split_regex(lower(text), '[^a-z0-9]+'), lambda x: x <> '') AS w FROM documents),
+x AS (SELECT doc_id, source, unnest(w) AS node, unnest(range(len(w))) AS p FROM q),
+n AS (SELECT doc_id, source, node, row_number() OVER (PARTITION BY doc_id ORDER BY min(p)) - 1 AS place FROM x GROUP BY 1, 2, 3),
+e AS (SELECT DISTINCT a.doc_id, least(a.node, b.node) AS a, greatest(a.node, b.node) AS b FROM x a JOIN x b ON a.doc_id = b.doc_id AND b.p = a.p + 1 WHERE a.node <> b.node),
+d AS (SELECT doc_id, a AS t, b AS f FROM e UNION ALL SELECT doc_id, b, a FROM e)"""
+
+
+def _word_graphs(t: Fixtures) -> tuple[DataFrame, DataFrame]:
+    items = F.filter(F.split(F.lower("text"), "[^a-z0-9]+"), lambda w: w != "")
+    return graph.path_tables(t.documents.select("doc_id", items.alias("items")), "doc_id", "items")
+
+
+@query(f"""WITH {_GRAPHS}, r0 AS (SELECT doc_id, node, {_H.format("'0|' || node")} AS id FROM n),
+r1 AS (SELECT r.doc_id, r.node, {_H.format("'1|' || r.id || '|' || coalesce(s.s, 0)")} AS id FROM r0 r LEFT JOIN (SELECT d.doc_id, d.t, CAST(sum(id) AS BIGINT) AS s FROM d JOIN r0 ON r0.doc_id = d.doc_id AND r0.node = d.f GROUP BY 1, 2) s ON s.doc_id = r.doc_id AND s.t = r.node),
+r2 AS (SELECT r.doc_id, r.node, {_H.format("'2|' || r.id || '|' || coalesce(s.s, 0)")} AS id FROM r1 r LEFT JOIN (SELECT d.doc_id, d.t, CAST(sum(id) AS BIGINT) AS s FROM d JOIN r1 ON r1.doc_id = d.doc_id AND r1.node = d.f GROUP BY 1, 2) s ON s.doc_id = r.doc_id AND s.t = r.node),
+b AS (SELECT DISTINCT doc_id, id % 2048 AS b FROM (SELECT doc_id, id FROM r0 UNION ALL SELECT doc_id, id FROM r1 UNION ALL SELECT doc_id, id FROM r2))
+SELECT doc_id, count(*) AS n_bits, string_agg(b::VARCHAR, ',' ORDER BY b) AS bits FROM b GROUP BY 1""")
+def neighbourhood_fingerprints(t: Fixtures) -> DataFrame:
+    """Each document's word graph as 2,048 bits: the neighbourhoods of its words up to radius 2."""
+    nodes, edges = _word_graphs(t)
+    found = graph.folded(graph.neighbourhood_ids(nodes, edges, "doc_id", F.col("node")), "doc_id")
+    return found.select("doc_id", F.size("bits").cast("long").alias("n_bits"), F.array_join(F.transform("bits", lambda b: b.cast("string")), ",").alias("bits"))
+
+
+@query(f"""WITH {_GRAPHS}, z AS (SELECT source, doc_id, count(*) AS n FROM n GROUP BY 1, 2), o AS (SELECT source, doc_id, CAST(coalesce(sum(n) OVER (PARTITION BY source ORDER BY doc_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS BIGINT) AS first FROM z)
+SELECT o.source, d.doc_id, o.first + a.place AS src, o.first + b.place AS dst FROM d JOIN n a ON a.doc_id = d.doc_id AND a.node = d.t JOIN n b ON b.doc_id = d.doc_id AND b.node = d.f JOIN o ON o.doc_id = d.doc_id""")
+def graph_batches(t: Fixtures) -> DataFrame:
+    """The edges of all word graphs, numbered through their source's batch."""
+    nodes, edges = _word_graphs(t)
+    nodes = stored(nodes)
+    return graph.batch_edges(nodes, edges, "doc_id", t.documents.select("source", "doc_id"), ["source"], t.segments)
+
 
 
 # Bundles
@@ -216,9 +252,9 @@ def oof_summary(t: Fixtures) -> DataFrame:
     return rounded(s.groupBy("model").agg(F.count("*").alias("seeds"), F.min("n").alias("n"), F.avg("mae").alias("mean"), F.stddev_samp("mae").alias("sd")))
 
 
-@query("SELECT entity, endpoint, model, round(avg(p), 6) + 0.0 AS p, count(*) AS seeds FROM pred_ WHERE endpoint = 1 GROUP BY 1, 2, 3")
+@query("SELECT entity, endpoint, model, round(avg(p), 6) + 0.0 AS p, count(*) AS seeds FROM pred_ GROUP BY 1, 2, 3")
 def seed_average(t: Fixtures) -> DataFrame:
-    return rounded(registry.seed_mean(t.pred.filter("endpoint = 1"), ["entity", "endpoint", "model"]))
+    return rounded(registry.seed_mean(t.pred, ["entity", "endpoint", "model"]))
 
 
 _RUNS = "SELECT user_id AS run, nullif(event_type, 'view') AS endpoint, min(ts) AS first_seen, max(ts) AS refreshed, count(*) AS n, round(avg(value), 6) + 0.0 AS score FROM events WHERE {w} GROUP BY 1, 2"
@@ -238,14 +274,14 @@ def run_rows(t: Fixtures, where: str) -> DataFrame:
     return g.agg(F.min("ts").alias("first_seen"), F.max("ts").alias("refreshed"), F.count("*").alias("n"), r6(F.avg("value")).alias("score"))
 
 
-@query(f"""WITH v AS (SELECT *, avg(y) OVER (PARTITION BY model, endpoint) AS ma, avg(y) OVER (PARTITION BY model, endpoint, fold) AS mf FROM pred_ WHERE seed = 1),
-e AS (SELECT model, 'all' AS scope, CAST(endpoint AS VARCHAR) AS endpoint, count(*) AS n, sum({_EXCESS.format(p='p')}) / sum({_EXCESS.format(p='ma')}) AS s FROM v GROUP BY 1, 3 UNION ALL SELECT model, CAST(fold AS VARCHAR), CAST(endpoint AS VARCHAR), count(*), sum({_EXCESS.format(p='p')}) / sum({_EXCESS.format(p='mf')}) FROM v GROUP BY model, fold, endpoint)
-SELECT model, scope, endpoint, n, round(s, 6) + 0.0 AS st_rae FROM e UNION ALL SELECT model, scope, 'macro', CAST(sum(n) AS BIGINT), round(avg(s), 6) + 0.0 FROM e GROUP BY 1, 2""")
+@query(f"""WITH v AS (SELECT *, avg(y) OVER (PARTITION BY model, seed, endpoint) AS ma, avg(y) OVER (PARTITION BY model, seed, endpoint, fold) AS mf FROM pred_),
+e AS (SELECT model, seed, 'all' AS scope, CAST(endpoint AS VARCHAR) AS endpoint, count(*) AS n, sum({_EXCESS.format(p='p')}) / sum({_EXCESS.format(p='ma')}) AS s FROM v GROUP BY 1, 2, 4 UNION ALL SELECT model, seed, CAST(fold AS VARCHAR), CAST(endpoint AS VARCHAR), count(*), sum({_EXCESS.format(p='p')}) / sum({_EXCESS.format(p='mf')}) FROM v GROUP BY model, seed, fold, endpoint)
+SELECT model, seed, scope, endpoint, n, round(s, 6) + 0.0 AS st_rae FROM e UNION ALL SELECT model, seed, scope, 'macro', CAST(sum(n) AS BIGINT), round(avg(s), 6) + 0.0 FROM e GROUP BY 1, 2, 3""")
 def metric_tables(t: Fixtures) -> DataFrame:
     # Macro rows are means of endpoints, not rollups of rows.
-    rows = t.pred.filter("seed = 1").withColumn("scope", F.explode(F.array(F.lit("all"), F.col("fold").cast("string"))))
-    e = scores.st_rae(rows, ["model", "scope", "endpoint"]).withColumn("endpoint", F.col("endpoint").cast("string"))
-    macro = e.groupBy("model", "scope").agg(F.lit("macro").alias("endpoint"), F.sum("n").alias("n"), F.avg("st_rae").alias("st_rae"))
+    rows = t.pred.withColumn("scope", F.explode(F.array(F.lit("all"), F.col("fold").cast("string"))))
+    e = scores.st_rae(rows, ["model", "seed", "scope", "endpoint"]).withColumn("endpoint", F.col("endpoint").cast("string"))
+    macro = e.groupBy("model", "seed", "scope").agg(F.lit("macro").alias("endpoint"), F.sum("n").alias("n"), F.avg("st_rae").alias("st_rae"))
     return rounded(e.unionByName(macro))
 
 

@@ -222,7 +222,7 @@ def feature_blocks(t: Fixtures) -> DataFrame:
 def batch_offsets(t: Fixtures) -> DataFrame:
     """Where each document's parts begin when a source's are laid end to end."""
     rows = t.documents.select("doc_id", "source", F.size(F.split("text", "\n", -1)).cast("long").alias("n_lines"))
-    return reshape.offsets(rows, ["source"], "doc_id", "n_lines", "first_line").select("doc_id", "n_lines", "first_line")
+    return reshape.offsets(rows, ["source"], "doc_id", "n_lines", "first_line", t.segments).select("doc_id", "n_lines", "first_line")
 
 
 # Reshape

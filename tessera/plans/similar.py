@@ -87,7 +87,7 @@ _AT = [k / 10 for k in range(1, 10)]
 @query(f"WITH {_NN} SELECT {_SQL_VECTOR.format(v='sim')}, " + ", ".join(f"round(avg(CASE WHEN sim >= {a} THEN 1 ELSE 0 END), 6) + 0.0 AS at_{round(10 * a)}" for a in _AT) + " FROM nn")
 def nn_threshold_fractions(t: Fixtures) -> DataFrame:
     nn = similarity.dense_nearest(*halves(t))
-    return rounded(nn.agg(*profile.stat_vector("sim"), *(F.avg((F.col("sim") >= a).cast("int")).alias(f"at_{round(10 * a)}") for a in _AT)))
+    return rounded(profile.stat_vector(nn.select("sim"), [], "sim", *(F.avg((F.col("sim") >= a).cast("int")).alias(f"at_{round(10 * a)}") for a in _AT)))
 
 
 @query(f"""WITH {_PAIRS} SELECT t.t AS threshold, count(*) AS n, round(avg(delta), 6) + 0.0 AS mean, round(median(delta), 6) + 0.0 AS median, round(quantile_cont(delta, 0.25), 6) + 0.0 AS q1, round(quantile_cont(delta, 0.75), 6) + 0.0 AS q3,
@@ -237,7 +237,7 @@ def applicability_domain(t: Fixtures) -> DataFrame:
 def endpoint_coverage(t: Fixtures) -> DataFrame:
     v = vectors(t)
     best = similarity.dense_nearest(v, v, other=True, same=("label", "label")).join(v.select("id", F.col("label").alias("endpoint")), "id")
-    return rounded(best.groupBy("endpoint").agg(*profile.stat_vector("sim"), F.avg((F.col("sim") >= 0.3).cast("int")).alias("at_3")))
+    return rounded(profile.stat_vector(best.select("endpoint", "sim"), ["endpoint"], "sim", F.avg((F.col("sim") >= 0.3).cast("int")).alias("at_3")))
 
 
 @query(f"WITH {_NN}, b AS (SELECT *, CASE WHEN sim >= 0.4 THEN 'high' WHEN sim >= 0.35 THEN 'moderate' ELSE 'low' END AS band FROM nn) SELECT band, id FROM b QUALIFY row_number() OVER (PARTITION BY band ORDER BY ('0x' || substr(md5(id || 'sample'), 1, 8))::BIGINT, id) <= 8")
@@ -249,9 +249,8 @@ def stratified_sample(t: Fixtures) -> DataFrame:
 
 @query("""WITH p AS (SELECT a.o_custkey AS grp, abs(a.o_totalprice - b.o_totalprice) AS d FROM orders a JOIN orders b ON a.o_custkey = b.o_custkey AND a.o_orderkey < b.o_orderkey) SELECT grp, count(*) AS pairs, round(avg(d), 6) + 0.0 AS mean, round(coalesce(stddev_samp(d), 0), 6) + 0.0 AS sd, round(min(d), 6) + 0.0 AS min, round(max(d), 6) + 0.0 AS max FROM p GROUP BY 1""")
 def within_group_pairs(t: Fixtures) -> DataFrame:
-    a = t.orders.select(F.col("o_custkey").alias("grp"), F.col("o_orderkey").alias("ka"), F.col("o_totalprice").alias("xa"))
-    pairs = a.join(a.withColumnsRenamed({"ka": "kb", "xa": "xb"}), "grp").filter("ka < kb").select("grp", F.abs(F.col("xa") - F.col("xb")).alias("d"))
-    return rounded(pairs.groupBy("grp").agg(F.count("*").alias("pairs"), F.avg("d").alias("mean"), F.coalesce(F.stddev_samp("d"), F.lit(0.0)).alias("sd"), F.min("d").alias("min"), F.max("d").alias("max")))
+    rows = t.orders.select(F.col("o_custkey").alias("grp"), F.col("o_totalprice").alias("x"))
+    return rounded(profile.pair_statistics(rows, ["grp"], "x", t.segments).withColumn("sd", F.coalesce("sd", F.lit(0.0))))
 
 
 @query(f"""WITH o AS (SELECT vec_id, v, row_number() OVER (ORDER BY vec_id) - 1 AS o, count(*) OVER () AS n FROM vec_), d AS (SELECT r.r AS id, {sql_bucket("concat(r.r, 'a')", 1 << 32)} AS ha, {sql_bucket("concat(r.r, 'b')", 1 << 32)} AS hb FROM range(0, 2000) r(r))

@@ -75,14 +75,14 @@ def label_associations(t: Fixtures) -> DataFrame:
 @query(f"""WITH k AS (SELECT endpoint, y >= 5 AND qty < 25 AS first, {sql_rank('endpoint', 'tax')} AS r FROM long_)
 SELECT endpoint, count(*) FILTER (WHERE first) AS n1, count(*) FILTER (WHERE NOT first) AS n2, round(sum(r) FILTER (WHERE first) - count(*) FILTER (WHERE first) * (count(*) FILTER (WHERE first) + 1) / CAST(2 AS DOUBLE), 6) + 0.0 AS u FROM k GROUP BY 1""")
 def mannwhitney_u(t: Fixtures) -> DataFrame:
-    return rounded(stats.mann_whitney(t.long, ["endpoint"], "tax", (F.col("y") >= 5) & (F.col("qty") < 25)))
+    return rounded(stats.mann_whitney(t.long, ["endpoint"], "tax", (F.col("y") >= 5) & (F.col("qty") < 25), t.segments))
 
 
 @query("""WITH k AS (SELECT endpoint, qty, rank() OVER (ORDER BY qty) + (count(*) OVER (PARTITION BY qty) - 1) / CAST(2 AS DOUBLE) AS r FROM long_), g AS (SELECT endpoint, CAST(count(*) AS DOUBLE) AS m, sum(r) AS t FROM k GROUP BY 1), tt AS (SELECT sum(c * c * c - c) AS ties FROM (SELECT CAST(count(*) AS DOUBLE) AS c FROM k GROUP BY qty)),
 h AS (SELECT count(*) AS groups, sum(m) AS n, sum(t * t / m) AS s FROM g)
 SELECT groups, CAST(n AS BIGINT) AS n, round((12 / (n * (n + 1)) * s - 3 * (n + 1)) / (1 - ties / (n * n * n - n)), 6) + 0.0 AS h FROM h, tt""")
 def kruskal_wallis(t: Fixtures) -> DataFrame:
-    return rounded(stats.kruskal_wallis(t.long, [], "qty", "endpoint"))
+    return rounded(stats.kruskal_wallis(t.long, [], "qty", "endpoint", t.segments))
 
 
 @query("""WITH c AS (SELECT l_returnflag AS a, l_shipmode AS b, CAST(count(*) AS DOUBLE) AS o FROM (SELECT l_returnflag, l_linestatus || l_linenumber AS l_shipmode FROM lineitem) GROUP BY 1, 2), ra AS (SELECT a, sum(o) AS ra FROM c GROUP BY 1), rb AS (SELECT b, sum(o) AS rb FROM c GROUP BY 1), n AS (SELECT sum(o) AS n FROM c),
@@ -105,12 +105,12 @@ def split_rows(t: Fixtures) -> DataFrame:
 
 @query(f"WITH {_SPLIT}, {_ECDF} SELECT property, round(max(abs(gap)), 6) + 0.0 AS ks FROM g GROUP BY 1")
 def ks_statistic(t: Fixtures) -> DataFrame:
-    return rounded(stats.ks_and_wasserstein(split_rows(t), ["property"], "v", F.col("second")).select("property", "ks"))
+    return rounded(stats.ks_and_wasserstein(split_rows(t), ["property"], "v", F.col("second"), t.segments).select("property", "ks"))
 
 
 @query(f"WITH {_SPLIT}, {_ECDF} SELECT property, round(sum(abs(gap) * (nx - v)), 6) + 0.0 AS w1 FROM g GROUP BY 1")
 def wasserstein(t: Fixtures) -> DataFrame:
-    return rounded(stats.ks_and_wasserstein(split_rows(t), ["property"], "v", F.col("second")).select("property", "w1"))
+    return rounded(stats.ks_and_wasserstein(split_rows(t), ["property"], "v", F.col("second"), t.segments).select("property", "w1"))
 
 
 _SMD = """d AS (SELECT property, count(v) FILTER (WHERE NOT second) AS n_a, count(v) FILTER (WHERE second) AS n_b, avg(v) FILTER (WHERE NOT second) AS ma, avg(v) FILTER (WHERE second) AS mb, var_samp(v) FILTER (WHERE NOT second) AS va, var_samp(v) FILTER (WHERE second) AS vb FROM s GROUP BY 1),
@@ -132,7 +132,7 @@ def distribution_shift(t: Fixtures) -> DataFrame:
     rows = rows.select("total", "balance", schemes.alias("s")).withColumn("k", F.explode(F.sequence(F.lit(0), F.lit(4))))
     rows = reshape.unpivot_values(rows.select("total", "balance", "s.*", "k"), ["scheme", "fold", "k"], ["total", "balance"], "name", "v")
     rows = rows.select(F.concat_ws(":", "scheme", "k", "name").alias("property"), "v", (F.col("fold") == F.col("k")).alias("second"))
-    return rounded(stats.shift(rows, ["property"], "v", F.col("second")))
+    return rounded(stats.shift(rows, ["property"], "v", F.col("second"), t.segments))
 
 
 @query("""WITH w AS (SELECT endpoint, 1 / (sd * sd) AS w FROM long_ WHERE sd > 0), q AS (SELECT endpoint, quantile_cont(w, 0.05) AS a, quantile_cont(w, 0.95) AS b FROM w GROUP BY 1), c AS (SELECT w.endpoint, w, least(greatest(w, a), b) AS c FROM w JOIN q ON w.endpoint = q.endpoint)
@@ -196,11 +196,11 @@ def mean_baseline_cv(t: Fixtures) -> DataFrame:
     return rounded(scores.st_rae(rows.join(means, ["scheme", "fold", "endpoint"]), ["scheme", "fold", "endpoint"]))
 
 
-@query(f"""WITH j AS (SELECT a.model AS a, b.model AS b, s.scope, a.y - a.p AS ra, b.y - b.p AS rb FROM pred_ a JOIN pred_ b ON a.entity = b.entity AND a.endpoint = b.endpoint AND a.seed = b.seed AND a.model < b.model, LATERAL (VALUES ('all'), (CAST(a.endpoint AS VARCHAR))) s(scope) WHERE a.seed = 1),
+@query(f"""WITH j AS (SELECT a.model AS a, b.model AS b, s.scope, a.y - a.p AS ra, b.y - b.p AS rb FROM pred_ a JOIN pred_ b ON a.entity = b.entity AND a.endpoint = b.endpoint AND a.seed = b.seed AND a.model < b.model, LATERAL (VALUES ('all'), (CAST(a.endpoint AS VARCHAR))) s(scope)),
 k AS (SELECT *, {sql_rank('a, b, scope', 'ra')} AS xa, {sql_rank('a, b, scope', 'rb')} AS xb FROM j)
 SELECT a, b, scope, count(*) AS n, {sql_pearson('ra', 'rb')} AS r, {sql_pearson('xa', 'xb')} AS rho, round(avg(abs(ra - rb)), 6) + 0.0 AS mean_gap, round(max(abs(ra - rb)), 6) + 0.0 AS max_gap, round(avg(abs(ra)), 6) + 0.0 AS mae_a, round(avg(abs(rb)), 6) + 0.0 AS mae_b FROM k GROUP BY 1, 2, 3""")
 def residual_complementarity(t: Fixtures) -> DataFrame:
-    return rounded(comparison.complementarity(comparison.model_pairs(t.pred.filter("seed = 1"), ["entity", "endpoint", "seed"], MODELS), ranges=t.ranges))
+    return rounded(comparison.complementarity(comparison.model_pairs(t.pred, ["entity", "endpoint", "seed"], MODELS), ranges=t.ranges))
 
 
 _FOLD_SCORES = f"""v AS (SELECT *, avg(y) OVER (PARTITION BY endpoint, model, seed, fold) AS mu FROM pred_), sc AS (SELECT model, seed, fold, endpoint, sum({_EXCESS.format(p='p')}) / nullif(sum({_EXCESS.format(p='mu')}), 0) AS s FROM v GROUP BY 1, 2, 3, 4), mc AS (SELECT model, seed, fold, avg(s) AS macro FROM sc GROUP BY 1, 2, 3)"""
@@ -244,11 +244,10 @@ def objective_fallback(t: Fixtures) -> DataFrame:
     return fold_macro(t).select("model", "seed", "fold", r6(value).alias("objective"), used.alias("used"))
 
 
-@query("""WITH c AS (SELECT endpoint, CAST(count(*) FILTER (WHERE y >= 5 AND p >= 5) AS DOUBLE) AS tp, CAST(count(*) FILTER (WHERE y < 5 AND p >= 5) AS DOUBLE) AS fp, CAST(count(*) FILTER (WHERE y >= 5 AND p < 5) AS DOUBLE) AS fn, CAST(count(*) FILTER (WHERE y < 5 AND p < 5) AS DOUBLE) AS tn FROM pred_ WHERE model = 'm3' AND seed = 1 GROUP BY 1)
-SELECT endpoint, CAST(tp AS BIGINT) AS tp, CAST(fp AS BIGINT) AS fp, CAST(fn AS BIGINT) AS fn, CAST(tn AS BIGINT) AS tn, round((tp + tn) / (tp + fp + fn + tn), 6) + 0.0 AS accuracy, round(tp / (tp + fp), 6) + 0.0 AS precision, round(tp / (tp + fn), 6) + 0.0 AS recall, round(2 * tp / (2 * tp + fp + fn), 6) + 0.0 AS f1, round((tp * tn - fp * fn) / sqrt((tp + fp) * (tp + fn) * (tn + fp) * (tn + fn)), 6) + 0.0 AS mcc FROM c""")
+@query("""WITH c AS (SELECT model, seed, endpoint, CAST(count(*) FILTER (WHERE y >= 5 AND p >= 5) AS DOUBLE) AS tp, CAST(count(*) FILTER (WHERE y < 5 AND p >= 5) AS DOUBLE) AS fp, CAST(count(*) FILTER (WHERE y >= 5 AND p < 5) AS DOUBLE) AS fn, CAST(count(*) FILTER (WHERE y < 5 AND p < 5) AS DOUBLE) AS tn FROM pred_ GROUP BY 1, 2, 3)
+SELECT model, seed, endpoint, CAST(tp AS BIGINT) AS tp, CAST(fp AS BIGINT) AS fp, CAST(fn AS BIGINT) AS fn, CAST(tn AS BIGINT) AS tn, round((tp + tn) / (tp + fp + fn + tn), 6) + 0.0 AS accuracy, round(tp / nullif(tp + fp, 0), 6) + 0.0 AS precision, round(tp / nullif(tp + fn, 0), 6) + 0.0 AS recall, round(2 * tp / nullif(2 * tp + fp + fn, 0), 6) + 0.0 AS f1, round((tp * tn - fp * fn) / nullif(sqrt((tp + fp) * (tp + fn) * (tn + fp) * (tn + fn)), 0), 6) + 0.0 AS mcc FROM c""")
 def confusion_mcc(t: Fixtures) -> DataFrame:
-    rows = t.pred.filter("model = 'm3' AND seed = 1")
-    return rounded(stats.confusion(rows, ["endpoint"], F.col("y") >= 5, F.col("p") >= 5))
+    return rounded(stats.confusion(t.pred, ["model", "seed", "endpoint"], F.col("y") >= 5, F.col("p") >= 5))
 
 
 @query(f"""WITH {_FOLD_SCORES}, d AS (SELECT c.model, c.seed, c.fold, c.macro - r.macro AS delta FROM mc c JOIN mc r ON c.seed = r.seed AND c.fold = r.fold AND r.model = 'm2' AND c.model <> 'm2'), o AS (SELECT *, row_number() OVER (PARTITION BY model ORDER BY fold, seed) - 1 AS i, count(*) OVER (PARTITION BY model) AS n FROM d),
@@ -260,7 +259,8 @@ def bootstrap_ci(t: Fixtures) -> DataFrame:
 
 @query()
 def cluster_bootstrap(t: Fixtures) -> DataFrame:
-    rows = t.pred.filter("seed = 1").groupBy("entity", "endpoint", "y", "lower", "upper").agg(*(F.max(F.when(F.col("model") == m, F.col("p"))).alias(m) for m in ("m2", "m3")))
+    """Of the means over seeds of two models."""
+    rows = t.pred.groupBy("entity", "endpoint", "y", "lower", "upper").agg(*(F.avg(F.when(F.col("model") == m, F.col("p"))).alias(m) for m in ("m2", "m3")))
     return rounded(comparison.cluster_bootstrap(rows, "entity", "m2", "m3"))
 
 

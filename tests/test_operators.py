@@ -358,25 +358,71 @@ def test_failed_writes_and_reads_leave_the_table(spark, tmp_path):
         part.write_bytes(b"not a table")
     with pytest.raises(Exception):
         registry.update_table(spark, path, lambda old: spark.range(1) if old is None else old.filter("id > 1"))
-    assert not (tmp_path / "t" / "_lock").exists() and {f.read_bytes() for f in (tmp_path / "t").glob("version-000000000000-*/part-*")} == {b"not a table"}
+    assert {f.read_bytes() for f in (tmp_path / "t").glob("version-000000000000-*/part-*")} == {b"not a table"}
 
 
-def test_writers_follow_one_another(spark, tmp_path):
+def test_writers_at_once_lose_nothing(spark, tmp_path):
     from concurrent.futures import ThreadPoolExecutor
 
     path = str(tmp_path / "t")
-    add = lambda k: registry.update_table(spark, path, lambda old: spark.range(k, k + 1) if old is None else old.union(spark.range(k, k + 1)))
+    add = lambda k: registry.update_table(spark, path, lambda old: spark.range(k, k + 1) if old is None else old.union(spark.range(k, k + 1)), keep=8)
     with ThreadPoolExecutor(4) as pool:
         list(pool.map(add, range(6)))
     assert sorted(r.id for r in registry.read_table(spark, path).collect()) == list(range(6))
-    with registry.locked(spark, path), pytest.raises(TimeoutError), registry.locked(spark, path, wait=0.1):
-        pass
+    assert sorted(f.name for f in (tmp_path / "t").glob("commit-*")) == [f"commit-{k:012d}" for k in range(6)] and not list((tmp_path / "t").glob("_draft*"))
 
 
-@pytest.mark.parametrize("given_scores, weights", [({"a": 0.5, "b": 1.0}, {"a": 2 / 3, "b": 1 / 3}), ({"a": 0.0, "b": 1.0, "c": 0.0}, {"a": 0.5, "b": 0.0, "c": 0.5})])
-def test_ensemble_weights(spark, given_scores, weights):
-    df = spark.createDataFrame(list(given_scores.items()), "model string, score double")
-    assert {r.model: r.weight for r in registry.ensemble_weights(df).collect()} == pytest.approx(weights)
+def test_the_second_writer_of_a_version_is_refused(spark, tmp_path):
+    path = str(tmp_path / "t")
+    registry.replace_table(spark.range(1), path)
+    number, old = registry.read_version(spark, path)
+    registry.replace_table(spark.range(2), path, base=number)
+    with pytest.raises(registry.Conflict):  # it read version 0, and 1 is there
+        registry.replace_table(old.union(spark.range(9, 10)), path, base=number)
+    assert registry.read_table(spark, path).count() == 2 and len(list((tmp_path / "t").glob("version-*"))) == 2
+    for n in (3, 4, 5):
+        registry.replace_table(spark.range(n), path)
+    with pytest.raises(registry.Conflict):  # also when the folders of these versions are long gone
+        registry.replace_table(spark.range(9), path, base=number)
+
+
+def test_a_killed_writer_keeps_nobody_waiting(spark, tmp_path):
+    """A process that dies between writing its rows and committing them; the next writer goes on at once, from the committed rows."""
+    import subprocess
+    import sys
+
+    path = str(tmp_path / "t")
+    registry.replace_table(spark.range(3), path)
+    code = f"""
+import os, signal
+from pyspark.sql import SparkSession
+from tessera.operators import registry
+spark = SparkSession.builder.master("local[1]").config("spark.ui.enabled", "false").getOrCreate()
+registry._put_if_absent = lambda *a: os.kill(os.getpid(), signal.SIGKILL)
+registry.update_table(spark, {path!r}, lambda old: old.union(spark.range(50, 60)))
+"""
+    assert subprocess.run([sys.executable, "-c", code], timeout=200, capture_output=True).returncode == -9
+    assert len(list((tmp_path / "t").glob("version-*"))) == 2 and registry.read_table(spark, path).count() == 3
+    registry.update_table(spark, path, lambda old: old.union(spark.range(100, 101)))
+    assert sorted(r.id for r in registry.read_table(spark, path).collect()) == [0, 1, 2, 100]
+
+
+def test_late_records_do_not_win(spark):
+    schema = "run string, endpoint string, first_seen int, refreshed int, score double"
+    old = spark.createDataFrame([("r1", "a", 5, 9, 0.9), ("r2", "a", 5, 5, 0.5), (None, "a", 4, 4, 0.4)], schema)
+    new = spark.createDataFrame([("r1", "a", 3, 3, 0.3), ("r2", "a", 6, 6, 0.6), ("r3", "a", 1, 1, 0.1), (None, "a", 4, 3, 0.3)], schema)
+    want = {("r1", "a", 3, 9, 0.9), ("r2", "a", 5, 6, 0.6), ("r3", "a", 1, 1, 0.1), (None, "a", 4, 4, 0.4)}
+    for run in (None, "run"):
+        once = registry.upsert(old, new, ["run", "endpoint"], run, order="refreshed")
+        assert {tuple(r) for r in once.collect()} == want and once.count() == 4
+        assert {tuple(r) for r in registry.upsert(once, new, ["run", "endpoint"], run, order="refreshed").collect()} | {("r1", "a", 3, 9, 0.9)} == want
+
+
+def test_cv_columns_after_a_refresh(spark):
+    rows = [("m", "s", k, 0.5 + k / 10) for k in range(4)] + [("m", "s", 1, None), ("n", None, 0, 0.2), ("n", None, 0, 0.4), ("o", "s", 0, None)]
+    df = spark.createDataFrame(rows, "model string, seed string, fold int, score double")
+    got = {(r.model, r.cv_n, round(r.cv_mean, 9) if r.cv_mean else None, r.cv_folds) for r in registry.with_cv(registry.with_cv(df, ["model", "seed"], "score"), ["model", "seed"], "score").collect()}
+    assert got == {("m", 4, 0.65, 4), ("n", 2, 0.3, 1), ("o", 0, None, 0)}
 
 
 def test_ensemble_of_equal_members_is_the_member(spark):
@@ -537,3 +583,44 @@ def test_windowed_counts(spark, tmp_path):
     stream = event_counts(spark, str(tmp_path / "events"), schema)
     stream.writeStream.format("memory").queryName("windowed").outputMode("complete").trigger(availableNow=True).start().awaitTermination()
     assert spark.table("windowed").agg(F.sum("n")).first()[0] == spark.read.parquet(str(tmp_path / "events")).count()
+
+
+def test_records_out_of_order(spark, tmp_path):
+    from tessera.streaming.runs import watch_runs
+
+    schema = "run string, refreshed long, score double"
+    source, table, checkpoint = (str(tmp_path / n) for n in ("in", "table", "checkpoint"))
+    for batch in ([("a", 9, 0.9), ("b", 1, 0.1)], [("a", 3, 0.3), ("b", 2, 0.2)], [("a", 1, 0.1)]):
+        spark.createDataFrame(batch, schema).coalesce(1).write.mode("append").json(source)
+        watch_runs(spark, source, schema, table, checkpoint, ["run"]).awaitTermination()
+    assert {(r.run, r.first_seen, r.refreshed, r.score) for r in registry.read_table(spark, table).collect()} == {("a", 1, 9, 0.9), ("b", 1, 2, 0.2)}
+
+
+def test_runs_become_stale_by_timer(spark, tmp_path):
+    from tessera.streaming.runs import watch_status
+
+    source, table, checkpoint = (str(tmp_path / n) for n in ("in", "table", "checkpoint"))
+    read = spark.readStream.schema("run string, ts timestamp, complete boolean")
+
+    def feed(*rows):
+        spark.createDataFrame(list(rows), "run string, ts string, complete boolean").coalesce(1).write.mode("append").json(source)
+        watch_status(read.json(source), table, checkpoint, limit_ms=3_600_000).awaitTermination()
+        return {r.run: (r.status, str(r.first_seen)[11:16], str(r.refreshed)[11:16]) for r in registry.read_table(spark, table).collect()}
+
+    provider = "spark.sql.streaming.stateStore.providerClass"
+    before = spark.conf.get(provider)
+    spark.conf.set(provider, "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
+    try:
+        day = "2024-01-01 "
+        now = feed(("a", day + "10:00:00", False), ("b", day + "10:05:00", True), ("c", day + "10:10:00", False))
+        assert now == {"a": ("running", "10:00", "10:00"), "b": ("completed", "10:05", "10:05"), "c": ("running", "10:10", "10:10")}
+        now = feed(("c", day + "10:59:00", False), ("b", day + "10:04:00", False))  # the second one is late: b stays complete
+        assert now["b"] == ("completed", "10:04", "10:05") and now["c"] == ("running", "10:10", "10:59")
+        now = feed(("d", day + "11:30:00", False))  # the watermark passes 11:00
+        now = feed(("e", day + "11:31:00", True))
+        assert now["a"] == ("stale", "10:00", "10:00") and now["b"][0] == "completed" and now["c"][0] == "running" and now["d"][0] == "running"
+        assert feed(("a", day + "11:40:00", True))["a"] == ("completed", "10:00", "11:40")
+    finally:
+        spark.conf.set(provider, before)
+    with pytest.raises(ValueError):
+        watch_status(read.json(source), table, checkpoint + "2", limit_ms=1)

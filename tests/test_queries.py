@@ -75,7 +75,7 @@ def test_p_values(spark, con):
 
 
 def test_cluster_bootstrap(spark, con):
-    rows = con.sql(base.with_ctes("SELECT entity, endpoint, y, lower, upper, max(p) FILTER (WHERE model = 'm2') AS a, max(p) FILTER (WHERE model = 'm3') AS b FROM pred_ WHERE seed = 1 GROUP BY ALL")).df()
+    rows = con.sql(base.with_ctes("SELECT entity, endpoint, y, lower, upper, avg(p) FILTER (WHERE model = 'm2') AS a, avg(p) FILTER (WHERE model = 'm3') AS b FROM pred_ GROUP BY ALL")).df()
     mean = rows.groupby("endpoint").y.transform("mean")
     entities, code = np.unique(rows.entity, return_inverse=True)
     cumulated = np.cumsum([math.exp(-1) / math.factorial(k) for k in range(11)])
