@@ -151,7 +151,7 @@ class Encoder:
 
     def __init__(self, path: str, value: Callable, join: Callable[[Iterable], object]):
         self.value, self.join, self.known = value, join, {}
-        self.library, self.direct, self.special = None, True, None
+        self.library, self.direct, self.special, self.added = None, True, None, []
         if path.endswith(".model"):
             import sentencepiece
 
@@ -170,8 +170,8 @@ class Encoder:
         )
         if self.direct:
             return
-        added = [re.escape(t["content"]) for t in spec.get("added_tokens", []) if t["content"]]
-        self.special = re.compile("|".join(added)) if added else None
+        self.added = [t["content"] for t in spec.get("added_tokens", []) if t["content"]]
+        self.special = re.compile("|".join(map(re.escape, self.added))) if self.added else None
         self.known = self.base = self.whole_tokens(library)
         ranks = ranked(path)
         self.merge = (lambda parts: map(ranks[1].encode_ordinary, parts)) if ranks else self.encode
@@ -273,6 +273,16 @@ def vocabulary_size(path: str) -> int:
     return 1 + max(Tokenizer.from_file(path).get_vocab(with_added_tokens=True).values())
 
 
+@functools.lru_cache(maxsize=4)
+def begins_with_blank(path: str) -> np.ndarray:
+    """By id, whether a token of a byte-level vocabulary begins with a space."""
+    with open(path, encoding="utf-8") as f:
+        vocab = json.load(f)["model"]["vocab"]
+    out = np.zeros(1 + max(vocab.values()), bool)
+    out[[i for s, i in vocab.items() if s[:1] == chr(256 + 32)]] = True
+    return out
+
+
 def texts_of(batch: pa.RecordBatch) -> list[str]:
     return [b.decode("utf-8", "replace") if b else "" for b in batch.column("text").to_pylist()]
 
