@@ -4,8 +4,8 @@ Distinct fingerprints meet where two of five bit blocks agree, which any two wit
 the table of distances to PIVOTS reference fingerprints is computed. The order by the first column makes the pairs: only those within
 three there are ever formed; then pairs whose distances to some other reference differ by more than three are discarded (the triangle
 inequality: none of them can link), one reference after another, and the survivors are verified. A meeting reports links
-that span its groups, not all pairs; meetings of more than `most` fingerprints are dealt out by pairs of chunks, so no
-task holds more than two chunks of one. Components of the links, with the fingerprint as node, give the classes.
+that span its groups, not all pairs; meetings of more than `most` fingerprints are split by further bits, and what is larger still dealt out by
+pairs of chunks, so no task holds more than two chunks of one. Components of the links, with the fingerprint as node, give the classes.
 
 near_copies() links texts by the Jaccard similarity of their shingles instead, for radii at which no blocks of bits agree.
 Distinct texts meet where a band of minimum shingle hashes agrees (BANDS bands of ROWS: a pair of similarity 0.8 misses all of them
@@ -30,16 +30,16 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tessera.llm._shared import chunks, doc_id_type, id_text, stored
+from tessera.llm._shared import chunks, doc_id_type, drop_stored, id_text, stored
 from tessera.llm.components import components
 
 SEED, RADIUS, PIVOTS = 42, 3, 16
 BANDS, ROWS, WIDE = 16, 5, 22
-#: Minimum hashes of a text, the first of which make the bands; how far an estimate may fall short of the similarity (2.4 standard errors of
+#: Minimum hashes of a text, the first of which make the bands; how far an estimate may fall short of the similarity (3.6 standard errors of
 #: so many); pairs that a text proposes in a meeting of the second round.
-HASHES, SHORT, LIKELIEST = 256, 0.06, 4
-#: Nodes to verify that are broadcast: 24 bytes each.
-FEW_NODES = 200_000
+HASHES, SHORT, LIKELIEST = 256, 0.09, 4
+#: Sets to compare that are broadcast, 48 bytes each; and pairs of a hub that are compared in one place.
+FEW_ASKS, HUB = 200_000, 1024
 _WIDTHS = (13, 13, 13, 13, 12)
 _SHINGLES_AT_ONCE = 1 << 15
 
@@ -163,16 +163,36 @@ def spanning_links(group: np.ndarray, fp: np.ndarray, seen: dict | None = None)
     return fp[child], fp[root[child]]
 
 
-def links(distinct: DataFrame, most: int = 2048) -> DataFrame:
-    """u, v: links that span every set of distinct fingerprints (column fp) within RADIUS bits of one another."""
+def splits(mask: int) -> list[int]:
+    """Masks under which fingerprints that agree under `mask` meet again: of six parts of the other bits, any three. Within three bits of each other,
+    two fingerprints agree in three parts at least."""
+    free = [b for b in range(64) if not mask >> b & 1]
+    parts = [sum(1 << b for b in part.tolist()) for part in np.array_split(free, 6)]
+    return [_signed((mask & (1 << 64) - 1) | a | b | c) for a, b, c in itertools.combinations(parts, 3)]
+
+
+def link_rows(distinct: DataFrame, most: int) -> DataFrame:
+    """g, fp: the meetings of distinct fingerprints (column fp). Meetings of more than `most` are split by further bits, into twenty meetings for
+    each fingerprint in which few others agree; only what is still larger is dealt out by pairs of chunks."""
     keys = F.explode(F.array(*(F.struct(F.lit(t).alias("t"), F.col("fp").bitwiseAND(F.lit(m)).alias("key")) for t, m in enumerate(masks()))))
     rows = distinct.select("fp", keys.alias("k")).select("fp", "k.*")
-    large = stored(rows.groupBy("t", "key").agg(F.count("*").alias("n")).filter(F.col("n") > most))
+    large = stored(rows.groupBy("t", "key").agg(F.count("*").alias("n")).filter(F.col("n") > most)).select("t", "key", F.lit(True).alias("large"))
+    further = F.element_at(F.array(*(F.array(*map(F.lit, splits(m))) for m in masks())), F.col("t") + 1)
+    whole = F.array(F.struct(F.lit(-1).alias("s"), F.col("key")))
+    parts = F.transform(further, lambda m, i: F.struct(i.alias("s"), F.col("fp").bitwiseAND(m).alias("key")))
+    rows = rows.join(large, ["t", "key"], "left").select("fp", "t", F.explode(F.when(F.col("large"), parts).otherwise(whole)).alias("k")).select("fp", "t", "k.*")
+    keys = ["t", "s", "key"]
+    larger = stored(rows.filter("s >= 0").groupBy(*keys).agg(F.count("*").alias("n")).filter(F.col("n") > most))
     n_chunks = F.ceil(F.coalesce(F.col("n"), F.lit(1)) / most).cast("int")
     own = F.pmod(F.xxhash64("fp"), F.col("chunks")).cast("int")
-    rows = rows.join(large, ["t", "key"], "left").withColumn("chunks", n_chunks).withColumn("own", own)
+    rows = rows.join(larger, keys, "left").withColumn("chunks", n_chunks).withColumn("own", own)
     pairs = F.transform(F.sequence(F.lit(0), F.col("chunks") - 1), lambda c: F.struct(F.least(c, F.col("own")).alias("a"), F.greatest(c, F.col("own")).alias("b")))
-    rows = rows.select("fp", F.explode(pairs).alias("p"), "t", "key").select(F.xxhash64("t", "key", "p.a", "p.b").alias("g"), "fp")
+    return rows.select("fp", F.explode(pairs).alias("p"), *keys).select(F.xxhash64(*keys, "p.a", "p.b").alias("g"), "fp")
+
+
+def links(distinct: DataFrame, most: int = 2048) -> DataFrame:
+    """u, v: links that span every set of distinct fingerprints (column fp) within RADIUS bits of one another."""
+    rows = link_rows(distinct, most)
 
     def verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held_g, held_f = np.empty(0, np.int64), np.empty(0, np.uint64)
@@ -302,28 +322,51 @@ def proposals(group, node, fp, sketch, root, refused, similarity: float, most: i
 
 
 def _meetings(nodes: DataFrame, most: int) -> DataFrame:
-    """g, node, fp, sketch of all nodes that share a key with another one; large groups are dealt out by pairs of chunks."""
+    """node, t, key, chunks, own, fp, sketch of all nodes that share a key with another one; own: the node's chunk in a meeting of several."""
     thin = nodes.select("node", F.posexplode("keys").alias("t", "key"))
     large = thin.groupBy("t", "key").agg(F.count("*").alias("n")).filter("n > 1")  # a key of one text is no meeting
     own = F.pmod(F.xxhash64("node"), F.col("chunks")).cast("int")
-    rows = thin.join(large.hint("merge"), ["t", "key"]).withColumn("chunks", F.ceil(F.col("n") / most).cast("int")).withColumn("own", own)
-    pairs = F.transform(F.sequence(F.lit(0), F.col("chunks") - 1), lambda c: F.struct(F.least(c, F.col("own")).alias("a"), F.greatest(c, F.col("own")).alias("b")))
-    rows = stored(rows.select("node", F.explode(pairs).alias("p"), "t", "key").select("node", F.xxhash64("t", "key", "p.a", "p.b").alias("g")))
+    rows = stored(thin.join(large.hint("merge"), ["t", "key"]).withColumn("chunks", F.ceil(F.col("n") / most).cast("int")).withColumn("own", own).drop("n"))
     # Tables of known size, so that the nodes' sketches move only where they have to.
     met = stored(nodes.join(stored(rows.select("node").distinct()), "node", "left_semi").select("node", "fp", "sketch"))
-    return stored(rows.join(met, "node").select("g", "node", "fp", "sketch"))
+    out = stored(rows.join(met, "node"))
+    drop_stored(rows, met)
+    return out
 
 
-def _proposed(meetings: DataFrame, known: DataFrame | None, refused: DataFrame | None, similarity: float, turn: int) -> DataFrame:
+def _paired(rows: DataFrame) -> DataFrame:
+    """g for each chunk that a row's own one meets; the rows move once for each."""
+    pairs = F.transform(F.sequence(F.lit(0), F.col("chunks") - 1), lambda c: F.struct(F.least(c, F.col("own")).alias("a"), F.greatest(c, F.col("own")).alias("b")))
+    return rows.withColumn("p", F.explode(pairs)).withColumn("g", F.xxhash64("t", "key", "p.a", "p.b")).drop("p")
+
+
+def _dealt(meetings: DataFrame, known: DataFrame | None, turn: int, most: int) -> DataFrame:
+    """g, node, fp, sketch, root of the meetings that are not joined up yet. Meetings of several chunks go in turns: first each chunk by itself, then
+    what stands for each root that is left, and only then, where roots are still apart, all of their chunks with each other; so a large
+    group of copies moves once or twice, not once for each chunk."""
+    rows = meetings.withColumn("root", F.col("node")) if known is None else meetings.join(known, "node", "left").withColumn("root", F.coalesce("root", "node"))
+    if turn == 0:
+        return rows.withColumn("g", F.xxhash64("t", "key", "own")).select("g", "node", "fp", "sketch", "root")
+    apart = rows.groupBy("t", "key").agg(F.min("root").alias("a"), F.max("root").alias("b"), F.max("chunks").alias("c")).filter("a <> b")
+    apart = stored(apart.select("t", "key"))
+    rows = rows.join(apart, ["t", "key"], "left_semi")
+    if turn > 1:
+        return _paired(rows).select("g", "node", "fp", "sketch", "root")
+    one = rows.filter("chunks > 1").groupBy("t", "key", "root").agg(F.min(F.struct("node", "fp", "sketch")).alias("r")).select("t", "key", "root", "r.*")
+    n = one.groupBy("t", "key").agg(F.ceil(F.count("*") / most).cast("int").alias("chunks"))
+    one = one.join(n, ["t", "key"]).withColumn("own", F.pmod(F.xxhash64("node"), F.col("chunks")).cast("int"))
+    return _paired(rows.filter("chunks = 1").unionByName(one)).select("g", "node", "fp", "sketch", "root")
+
+
+def _proposed(meetings: DataFrame, known: DataFrame | None, refused: DataFrame | None, similarity: float, turn: int, most: int) -> DataFrame:
     """u < v: what all meetings propose. known: node, root; refused: u, v."""
-    rows = meetings
+    rows = _dealt(meetings, known, turn, most)
     empty = F.array().cast("array<long>")
-    if known is not None:
-        rows = rows.join(known, "node", "left").withColumn("root", F.coalesce("root", "node"))
+    if refused is not None:
         partners = stored(refused.groupBy(F.col("u").alias("node")).agg(F.collect_list("v").alias("no")))
         rows = rows.join(partners, "node", "left").withColumn("no", F.coalesce("no", empty))
     else:
-        rows = rows.withColumn("root", F.col("node")).withColumn("no", empty)
+        rows = rows.withColumn("no", empty)
 
     def whole_groups(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.Table]:
         held = None
@@ -352,32 +395,50 @@ def _proposed(meetings: DataFrame, known: DataFrame | None, refused: DataFrame |
 
 
 def _similar(pairs: DataFrame, nodes: DataFrame, texts: DataFrame, width: int, similarity: float) -> DataFrame:
-    """u, v, the Jaccard similarity of their texts' shingles, and ok, whether it suffices; texts: t1, t2, text."""
-    needed = pairs.select(F.explode(F.array("u", "v")).alias("node")).distinct().join(nodes.select("node", "t1", "t2"), "node")
-    needed = stored(needed)
-    if needed.count() <= FEW_NODES:  # then the texts need not be shuffled
-        needed = F.broadcast(needed)
-    found = texts.join(needed, ["t1", "t2"]).groupBy("node").agg(F.first("text").alias("text"))
+    """u, v, the Jaccard similarity of their texts' shingles, and ok, whether it suffices; texts: doc_id, t1, t2, text.
+
+    Of a pair, the node with more pairs is the hub. Hubs' pairs are dealt out in chunks of HUB; a leaf's shingles go to each of its hubs, a hub's
+    once to each of its chunks, straight from the texts: no text and no set is stored, and no pair carries two sets."""
+    degree = pairs.select(F.explode(F.array("u", "v")).alias("node")).groupBy("node").agg(F.count("*").alias("n"))
+    both = pairs.join(degree.select(F.col("node").alias("u"), F.col("n").alias("nu")), "u").join(degree.select(F.col("node").alias("v"), F.col("n").alias("nv")), "v")
+    first = F.col("nu") >= F.col("nv")
+    both = both.select(F.when(first, F.col("u")).otherwise(F.col("v")).alias("hub"), F.when(first, F.col("v")).otherwise(F.col("u")).alias("leaf"), F.greatest("nu", "nv").alias("n"))
+    both = stored(both.select("hub", "leaf", F.pmod(F.xxhash64("leaf"), F.ceil(F.col("n") / HUB)).alias("chunk")))
+    none = F.lit(-1).cast("long")
+    asks = both.select(F.col("leaf").alias("node"), "hub", "chunk", "leaf").unionByName(both.select(F.col("hub").alias("node"), "hub", "chunk", none.alias("leaf")).distinct())
+    asks = stored(asks.join(nodes.select("node", "t1", "t2", F.col("first").alias("_first")), "node").drop("node"))
+    if asks.count() <= FEW_ASKS:  # then the texts need not be shuffled
+        asks = F.broadcast(asks)
+    found = texts.join(asks, ["t1", "t2"]).filter(F.col("doc_id").eqNullSafe(F.col("_first"))).select("hub", "chunk", "leaf", "text")
 
     def shingles(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        last = own = None
         for batch in batches:
             for part in chunks(batch):
-                sets = [np.unique(np.concatenate([np.empty(0, "<u8"), *shingle_hashes(t, width)])).tobytes() for t in part.column("text").to_pylist()]
-                yield pa.RecordBatch.from_arrays([part.column("node"), pa.array(sets, pa.binary())], ["node", "s"])
-
-    sets = stored(found.mapInArrow(shingles, "node long, s binary"))
-    both = pairs.join(sets.select(F.col("node").alias("u"), F.col("s").alias("a")), "u").join(sets.select(F.col("node").alias("v"), F.col("s").alias("b")), "v")
+                sets = []
+                for text in part.column("text").to_pylist():  # a text's asks follow one another
+                    if own is None or text != last:
+                        last, own = text, np.unique(np.concatenate([np.empty(0, "<u8"), *shingle_hashes(text, width)])).tobytes()
+                    sets.append(own)
+                yield pa.RecordBatch.from_arrays([*(part.column(c) for c in ("hub", "chunk", "leaf")), pa.array(sets, pa.binary())], ["hub", "chunk", "leaf", "s"])
 
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        at, x = None, None
         for batch in batches:
             found = []
-            for a, b in zip(batch.column("a"), batch.column("b")):
-                x, y = (np.frombuffer(c.as_buffer(), "<u8") for c in (a, b))
-                shared = len(np.intersect1d(x, y, assume_unique=True))
-                found.append(shared / max(1, len(x) + len(y) - shared) if len(x) or len(y) else 1.0)
-            yield pa.RecordBatch.from_arrays([batch.column("u"), batch.column("v"), pa.array(found, pa.float64())], ["u", "v", "sim"])
+            for hub, chunk, leaf, s in zip(*(batch.column(c).to_pylist() for c in ("hub", "chunk", "leaf")), batch.column("s")):
+                y = np.frombuffer(s.as_buffer(), "<u8")
+                if leaf == -1:
+                    at, x = (hub, chunk), y.copy()
+                elif at == (hub, chunk):  # the hub's set comes first
+                    shared = len(np.intersect1d(x, y, assume_unique=True))
+                    found.append((min(hub, leaf), max(hub, leaf), shared / max(1, len(x) + len(y) - shared) if len(x) or len(y) else 1.0))
+            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*found) if found else ((), (), ()), (pa.int64(), pa.int64(), pa.float64()))], ["u", "v", "sim"])
 
-    return both.select("u", "v", "a", "b").mapInArrow(compare, "u long, v long, sim double").withColumn("ok", F.col("sim") >= similarity - 1e-12)
+    key = ["hub", "chunk"]
+    sets = found.mapInArrow(shingles, "hub long, chunk long, leaf long, s binary").repartition(*key).sortWithinPartitions(*key, "leaf")
+    rows = sets.mapInArrow(compare, "u long, v long, sim double").dropDuplicates(["u", "v"])  # rows may repeat
+    return rows.withColumn("ok", F.col("sim") >= similarity - 1e-12)
 
 
 def near_copies(docs: DataFrame, width: int = 5, similarity: float = 0.8, most: int = 1024, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -386,17 +447,20 @@ def near_copies(docs: DataFrame, width: int = 5, similarity: float = 0.8, most:
     text = F.col(text_col).cast("binary")
     hashes = [F.xxhash64(F.coalesce(text, F.lit(b"")), F.lit(k)).alias(f"t{k}") for k in (1, 2)]
     kind = doc_id_type(docs, id_col)
-    read = id_text(docs, id_col, text_col, *hashes)
+    read = id_text(docs, id_col, text_col, *hashes)  # no task holds more than a batch of texts
     rows = stored(read.mapInArrow(lambda batches: signatures(batches, width), f"doc_id {kind}, t1 long, t2 long, fp long, keys array<long>, sketch binary"))
     nodes = rows.groupBy("t1", "t2").agg(F.min("doc_id").alias("first"), F.min(F.struct("fp", "keys", "sketch")).alias("k"))
     nodes = stored(nodes.select(F.monotonically_increasing_id().alias("node"), "t1", "t2", "first", "k.*"))
     checked = known = None
     meetings = _meetings(nodes, most)
+    dealt = bool(meetings.filter("chunks > 1").take(1))
     for turn in itertools.count():
-        asked = stored(_proposed(meetings, known, None if checked is None else checked.filter("NOT ok"), similarity, turn))
+        asked = stored(_proposed(meetings, known, None if checked is None else checked.filter("NOT ok"), similarity, turn, most))
         if not asked.take(1):
+            if dealt and turn < 2:
+                continue
             break
-        new = stored(_similar(asked, nodes, read.select("t1", "t2", "text"), width, similarity))
+        new = stored(_similar(asked, nodes, read, width, similarity))
         checked = new if checked is None else stored(checked.unionByName(new))
         known = stored(components(checked.filter("ok").select("u", "v")))
     rooted = nodes.select("node", "t1", "t2", "first")
