@@ -13,8 +13,8 @@ query probes the lists with the most, until `target` of all are covered and k +
 members, which may be clusters that their list's spread does not show, and lists of very few vectors are always probed. The k-th best of the sample is a query's first bound, and its k best are candidates too.
 
 Lists meet their queries in cells: neighbouring small lists together, large ones in chunks of `chunk` components; a query goes to a cell
-once, with the lists that it probes there. Queries are dealt out in blocks, so no task holds more than two chunks and a block. Rows shuffled
-grow with the rows, and from 16 chunks on with rows * queries / (components of a chunk). Of equal vectors the k + 1 smallest ids
+once, with the lists that it probes there. A cell's visitors are dealt out in blocks, so no task holds more than two chunks and a block, and a cell
+is sent once to each block that visits it. Of equal vectors the k + 1 smallest ids
 are candidates; no other can be among the k nearest.
 
 Vectors that are null, zero, or hold null or non-finite components take no part, nor do those of another length than most: their
@@ -376,11 +376,13 @@ def nearest(
 
     asked = rows.filter(F.col("id") % every == 0).select("id", "v")
     queries = stored(asked.mapInArrow(probes, f"id long, v {kind}, bound double, visits array<struct<cell:long,lists:array<int>>>, near array<long>, score array<double>"))
-    n_blocks = max(1, math.ceil(queries.count() / block))
-    left = queries.select("id", "v", "bound", F.explode("visits").alias("visit"), F.pmod(F.xxhash64("id"), F.lit(n_blocks)).alias("b")).select("id", "v", "bound", "visit.*", "b")
+    left = queries.select("id", "v", "bound", F.explode("visits").alias("visit")).select("id", "v", "bound", "visit.*")
+    # A cell is sent to as many blocks as its own visitors fill, and not at all if it has none.
+    blocks = stored(left.groupBy("cell").agg(F.ceil(F.count("*") / block).alias("blocks")))
+    left = left.join(blocks, "cell").withColumn("b", F.pmod(F.xxhash64("id"), F.col("blocks"))).drop("blocks")
     at = lambda values: F.element_at(F.lit(values.tolist()), F.col("list") + 1)
     right = index.withColumn("cell", (at(first_cell) + F.pmod(F.xxhash64(F.lit(2), "id"), at(n_cells))).cast("long"))
-    right = right.withColumn("b", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(n_blocks - 1).cast("long"))))
+    right = right.join(blocks, "cell").withColumn("b", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1))).drop("blocks")
 
     def meet(asked: pa.Table, members: pa.Table) -> pa.Table:
         i, ids, score = np.empty(0, np.int64), np.empty(0, np.int64), np.empty(0)
