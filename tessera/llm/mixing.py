@@ -136,7 +136,7 @@ def mix(docs: DataFrame, plan: Plan, id_col: str = "doc_id", source_col: str = "
     rows = rows.join(src, F.col("_from").eqNullSafe(F.col("_source")), "left").withColumn("block", block_of(F.col("_id"), F.col("size"), F.col("n_blocks"), plan.seed))
     rows = rows.join(blk, ["ix", "block"], "left")
     cut = (F.col("last") > 0) & (F.col("last") < F.col("words"))
-    order = Window.partitionBy("ix", "block").orderBy(F.xxhash64(F.lit(plan.seed), F.lit("cut"), "_id"), "_id", "size").rowsBetween(Window.unboundedPreceding, -1)
+    order = Window.partitionBy("ix", "block").orderBy(F.xxhash64(F.lit(plan.seed), F.lit("cut"), "_id"), "_id", "size", F.xxhash64("row")).rowsBetween(Window.unboundedPreceding, -1)
     before = F.coalesce(F.sum("size").over(order), F.lit(0))
     in_part = rows.filter(cut).withColumn("once", F.least(F.col("size"), F.greatest(F.lit(0), F.col("last") - before)))
     whole = rows.filter(~cut | cut.isNull()).withColumn("once", F.when(F.col("last") > 0, F.col("size")).otherwise(0))
