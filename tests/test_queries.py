@@ -97,39 +97,34 @@ def test_cluster_bootstrap(spark, con):
     assert got == pytest.approx(want, abs=2e-6)
 
 
-def fitted(spark, features, held_out, trees):
-    """Models by endpoint from a pandas frame of the bundle, by the same library."""
-    from pyspark.ml.feature import VectorAssembler
-    from pyspark.ml.regression import GBTRegressor
-
-    whole = runs.bundle(base.Fixtures(spark, SF)).toPandas().sort_values(["endpoint", "entity"])
-    assert set(whole.endpoint) == {1, 2}
-    out = []
-    for e, own in whole.groupby("endpoint"):
-        df = VectorAssembler(inputCols=features, outputCol="x").transform(spark.createDataFrame(own[["entity", "y", "fold", *features]]))
-        model = GBTRegressor(featuresCol="x", labelCol="y", predictionCol="p", lossType="absolute", maxIter=trees, maxDepth=3, seed=42).fit(df.filter(f"fold <> {held_out}"))
-        scored = model.transform(df.filter(f"fold = {held_out}")).select("entity", "p").toPandas()
-        out.append(own[own.fold == held_out].merge(scored, on="entity").assign(endpoint=e))
-    return pd.concat(out)
+def plain_boosted(rows, features, **how):
+    from tests.test_boosting import plain
+
+    return plain(rows[features].to_numpy(float), rows.y.to_numpy(), rows.role.to_numpy(), **({"depth": 3, "rate": 0.2, "least": 10, "patience": 5, "bins": 16} | how))
 
 
 def test_batch_inference(spark):
-    want = fitted(spark, ["qty", "tax"], 1, 3)
+    whole = runs.bundle(base.Fixtures(spark, SF)).toPandas()
+    whole["role"] = np.where(whole.fold == 1, "test", "train")
     got = {(r["entity"], r["endpoint"]): r["p"] for r in rows_of(spark, "batch_inference")}
-    assert set(got) == set(zip(want.entity, want.endpoint))
-    gap = np.array([abs(got[k] - p) for k, p in zip(zip(want.entity, want.endpoint), want.p)])
-    # The library's split candidates depend on the rows' order; the models agree but for few rows.
-    assert np.median(gap) < 0.05 and np.mean(gap) < 0.1 * want.y.std()
+    assert set(whole.endpoint) == {1, 2, 3, 4} and set(got) == set(zip(whole.entity[whole.fold == 1], whole.endpoint[whole.fold == 1]))
+    for e, own in whole.groupby("endpoint"):
+        want = plain_boosted(own, ["qty", "tax"], trees=3)
+        assert all(abs(got[i, e] - p) < 2e-6 for i, p, f in zip(own.entity, want, own.fold) if f == 1)
 
 
 def test_gbt_per_endpoint(spark):
-    want = fitted(spark, ["qty", "tax", "total", "balance"], 0, 10)
+    whole = runs.bundle(base.Fixtures(spark, SF)).toPandas()
     got = {r["endpoint"]: r for r in rows_of(spark, "gbt_per_endpoint")}
-    assert set(got) == {1, 2}
-    for e, own in want.groupby("endpoint"):
-        error = own.y - own.p
-        assert got[e]["n"] == len(own) and got[e]["mae"] == pytest.approx(error.abs().mean(), rel=0.05)
-        assert got[e]["rmse"] == pytest.approx(math.sqrt((error**2).mean()), rel=0.05)
+    assert set(got) == {1, 2, 3, 4}
+    for e, own in whole.groupby("endpoint"):
+        errors = []
+        for held in range(5):
+            rows = own.assign(role=np.where(own.fold == held, "test", np.where(own.fold == (held + 1) % 5, "valid", "train")))
+            p = plain_boosted(rows, ["qty", "tax", "total", "balance"], trees=10, bins=32, patience=3)
+            errors.append((rows.y - p)[rows.role == "test"])
+        error = pd.concat(errors)
+        assert got[e]["n"] == len(own) and got[e]["mae"] == pytest.approx(error.abs().mean(), abs=2e-6) and got[e]["rmse"] == pytest.approx(math.sqrt((error**2).mean()), abs=2e-6)
 
 
 def test_entry(spark):
