@@ -108,7 +108,8 @@ class Words:
         self.log = np.append(self.log, np.where(known, self.logs[place], 0.0) if len(self.hashes) else np.zeros(len(h)))
         self.known = np.append(self.known, known)
         if self.encoder.ranked is not None:
-            odd = [w for w in new if not w.isascii() and UNSAFE.search(w.decode("utf-8", "replace"))]
+            # Side by side, blanks beyond ASCII at the ends of words would run together with the space between them.
+            odd = [w for w in new if not w.isascii() and (UNSAFE.search(w.decode("utf-8", "replace")) or self._BLANK.search(w))]
             other = dict(zip(odd, self._encoded([b" " + w for w in odd])))
             plain = iter(self._plain([w for w in new if w not in other] if odd else new))
             self.ids += [other[w] if w in other else next(plain) for w in new] if odd else plain

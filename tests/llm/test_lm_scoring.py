@@ -109,6 +109,17 @@ def test_windows_cover_each_token_once():
         assert scored[scored != attention.NONE].tolist() == [*ids.tolist(), 0]
 
 
+def test_words_that_begin_and_end_with_wide_blanks():
+    from tokenizers import Tokenizer
+
+    library = Tokenizer.from_file(vocabulary())
+    words = [f"\xa0w{i}\xa0" for i in range(40)]  # in any order one ends where another begins
+    coder = lm_scoring.Words(vocabulary(), "<u2", (np.empty(0, np.int64), np.empty(0)))
+    ids, split, _, _ = coder([" ".join(words).encode()])
+    assert len(split[0]) == len(coder.ids) == 40
+    assert np.frombuffer(ids[0], "<u2").tolist() == library.encode(" ".join(words), add_special_tokens=False).ids
+
+
 def test_ids_by_words_are_the_librarys():
     from tokenizers import Tokenizer
 
