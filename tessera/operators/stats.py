@@ -129,5 +129,6 @@ def correlation_p(r: Column, n: Column) -> Column:
 
 def mann_whitney_p(u: Column, n1: Column, n2: Column) -> Column:
     """Two-sided p-value by the normal approximation, without a correction for ties."""
+    n1, n2 = n1.cast("double"), n2.cast("double")  # the product of three counts is beyond a long from some millions of rows on
     sd = F.sqrt(n1 * n2 * (n1 + n2 + 1) / F.lit(12.0))
     return normal_p(ratio(u - n1 * n2 / F.lit(2.0), sd))
