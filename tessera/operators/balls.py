@@ -21,6 +21,8 @@ from tessera.sources.work import stored
 
 #: What rounding to nine decimals and single steps of arithmetic may shift a distance by.
 SLACK = 1e-6
+#: Rows of visits that are handed on at once.
+VISITS = 8192
 
 
 def _unit(x: np.ndarray) -> np.ndarray:
@@ -49,20 +51,19 @@ def _table(numbers: list[int], at: Column) -> Column:
 
 def ball_nearest(
     queries: DataFrame, references: DataFrame, score: str = "cosine", other: bool = False, where: tuple[str, str] | None = None, same: tuple[str, str] | None = None,
-    centres: int = 256, block_rows: int = 1024, seen: dict | None = None,
-) -> DataFrame:
+    centres: int = 256, block_rows: int = 1024, seen: dict | None = None, worth: float | None = None,
+) -> DataFrame | None:
     """What similarity.dense_nearest gives, for the scores of METRICS. centres: at most so many, the square root of the references if they are
     fewer. Vectors without a finite score (zero, for cosines) take no part. seen: is given how many pairs of a part and a chunk were
-    formed, and how many all parts and all queries would make."""
-    from tessera.operators.similarity import matrix_of, nearest_in_block
+    formed, and how many all parts and all queries would make. worth: None is returned where the visits would form more than that share of these
+    pairs, or rows of queries would go to more balls than blocks are."""
+    from tessera.operators.similarity import matrix_of, nearest_in_block, scorable
 
     distances, reach = METRICS[score]
     kind = dict(queries.dtypes)["id"]
 
     def used(df: DataFrame, side: int) -> DataFrame:
-        columns = list(dict.fromkeys(["id", "v", *(c[side] for c in (where, same) if c)]))
-        length = F.aggregate("v", F.lit(0.0), lambda a, x: a + F.abs(x))
-        return df.select(*columns).filter((length > (0 if score == "cosine" else -1)) & (length < float("inf")))
+        return scorable(df, score, *(c[side] for c in (where, same) if c))
 
     queries, references = used(queries, 0), used(references, 1)
     references = stored(references)
@@ -112,17 +113,34 @@ def ball_nearest(
     first = met(own)
     left = own.join(best(first).select(F.col("id").alias("_id"), F.col("sim").alias("_sim")), F.col("id") == F.col("_id"), "left").drop("_id")
 
+    def reached(batch: pa.RecordBatch) -> np.ndarray:
+        """Which other balls could beat or equal what each query has."""
+        sim = batch.column("_sim").to_numpy(zero_copy_only=False).astype(float)
+        within = np.where(np.isnan(sim), np.inf, reach(np.where(np.isnan(sim), 1, sim)) + SLACK)
+        could = distances(matrix_of(batch.column("v")), middle) - wide[None] <= within[:, None]
+        could[np.arange(len(could)), batch.column("cell").to_numpy()] = False
+        return could
+
+    def counting(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        n = np.zeros(k, np.int64)
+        for batch in batches:
+            n += reached(batch).sum(0)
+        yield pa.RecordBatch.from_arrays([pa.array(np.arange(k), pa.int32()), pa.array(n)], ["cell", "n"])
+
     def visiting(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            sim = batch.column("_sim").to_numpy(zero_copy_only=False).astype(float)
-            within = np.where(np.isnan(sim), np.inf, reach(np.where(np.isnan(sim), 1, sim)) + SLACK)
-            could = distances(matrix_of(batch.column("v")), middle) - wide[None] <= within[:, None]
-            could[np.arange(len(could)), batch.column("cell").to_numpy()] = False
-            row, cell = np.nonzero(could)
+            row, cell = np.nonzero(reached(batch))
             columns = [c for c in batch.schema.names if c not in ("cell", "_sim")]
-            at = pa.array(row)
-            yield pa.RecordBatch.from_arrays([*(batch.column(c).take(at) for c in columns), pa.array(cell, pa.int32())], [*columns, "cell"])
-
+            for lo in range(0, len(row), VISITS):  # a batch's queries may go to all balls
+                at = pa.array(row[lo : lo + VISITS])
+                yield pa.RecordBatch.from_arrays([*(batch.column(c).take(at) for c in columns), pa.array(cell[lo : lo + VISITS], pa.int32())], [*columns, "cell"])
+
+    if worth is not None:
+        left = stored(left)
+        visits = {r["cell"]: r["n"] for r in left.mapInArrow(counting, "cell int, n long").groupBy("cell").agg(F.sum("n").alias("n")).collect()}  # a row for each centre
+        blocks = -(-queries.count() // block_rows)
+        if sum(parts[c] * -(-n // block_rows) for c, n in visits.items()) > worth * sum(parts) * blocks or sum(visits.values()) > blocks * max(1, queries.count()):
+            return None
     schema = ", ".join(f"`{c}` {t}" for c, t in own.dtypes if c != "cell")
     rest = met(left.mapInArrow(visiting, f"{schema}, cell int"))
     if seen is not None:

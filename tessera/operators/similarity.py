@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import math
+from collections.abc import Callable
 
 import numpy as np
 import pyarrow as pa
@@ -25,6 +26,11 @@ def six(sim: Column | str) -> Column:
 MANY_BLOCKS = 64
 #: What a candidate of the prefix join costs, in pairs of a block.
 CANDIDATE = 8
+#: Rows of the largest blocks of vectors, and cells of the tiles in which two blocks meet. A row moves once for every block that it meets, so large blocks
+#: move little; a task holds two blocks and a tile.
+LARGE_BLOCK, TILE = 16_384, 1 << 21
+#: The share of all block pairs up to which a ball cover is used.
+WORTH = 0.25
 
 
 def set_pairs(items: DataFrame, key: str, item: str, least: float | None = None, top: int | None = None, block_rows: int = 1024) -> DataFrame:
@@ -208,15 +214,29 @@ SCORES = {
 }
 
 
-def _met(left: DataFrame, right: DataFrame, block_rows: int, half: bool = False):
+def large_blocks(n: int) -> int:
+    """Rows of a block of a table of n rows: about sixteen blocks, until they have LARGE_BLOCK rows."""
+    return max(1024, min(LARGE_BLOCK, -(-n // 16)))
+
+
+def _met(left: DataFrame, right: DataFrame, block_rows: int, half: bool = False, same: tuple[str, str] | None = None):
     """Both tables in blocks of about block_rows rows, by hash of the id, each row once for every block of the other; grouped for
-    a cogroup by block pair. The right columns are renamed, so that a table can meet itself; with `half` each two of its blocks meet once."""
+    a cogroup by block pair. The right columns are renamed, so that a table can meet itself; with `half` each two of its blocks meet once.
+    same: blocks are of one value of these columns each, and only those of one value meet."""
     right = right.withColumnsRenamed({c: f"{c}_r" for c in right.columns})
-    nl = max(1, math.ceil(left.count() / block_rows))
-    nr = nl if half else max(1, math.ceil(right.count() / block_rows))
-    left = left.withColumn("bl", F.pmod(F.xxhash64("id"), F.lit(nl)).cast("int")).withColumn("br", F.explode(F.sequence(F.col("bl") if half else F.lit(0), F.lit(nr - 1))))
-    right = right.withColumn("br", F.pmod(F.xxhash64("id_r"), F.lit(nr)).cast("int")).withColumn("bl", F.explode(F.sequence(F.lit(0), F.col("br") if half else F.lit(nl - 1))))
-    return left.groupBy("bl", "br").cogroup(right.groupBy("bl", "br"))
+    if same:
+        n = lambda df, c, name: df.groupBy(F.col(c).alias("_g")).agg(F.ceil(F.count("*") / block_rows).cast("int").alias(name)).filter("_g IS NOT NULL")
+        sizes = stored(n(left, same[0], "_nl").join(n(right, f"{same[1]}_r", "_nr"), "_g"))
+        left = left.join(sizes, F.col(same[0]) == F.col("_g"))
+        right = right.join(sizes.select(*(F.col(c).alias(f"{c}_r") for c in sizes.columns)), F.col(f"{same[1]}_r") == F.col("_g_r"))
+        (nl, nr), (nl_r, nr_r) = ((F.col(f"_nl{side}"), F.col(f"_nl{side}" if half else f"_nr{side}")) for side in ("", "_r"))
+    else:
+        many = max(1, math.ceil(left.count() / block_rows))
+        nl = nl_r = F.lit(many)
+        nr = nr_r = F.lit(many if half else max(1, math.ceil(right.count() / block_rows)))
+    left = left.withColumn("bl", F.pmod(F.xxhash64("id"), nl).cast("int")).withColumn("br", F.explode(F.sequence(F.col("bl") if half else F.lit(0), nr - 1)))
+    right = right.withColumn("br", F.pmod(F.xxhash64("id_r"), nr_r).cast("int")).withColumn("bl", F.explode(F.sequence(F.lit(0), F.col("br") if half else nl_r - 1)))
+    return left.groupBy(*["_g"] * bool(same), "bl", "br").cogroup(right.groupBy(*["_g_r"] * bool(same), "bl", "br"))
 
 
 def _halved(x: pa.Table, y: pa.Table, i: np.ndarray, j: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -266,10 +286,118 @@ def dense_pairs(
 
     used = list(dict.fromkeys(["id", "v", *carry, *(same or ())]))
     fields = [f"{side}{'' if c == 'id' else '_' + c} {kinds[c]}" for c in ("id", *carry) for side in "ab"]
-    met = _met(left.select(*used), right.select(*used), block_rows, half)
+    met = _met(left.select(*used), right.select(*used), block_rows, half, same)
     return met.applyInArrow(meet, f"{', '.join(fields)}, sim double")
 
 
+def met_tiles(left: DataFrame, right: DataFrame, each: Callable[[np.ndarray, np.ndarray, dict, dict], pa.Table], schema: str, carry: tuple[str, ...] = (), upper: bool = False, block_rows: int | None = None) -> DataFrame:
+    """What `each` makes of the tiles of all pairs of two tables (id, v): it gets the cosines to nine decimals, which cells are pairs, and the columns (id and
+    `carry`) of both sides as arrays, NULL as NaN, and returns rows that are summed up afterwards; so pairs are counted where they are made and never
+    move. upper: two tables that are one, each two rows once."""
+    half = upper and left is right
+
+    def column(t: pa.Table, name: str) -> np.ndarray:
+        return t.column(name).to_numpy()
+
+    def meet(x: pa.Table, y: pa.Table) -> pa.Table:
+        none = each(np.empty((0, 0)), np.empty((0, 0), bool), *({c: np.empty(0, np.int64 if c == "id" else float) for c in ("id", *carry)} for _ in range(2)))
+        found = [none]
+        if x.num_rows and y.num_rows:
+            a, b = (m / np.linalg.norm(m, axis=1, keepdims=True) for m in (matrix_of(x.column("v")), matrix_of(y.column("v_r"))))
+            mine, theirs = {c: column(x, c) for c in ("id", *carry)}, {c: column(y, f"{c}_r") for c in ("id", *carry)}
+            crossed = upper and (not half or x.column("bl")[0] == x.column("br")[0])
+            step = max(1, TILE // len(b))
+            for at in range(0, len(a), step):
+                own = {c: v[at : at + step] for c, v in mine.items()}
+                sim = np.round(a[at : at + step] @ b.T, 9)
+                found.append(each(sim, own["id"][:, None] < theirs["id"][None] if crossed else np.ones(sim.shape, bool), own, theirs))
+        return pa.concat_tables(found)
+
+    used = ["id", "v", *carry]
+    return _met(left.select(*used), right.select(*used), block_rows or large_blocks(max(left.count(), right.count())), half).applyInArrow(meet, schema)
+
+
+def pair_totals(df: DataFrame, value: str, block_rows: int | None = None) -> DataFrame:
+    """One row: pairs, mean and max of the cosine, and mean_delta, the mean difference of `value`, of all pairs of a table (id, v, value)."""
+
+    def totals(sim: np.ndarray, keep: np.ndarray, x: dict, y: dict) -> pa.Table:
+        delta = np.abs(x[value][:, None] - y[value][None])
+        known = keep & ~np.isnan(delta)
+        n = int(np.count_nonzero(keep))
+        row = [n, np.where(keep, sim, 0.0).sum(), np.where(keep, sim, -np.inf).max(initial=-np.inf), int(np.count_nonzero(known)), np.where(known, delta, 0.0).sum()] if n else None
+        return pa.table({k: pa.array([row[i]] if row else [], t) for i, (k, t) in enumerate((("n", pa.int64()), ("s", pa.float64()), ("m", pa.float64()), ("dn", pa.int64()), ("ds", pa.float64())))})
+
+    rows = met_tiles(df, df, totals, "n long, s double, m double, dn long, ds double", (value,), True, block_rows)
+    n = F.coalesce(F.sum("n"), F.lit(0).cast("long"))
+    return rows.agg(n.alias("pairs"), ratio(F.sum("s"), F.sum("n")).alias("mean"), F.max("m").alias("max"), ratio(F.sum("ds"), F.sum("dn")).alias("mean_delta"))
+
+
+def pair_cells(df: DataFrame, edges: list[float], value: str, block_rows: int | None = None) -> DataFrame:
+    """passed, delta, n: how many pairs of a table (id, v, value) have a cosine from edges[passed - 1] on and below the next edge, and that difference of
+    `value`. Pairs below the first edge are left out."""
+    bins = len(edges) + 1
+
+    def cells(sim: np.ndarray, keep: np.ndarray, x: dict, y: dict) -> pa.Table:
+        (ux, ix), (uy, iy) = (np.unique(t[value], return_inverse=True) for t in (x, y))
+        code = (ix[:, None] * len(uy) + iy[None]) * bins
+        for e in edges:
+            code += sim >= e
+        n = np.bincount(code[keep], minlength=len(ux) * len(uy) * bins).reshape(-1, bins)
+        n[:, 0] = 0
+        at, passed = np.nonzero(n)
+        delta = np.abs(ux[at // max(1, len(uy))] - uy[at % max(1, len(uy))])
+        return pa.table({"passed": pa.array(passed, pa.int32()), "delta": pa.array(delta, pa.float64(), from_pandas=True), "n": pa.array(n[at, passed], pa.int64())})
+
+    return met_tiles(df, df, cells, "passed int, delta double, n long", (value,), True, block_rows).groupBy("passed", "delta").agg(F.sum("n").alias("n"))
+
+
+def cell_statistics(cells: DataFrame, by: list[str]) -> DataFrame:
+    """n, mean, median, q1, q3, iqr and counts from 1 and 2 on of delta over (delta, n): values and how often each occurs."""
+    q = F.percentile("delta", F.array(F.lit(0.25), F.lit(0.5), F.lit(0.75)), F.col("n"))
+    known = F.when(F.col("delta").isNotNull(), F.col("n"))
+    from_on = lambda least: F.coalesce(F.sum(F.when(F.col("delta") >= least, F.col("n"))), F.lit(0).cast("long"))
+    g = cells.groupBy(*by)
+    return g.agg(F.sum("n").alias("n"), ratio(F.sum(F.col("delta") * F.col("n")), F.sum(known)).alias("mean"), q[1].alias("median"), q[0].alias("q1"), q[2].alias("q3"), (q[2] - q[0]).alias("iqr"), from_on(1).alias("cliffs_1"), from_on(2).alias("cliffs_2"))
+
+
+def top_deltas(df: DataFrame, value: str, least: float, k: int, block_rows: int | None = None) -> DataFrame:
+    """a < b, sim (from `least` on), delta, endpoint (the value of a): candidates for the k pairs of each endpoint that come first by (-delta, -sim, a, b); each
+    tile gives its own k."""
+
+    def best(sim: np.ndarray, keep: np.ndarray, x: dict, y: dict) -> pa.Table:
+        i, j = np.nonzero(keep & (sim >= least))
+        p, q = x["id"][i], y["id"][j]
+        own = np.where(p < q, x[value][i], y[value][j])
+        delta, s = np.abs(x[value][i] - y[value][j]), sim[i, j]
+        a, b = np.minimum(p, q), np.maximum(p, q)
+        _, group = np.unique(own, return_inverse=True)
+        order = np.lexsort((b, a, -s, -delta, group))
+        group = group[order]
+        order = order[np.arange(len(order)) - np.searchsorted(group, group) < k]
+        floats = lambda v: pa.array(v[order].astype(float), pa.float64(), from_pandas=True)
+        return pa.table({"a": pa.array(a[order], pa.int64()), "b": pa.array(b[order], pa.int64()), "sim": pa.array(s[order], pa.float64()), "delta": floats(delta), "endpoint": floats(own)})
+
+    return met_tiles(df, df, best, "a long, b long, sim double, delta double, endpoint double", (value,), True, block_rows)
+
+
+def neighbour_means(left: DataFrame, right: DataFrame, value: str, least: float, block_rows: int | None = None) -> DataFrame:
+    """id, neighbours (rows of the right table with a cosine from `least` on) and p, the mean of their values weighted by the cosine. Rows of the left table
+    without neighbours are left out."""
+
+    def sums(sim: np.ndarray, keep: np.ndarray, x: dict, y: dict) -> pa.Table:
+        near = sim >= least
+        sim = np.where(near, sim, 0.0)
+        known = ~np.isnan(y[value])
+        n = near.sum(1)
+        at = np.flatnonzero(n)
+        top, bottom = (sim[at] @ v for v in (np.where(known, y[value], 0.0), known.astype(float))) if len(at) else (np.empty(0), np.empty(0))
+        counts = (near[at] @ known.astype(np.int64)) if len(at) else np.empty(0, np.int64)
+        return pa.table({"id": pa.array(x["id"][at], pa.int64()), "n": pa.array(n[at], pa.int64()), "known": pa.array(counts, pa.int64()), "top": pa.array(top, pa.float64()), "bottom": pa.array(bottom, pa.float64())})
+
+    g = met_tiles(left, right, sums, "id long, n long, known long, top double, bottom double", (value,), False, block_rows).groupBy("id")
+    return g.agg(F.sum("n").alias("neighbours"), F.when(F.sum("known") > 0, ratio(F.sum("top"), F.sum("bottom"))).alias("p"))
+
+
 def group_best(left: DataFrame, right: DataFrame, score: str = "cosine", block_rows: int = 1024) -> DataFrame:
     """ga, gb, sim: of every two groups of two tables (id, v, g) the best product of their members, rounded to nine decimals. Blocks give a row for
     each two groups that meet in them, not for each two members."""
@@ -290,24 +418,72 @@ def group_best(left: DataFrame, right: DataFrame, score: str = "cosine", block_r
     return found.groupBy("ga", "gb").agg(F.max("sim").alias("sim"))
 
 
+def scorable(df: DataFrame, score: str, *columns: str) -> DataFrame:
+    """The rows (id, v and columns) whose vectors have finite scores."""
+    length = F.aggregate("v", F.lit(0.0), lambda a, x: a + F.abs(x))
+    return df.select(*dict.fromkeys(["id", "v", *columns])).filter((length > (0 if score == "cosine" else -1)) & (length < float("inf")))
+
+
+def _near_scores(score: str, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """Scores in single precision; vectors are of length 1 for cosines."""
+    if score != "l1":
+        return a @ b.T
+    out = np.zeros((len(a), len(b)), np.float32)
+    for at in range(0, len(b), 2048):
+        part, columns = out[:, at : at + 2048], np.ascontiguousarray(b[at : at + 2048].T)
+        for k in range(a.shape[1]):
+            part += np.abs(a[:, k, None] - columns[k][None])
+    return 1 / (1 + out / 12)
+
+
+def _slack(score: str, a: np.ndarray, b: np.ndarray) -> float:
+    """Twice what a score in single precision may be off by, and what rounding to nine decimals ties."""
+    size = 1.0 if score == "cosine" else np.linalg.norm(a, axis=1).max() * np.linalg.norm(b, axis=1).max() if score == "dot" else max(1.0, a.shape[1] * max(np.abs(a).max(), np.abs(b).max()) / 12)
+    return 2 * (a.shape[1] + 8) * 2.0**-23 * size + 2e-9
+
+
 def nearest_in_block(x: pa.Table, y: pa.Table, score: str, other: bool, where: tuple[str, str] | None, same: tuple[str, str] | None) -> pa.Table:
-    """id, neighbour, sim: of each row of x its nearest row of y (columns with _r), ties to the smallest id, as dense_nearest asks."""
-    ids = refs = np.empty(0, np.int64)
-    found = np.empty(0)
+    """id, neighbour, sim: of each row of x its nearest row of y (columns with _r), ties to the smallest id, as dense_nearest asks. Scores in single
+    precision tell which few pairs can be a row's best; those are scored in double precision. Where they are many (copies), all of a tile are."""
+    out = [(np.empty(0, np.int64), np.empty(0, np.int64), np.empty(0))]
     if x.num_rows and y.num_rows:
-        y = y.take(pa.array(np.argsort(y.column("id_r").to_numpy())))
+        y = y.take(pa.array(np.argsort(y.column("id_r").to_numpy(), kind="stable")))
+        a, b = matrix_of(x.column("v")), matrix_of(y.column("v_r"))
+        if score == "cosine":
+            a, b = (m / np.linalg.norm(m, axis=1, keepdims=True) for m in (a, b))
+        fine = a.astype(np.float32), b.astype(np.float32)
+        slack = _slack(score, a, b)
         ids, refs = x.column("id").to_numpy(), y.column("id_r").to_numpy()
-        sim = np.round(SCORES[score](matrix_of(x.column("v")), matrix_of(y.column("v_r"))), 9)
-        if other:
-            sim[ids[:, None] == refs[None]] = -np.inf
-        if where:
-            sim[_equal(x, y, where)] = -np.inf
-        if same:
-            sim[~_equal(x, y, same)] = -np.inf
-        best = sim.argmax(1)
-        found = sim[np.arange(len(ids)), best]
-        ok = np.isfinite(found)
-        ids, refs, found = ids[ok], refs[best][ok], found[ok]
+        step = max(1, min(256, TILE // len(b)))
+        for at in range(0, len(a), step):
+            own = x.slice(at, step)
+            barred = np.zeros((own.num_rows, len(b)), bool)
+            if other:
+                barred |= ids[at : at + step, None] == refs[None]
+            if where:
+                barred |= _equal(own, y, where)
+            if same:
+                barred |= ~_equal(own, y, same)
+            near = _near_scores(score, fine[0][at : at + step], fine[1])
+            near[barred] = -np.inf
+            top = near.max(1)
+            could = (near >= (top - slack)[:, None]) & (top > -np.inf)[:, None]
+            if np.isfinite(top[top > -np.inf]).all() and np.count_nonzero(could) <= 8 * len(near) + 1024:
+                i, j = np.nonzero(could)
+                p, q = a[at + i], b[j]
+                sim = np.round(1 / (1 + np.abs(p - q).sum(1) / 12) if score == "l1" else np.einsum("ij,ij->i", p, q), 9)
+                order = np.lexsort((j, -sim, i))
+                first = order[np.flatnonzero(np.diff(i[order], prepend=-1))]
+                row, best, sim = i[first], j[first], sim[first]
+            else:
+                sim = np.round(SCORES[score](a[at : at + step], b), 9)
+                sim[barred | np.isnan(sim)] = -np.inf
+                best = sim.argmax(1)
+                sim = sim[np.arange(len(best)), best]
+                row = np.flatnonzero(np.isfinite(sim))
+                best, sim = best[row], sim[row]
+            out.append((ids[at + row], refs[best], sim))
+    ids, refs, found = (np.concatenate(c) for c in zip(*out))
     return pa.table({"id": pa.array(ids, x.column("id").type), "neighbour": pa.array(refs, y.column("id_r").type), "sim": pa.array(found, pa.float64())})
 
 
@@ -316,11 +492,17 @@ def dense_nearest(
 ) -> DataFrame:
     """id, neighbour, sim: each query's nearest reference, ties to the smallest id. other: not the query itself. where
     = (query column, reference column): only references with another value; same: only with one value. A block pair reports one row for
-    each query. Where all block pairs are more than MANY_BLOCKS and the score falls with a metric, a ball cover leaves out those that cannot matter."""
+    each query. Where all block pairs are more than MANY_BLOCKS and the score falls with a metric, a ball cover leaves out those that cannot matter; if it
+    leaves out too few (vectors without clusters), large blocks of all rows meet."""
     kind = dict(queries.dtypes)["id"]
-    if score in balls.METRICS and math.ceil(queries.count() / block_rows) * math.ceil(references.count() / block_rows) > MANY_BLOCKS:
-        return balls.ball_nearest(queries, references, score, other, where, same, block_rows=block_rows)
-    met = _met(queries, references, block_rows)
+    n, m = queries.count(), references.count()
+    if score in balls.METRICS and math.ceil(n / block_rows) * math.ceil(m / block_rows) > MANY_BLOCKS:
+        found = balls.ball_nearest(queries, references, score, other, where, same, block_rows=block_rows, worth=WORTH)
+        if found is not None:
+            return found
+        block_rows = max(block_rows, large_blocks(max(n, m)))
+    columns = [[c[side] for c in (where, same) if c] for side in (0, 1)]
+    met = _met(scorable(queries, score, *columns[0]), scorable(references, score, *columns[1]), block_rows, same=same)
     found = met.applyInArrow(lambda x, y: nearest_in_block(x, y, score, other, where, same), f"id {kind}, neighbour {kind}, sim double")
     best = found.groupBy("id").agg(F.min(F.struct((-F.col("sim")).alias("s"), "neighbour")).alias("n"))
     return best.select("id", F.col("n.neighbour").alias("neighbour"), (-F.col("n.s")).alias("sim"))

@@ -5,6 +5,7 @@ from __future__ import annotations
 import random
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -103,3 +104,69 @@ def test_blocks_of_sizes(spark):
         assert (x.first, x.last) == (min(near), max(near)) and near == list(range(x.first, x.last + 1))
         formed += len(near)
     assert formed < 0.5 * 25 * 25
+
+
+def test_uniform_vectors_leave_the_cover(spark):
+    """Each query would visit nearly all balls: no rows are made for the visits, large blocks meet instead."""
+    x = np.random.default_rng(7).normal(size=(900, 48))
+    df = vectors(spark, np.concatenate([x, x[:40]]))
+    seen: dict = {}
+    assert balls.ball_nearest(df, df, other=True, block_rows=50, worth=similarity.WORTH, seen=seen) is None and not seen
+    got = rows_of(similarity.dense_nearest(df, df, other=True, block_rows=50))
+    unit = np.concatenate([x, x[:40]]) / np.linalg.norm(np.concatenate([x, x[:40]]), axis=1, keepdims=True)
+    sim = np.round(unit @ unit.T, 9)
+    np.fill_diagonal(sim, -2)
+    assert [(i, j) for i, j, _ in got] == list(enumerate(sim.argmax(1).tolist()))
+
+
+def test_visits_are_handed_on_in_parts(clustered, monkeypatch):
+    monkeypatch.setattr(balls, "VISITS", 7)
+    assert rows_of(balls.ball_nearest(clustered, clustered, other=True, block_rows=50)) == rows_of(similarity.dense_nearest(clustered, clustered, other=True, block_rows=2000))
+
+
+@pytest.mark.parametrize("score", ["cosine", "l1", "dot"])
+def test_tiles_of_copies_give_the_smallest_id(score):
+    rng = np.random.default_rng(8)
+    x = np.concatenate([np.ones((300, 5)), rng.normal(size=(40, 5)), np.ones((1, 5)) * 1e6, np.zeros((1, 5)) + 1e-30])
+    ids = rng.permutation(len(x))
+    table = pa.table({"id": ids, "v": x.tolist()})
+    got = similarity.nearest_in_block(table, table.rename_columns(["id_r", "v_r"]), score, True, None, None)
+    sim = np.round(similarity.SCORES[score](x, x), 9)
+    np.fill_diagonal(sim, -np.inf)
+    want = {int(i): min(int(ids[j]) for j in np.flatnonzero(row == row.max())) for i, row in zip(ids, sim)}
+    assert dict(zip(got.column("id").to_pylist(), got.column("neighbour").to_pylist())) == want
+
+
+def test_pairs_are_counted_where_they_meet(spark):
+    rng = np.random.default_rng(9)
+    x, y = rng.normal(size=(130, 6)), [None if i % 11 == 0 else float(i % 4) for i in range(130)]
+    df = spark.createDataFrame([(i, v.tolist(), k) for i, (v, k) in enumerate(zip(x, y))], "id long, v array<double>, y double").cache()
+    unit = x / np.linalg.norm(x, axis=1, keepdims=True)
+    pairs = [(i, j, round(float(unit[i] @ unit[j]), 9), None if y[i] is None or y[j] is None else abs(y[i] - y[j])) for i in range(130) for j in range(i + 1, 130)]
+    known = [d for *_, d in pairs if d is not None]
+    for block_rows in (37, 1000):
+        (got,) = similarity.pair_totals(df, "y", block_rows).collect()
+        assert got.pairs == len(pairs) and got.mean == pytest.approx(np.mean([s for _, _, s, _ in pairs])) and got.max == max(s for _, _, s, _ in pairs) and got.mean_delta == pytest.approx(np.mean(known))
+        edges = [-0.5, 0.0, 0.4]
+        want: dict = {}
+        for _, _, s, d in pairs:
+            want[sum(s >= e for e in edges), d] = want.get((sum(s >= e for e in edges), d), 0) + 1
+        cells = similarity.pair_cells(df, edges, "y", block_rows)
+        assert {(r.passed, r.delta): r.n for r in cells.collect()} == {k: n for k, n in want.items() if k[0]}
+        stats = {r.passed: r for r in similarity.cell_statistics(cells, ["passed"]).collect()}
+        own = [d for _, _, s, d in pairs if s >= 0.4 and d is not None]
+        assert stats[3].median == np.median(own) and stats[3].q3 == np.quantile(own, 0.75) and stats[3].mean == pytest.approx(np.mean(own)) and stats[3].cliffs_2 == sum(d >= 2 for d in own)
+        first = sorted((-d, -s, i, j) for i, j, s, d in pairs if s >= 0.3 and d is not None and y[i] == 2)[:5]
+        found = sorted((-r.delta, -r.sim, r.a, r.b) for r in similarity.top_deltas(df, "y", 0.3, 5, block_rows).collect() if r.endpoint == 2 and r.delta is not None)[:5]
+        assert found == first
+
+
+def test_neighbours_at_the_rounded_threshold(spark, tmp_path):
+    """A cosine of 0.2 to nine decimals counts, though it is a little below."""
+    from tessera.plans import catalog
+
+    s = 0.2 - 3e-10
+    rows = [(0, [1.0, 0.0], 0), (1, [s, float(np.sqrt(1 - s * s))], 3), (2, [1.0, 0.1], 1), (3, [0.1, 1.0], 9)]
+    spark.createDataFrame(rows, "vec_id long, embedding array<double>, label int").write.parquet(f"{tmp_path}/embeddings.parquet")
+    near = 1 / np.sqrt(1.01)
+    assert rows_of(catalog.QUERIES["knn_baseline"](spark, str(tmp_path))) == [(0, 2, pytest.approx((0.2 * 3 + near) / (0.2 + near), abs=1e-6))]
