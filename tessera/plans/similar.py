@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from tessera.functions.expr import bucket, cut, r6, rounded
+from tessera.functions.expr import bucket, r6, rounded
 from tessera.operators import folds, graph, profile, ranks, reshape, similarity, stats
 from tessera.plans.base import Fixtures, query, sql_bucket
 from tessera.plans.profiles import _SQL_VECTOR
@@ -24,17 +24,14 @@ def vectors(t: Fixtures) -> DataFrame:
     return t.vec.select(F.col("vec_id").alias("id"), "v", "label")
 
 
-def halves(t: Fixtures) -> tuple[DataFrame, DataFrame]:
-    v = vectors(t)
+def halves(t: Fixtures | DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Queries and references, of the fixtures or of a table of vectors."""
+    v = t if isinstance(t, DataFrame) else vectors(t)
     return v.filter("id % 5 = 0"), v.filter("id % 5 <> 0")
 
 
-def vector_pairs(t: Fixtures, least: float | None = None) -> DataFrame:
-    """a < b, cosine, the difference of payloads (labels) and the first one's payload of all pairs, or of those from `least` on."""
-    v = vectors(t).withColumn("label", F.col("label").cast("double"))
-    pairs = similarity.dense_pairs(v, v, upper=True, carry=("label",), least=None if least is None else least - 1e-9)
-    pairs = pairs.select("a", "b", F.round("sim", 9).alias("sim"), F.abs(F.col("a_label") - F.col("b_label")).alias("delta"), F.col("a_label").cast("int").alias("endpoint"))
-    return pairs if least is None else pairs.filter(F.col("sim") >= least)
+def labelled(t: Fixtures) -> DataFrame:
+    return vectors(t).withColumn("label", F.col("label").cast("double"))
 
 
 _PAIRS = f"vp AS (SELECT p.vec_id AS a, q.vec_id AS b, {_COS.format(a='p', b='q')} AS sim, CAST(abs(p.label - q.label) AS DOUBLE) AS delta FROM vec_ p JOIN vec_ q ON p.vec_id < q.vec_id)"
@@ -66,8 +63,8 @@ def l1_score(t: Fixtures) -> DataFrame:
 @query(f"WITH {_PAIRS} SELECT count(*) AS pairs, (SELECT count(*) * (count(*) - 1) // 2 FROM vec_) AS expected, round(avg(sim), 6) + 0.0 AS mean, round(max(sim), 6) + 0.0 AS max, round(avg(delta), 6) + 0.0 AS mean_delta FROM vp")
 def all_pairs_stats(t: Fixtures) -> DataFrame:
     n = t.vec.agg((F.count("*") * (F.count("*") - 1) / 2).cast("long").alias("expected"))
-    g = vector_pairs(t).agg(F.count("*").alias("pairs"), F.avg("sim").alias("mean"), F.max("sim").alias("max"), F.avg("delta").alias("mean_delta"))
-    return rounded(g.join(F.broadcast(n)))  # one row each
+    g = similarity.pair_totals(labelled(t), "label")
+    return rounded(g.join(F.broadcast(n)).select("pairs", "expected", "mean", "max", "mean_delta"))  # one row each
 
 
 @query(f"WITH {_NN} SELECT id, neighbour, round(sim, 6) + 0.0 AS sim FROM nn")
@@ -93,7 +90,10 @@ def nn_threshold_fractions(t: Fixtures) -> DataFrame:
 @query(f"""WITH {_PAIRS} SELECT t.t AS threshold, count(*) AS n, round(avg(delta), 6) + 0.0 AS mean, round(median(delta), 6) + 0.0 AS median, round(quantile_cont(delta, 0.25), 6) + 0.0 AS q1, round(quantile_cont(delta, 0.75), 6) + 0.0 AS q3,
 round(quantile_cont(delta, 0.75) - quantile_cont(delta, 0.25), 6) + 0.0 AS iqr, count(*) FILTER (WHERE delta >= 1) AS cliffs_1, count(*) FILTER (WHERE delta >= 2) AS cliffs_2 FROM vp, (VALUES (0.1::DOUBLE), (0.2), (0.3), (0.4)) t(t) WHERE sim >= t.t GROUP BY 1""")
 def cliff_thresholds(t: Fixtures) -> DataFrame:
-    return rounded(similarity.threshold_stats(vector_pairs(t, 0.1), [0.1, 0.2, 0.3, 0.4], "delta"))
+    at = [0.1, 0.2, 0.3, 0.4]
+    cells = similarity.pair_cells(labelled(t), at, "label")
+    passed = cells.withColumn("threshold", F.explode(F.slice(F.array(*map(F.lit, at)), F.lit(1), F.col("passed"))))
+    return rounded(similarity.cell_statistics(passed, ["threshold"]))
 
 
 _BINS = [-1.0, 0.0, 0.1, 0.2, 0.3, 0.4, 1.000001]
@@ -103,14 +103,15 @@ _BINS = [-1.0, 0.0, 0.1, 0.2, 0.3, 0.4, 1.000001]
 SELECT b.bin, count(vp.a) AS n, round(avg(delta), 6) + 0.0 AS mean, round(median(delta), 6) + 0.0 AS median FROM b LEFT JOIN vp ON sim >= low AND sim < high GROUP BY 1""")
 def binned_pair_stats(t: Fixtures) -> DataFrame:
     labels = [str(k) for k in range(len(_BINS) - 1)]
-    stats_ = vector_pairs(t).groupBy(cut("sim", _BINS, labels).alias("bin")).agg(F.count("*").alias("n"), F.avg("delta").alias("mean"), F.median("delta").alias("median"))
+    cells = similarity.pair_cells(labelled(t), _BINS, "label").filter(F.col("passed") < len(_BINS)).withColumn("bin", (F.col("passed") - 1).cast("string"))
+    stats_ = similarity.cell_statistics(cells, ["bin"]).select("bin", "n", "mean", "median")
     bins = t.spark.range(len(labels)).select(F.col("id").cast("string").alias("bin"))
     return rounded(bins.join(stats_, "bin", "left").withColumn("n", F.coalesce("n", F.lit(0)).cast("long")))
 
 
 @query(f"WITH {_PAIRS}, r AS (SELECT *, abs(p.label - 0) AS e, row_number() OVER (PARTITION BY p.label ORDER BY delta DESC, sim DESC, a, b) AS rank FROM vp JOIN vec_ p ON p.vec_id = a WHERE sim >= 0.25) SELECT label AS endpoint, CAST(rank AS INTEGER) AS rank, a, b, round(sim, 6) + 0.0 AS sim, delta FROM r WHERE rank <= 10")
 def top_cliff_pairs(t: Fixtures) -> DataFrame:
-    rows = vector_pairs(t, 0.25)
+    rows = similarity.top_deltas(labelled(t), "label", 0.25, 10).withColumn("endpoint", F.col("endpoint").cast("int"))
     rank = F.row_number().over(Window.partitionBy("endpoint").orderBy(F.desc("delta"), F.desc("sim"), "a", "b"))
     return rows.withColumn("rank", rank).filter("rank <= 10").select("endpoint", "rank", "a", "b", r6("sim").alias("sim"), "delta")
 
@@ -284,5 +285,3 @@ def knn_baseline(t: Fixtures) -> DataFrame:
     pairs = similarity.dense_pairs(q, r, least=0.2, carry=("label",))
     g = pairs.groupBy(F.col("a").alias("id")).agg(F.count("*").alias("neighbours"), weighted_mean("b_label", "sim").alias("p"))
     return rounded(g)
-
-
