@@ -279,9 +279,5 @@ def multi_instance_nn(t: Fixtures) -> DataFrame:
 
 @query(f"""WITH k AS (SELECT q.vec_id AS id, r.label, {_COS.format(a='q', b='r')} AS sim, r.vec_id AS rid FROM vec_ q, vec_ r WHERE q.vec_id % 5 = 0 AND r.vec_id % 5 <> 0 AND {_COS.format(a='q', b='r')} >= 0.2) SELECT id, count(*) AS neighbours, round(sum(sim * label) / sum(sim), 6) + 0.0 AS p FROM k GROUP BY 1""")
 def knn_baseline(t: Fixtures) -> DataFrame:
-    from tessera.operators.scores import weighted_mean
-
-    q, r = halves(t)
-    pairs = similarity.dense_pairs(q, r, least=0.2, carry=("label",))
-    g = pairs.groupBy(F.col("a").alias("id")).agg(F.count("*").alias("neighbours"), weighted_mean("b_label", "sim").alias("p"))
-    return rounded(g)
+    q, r = halves(labelled(t))
+    return rounded(similarity.neighbour_means(q, r, "label", 0.2))
