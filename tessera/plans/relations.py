@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tessera.functions.expr import close, identity_levels, r6
-from tessera.operators import expectations, joins, reshape, similarity
+from tessera.operators import expectations, joins, reshape, sets
 from tessera.operators.scan import Carried, Line
 from tessera.plans.base import ENDPOINTS, Fixtures, query
 from tessera.sources.work import stored
@@ -130,7 +130,7 @@ def join_composite_key(t: Fixtures) -> DataFrame:
 @query("""WITH top AS (SELECT a, b FROM sims_ WHERE sim >= 0.6), m AS (SELECT a AS doc_id FROM top UNION SELECT b FROM top)
 SELECT d.doc_id, m.doc_id IS NOT NULL AS member FROM documents d LEFT JOIN m ON d.doc_id = m.doc_id""")
 def pair_members(t: Fixtures) -> DataFrame:
-    top = similarity.set_pairs(t.toks, "doc_id", "w", 0.6)
+    top = sets.similar_sets(t.word_sets, "doc_id", "w", 0.6, links=True)
     members = top.select(F.explode(F.array("a", "b")).alias("doc_id")).distinct().withColumn("member", F.lit(True))
     return t.documents.select("doc_id").join(members, "doc_id", "left").withColumn("member", F.coalesce("member", F.lit(False)))
 
@@ -155,7 +155,7 @@ def top_errors_per_group(t: Fixtures) -> DataFrame:
 
 @query("SELECT a, b, sim FROM sims_ ORDER BY sim DESC, a, b LIMIT 50")
 def topk_pairs(t: Fixtures) -> DataFrame:
-    return similarity.top_set_pairs(t.toks, "doc_id", "w", 50)
+    return sets.top_sets(t.word_sets, "doc_id", "w", 50)
 
 
 @query("SELECT c_custkey, c_acctbal FROM customer ORDER BY abs(c_acctbal) DESC, c_custkey LIMIT 4")
