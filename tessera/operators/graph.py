@@ -2,7 +2,8 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable, Iterator
+import hashlib
+from collections.abc import Callable, Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -111,3 +112,73 @@ def batch_edges(nodes: DataFrame, edges: DataFrame, graph: str, batch: DataFrame
     rows = edges.join(a, [graph, "a"]).join(b, [graph, "b"]).join(first.select(*by, graph, "_first"), graph)
     ends = [F.col("_first") + F.col(f"_{c}") for c in "ab"]
     return rows.select(*by, graph, F.inline(F.array(*(F.struct(x.alias("src"), y.alias("dst")) for x, y in (ends, ends[::-1])))))
+
+
+#: Edges that a task hands on at once.
+HANDED_ON = 1 << 18
+
+
+def one_row_each(df: DataFrame, key: str) -> bool:
+    """Whether every row has a key of its own."""
+    return not df.groupBy(key).count().filter((F.col("count") > 1) | F.col(key).isNull()).take(1)
+
+
+def _path(items: pa.Array) -> tuple[pa.Array, np.ndarray, np.ndarray]:
+    """The distinct items in the order of their first occurrence, and the links of neighbours (places a < b), once each."""
+    coded = items.dictionary_encode()
+    place = coded.indices.to_numpy(zero_copy_only=False).astype(np.int64)
+    low, high, n = np.minimum(place[:-1], place[1:]), np.maximum(place[:-1], place[1:]), len(coded.dictionary)
+    links = np.unique((low * n + high)[low < high])
+    return coded.dictionary, links // max(1, n), links % max(1, n)
+
+
+def _numbers(texts: Iterable[bytes]) -> np.ndarray:
+    """The first 32 bits of each text's md5, as bucket() has them."""
+    return np.frombuffer(b"".join(hashlib.md5(x, usedforsecurity=False).digest()[:4] for x in texts), ">u4").astype(np.int64)
+
+
+def path_bits(df: DataFrame, graph: str, items: str, rounds: int = 2, bits: int = 2048) -> DataFrame:
+    """graph, bits: folded(neighbourhood_ids(...)) of the graph of each row's items (see path_tables), labelled by the items. A graph is made, and left behind,
+    where its row is, so nothing moves. Rows without items are left out; the key is unique (one_row_each)."""
+
+    def of(row: pa.Array) -> list[int]:
+        nodes, a, b = _path(row)
+        now = _numbers(b"0|" + w.encode() for w in nodes.to_pylist())
+        found = [now]
+        for k in range(1, rounds + 1):
+            sums = np.zeros(len(now), np.int64)
+            np.add.at(sums, a, now[b])
+            np.add.at(sums, b, now[a])
+            now = _numbers(f"{k}|{i}|{s}".encode() for i, s in zip(now.tolist(), sums.tolist()))
+            found.append(now)
+        return np.unique(np.concatenate(found) % bits).tolist()
+
+    def made(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            yield pa.RecordBatch.from_arrays([batch.column(graph), pa.array([of(x.values) for x in batch.column(items)], pa.list_(pa.int32()))], [graph, "bits"])
+
+    return df.select(graph, items).filter(F.size(items) > 0).mapInArrow(made, f"`{graph}` {dict(df.dtypes)[graph]}, bits array<int>")
+
+
+def path_batches(df: DataFrame, graph: str, items: str, by: list[str], ranges: int = 1) -> DataFrame:
+    """by, graph, src, dst: what batch_edges gives for the graphs of each row's items. Only sizes are laid end to end; a row then gets its first number and
+    makes its edges. The key is unique (one_row_each)."""
+    sizes = df.select(*by, graph, F.size(F.array_distinct(items)).cast("long").alias("_n")).filter("_n > 0")
+    first = offsets(sizes, by, graph, "_n", "_first", ranges).select(F.col(graph).alias("_of"), "_first")
+    rows = df.select(*by, graph, items).join(first, F.col(graph) == F.col("_of")).drop("_of")
+    names = [*by, graph]
+
+    def made(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            held: list[tuple[int, np.ndarray, np.ndarray]] = []
+            for k, (row, start) in enumerate(zip(batch.column(items), batch.column("_first").to_pylist())):
+                _, a, b = _path(row.values)
+                held.append((k, np.concatenate([a, b]) + start, np.concatenate([b, a]) + start))
+                if k == batch.num_rows - 1 or sum(len(x) for _, x, _ in held) > HANDED_ON:
+                    at = pa.array(np.repeat([i for i, *_ in held], [len(x) for _, x, _ in held]).astype(np.int64))
+                    ends = [pa.array(np.concatenate([h[side] for h in held]), pa.int64()) for side in (1, 2)]
+                    yield pa.RecordBatch.from_arrays([*(batch.column(c).take(at) for c in names), *ends], [*names, "src", "dst"])
+                    held = []
+
+    kinds = dict(df.dtypes)
+    return rows.mapInArrow(made, ", ".join([*(f"`{c}` {kinds[c]}" for c in names), "src long, dst long"]))

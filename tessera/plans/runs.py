@@ -179,9 +179,12 @@ e AS (SELECT DISTINCT a.doc_id, least(a.node, b.node) AS a, greatest(a.node, b.n
 d AS (SELECT doc_id, a AS t, b AS f FROM e UNION ALL SELECT doc_id, b, a FROM e)"""
 
 
+def _word_rows(t: Fixtures) -> DataFrame:
+    return t.documents.select("doc_id", "source", F.filter(F.split(F.lower("text"), "[^a-z0-9]+"), lambda w: w != "").alias("items"))
+
+
 def _word_graphs(t: Fixtures) -> tuple[DataFrame, DataFrame]:
-    items = F.filter(F.split(F.lower("text"), "[^a-z0-9]+"), lambda w: w != "")
-    return graph.path_tables(t.documents.select("doc_id", items.alias("items")), "doc_id", "items")
+    return graph.path_tables(_word_rows(t).select("doc_id", "items"), "doc_id", "items")
 
 
 @query(f"""WITH {_GRAPHS}, r0 AS (SELECT doc_id, node, {_H.format("'0|' || node")} AS id FROM n),
@@ -191,8 +194,11 @@ b AS (SELECT DISTINCT doc_id, id % 2048 AS b FROM (SELECT doc_id, id FROM r0 UNI
 SELECT doc_id, count(*) AS n_bits, string_agg(b::VARCHAR, ',' ORDER BY b) AS bits FROM b GROUP BY 1""")
 def neighbourhood_fingerprints(t: Fixtures) -> DataFrame:
     """Each document's word graph as 2,048 bits: the neighbourhoods of its words up to radius 2."""
-    nodes, edges = _word_graphs(t)
-    found = graph.folded(graph.neighbourhood_ids(nodes, edges, "doc_id", F.col("node")), "doc_id")
+    if graph.one_row_each(t.documents.select("doc_id"), "doc_id"):
+        found = graph.path_bits(_word_rows(t), "doc_id", "items")
+    else:
+        nodes, edges = _word_graphs(t)
+        found = graph.folded(graph.neighbourhood_ids(nodes, edges, "doc_id", F.col("node")), "doc_id")
     return found.select("doc_id", F.size("bits").cast("long").alias("n_bits"), F.array_join(F.transform("bits", lambda b: b.cast("string")), ",").alias("bits"))
 
 
@@ -200,6 +206,8 @@ def neighbourhood_fingerprints(t: Fixtures) -> DataFrame:
 SELECT o.source, d.doc_id, o.first + a.place AS src, o.first + b.place AS dst FROM d JOIN n a ON a.doc_id = d.doc_id AND a.node = d.t JOIN n b ON b.doc_id = d.doc_id AND b.node = d.f JOIN o ON o.doc_id = d.doc_id""")
 def graph_batches(t: Fixtures) -> DataFrame:
     """The edges of all word graphs, numbered through their source's batch."""
+    if graph.one_row_each(t.documents.select("doc_id"), "doc_id"):
+        return graph.path_batches(_word_rows(t), "doc_id", "items", ["source"], t.segments)
     nodes, edges = _word_graphs(t)
     nodes = stored(nodes)
     return graph.batch_edges(nodes, edges, "doc_id", t.documents.select("source", "doc_id"), ["source"], t.segments)

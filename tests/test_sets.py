@@ -45,3 +45,17 @@ def test_many_copies_make_few_links(spark):
     df = spark.range(5000).select("id", F.when(F.col("id") < 4900, F.array(F.lit("a"), F.lit("b"))).otherwise(F.array(F.lit("a"), F.col("id").cast("string"))).alias("w"))
     assert sets.similar_sets(df, "id", "w", 0.6, links=True).count() == 4899
     assert [(r.a, r.b, r.sim) for r in sets.top_sets(df, "id", "w", 2).collect()] == [(0, 1, 1.0), (0, 2, 1.0)]
+
+
+def test_graphs_of_rows_are_those_of_tables(spark, monkeypatch):
+    """What is made row by row equals what joins of nodes and edges give; a row's edges are handed on in parts."""
+    monkeypatch.setattr(graph, "HANDED_ON", 20)
+    r = random.Random(5)
+    rows = [(k, f"s{k % 3}", [f"w{r.randrange(9)}" for _ in range(r.randrange(0, 40))]) for k in range(60)] + [(60, None, ["a", "b", "a"]), (61, "s1", None), (62, "s1", ["one"])]
+    df = spark.createDataFrame(rows, "g long, source string, items array<string>").repartition(3).cache()
+    nodes, edges = (t.cache() for t in graph.path_tables(df.select("g", "items"), "g", "items"))
+    in_order = lambda t: sorted(map(str, t.collect()))
+    assert in_order(graph.path_bits(df, "g", "items").select("g", "bits")) == in_order(graph.folded(graph.neighbourhood_ids(nodes, edges, "g", F.col("node")), "g").select("g", "bits"))
+    want = in_order(graph.batch_edges(nodes, edges, "g", df.select("source", "g"), ["source"]).select("source", "g", "src", "dst"))
+    assert in_order(graph.path_batches(df, "g", "items", ["source"]).select("source", "g", "src", "dst")) == want and len(want) > 500
+    assert graph.one_row_each(df, "g") and not graph.one_row_each(df.union(df), "g") and not graph.one_row_each(df, "source")
