@@ -4,7 +4,8 @@ All models (one for each value of the keys: an endpoint, a held-out fold, ...) g
 sums of gradients by (keys, node, feature, bin), pre-aggregated, from which each node takes its best split. Features are binned once, at approximate
 quantiles of each model's training rows. Leaves move by the median residual of their training rows. A model that has not improved its
 validation rows for `patience` trees stops, and keeps its best state; the others go on. Splits and leaves, a row a node, pass through the driver;
-rows never do. Between trees the rows' predictions are a stored table.
+rows never do. Between trees the rows' predictions are a stored table, which replaces the
+last tree's.
 """
 
 from __future__ import annotations
@@ -12,7 +13,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from tessera.sources.work import stored
+from tessera.sources.work import drop_stored, stored
 
 
 def _local(spark, like: DataFrame, keys: list[str], rows: list[tuple], more: str) -> DataFrame:
@@ -50,7 +51,7 @@ def boosted(
     def binned(i: int, feature: str):
         return F.when(F.col(feature).isNull(), -1).otherwise(F.size(F.filter(F.array_distinct(f"_e{i}"), lambda e: e < F.col(feature))))
 
-    state = stored(df.join(fit, keys).select(*df.columns, F.array(*(binned(i, f) for i, f in enumerate(features))).alias("_b"), F.col("_base").alias("_f"), F.col("_base").alias("_best")))
+    state = table = stored(df.join(fit, keys).select(*df.columns, F.array(*(binned(i, f) for i, f in enumerate(features))).alias("_b"), F.col("_base").alias("_f"), F.col("_base").alias("_best")))
     residual = F.col(y).cast("double") - F.col("_f")
 
     def losses() -> dict[tuple, float]:
@@ -78,6 +79,8 @@ def boosted(
         moved = _local(spark, df, keys, [(*(r[k] for k in keys), r["_node"], rate * r["v"]) for r in leaves], "_node int, _move double")
         rows = rows.join(F.broadcast(moved), [*keys, "_node"], "left").withColumn("_f", F.col("_f") + F.coalesce("_move", F.lit(0.0)))
         state = stored(rows.select(*df.columns, "_b", "_f", "_best"))
+        drop_stored(table)
+        table = state
         now = losses() if checked else {}
         better = [k for k in active if k not in checked or now[k] < best[k]]
         best |= {k: now[k] for k in better if k in checked}

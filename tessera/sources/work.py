@@ -23,10 +23,21 @@ def stored(df: DataFrame) -> DataFrame:
     spark = df.sparkSession
     path = f"{work_dir(spark)}/tessera-{spark.sparkContext.applicationId}/{uuid.uuid4().hex}"
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out._tessera_path = path
+    return out
+
+
+def _delete(spark: SparkSession, at: str) -> None:
+    path = spark._jvm.org.apache.hadoop.fs.Path(at)
+    path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+
+
+def drop_stored(table: DataFrame) -> None:
+    """Deletes a table made by stored() that no later plan reads."""
+    _delete(table.sparkSession, table._tessera_path)
 
 
 def release(spark: SparkSession) -> None:
     """Deletes all tables that stored() made in this application; results that were not written are lost."""
-    path = spark._jvm.org.apache.hadoop.fs.Path(f"{work_dir(spark)}/tessera-{spark.sparkContext.applicationId}")
-    path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+    _delete(spark, f"{work_dir(spark)}/tessera-{spark.sparkContext.applicationId}")

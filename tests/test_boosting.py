@@ -105,3 +105,17 @@ def test_without_training_rows(spark, data):
     assert boosted(df.filter("role <> 'train'"), ["endpoint"], ["a"], trees=2).count() == 0
     left = boosted(df.filter("endpoint < 2 OR role = 'test'"), ["endpoint"], ["a"], trees=2)
     assert {r.endpoint for r in left.select("endpoint").distinct().collect()} == {0, 1}
+
+
+def test_only_the_last_trees_table_stays(spark):
+    from pathlib import Path
+
+    from pyspark.sql import functions as F
+
+    from tessera.sources.work import work_dir
+
+    folder = Path(work_dir(spark).removeprefix("file:")) / f"tessera-{spark.sparkContext.applicationId}"
+    df = spark.range(200).select(F.lit(1).alias("k"), (F.col("id") % 17).cast("double").alias("a"), (F.col("id") % 17 * 2.0).alias("y"), F.lit("train").alias("role"))
+    before = {p.name for p in folder.glob("*")}
+    out = boosted(df, ["k"], ["a"], trees=4)
+    assert len({p.name for p in folder.glob("*")} - before) == 1 and out.count() == 200
