@@ -21,7 +21,7 @@ from tessera.operators.similarity import set_pairs, six, size_blocks
 from tessera.sources.work import stored
 
 #: Items that have a rank; sets of the largest blocks; cells of a tile, candidates that are looked at at once, bits of a bitmap.
-FREQUENT, BLOCK, CELLS, STEP, BITS = 1 << 16, 32_768, 1 << 23, 1 << 21, 1024
+FREQUENT, BLOCK, CELLS, STEP, BITS = 1 << 16, 32_768, 1 << 23, 1 << 19, 1024
 
 
 def packed_sets(df: DataFrame, key: str, words: str, frequent: int = FREQUENT) -> DataFrame:
