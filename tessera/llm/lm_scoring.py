@@ -1,10 +1,9 @@
 """Scores of documents by a causal self-attention model over subword ids (attention), and by the counts of their words.
 
 What is learned comes from the training documents (crc32 of the id modulo 5 is not 1), all of them: counts of subwords, which make the classes;
-counts of class pairs, from which the model's weights start; counts of words. Then windows train it: each distinct window of classes whose
-hash falls in a `share`-th (so what is learned from grows with the corpus, and copies teach once), dealt out by hash to replicas of
-`replica` windows. A replica trains from the common weights on its windows; the mean of the replicas' weights, taken in a tree, is the start of
-the next round, on other windows. Weights don't depend on how Spark deals the rows out.
+counts of class pairs, from which the model's weights start; counts of words. Then windows train it: every distinct window of classes, once (copies
+teach once), dealt out by hash to replicas of `replica` windows. A replica trains from the common weights on its windows; the mean of the
+replicas' weights, taken in a tree, is the start of the next round, on the other windows. Weights don't depend on how Spark deals the rows out.
 
 Scoring is one pass: overlapping windows, each token once, with at least attention.SEEN tokens before it. Whole texts are scored.
 
@@ -227,8 +226,8 @@ def _pairs(cls: np.ndarray, ids: list[np.ndarray], end_id: int) -> np.ndarray:
 _WEIGHTS = np.random.default_rng(5).integers(1, 1 << 62, attention.WINDOW + 1, dtype=np.uint64) | np.uint64(1)
 
 
-def windows_of(rows: DataFrame, model: attention.Model, kind: str, share: int, end_id: int) -> DataFrame:
-    """window (classes), key (its hash), once each, of a `share`-th of the distinct windows. Stored."""
+def windows_of(rows: DataFrame, model: attention.Model, kind: str, end_id: int) -> DataFrame:
+    """window (classes), key (its hash), of all windows, equal ones once. Stored."""
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -238,9 +237,8 @@ def windows_of(rows: DataFrame, model: attention.Model, kind: str, share: int, e
                 key ^= key >> np.uint64(31)
                 key *= np.uint64(0x9E3779B97F4A7C15)
                 key ^= key >> np.uint64(29)
-                own = np.flatnonzero(key % np.uint64(share) == 0)
-                raw = [w.tobytes() for w in found[own]]
-                yield pa.RecordBatch.from_arrays([pa.array(raw, pa.binary()), pa.array((key[own] // np.uint64(share)).view(np.int64))], ["window", "key"])
+                raw = [w.tobytes() for w in found]
+                yield pa.RecordBatch.from_arrays([pa.array(raw, pa.binary()), pa.array(key.view(np.int64))], ["window", "key"])
 
     return stored(rows.select("ids").mapInArrow(cut, "window binary, key long").distinct())
 
@@ -260,7 +258,7 @@ def _mean(weights: DataFrame, fan_in: int = 32) -> bytes:
     return bytes(weights.first().weights)
 
 
-def learn(rows: DataFrame, vocabulary: int, kind: str, end_id: int = 0, share: int = 24, rounds: int = 2, replica: int = 16_384, rate: float = 0.01) -> attention.Model:
+def learn(rows: DataFrame, vocabulary: int, kind: str, end_id: int = 0, rounds: int = 2, replica: int = 32_768, rate: float = 0.01) -> attention.Model:
     """The model of training rows (ids)."""
     counts = _tallied(rows, vocabulary, lambda part: _ended(_ids(part, kind), end_id)[1:])  # a text's start is no token, its end is one
     cls = attention.layout(counts)
@@ -268,7 +266,7 @@ def learn(rows: DataFrame, vocabulary: int, kind: str, end_id: int = 0, share: i
     weights, new = attention.first_weights(bigrams)
     cls = new[cls]
     model = attention.Model(cls, attention.shares(counts, cls), weights)
-    windows = windows_of(rows, model, kind, share, end_id)
+    windows = windows_of(rows, model, kind, end_id)
     n = windows.count()
     replicas = max(1, math.ceil(n / rounds / replica))
     for k in range(rounds if n else 0):
@@ -277,7 +275,7 @@ def learn(rows: DataFrame, vocabulary: int, kind: str, end_id: int = 0, share: i
         def train(part: pa.Table) -> pa.Table:
             part = part.take(pc.sort_indices(part, sort_keys=[("key", "ascending"), ("window", "ascending")]))
             found = np.stack([np.frombuffer(x, "<u2") for x in part.column("window").to_pylist()])
-            out = attention.packed(attention.train(start, found, now))
+            out = attention.packed(attention.train(start, found, now, min(128, max(32, len(found) // 256))))
             return pa.table({"number": pa.array([part.column("number")[0].as_py()], pa.int64()), "n": pa.array([len(found)], pa.int64()), "weights": pa.array([out], pa.binary())})
 
         own = windows.filter(F.pmod("key", F.lit(rounds)) == k).withColumn("number", F.pmod(F.floor(F.col("key") / rounds), F.lit(replicas)))

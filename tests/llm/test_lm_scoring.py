@@ -136,6 +136,24 @@ def test_ids_by_words_are_the_librarys():
     assert sum(coder._lines(t.encode())[0] is not None for t in texts) > 100
 
 
+def test_every_window_trains(spark):
+    """Corpora with the same counts of classes and of their pairs, but other windows, give other models, and no window is left out."""
+
+    def learned(*texts):
+        rows = spark.createDataFrame([(np.array(t, "<u2").tobytes(),) for t in texts], "ids binary")
+        return lm_scoring.learn(rows, 50, "<u2"), rows
+
+    for a, b, c in ((1, 2, 3), (4, 5, 6), (7, 8, 9)):
+        (one, _), (other, _) = learned([a, b, a, c, a]), learned([a, c, a, b, a])
+        assert np.array_equal(one.cls, other.cls) and not np.array_equal(one.weights["mix"], other.weights["mix"])
+    texts = [np.random.default_rng(k).integers(1, 50, 90) for k in range(40)]
+    model, rows = learned(*texts, texts[0])
+    windows = lm_scoring.windows_of(rows, model, "<u2", 0)
+    want = {w.tobytes() for t in texts for w in attention.training_windows(model.cls, t, 0)}
+    found = [bytes(r.window) for r in windows.collect()]
+    assert len(found) == len(want) == 120 and set(found) == want
+
+
 def test_remembered_words_are_bounded(monkeypatch):
     monkeypatch.setattr(lm_scoring, "REMEMBERED", 50)
     coder = lm_scoring.Words(vocabulary(), "<u2", (np.empty(0, np.int64), np.empty(0)))
