@@ -81,8 +81,15 @@ def ecdf_gaps(df: DataFrame, by: list[str], value: str, second: Column, ranges:
 
 def best_so_far(df: DataFrame, by: list[str], step: str, loss: str, patience: int, ranges: int = 1) -> DataFrame:
     """Running minimum of the loss, the step that reached it, how many steps ago, and whether patience ran out."""
-    line = Line(df, by, [step], ranges).carry(best=Carried("min", F.col(loss)), _i=Carried("sum", F.lit(1).cast("long")))
-    hit = F.col(loss) == F.col("best")
-    line = line.carry(best_step=Carried("last", F.when(hit, F.col(step))), _at_best=Carried("last", F.when(hit, F.col("_i"))))
-    rows = line.done().withColumn("stale", F.col("_i") - F.col("_at_best"))
-    return rows.select(*by, step, "best", "best_step", "stale", (F.col("stale") >= patience).alias("stop"))
+    return best_so_far_each(df, by, step, [loss], patience, ranges).drop("run")
+
+
+def best_so_far_each(df: DataFrame, by: list[str], step: str, losses: list[str], patience: int, ranges: int = 1) -> DataFrame:
+    """best_so_far for several losses of the same steps, which move together: a row for each of them, with `run`, its number from 0."""
+    line = Line(df, by, [step], ranges).numbered("_i")
+    # The least loss, and of equal ones the last.
+    least = {f"_l{k}": Carried("min", F.when(F.col(c).isNotNull(), F.struct(F.col(c).alias("loss"), (-F.col("_i")).alias("i"), F.col(step).alias("step")))) for k, c in enumerate(losses)}
+    runs = F.array(*(F.struct(F.lit(k).alias("run"), F.col(n).alias("least")) for k, n in enumerate(least)))
+    rows = line.carry(**least).done().select(*by, step, "_i", F.explode(runs).alias("_r")).select(*by, step, "_i", "_r.*")
+    rows = rows.withColumn("stale", F.col("_i") + F.col("least.i"))
+    return rows.select(*by, step, "run", F.col("least.loss").alias("best"), F.col("least.step").alias("best_step"), "stale", (F.col("stale") >= patience).alias("stop"))

@@ -87,7 +87,8 @@ class Line:
             t = F.col(f"_t_{n}")
             start[n] = F.lead(t).over(order) if c.how == "next" else F.last(t, ignorenulls=True).over(before) if c.how == "last" else _total("sum" if c.how == "count" else c.how, t).over(before)
         keys = {k: f"_by_{k}" for k in self.by}
-        starts = parts.select(*(F.col(k).alias(a) for k, a in keys.items()), F.col("_range").alias("_of"), "_end", *(v.alias(f"_s_{n}") for n, v in start.items()))
+        # Stored, so that the planner knows how small it is; else the rows would move for the join.
+        starts = stored(parts.select(*(F.col(k).alias(a) for k, a in keys.items()), F.col("_range").alias("_of"), "_end", *(v.alias(f"_s_{n}") for n, v in start.items())))
         here = self._window("_range")
         rows = self.rows.withColumns({f"_h_{n}": self._running(c, here) for n, c in columns.items()})
         rows = rows.join(starts, [F.col("_range") == F.col("_of"), *(F.col(k).eqNullSafe(F.col(a)) for k, a in keys.items())])
@@ -98,5 +99,17 @@ class Line:
             out.append((F.when(F.col("_at") == F.col("_end"), s["v"]).otherwise(h) if c.how == "next" else _joined(c.how, s, h)).alias(n))
         return rows.select(*kept, *out)
 
+    def numbered(self, name: str) -> Line:
+        """Adds a place that rises by one from row to row of a group; it need not begin at one."""
+        if self.ranges <= 1:
+            self.rows = self.rows.withColumn(name, F.row_number().over(self._window()).cast("long"))
+        else:
+            counts = self.rows.groupBy("_range").agg(F.count("*").alias("_n"))
+            starts = counts.select("_range", F.coalesce(F.sum("_n").over(Window.orderBy("_range").rowsBetween(_START, -1)), F.lit(0)).alias("_start"))
+            rows = self.rows.join(F.broadcast(starts), "_range")  # a row for each range
+            self.rows = rows.withColumn(name, F.col("_start") + F.col("_at").bitwiseAND(F.lit((1 << 33) - 1))).drop("_start")
+        self.names = [*(n for n in self.names if n != name), name]
+        return self
+
     def done(self) -> DataFrame:
         return self.rows.select(*self.names)

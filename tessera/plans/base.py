@@ -9,7 +9,7 @@ from __future__ import annotations
 import re
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tessera.functions.expr import bucket
@@ -21,6 +21,7 @@ SQL: dict[str, str] = {}
 ENDPOINTS = (1, 2, 3, 4)
 MODELS = ("m1", "m2", "m3")
 SEEDS = (1, 2, 3)
+RUNS = [(m, s) for m in MODELS for s in SEEDS]
 
 
 def sql_bucket(text: str, n: int) -> str:
@@ -68,6 +69,17 @@ def with_ctes(sql: str) -> str:
     return f"WITH {head}, {body[4:]}" if body[:5].upper() == "WITH " else f"WITH {head} {body}"
 
 
+def _predicted(model: str, seed: Column) -> Column:
+    noise = (bucket(F.concat_ws("|", "entity", "endpoint", seed), 2001) - 1000) / F.lit(1999.0)
+    return {"m1": F.col("mean_y"), "m2": F.col("y") + noise, "m3": F.col("qty") / 5 + seed / F.lit(100.0)}[model]
+
+
+def run_columns(run: str = "run") -> list[Column]:
+    """model and seed of the run with that number."""
+    of = F.array(*(F.struct(F.lit(m).alias("model"), F.lit(s).alias("seed")) for m, s in RUNS))
+    return [F.element_at(of, F.col(run) + 1)[c].alias(c) for c in ("model", "seed")]
+
+
 class Fixtures(Tables):
     """The tables, and their bindings (the names of CTES without the last underscore)."""
 
@@ -103,13 +115,21 @@ class Fixtures(Tables):
 
     @property
     def pred(self) -> DataFrame:
+        rows = self._joined.withColumn("model", F.explode(F.array(*map(F.lit, MODELS)))).withColumn("seed", F.explode(F.array(*map(F.lit, SEEDS))))
+        p = F.when(F.col("model") == "m1", _predicted("m1", F.col("seed"))).when(F.col("model") == "m2", _predicted("m2", F.col("seed"))).otherwise(_predicted("m3", F.col("seed")))
+        return rows.select("entity", "endpoint", F.col("random_fold").alias("fold"), "model", "seed", "y", "lower", "upper", "sd", p.alias("p"))
+
+    @property
+    def _joined(self) -> DataFrame:
         long = self.long
         means = long.groupBy("endpoint").agg(F.avg("y").alias("mean_y"))
-        rows = long.join(self.folds, "entity").join(means, "endpoint")
-        rows = rows.withColumn("model", F.explode(F.array(*map(F.lit, MODELS)))).withColumn("seed", F.explode(F.array(*map(F.lit, SEEDS))))
-        noise = (bucket(F.concat_ws("|", "entity", "endpoint", "seed"), 2001) - 1000) / F.lit(1999.0)
-        p = F.when(F.col("model") == "m1", F.col("mean_y")).when(F.col("model") == "m2", F.col("y") + noise).otherwise(F.col("qty") / 5 + F.col("seed") / F.lit(100.0))
-        return rows.select("entity", "endpoint", F.col("random_fold").alias("fold"), "model", "seed", "y", "lower", "upper", "sd", p.alias("p"))
+        return long.join(self.folds, "entity").join(means, "endpoint")
+
+    @property
+    def units(self) -> DataFrame:
+        """pred with a row for each measurement: the prediction of run k (RUNS) is p<k>."""
+        p = [_predicted(m, F.lit(s)).alias(f"p{k}") for k, (m, s) in enumerate(RUNS)]
+        return self._joined.select("entity", "endpoint", F.col("random_fold").alias("fold"), "y", "lower", "upper", "sd", *p)
 
     @property
     def vec(self) -> DataFrame:

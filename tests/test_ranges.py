@@ -105,3 +105,23 @@ def test_pair_statistics(spark, ranges):
         gaps = np.array([abs(p - q) for p, q in itertools.combinations([x for x in groups[k] if x is not None], 2)])
         assert row.pairs == len(gaps) and np.allclose((row.mean, row.min, row.max), (gaps.mean(), gaps.min(), gaps.max()), rtol=1e-6, atol=1e-9)
         assert row.sd is None if len(gaps) == 1 else np.isclose(row.sd, gaps.std(ddof=1), rtol=1e-5, atol=1e-7)
+
+
+@pytest.mark.parametrize("ranges", [1, 16])
+def test_losses_of_the_same_steps_go_along_one_line(line, ranges, monkeypatch):
+    """Each as by itself, with the last of equal losses; the rows are laid out and carried once for all of them."""
+    plain, laid = [], []
+    for g, own in itertools.groupby(sorted(line.collect(), key=lambda r: (r.g is None, r.g or "", r.i)), key=lambda r: r.g):
+        own = list(own)
+        for k, loss in enumerate([lambda r: r.v, lambda r: None if r.v is None else -r.v, lambda r: None]):
+            best = at = step = None
+            for n, r in enumerate(own):
+                if loss(r) is not None and (best is None or loss(r) <= best):
+                    best, at, step = loss(r), n, r.i
+                plain.append((g, r.i, k, best, step, None if at is None else n - at, None if at is None else n - at >= 5))
+    carry = Line.carry
+    monkeypatch.setattr(Line, "carry", lambda self, **columns: laid.append(len(columns)) or carry(self, **columns))
+    rows = line.withColumns({"w": -F.col("v"), "none": F.lit(None).cast("long")})
+    key = lambda r: tuple((x is None, x if x is not None else 0) for x in r)
+    assert rows_of(ranks.best_so_far_each(rows, ["g"], "i", ["v", "w", "none"], 5, ranges)) == sorted(plain, key=key)
+    assert laid == [3]
