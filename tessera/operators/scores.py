@@ -8,7 +8,6 @@ from pyspark.sql import functions as F
 from tessera.functions.expr import all_finite, clip, col, finite, interval_excess, pearson, ratio
 from tessera.operators import ranks
 from tessera.operators.quantile import _attached as attached
-from tessera.operators.scan import Carried, Line
 from tessera.sources.work import stored
 
 
@@ -61,9 +60,8 @@ def regression_metrics_each(df: DataFrame, by: list[str], predicted: list[str],
     of them; of the predictions only distinct values are ranked, with the sums of their truths' ranks."""
     df = stored(df.select(*by, truth, "lower", "upper", *(F.when(all_finite(truth, c, "lower", "upper"), F.col(c)).alias(c) for c in predicted)))
 
-    def runs(rows: DataFrame, *kept: str, **more: str) -> DataFrame:
-        own = (F.struct(F.lit(k).alias("run"), F.col(c).alias("p"), *(F.col(f"{x}{k}").alias(n) for n, x in more.items())) for k, c in enumerate(predicted))
-        return rows.select(*by, *kept, F.explode(F.array(*own)).alias("_r")).select(*by, *kept, "_r.*").filter("p IS NOT NULL")
+    def runs(rows: DataFrame, *kept: str) -> DataFrame:
+        return ranks.unpivoted(rows, [*by, *kept], predicted)
 
     keys = [*by, "run"]
     means = stored(runs(df, truth).groupBy(*keys).agg(F.count("*").alias("n"), F.avg(truth).alias("_mean")))
@@ -72,18 +70,8 @@ def regression_metrics_each(df: DataFrame, by: list[str], predicted: list[str],
         F.count("*").alias("n"), st_rae_of("p").alias("st_rae"), F.avg(F.abs(error)).alias("mae"), F.sqrt(F.avg(error * error)).alias("rmse"),
         (1 - ratio(F.sum(error * error), F.count("*") * F.var_pop(truth))).alias("r2"),
     )
-    rows = df.filter(F.coalesce(*predicted).isNotNull()).select(*by, truth, *predicted)
-    line = Line(rows, by, [truth], ranges).carry(**{f"_c{k}": Carried("count", F.col(c)) for k, c in enumerate(predicted)})
-    ties = Window.partitionBy(*by, *(["_range"] if ranges > 1 else []), truth)  # a range has all rows of a truth
-    rows = line.rows.withColumns({f"_t{k}": F.max(f"_c{k}").over(ties) - (F.count(c).over(ties) - 1) / F.lit(2.0) for k, c in enumerate(predicted)})
-    middle = (F.col("n") + 1) / F.lit(2.0)  # the mean of the ranks
-    rows = attached(runs(rows, t="_t"), means, keys).withColumn("t", F.col("t") - middle)
-    values = rows.groupBy(*keys, "p").agg(F.count("*").alias("m"), F.sum("t").alias("t"), F.sum(F.col("t") * F.col("t")).alias("tt"))
-    values = Line(values, keys, ["p"], ranges).carry(_u=Carried("sum", F.col("m"))).done()
-    values = attached(values, means, keys).withColumn("r", F.col("_u") - (F.col("m") - 1) / F.lit(2.0) - middle)
-    r = F.col("r")
-    rho = ratio(F.sum(r * F.col("t")), F.sqrt(F.sum(F.col("m") * r * r)) * F.sqrt(F.sum("tt")))
-    return attached(g, values.groupBy(*keys).agg(rho.alias("spearman")), keys).select(*keys, "n", "st_rae", "mae", "rmse", "spearman", "r2").filter("n >= 2")
+    rho = ranks.correlations(df, by, truth, predicted, means.select(*keys, "n"), ranges).withColumnRenamed("rho", "spearman")
+    return attached(g, rho, keys).select(*keys, "n", "st_rae", "mae", "rmse", "spearman", "r2").filter("n >= 2")
 
 
 def objective(*scores: Column | str) -> tuple[Column, Column]:

@@ -9,7 +9,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from tessera.operators import profile, quantile, ranks, reshape, scores, stats
+from tessera.operators import comparison, profile, quantile, ranks, reshape, scores, stats
 from tessera.operators.scan import Carried, Line
 
 
@@ -143,3 +143,18 @@ def test_metrics_of_several_predictions(spark, ranges, monkeypatch):
         for a, b in zip(rows_of(got.filter(F.col("run") == k).select(names)), want, strict=True):
             assert a[:2] == b[:2] and [x is None for x in a] == [x is None for x in b] and [x for x in a[2:] if x is not None] == pytest.approx([x for x in b[2:] if x is not None], rel=1e-9)
     assert laid == [["g"], ["g", "run"]]
+
+
+@pytest.mark.parametrize("ranges", [1, 8])
+def test_complementarity_side_by_side(spark, ranges):
+    """What rows of pairs give, with ties, models that lack units, and an endpoint of two units."""
+    r = random.Random(5)
+    units = [(i, r.choice([1, 2]), *(r.choice([None, *range(12)]) for _ in range(3))) for i in range(600)] + [(600 + i, 3, i, -i, 5) for i in range(2)]
+    df = spark.createDataFrame([(i, e, *(None if x is None else x / 4 for x in own)) for i, e, *own in units], "entity long, endpoint int, m1 double, m2 double, m3 double")
+    long = df.select("entity", "endpoint", F.lit(0.0).alias("y"), F.expr("stack(3, 'm1', -m1, 'm2', -m2, 'm3', -m3) AS (model, p)")).filter("p IS NOT NULL")
+    names = ["a", "b", "scope", "n", "r", "rho", "mean_gap", "max_gap", "mae_a", "mae_b"]
+    want = rows_of(comparison.complementarity(comparison.model_pairs(long, ["entity", "endpoint"])).select(names))
+    got = rows_of(comparison.complementarity_of(df, {m: m for m in ("m3", "m1", "m2")}, ranges=ranges).select(names))
+    for a, b in zip(got, want, strict=True):
+        assert a[:4] == b[:4] and [x is None for x in a] == [x is None for x in b]
+        assert [x for x in a[4:] if x is not None] == pytest.approx([x for x in b[4:] if x is not None], rel=1e-9, abs=1e-12)
