@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import ctypes
 import re
 import uuid
 from collections.abc import Callable, Iterator
@@ -101,5 +102,14 @@ def chunks(batch: pa.RecordBatch, column: str = "text", limit: int = CHUNK_BYTES
             yield batch.slice(a, b - a)
 
 
+def give_back() -> None:
+    """Returns to the system what this process freed. Spark's Python workers live on from task to task, and what they hold counts for the
+    executor. Nothing where the C library has no such call."""
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
+    if trim:
+        trim(0)
+
+
 def doc_id_type(df: DataFrame, id_col: str = "doc_id") -> str:
     return dict(df.dtypes)[id_col]

@@ -27,7 +27,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tessera.llm._shared import bound_batches, chunks, id_text
+from tessera.llm._shared import bound_batches, chunks, give_back, id_text
 
 UND = "und"
 #: What a prediction rests on.
@@ -129,6 +129,7 @@ def train(docs: DataFrame, lang_col: str = "lang", text_col: str = "text", id_co
                 for code, of in trigram_codes(_texts(part)):
                     key, n = np.unique(lang[of].astype(np.int64) << 24 | code, return_counts=True)
                     yield pa.RecordBatch.from_arrays([pa.array((key >> 24).astype(np.int32)), pa.array((key & 0xFFFFFF).astype(np.int32)), pa.array(n.astype(np.int64))], ["k", "code", "n"])
+        give_back()
 
     grams = sample.mapInArrow(count, "k int, code int, n long").filter(F.col("code") != 0x202020).groupBy("k", "code").agg(F.sum("n").alias("n"))
     by_code = grams.groupBy("code").agg(F.map_from_entries(F.collect_list(F.struct("k", "n"))).alias("by"), F.sum("n").alias("n"))
@@ -253,6 +254,7 @@ def identify(docs: DataFrame, model: Model | None, penalty: float = 6.0, rounds:
                     lang, score, basis = [UND] * len(texts), [0.0] * len(texts), [LETTERS if has_letters(t) else NOTHING for t in texts]
                 out = [pa.array(lang, pa.string()), pa.array(score, pa.float64()), pa.array(basis, pa.string())][:n_out]
                 yield pa.RecordBatch.from_arrays([*part.columns, *out], [*part.schema.names, *["lang_pred", "score", basis_col][:n_out]])
+                give_back()
 
     more = [T.StructField("lang_pred", T.StringType()), T.StructField("score", T.DoubleType()), T.StructField(basis_col or "", T.StringType())][:n_out]
     schema = T.StructType([*kept.schema.fields, *more])

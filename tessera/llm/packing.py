@@ -22,7 +22,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tessera.llm._shared import chunks, doc_id_type, id_text, stored
+from tessera.llm._shared import chunks, doc_id_type, give_back, id_text, stored
 from tessera.llm.tokens import id_encoder, texts_of
 
 _PIECE = "piece int, start long, length long, ids_crc32 long"
@@ -54,6 +54,7 @@ def pieces(docs: DataFrame, tokenizer: str, capacity: int = 2048, end_id: int =
                     [part.column("doc_id").take(pa.array(at, pa.int64())), *(pa.array(c, t) for c, t in zip(zip(*rows), kinds))],
                     ["doc_id", "piece", "start", "length", "ids_crc32", "slot"],
                 )
+        give_back()
 
     return id_text(docs, id_col, text_col).mapInArrow(encode, f"doc_id {doc_id_type(docs, id_col)}, {_PIECE}, slot long")
 

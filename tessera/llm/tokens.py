@@ -29,7 +29,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tessera.llm._shared import chunks, doc_id_type, id_text
+from tessera.llm._shared import chunks, doc_id_type, give_back, id_text
 
 # Code blocks whose characters have had their classes for long (Latin, Greek, Cyrillic, punctuation, currencies, kana, Han,
 # Hangul, full width, pictographs), and the split of byte-level vocabularies.
@@ -62,6 +62,8 @@ SPLIT = re.compile(
 _SEAM = re.compile("[!-~](?= [!-~])")
 #: Distinct pre-tokens that a process remembers, and characters split at once.
 REMEMBERED, SEGMENT = 300_000, 1 << 20
+#: Vocabulary strings that are encoded at once: the library's encodings take far more room than the ids that are kept.
+PROVED = 1024
 #: Pre-tokens beyond this length are not remembered; runs of blanks beyond it would exhaust the stack of the ranked vocabulary's split.
 LONG = 10_000
 _BLANKS = re.compile(f"[{_SPACES}]{{{LONG}}}")
@@ -137,12 +139,19 @@ def ranked(path: str):
     raw = {s: bytes(byte[c] for c in s) for s in vocab}
     rank = {(raw[a], raw[b]): k for k, (a, b) in enumerate(pairs)}
     merged = [raw[a] + raw[b] for a, b in pairs]
-    texts = [m.decode("utf-8", "replace") for m in merged]
-    alone = Tokenizer.from_file(path).encode_batch_fast(texts, add_special_tokens=False)
-    # Strings that are no text, or that the split would cut, are merged here.
-    if not all(got.ids == [256 + k] or merges_alone(m, rank) for k, (m, got) in enumerate(zip(merged, alone))):
+    library = Tokenizer.from_file(path)
+
+    def proved(at: int) -> bool:
+        part = merged[at : at + PROVED]
+        alone = library.encode_batch_fast([m.decode("utf-8", "replace") for m in part], add_special_tokens=False)
+        # Strings that are no text, or that the split would cut, are merged here.
+        return all(got.ids == [256 + k] or merges_alone(m, rank) for k, (m, got) in enumerate(zip(part, alone), at))
+
+    if not all(map(proved, range(0, len(merged), PROVED))):
         return None
     ranks = {r: vocab[s] for s, r in raw.items() if vocab[s] < 256 + len(pairs)}
+    del spec, vocab, pairs, raw
+    give_back()
     return tuple(tiktoken.Encoding("ranked", pat_str=split, mergeable_ranks=ranks, special_tokens={}) for split in (PATTERN, "(?s).+"))
 
 
@@ -174,17 +183,19 @@ class Encoder:
         self.special = re.compile("|".join(map(re.escape, self.added))) if self.added else None
         self.known = self.base = self.whole_tokens(library)
         ranks = ranked(path)
+        del spec
+        give_back()
         self.merge = (lambda parts: map(ranks[1].encode_ordinary, parts)) if ranks else self.encode
 
     def whole_tokens(self, library) -> dict:
         """Vocabulary strings that encode alone as one token: each is encoded, nothing is assumed."""
         ids = sorted(library.get_vocab(with_added_tokens=False).values())
-        strings = [library.decode([i], skip_special_tokens=False) for i in ids]
-        return {
-            s: self.value([i])
-            for i, s, got in zip(ids, strings, self.encode(strings))
-            if got == [i] and not UNSAFE.search(s)
-        }
+        out = {}
+        for at in range(0, len(ids), PROVED):
+            part = ids[at : at + PROVED]
+            strings = [library.decode([i], skip_special_tokens=False) for i in part]
+            out |= {s: self.value([i]) for i, s, got in zip(part, strings, self.encode(strings)) if got == [i] and not UNSAFE.search(s)}
+        return out
 
     def __call__(self, texts: list[str]) -> list:
         out: list = [None] * len(texts)
