@@ -99,32 +99,24 @@ def first_weights(bigrams: np.ndarray, strength: float = 20.0) -> tuple[Weights,
     return {k: v.astype(np.float32) for k, v in weights.items()}, new
 
 
-_PAST = np.tril(np.ones((WINDOW, WINDOW), np.float32))
+_PAST, _ALL = np.tril(np.ones((WINDOW, WINDOW), np.float32)), np.ones((WINDOW, 1), np.float32)
 
 
 def _attend(w: Weights, x: np.ndarray):
     """Embedding, queries, keys, values, attention and what it brings, of windows of classes."""
-    e = w["embed"][x] + w["place"]
+    e = np.take(w["embed"], x, axis=0)
+    e += w["place"]
     q, k, v = e @ w["query"], e @ w["key"], e @ w["value"]
     a = q @ k.transpose(0, 2, 1)
-    a -= np.where(_PAST > 0, a, -np.inf).max(-1, keepdims=True)
-    a = np.where(_PAST > 0, np.exp(a), 0).astype(e.dtype)
-    a /= a.sum(-1, keepdims=True)
+    if a.size and max(a.max(), -a.min()) > 60:
+        a -= np.where(_PAST > 0, a, -np.inf).max(-1, keepdims=True)
+        np.minimum(a, 0, out=a)  # what is to come is larger, and masked
+    np.exp(a, out=a)
+    a *= _PAST
+    a /= a @ _ALL
     return e, q, k, v, a, a @ v
 
 
-def _by_cluster(y: np.ndarray):
-    """For each cluster among the classes: its number and the places of its classes."""
-    own = (y // PLACES).astype(np.uint8)
-    order = np.argsort(own, kind="stable")
-    ends = np.cumsum(np.bincount(own, minlength=CLUSTERS)).tolist()
-    begin = 0
-    for c, end in enumerate(ends):
-        if end > begin:
-            yield c, order[begin:end]
-        begin = end
-
-
 _ONES = np.ones((max(PLACES, CLUSTERS), 1), np.float32)
 
 
@@ -242,56 +234,80 @@ def training_windows(cls: np.ndarray, ids: np.ndarray, end_id: int) -> np.ndarra
     return np.lib.stride_tricks.sliding_window_view(row, WINDOW + 1)[::STEP].astype("<u2")
 
 
+def _softmax(logits: np.ndarray, at: np.ndarray, n: int) -> float:
+    """The loss of each row's choice, summed; logits become its gradients, divided by n."""
+    if logits.size and max(logits.max(), -logits.min()) > 60:
+        logits -= logits.max(1, keepdims=True)
+    np.exp(logits, out=logits)
+    logits /= logits @ _ONES[: logits.shape[1]]
+    chosen = np.arange(0, logits.size, logits.shape[1]) + at
+    flat = logits.reshape(-1)
+    p = flat[chosen]
+    flat[chosen] = p - 1
+    logits *= np.float32(1 / max(1, n))
+    return -float(np.log(p + 1e-30).sum())
+
+
 def gradients(w: Weights, x: np.ndarray, y: np.ndarray) -> tuple[float, Weights]:
     """Mean loss over the places whose y is a class, and its gradients."""
+    flat = lambda z: z.reshape(-1, WIDTH)
     e, q, k, v, a, c = _attend(w, x)
-    h = e + c @ w["mix"]
-    counted = y != NONE
-    hf, yf = h[counted], y[counted].astype(np.int64)
+    h = c @ w["mix"]
+    h += e
+    # The places that count, by cluster: each cluster's are a slice then.
+    at = np.flatnonzero(y.reshape(-1) != NONE)
+    yf = y.reshape(-1)[at].astype(np.int64)
+    own = (yf // PLACES).astype(np.uint8)
+    by = np.argsort(own, kind="stable")
+    at, yf, own = at[by], yf[by], own[by].astype(np.int64)
+    ends = np.cumsum(np.bincount(own, minlength=CLUSTERS)).tolist()
+    slices = [(slice(i, j), slice(number * PLACES, (number + 1) * PLACES)) for number, (i, j) in enumerate(zip([0, *ends], ends)) if j > i]
+    hf = np.take(flat(h), at, axis=0)
     g = {name: np.zeros_like(value) for name, value in w.items()}
 
-    def softmax(logits: np.ndarray, at: np.ndarray) -> tuple[float, np.ndarray]:
-        logits -= logits.max(1, keepdims=True)
-        np.exp(logits, out=logits)
-        logits /= logits.sum(1, keepdims=True)
-        row = np.arange(len(at))
-        loss = -float(np.log(logits[row, at] + 1e-30).sum())
-        logits[row, at] -= 1
-        return loss, logits / np.float32(len(yf))
-
-    loss, d = softmax(hf @ w["cluster"] + w["cluster_bias"], yf // PLACES)
+    d = hf @ w["cluster"]
+    d += w["cluster_bias"]
+    loss = _softmax(d, own, len(yf))
     g["cluster"], g["cluster_bias"] = hf.T @ d, d.sum(0)
     dhf = d @ w["cluster"].T
-    for number, at in _by_cluster(yf):
-        own = slice(number * PLACES, (number + 1) * PLACES)
-        more, d = softmax(hf[at] @ w["inside"][own].T + w["inside_bias"][own], yf[at] - number * PLACES)
-        loss += more
-        g["inside"][own], g["inside_bias"][own] = d.T @ hf[at], d.sum(0)
-        dhf[at] += d @ w["inside"][own]
+    for rows, group in slices:
+        np.matmul(hf[rows], w["inside"][group].T, out=d[rows])
+    d += np.take(w["inside_bias"].reshape(CLUSTERS, PLACES), own, axis=0)
+    loss += _softmax(d, yf - own * PLACES, len(yf))
+    back = np.empty_like(hf)
+    for rows, group in slices:
+        np.matmul(d[rows].T, hf[rows], out=g["inside"][group])
+        np.matmul(d[rows], w["inside"][group], out=back[rows])
+    dhf += back
+    if slices:
+        g["inside_bias"].reshape(CLUSTERS, PLACES)[own[[rows.start for rows, _ in slices]]] = np.add.reduceat(d, [rows.start for rows, _ in slices])
     dh = np.zeros_like(h)
-    dh[counted] = dhf
-    flat = lambda z: z.reshape(-1, WIDTH)
+    flat(dh)[at] = dhf
     g["mix"] = flat(c).T @ flat(dh)
     dc = dh @ w["mix"].T
-    da = dc @ v.transpose(0, 2, 1)
-    ds = a * (da - (da * a).sum(-1, keepdims=True))
-    de = dh.copy()
+    ds = dc @ v.transpose(0, 2, 1)
+    ds -= np.einsum("nti,nti->nt", dc, c)[..., None]  # what the attention's gradients add up to
+    ds *= a
+    de = dh
     for name, dz in (("query", ds @ k), ("key", ds.transpose(0, 2, 1) @ q), ("value", a.transpose(0, 2, 1) @ dc)):
         g[name] = flat(e).T @ flat(dz)
         de += dz @ w[name].T
     g["place"] = de.sum(0)
-    np.add.at(g["embed"], x.reshape(-1), flat(de))
+    cell = x.reshape(-1, 1) * WIDTH + np.arange(WIDTH)
+    g["embed"] = np.bincount(cell.reshape(-1), weights=de.reshape(-1), minlength=CLASSES * WIDTH).reshape(CLASSES, WIDTH).astype(de.dtype)
     return loss / max(1, len(yf)), g
 
 
 def train(weights: Weights, windows: np.ndarray, rate: float, batch: int = 32) -> Weights:
     """One pass of Adam over the windows, in their order; the rate rises for 20 steps and falls to a tenth."""
+    np.empty(1 << 24, np.uint8)  # once this much was freed, the C library keeps the steps' arrays instead of asking the system for each
     w = {k: v.copy() for k, v in weights.items()}
     mean, square = ({k: np.zeros_like(v) for k, v in w.items()} for _ in range(2))
     steps = -(-len(windows) // batch)
     for t in range(1, steps + 1):
         part = windows[(t - 1) * batch : t * batch].astype(np.int64)
-        x = np.where(part[:, :-1] == NONE, 0, part[:, :-1])
+        x = part[:, :-1]
+        x = np.where(x == NONE, 0, x)
         _, g = gradients(w, x, part[:, 1:])
         now = rate * min(1, t / 20) * (1 - 0.9 * t / steps)
         for k in w:

@@ -5,6 +5,7 @@ from __future__ import annotations
 import collections
 import math
 import re
+import time
 import zlib
 
 import numpy as np
@@ -101,6 +102,39 @@ def test_training_lowers_the_loss(model):
     assert set(again) == set(after) and all(np.array_equal(again[k], after[k]) for k in after)
 
 
+def test_training_costs_few_times_what_scoring_does(model):
+    """A window's gradients and step, by what telling its tokens costs."""
+    texts = [np.random.default_rng(k).integers(0, 3000, 319) for k in range(128)]
+    windows = np.concatenate([attention.training_windows(model.cls, t, 0) for t in texts])
+
+    def least(work):
+        took = []
+        for _ in range(8):
+            began = time.thread_time()
+            work()
+            took.append(time.thread_time() - began)
+        return min(took)
+
+    assert least(lambda: attention.train(model.weights, windows, 0.01, 128)) < 4 * least(lambda: attention.score_texts(model, texts, 0))
+
+
+def test_gradients_of_large_attention_and_logits(model):
+    """Where exponentials would overflow, and where no place counts."""
+    rng = np.random.default_rng(9)
+    w = {k: v.astype(float) * (40 if k in ("query", "key") else 1) + (800 if k.endswith("bias") else 0) for k, v in model.weights.items()}
+    x, y = rng.integers(0, attention.CLASSES, (2, 3, attention.WINDOW))
+    loss, g = attention.gradients(w, x, y)
+    assert np.isfinite(loss) and all(np.isfinite(v).all() for v in g.values())
+    h = w["embed"][x] + w["place"]
+    a = (h @ w["query"]) @ (h @ w["key"]).transpose(0, 2, 1)
+    a = np.where(np.tril(np.ones((attention.WINDOW, attention.WINDOW))) > 0, a, -np.inf)
+    a = np.exp(a - a.max(-1, keepdims=True))
+    h = (h + a / a.sum(-1, keepdims=True) @ (h @ w["value"]) @ w["mix"]).reshape(-1, attention.WIDTH).astype(float)
+    assert loss == pytest.approx(-attention.log_probabilities(w, h, y.reshape(-1), attention.Room(float)).mean(), rel=1e-5)
+    nothing, g = attention.gradients(w, x, np.full_like(y, attention.NONE))
+    assert nothing == 0 and not any(v.any() for v in g.values())
+
+
 def test_windows_cover_each_token_once():
     for n in (0, 1, 31, 32, 33, 100):
         ids = np.arange(1, n + 1)
