@@ -170,3 +170,43 @@ def test_neighbours_at_the_rounded_threshold(spark, tmp_path):
     spark.createDataFrame(rows, "vec_id long, embedding array<double>, label int").write.parquet(f"{tmp_path}/embeddings.parquet")
     near = 1 / np.sqrt(1.01)
     assert rows_of(catalog.QUERIES["knn_baseline"](spark, str(tmp_path))) == [(0, 2, pytest.approx((0.2 * 3 + near) / (0.2 + near), abs=1e-6))]
+
+
+def shuffled(spark, work) -> int:
+    """Rows that `work` shuffles."""
+    store = spark.sparkContext._jsc.sc().statusStore()
+    total = lambda: sum(stages.apply(i).shuffleWriteRecords() for stages in [store.stageList(None, False, False, spark.sparkContext._gateway.new_array(spark._jvm.double, 0), None)] for i in range(stages.size()))
+    before = total()
+    work()
+    return total() - before
+
+
+def test_pairs_move_large_blocks(spark):
+    """Each row moves once for every block it meets: some sixteen, not one for each 1024 rows."""
+    n = 33_000
+    rows = spark.range(n).select("id", F.array(F.cos(F.col("id") * 1.0), F.sin(F.col("id") * 1.0)).alias("v"))
+    found = []
+    sent = shuffled(spark, lambda: found.append(similarity.dense_pairs(rows, rows, "cosine", least=1 - 1e-7, upper=True).count()))
+    assert sent < 20 * n and found[0] > 0
+
+
+def test_pairs_without_id(spark):
+    """Rows without id are in no pair, in whatever block they are; the pairs are those of plain sets."""
+    r = random.Random(1)
+    plain = {k: {r.randrange(40) for _ in range(6)} for k in range(50)}
+    items = spark.createDataFrame([(k, w) for k, s in plain.items() for w in s] + [(None, w) for w in range(40)], "id long, w int")
+    want = {(a, b): round(len(plain[a] & plain[b]) / len(plain[a] | plain[b]) + 1e-9, 6) for a in plain for b in plain if a < b and plain[a] & plain[b]}
+    for block_rows in (3, 1000):
+        assert {(x.a, x.b): x.sim for x in similarity.set_pairs(items, "id", "w", block_rows=block_rows).collect()} == want
+
+
+@pytest.mark.parametrize("n_dense, added", [(0, 50), (5, 1 << 19), (30, 7), (30, 1 << 19)])
+def test_products_of_dense_and_light_columns(n_dense, added, monkeypatch):
+    monkeypatch.setattr(similarity, "ADDED", added)
+    monkeypatch.setattr(similarity, "SLICE", 1)
+    rng = np.random.default_rng(5)
+    x, y = (rng.integers(1, 5, (n, 30)) * (rng.random((n, 30)) < 0.3) for n in (17, 23))
+    rank, shared = rng.permutation(30), np.arange(30)
+    left, right = (similarity._Columns(*(at := np.nonzero(m)), m[at].astype(float), shared, rank, side) for m, side in ((x, False), (y, True)))
+    got = np.concatenate([similarity._products(left, right, k, min(4, 17 - k), 23, n_dense, np.float32) for k in range(0, 17, 4)])
+    assert np.array_equal(got, x @ y.T)
