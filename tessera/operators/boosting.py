@@ -10,6 +10,8 @@ last tree's.
 
 from __future__ import annotations
 
+import itertools
+
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -37,12 +39,13 @@ def _best_splits(hist: DataFrame, keys: list[str], least: int) -> DataFrame:
 
 
 def boosted(
-    df: DataFrame, keys: list[str], features: list[str], role: str = "role", y: str = "y", trees: int = 20, depth: int = 3, bins: int = 16, rate: float = 0.2, least: int = 10,
+    df: DataFrame, keys: list[str], features: list[str], role: str = "role", y: str = "y", trees: int | None = 20, depth: int = 3, bins: int = 16, rate: float = 0.2, least: int = 10,
     patience: int = 5, accuracy: int = 10_000, seen: dict | None = None,
 ) -> DataFrame:
     """df's rows of models that have training rows, with the prediction p. role: train, valid, or anything else for rows that are only predicted. A feature's
-    NULL is a bin below all others; rows without y are only predicted. Models without validation rows take all trees. seen: is given
-    the number of jobs that levels took."""
+    NULL is a bin below all others; rows without y are only predicted. Models without validation rows take all trees. trees: None sets no number, a model
+    grows until `patience` trees have not improved its validation rows (or, if it has none, its training rows). seen: is given the number of jobs that
+    levels took."""
     spark, n_jobs = df.sparkSession, 0
     train, valid = ((F.col(role) == r) & F.col(y).isNotNull() for r in ("train", "valid"))
     at = [i / bins for i in range(1, bins)]
@@ -55,12 +58,14 @@ def boosted(
     residual = F.col(y).cast("double") - F.col("_f")
 
     def losses() -> dict[tuple, float]:
-        return {tuple(r[k] for k in keys): r["loss"] for r in state.filter(valid).groupBy(*keys).agg(F.avg(F.abs(residual)).alias("loss")).collect()}
+        of = lambda rows: F.avg(F.when(rows, F.abs(residual)))
+        found = state.groupBy(*keys).agg((of(valid) if trees is not None else F.coalesce(of(valid), of(train))).alias("loss")).filter("loss IS NOT NULL")
+        return {tuple(r[k] for k in keys): r["loss"] for r in found.collect()}
 
     best, since = losses(), {}
     active = [tuple(r) for r in state.select(*keys).distinct().collect()]  # a row for each model
     checked = set(best)
-    for _ in range(trees):
+    for _ in itertools.count() if trees is None else range(trees):
         if not active:
             break
         rows = state.join(F.broadcast(_local(spark, df, keys, [(*k, 1) for k in active], "_node int")), keys, "left")

@@ -119,3 +119,27 @@ def test_only_the_last_trees_table_stays(spark):
     before = {p.name for p in folder.glob("*")}
     out = boosted(df, ["k"], ["a"], trees=4)
     assert len({p.name for p in folder.glob("*")} - before) == 1 and out.count() == 200
+
+
+def test_without_a_number_a_model_without_validation_rows_ends_by_its_training_rows(spark):
+    df = spark.createDataFrame([(1, k % 2 * 1.0, k % 2 * 1.0, "train") for k in range(60)], "k int, a double, y double, role string")
+    out = boosted(df, ["k"], ["a"], trees=None, rate=1.0, patience=1).collect()
+    assert len(out) == 60 and all(r.p == r.y for r in out)
+
+
+def test_the_query_grows_more_than_ten_trees(spark, monkeypatch):
+    from tessera.plans import runs
+
+    rng = np.random.default_rng(4)
+    x, fold = rng.normal(size=(300, 4)), rng.integers(0, 5, 300)
+    y = 4 * x[:, 0] + rng.normal(0, 3, 300)
+    rows = [(k, 1, *map(float, x[k]), float(y[k]), float(y[k]) - 1, float(y[k]) + 1, int(fold[k])) for k in range(300)]
+    df = spark.createDataFrame(rows, "entity long, endpoint int, qty double, tax double, total double, balance double, y double, lower double, upper double, fold long")
+    monkeypatch.setattr(runs, "bundle", lambda t: df)
+    (got,) = runs.gbt_per_endpoint(None).collect()
+    errors = {10: [], 1000: []}
+    for held in range(5):
+        role = np.where(fold == held, "test", np.where(fold == (held + 1) % 5, "valid", "train"))
+        for trees, found in errors.items():
+            found.extend(np.abs(y - plain(x, y, role, trees, 3, 32, 0.2, 10, 3))[role == "test"])
+    assert got["n"] == 300 and got["mae"] == pytest.approx(np.mean(errors[1000]), abs=2e-6) and got["mae"] < np.mean(errors[10]) - 0.01
