@@ -20,8 +20,10 @@ from pyspark.sql import functions as F
 from tessera.operators.similarity import set_pairs, six, size_blocks
 from tessera.sources.work import stored
 
-#: Items that have a rank; sets of the largest blocks; cells of a tile, candidates that are looked at at once, bits of a bitmap.
-FREQUENT, BLOCK, CELLS, STEP, BITS = 1 << 16, 32_768, 1 << 23, 1 << 19, 1024
+#: Items that have a rank; sets of the largest blocks, and their items; cells of a tile, candidates that are looked at at once.
+FREQUENT, BLOCK, ITEMS, CELLS, STEP = 1 << 16, 32_768, 1 << 22, 1 << 23, 1 << 19
+#: Bits of a bitmap, and of the one that follows where it leaves pairs: a thousand items fill the first.
+BITS, MORE_BITS = 1024, 8192
 
 
 def packed_sets(df: DataFrame, key: str, words: str, frequent: int = FREQUENT) -> DataFrame:
@@ -61,9 +63,11 @@ def packed_sets(df: DataFrame, key: str, words: str, frequent: int = FREQUENT) -
 
 
 class _Side:
-    """Sets of a block: row, code and position of each item, in order; sizes, ends, bitmaps."""
+    """Sets of a block: row, code and position of each item, in order; sizes, ends, bitmaps; and the heads: the items of which two sets that reach `low` share
+    one. A set of n items shares at least o = low / (1 + low) * (n + m) with one of m, and m is `least_other` (the smallest set of the other block) or
+    low * n at least, so its head has n - ceil(o) + 1 items: a quarter of it in a block of like sizes if `low` is 0.6."""
 
-    def __init__(self, rare: pa.Array, often: pa.Array, n: np.ndarray, low: float, known: np.ndarray):
+    def __init__(self, rare: pa.Array, often: pa.Array, n: np.ndarray, low: float, known: np.ndarray, least_other: int = 0):
         sizes = [pc.binary_length(c).to_numpy() // w for c, w in ((rare, 8), (often, 2))]
         hashes, ranks = (np.frombuffer(b"".join(c.to_pylist()), kind) for c, kind in ((rare, "<i8"), (often, "<u2")))
         row = np.concatenate([np.repeat(np.arange(len(n)), s) for s in sizes])
@@ -72,10 +76,24 @@ class _Side:
         self.n, self.row, self.code = n, row[order].astype(np.int32), code[order]
         self.ends = np.append(0, np.cumsum(n))
         self.place = (np.arange(len(self.row)) - self.ends[self.row]).astype(np.int32)
-        self.head = np.flatnonzero(self.place < (n - np.ceil(n * low).astype(np.int64) + 1)[self.row])
-        bits = np.zeros((len(n), BITS), bool)
-        bits[self.row, self.code % BITS] = True
-        self.bits = np.packbits(bits, axis=1).view(np.uint64)
+        shared = np.ceil(low / (1 + low) * (n + np.maximum(least_other, n * low)) - 1e-9).astype(np.int64)
+        self.head = np.flatnonzero(self.place < (n - shared + 1)[self.row])
+        self.bits, self.more_bits = self._bitmaps(BITS), None
+
+    def _bitmaps(self, width: int) -> np.ndarray:
+        parts = []
+        for at in range(0, len(self.n), CELLS // width):
+            rows = len(self.n[at : at + CELLS // width])
+            own = slice(self.ends[at], self.ends[at + rows])
+            bits = np.zeros((rows, width), bool)
+            bits[self.row[own] - at, self.code[own] % width] = True
+            parts.append(np.packbits(bits, axis=1).view(np.uint64))
+        return np.concatenate(parts)
+
+    def more(self) -> np.ndarray:
+        if self.more_bits is None:
+            self.more_bits = self._bitmaps(MORE_BITS)
+        return self.more_bits
 
 
 def _near(x: _Side, y: _Side, low: float, n_codes: int) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
@@ -110,9 +128,14 @@ def _near(x: _Side, y: _Side, low: float, n_codes: int) -> Iterator[tuple[np.nda
         for lo in range(0, len(i), STEP // 8):
             a, b = i[lo : lo + STEP // 8], j[lo : lo + STEP // 8]
             both = x.n[a] + y.n[b]
-            apart = np.bitwise_count(x.bits[a] ^ y.bits[b]).sum(1, dtype=np.int64)  # no more than the items of one of them
-            ok = (both - apart) * (1 + low) >= 2 * low * both
-            a, b, both = a[ok], b[ok], both[ok]
+            for longer in (False, True):
+                if longer and len(a) < 64:  # few: they are counted at once
+                    break
+                p, q = (x.more(), y.more()) if longer else (x.bits, y.bits)
+                part = [np.bitwise_count(p[a[k : k + STEP // 64]] ^ q[b[k : k + STEP // 64]]).sum(1, dtype=np.int64) for k in range(0, len(a), STEP // 64)]
+                apart = np.concatenate([np.empty(0, np.int64), *part])  # no more than the items of one of them
+                ok = (both - apart) * (1 + low) >= 2 * low * both
+                a, b, both = a[ok], b[ok], both[ok]
             shared = np.empty(len(a), np.int64)
             cuts = np.flatnonzero(np.diff(a, prepend=-1))
             for f, g in zip(cuts.tolist(), [*cuts[1:].tolist(), len(a)]):
@@ -127,7 +150,8 @@ def _near(x: _Side, y: _Side, low: float, n_codes: int) -> Iterator[tuple[np.nda
 def _pairs(distinct: DataFrame, least: float, block_rows: int | None) -> DataFrame:
     """a < b and sim of different sets."""
     kind, low = dict(distinct.dtypes)["id"], least - 1e-6
-    blocks = size_blocks(distinct, "n", low, block_rows or max(1024, min(BLOCK, -(-distinct.count() // 12))))
+    rows, total = distinct.agg(F.count("*"), F.coalesce(F.sum("n"), F.lit(0))).first()
+    blocks = size_blocks(distinct, "n", low, block_rows or max(1024, min(BLOCK, -(-rows // 12))), max(1 << 18, min(ITEMS, -(-total // 16))))
 
     def meet(x: pa.Table, y: pa.Table) -> pa.Table:
         ids = [[], []]
@@ -136,7 +160,8 @@ def _pairs(distinct: DataFrame, least: float, block_rows: int | None) -> DataFra
             x, y = x.combine_chunks(), y.combine_chunks()
             columns = [[t.column(f"{c}{s}").combine_chunks() for c in ("id", "rare", "often", "n")] for t, s in ((x, ""), (y, "_r"))]
             known = np.unique(np.concatenate([np.frombuffer(b"".join(c[1].to_pylist()), "<i8") for c in columns]))
-            sides = [_Side(c[1], c[2], c[3].to_numpy().astype(np.int64), low, known) for c in columns]
+            sizes = [c[3].to_numpy().astype(np.int64) for c in columns]
+            sides = [_Side(c[1], c[2], n, low, known, int(other.min())) for c, n, other in zip(columns, sizes, sizes[::-1])]
             same = x.column("bl")[0] == x.column("br")[0]
             for i, j, shared in _near(*sides, low, len(known) + FREQUENT):
                 a, b = columns[0][0].take(pa.array(i)), columns[1][0].take(pa.array(j))

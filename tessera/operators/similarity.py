@@ -124,10 +124,16 @@ def _dot(a: tuple, p: int, b: tuple, q: int) -> float:
     return float((va[x][i] * vb[y][j]).sum())
 
 
-def size_blocks(rows: DataFrame, size: str, least: float, block_rows: int) -> DataFrame:
+def size_blocks(rows: DataFrame, size: str, least: float, block_rows: int, block_items: int | None = None) -> DataFrame:
     """rows with their block b, in the order of their sizes, and the first and last block whose sizes are within a factor `least` of the block's.
+    block_items: sizes add up to about that in a block at most, so blocks of large sets have fewer rows.
     Blocks are numbered by a place in the whole order, and what they reach by counting the blocks' ends in order: no pair of blocks is made."""
-    rows = ranks.positions(rows, [size, "id"], "_place").withColumn("b", F.floor((F.col("_place") - 1) / block_rows).cast("int")).drop("_place")
+    if block_items is None:
+        rows = ranks.positions(rows, [size, "id"], "_place").withColumn("b", F.floor((F.col("_place") - 1) / block_rows).cast("int")).drop("_place")
+    else:  # no row weighs more than a block, so no number is left out
+        weight = F.least(F.greatest(F.col(size).cast("long"), F.lit(max(1, block_items // block_rows))), F.lit(block_items)).cast("long")
+        line = Line(rows, [], [size, "id"], 8).carry(_place=Carried("sum", weight)).done()
+        rows = line.withColumn("b", F.floor((F.col("_place") - 1) / block_items).cast("int")).drop("_place")
     rows = stored(rows)
     ends = rows.groupBy("b").agg(F.min(size).cast("double").alias("low"), (F.max(size) / F.lit(least)).alias("high"))
     marks = ends.select("b", F.inline(F.array(F.struct(F.col("low").alias("v"), F.lit(0).alias("k")), F.struct(F.col("high").alias("v"), F.lit(1).alias("k")))))

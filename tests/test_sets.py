@@ -34,6 +34,34 @@ def test_packed_sets_give_all_pairs(words, least, block_rows, frequent, monkeypa
     assert len(got) == len(want) > 10 and {(r.a, r.b) for r in got} == set(want) and all(abs(r.sim - want[r.a, r.b]) < 2e-6 for r in got)
 
 
+def test_long_bitmaps_and_blocks_of_few_items_leave_no_pair_out(words, monkeypatch):
+    plain, df = words
+    limits = sets.size_blocks
+    monkeypatch.setattr(sets, "size_blocks", lambda rows, size, low, block_rows, items: limits(rows, size, low, block_rows, 700))
+    used = []
+    whole = sets._Side.more
+    monkeypatch.setattr(sets._Side, "more", lambda side: used.append(1) or whole(side))
+    packed = sets.packed_sets(df, "id", "w", 20)
+    blocks = limits(packed, "n", 0.6, 100, 700).groupBy("b").agg(F.sum("n").alias("n"), F.count("*").alias("rows")).orderBy("b").collect()
+    assert [r.b for r in blocks] == list(range(len(blocks))) and len(blocks) > 8 and max(r.n for r in blocks) <= 900 and max(r.rows for r in blocks) <= 102
+    want = {(a, b) for a in plain for b in plain if a < b and len(plain[a] & plain[b]) / len(plain[a] | plain[b]) >= 0.6}
+    got = sets.similar_sets(df, "id", "w", 0.6, frequent=20).collect()
+    assert len(got) == len(want) and {(r.a, r.b) for r in got} == want
+
+    # In one process: most pairs fall by the bitmaps, and heads are shorter where the other block has no small sets.
+    import numpy as np
+    import pyarrow as pa
+
+    r = np.random.default_rng(2)
+    items = [np.unique(np.append(r.integers(0, 9000, 3000), np.arange(40))) for _ in range(60)]
+    items[1] = items[0][:-50]
+    n, often = np.array([len(i) for i in items]), pa.array([i.astype("<u2").tobytes() for i in items])
+    rare = pa.array([b""] * 60, pa.binary())
+    side, short = (sets._Side(rare, often, n, 0.6, np.empty(0, "<i8"), least) for least in (0, int(n.min())))
+    assert len(short.head) < 0.7 * len(side.head)
+    assert {(int(a), int(b)) for i, j, _ in sets._near(short, short, 0.6, 1 << 16) for a, b in zip(i, j) if a < b} == {(0, 1)} and used
+
+
 def test_links_have_the_same_components(spark, words):
     plain, df = words
     nodes = spark.createDataFrame([(k,) for k in plain], "id long")
