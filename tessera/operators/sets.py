@@ -18,7 +18,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tessera.operators.similarity import set_pairs, six, size_blocks
-from tessera.sources.work import stored
+from tessera.sources.work import drop_stored, stored
 
 #: Items that have a rank; sets of the largest blocks, and their items; cells of a tile, candidates that are looked at at once.
 FREQUENT, BLOCK, ITEMS, CELLS, STEP = 1 << 16, 32_768, 1 << 22, 1 << 23, 1 << 19
@@ -29,20 +29,22 @@ BITS, MORE_BITS = 1024, 8192
 def packed_sets(df: DataFrame, key: str, words: str, frequent: int = FREQUENT) -> DataFrame:
     """id, n (size), rare (hashes, in order), often (ranks from rare to frequent, in order) of the sets of each id (the union, where it repeats) that are not empty;
     rows without an id are left out. words: an array of distinct texts. Stored."""
-    rows = df.filter(F.col(key).isNotNull()).select(F.col(key).alias("id"), F.col(words).alias("w")).filter(F.size("w") > 0)
-    if rows.groupBy("id").count().filter("count > 1").take(1):
-        rows = rows.groupBy("id").agg(F.array_distinct(F.flatten(F.collect_list("w"))).alias("w"))
     for salt in itertools.count():
-        count = rows.select(F.explode("w").alias("w")).groupBy(F.xxhash64("w", F.lit(salt)).alias("h"))
-        counts = stored(count.agg(F.count("*").alias("n"), F.min(F.hash("w")).alias("low"), F.max(F.hash("w")).alias("high")))
+        told = F.transform(words, lambda w: F.struct(F.xxhash64(w, F.lit(salt)).alias("h"), F.hash(w).alias("k")))
+        hashed = stored(df.filter(F.col(key).isNotNull()).select(F.col(key).alias("id"), told.alias("w")))  # texts are cut into words once
+        rows = hashed.filter(F.size("w") > 0)
+        if rows.groupBy("id").count().filter("count > 1").take(1):
+            rows = rows.groupBy("id").agg(F.array_distinct(F.flatten(F.collect_list("w"))).alias("w"))
+        counts = stored(rows.select(F.inline("w")).groupBy("h").agg(F.count("*").alias("n"), F.min("k").alias("low"), F.max("k").alias("high")))
         if not counts.filter("low <> high").take(1):  # no two words have one hash
             break
+        drop_stored(hashed)
     ranked = counts.orderBy(F.desc("n"), "h").limit(frequent).select("h").toArrow().column("h").to_numpy()
     order = np.argsort(ranked)
-    told = df.sparkSession.sparkContext.broadcast((ranked[order], (len(ranked) - 1 - order).astype(np.int64)))
+    known_ranks = df.sparkSession.sparkContext.broadcast((ranked[order], (len(ranked) - 1 - order).astype(np.int64)))
 
     def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        hashes, ranks = told.value
+        hashes, ranks = known_ranks.value
         for batch in batches:
             size = batch.column("h").value_lengths().to_numpy()
             h = batch.column("h").flatten().to_numpy()
@@ -58,8 +60,9 @@ def packed_sets(df: DataFrame, key: str, words: str, frequent: int = FREQUENT) -
                 out.append(pa.Array.from_buffers(pa.binary(), len(size), [None, pa.py_buffer(ends.astype(np.int32).tobytes()), pa.py_buffer(value[at].astype(kind).tobytes())]))
             yield pa.RecordBatch.from_arrays([batch.column("id"), pa.array(size.astype(np.int32)), *out], ["id", "n", "rare", "often"])
 
-    hashed = rows.select("id", F.transform("w", lambda w: F.xxhash64(w, F.lit(salt))).alias("h"))
-    return stored(hashed.mapInArrow(pack, f"id {dict(rows.dtypes)['id']}, n int, rare binary, often binary"))
+    out = stored(rows.select("id", F.col("w.h").alias("h")).mapInArrow(pack, f"id {dict(rows.dtypes)['id']}, n int, rare binary, often binary"))
+    drop_stored(hashed)
+    return out
 
 
 class _Side:
